@@ -1,0 +1,39 @@
+"""Connected components of a link table by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quorum_spark.llm.scratch import Scratch
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for every node of edges (u, v); component is the smallest node that can be reached.
+
+    Both stars rewrite every link with a join and a grouped minimum, so a hub's links are spread over tasks by the
+    join, and no neighbour list is gathered. Rounds end when the links no longer change; there they are a star from
+    every node to its component's smallest.
+    """
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = scratch.cut(edges, "edges")
+    state = _state(edges)
+    while state[0]:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.cut(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = scratch.cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        scratch.drop(edges, large)
+        edges, before, state = new, state, _state(new)
+        if state == before:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
