@@ -31,4 +31,28 @@ left_over AS (SELECT words.doc_id, w, CASE WHEN p IS NULL THEN w ELSE list_filte
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM left_over
 """
 
-SQL = {"op1_minhash_near_dedup": OP1, "op2_substring_dedup": OP2}
+OP7 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.v, r.seen FROM reach r JOIN links l ON l.u = r.node WHERE r.seen < l.v),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component AS component_id, component = vec_id AS kept
+FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON u = vec_id
+"""
+
+OP10 = """
+WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, role IS NULL AS nobody, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system' AND NOT nobody),
+m AS (SELECT conv_id, speaker, turn // 64 AS part, turn, role, text, role = speaker AND NOT nobody AS own,
+  '<|im_start|>' || CASE WHEN role = speaker AND NOT nobody THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head FROM t JOIN v USING (conv_id)),
+p AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece, sum(length(head) + length(text) + 11) OVER w - length(text) - 11 AS start
+  FROM m WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, part::BIGINT AS part, count(*) AS n_messages, count(*) FILTER (own) AS n_trained,
+  string_agg(piece, '' ORDER BY turn, role, text) AS rendered,
+  coalesce(string_agg(CASE WHEN own THEN start::BIGINT || ':' || (start + length(text))::BIGINT END, ',' ORDER BY turn, role, text), '') AS mask
+FROM p GROUP BY conv_id, speaker, part
+"""
+
+SQL = {"op1_minhash_near_dedup": OP1, "op2_substring_dedup": OP2, "op7_embedding_near_dedup": OP7, "op10_chat_rotation": OP10}

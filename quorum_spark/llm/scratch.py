@@ -17,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
+    """Lowers the session's rows of an Arrow batch, so that batches of long texts fit the Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Parquet tables of one operator call. `cut` writes and rereads a DataFrame, `drop` deletes one that is no longer read."""
 
@@ -24,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        arrow_rows(spark)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1

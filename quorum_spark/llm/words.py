@@ -13,6 +13,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: As separators: all of ASCII but letters and digits, and line feeds alone.
+MARKS, LINES = np.array([c < 128 and not chr(c).isalnum() for c in range(256)]), np.arange(256) == 10
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE, CHAIN, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -57,12 +59,12 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a list of texts. `starts`, `ends`: byte positions of each; text i has words `at[i]` to `at[i + 1]`."""
 
-    def __init__(self, arr: pa.Array, lower: bool = False):
+    def __init__(self, arr: pa.Array, lower: bool = False, spaces: np.ndarray = SPACE):
         self.buf, self.off = raw(arr)
         if lower:
             self.buf = LOWER[self.buf]
         n = len(self.buf)
-        space = SPACE[self.buf]
+        space = spaces[self.buf]
         self.space = space
         first = np.zeros(n + 1, bool)
         first[self.off] = True
