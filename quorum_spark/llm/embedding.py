@@ -189,6 +189,6 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
     out = nodes.join(classes, ["label", "set_key"], "left").join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
     links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))
     return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), (component.isNull() | (component == F.col("vec_id"))).alias("kept"))
