@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorum_spark.llm.graph import components
-from quorum_spark.llm.scratch import Scratch, arrow_rows
+from quorum_spark.llm.scratch import ARROW_ROWS, Scratch, arrow_rows
 
 COSINE = 0.98
 EPS = float(np.sqrt(2 - 2 * COSINE)) * (1 + 1e-9)
@@ -182,10 +182,10 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     pairs = left.join(right, ["label", "dim", "cell"]).where("u <= v").where(apart <= EPS * EPS).select("u", "v").distinct()
     one = blocks.select(F.col("block").alias("u"), "dim", "ids", "sizes", "units")
     two = blocks.select(F.col("block").alias("v"), *[F.col(c).alias(f"{c}2") for c in ("ids", "sizes", "units")])
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = spark.conf.get(ARROW_ROWS)
     arrow_rows(spark, 4)  # rows are a megabyte here
     found = scratch.cut(pairs.join(one, "u").join(two, "v").mapInArrow(_compare(axes), "rep long, n long, root long"), "found")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    spark.conf.set(ARROW_ROWS, before)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
     out = nodes.join(classes, ["label", "set_key"], "left").join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")

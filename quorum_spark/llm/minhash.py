@@ -11,9 +11,11 @@ How it keeps to size:
   Values of passages that very many documents share are a document's commonest, and so are not listed for it.
 - Within a list documents are first compared with a few leaders, then only across components, so that a group of
   near copies costs its size and not its square. Pairs of one component need no check: links only matter for components.
+- What is left of long lists (documents that share much, yet not enough) is compared block by block, as products of
+  small matrices; pairs come out only where a link is likely.
 
-The values t (30 of 64; 48 expected, deviation 3.5) and the margin below the threshold at which an estimate drops a pair
-(five deviations) are the only inexact steps; sets of up to 48 shingles are treated exactly.
+The values t (30 of 64; 48 expected, deviation 3.5) and the margins below the threshold at which estimates drop a pair
+(over four deviations) are the only inexact steps; sets of up to 48 shingles are treated exactly.
 
 Null text, empty text and text without words have size 0 and link with nothing. Repeated rows are answered one by one; a
 null id is its own component. Extra columns are ignored.
@@ -31,15 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum_spark.llm.graph import components
-from quorum_spark.llm.scratch import Scratch
+from quorum_spark.llm.scratch import ARROW_ROWS, Scratch, arrow_rows
 from quorum_spark.llm.words import Words, pieces, shingle_sets
 
 SHINGLE, RETAINED, OVERLAP, PERCENT = 5, 64, 30, 75
 #: Sets of up to this size have similar sets that are retained whole.
 WHOLE = RETAINED * PERCENT // 100
-#: Orders in which a list's leader is the smallest; several, so that documents of a group meet several leaders.
-LEADERS = (0x0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999, 0x3C3C3C3C3C3C3C3C)
+#: Orders in which a list's later leaders are the smallest; several, so that documents of a group meet several leaders.
+ORDERS = (0x0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999, 0x3C3C3C3C3C3C3C3C)
 ROUNDS = 2
+#: Lists of more members are compared in blocks of about BLOCK, by the HEAD smallest values of each full set; sets of up to
+#: HEAD values are decided by that, others may fall MARGIN * sqrt(HEAD) values (4.6 deviations) short of what is expected.
+SHORT, BLOCK, HEAD, MARGIN = 32, 256, 256, 2
 
 
 def _sketch(batches):
@@ -108,14 +113,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     for turn in range(ROUNDS + 1):
         members = listed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "value", "rep", "n", F.coalesce("component", "rep").alias("c")
+            "value", "rep", "n", "centre", F.coalesce("component", "rep").alias("c")
         )
         members = scratch.cut(members, "members")
-        pairs = _leaders(members, turn) if turn < ROUNDS else _across(members)
+        pairs = _leaders(members, turn) if turn < ROUNDS else _across(members, sets)
         pairs = pairs.where(_alike("nu", "nv")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        rows = spark.conf.get(ARROW_ROWS)
+        arrow_rows(spark, 16)  # a row of two blocks has a megabyte
         pairs = scratch.cut(pairs, "pairs")
+        spark.conf.set(ARROW_ROWS, rows)
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
@@ -130,37 +138,85 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _lists(reps: DataFrame) -> DataFrame:
-    """(value, rep, n): every document under its rarest retained values, as many as any pair of the least overlap needs."""
+    """(value, rep, n, centre): every document under its rarest retained values, as many as any pair of the least overlap needs. centre: how often documents have its retained values."""
     postings = reps.select("rep", "n", F.explode("sketch").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("rep")
     least = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100)).otherwise(OVERLAP)
     ranked = postings.join(shared, "value").select(
-        "value", "rep", "n", F.row_number().over(own.orderBy("df", "value")).alias("rank"), F.count("*").over(own).alias("shared")
+        "value", "rep", "n", F.row_number().over(own.orderBy("df", "value")).alias("rank"), F.count("*").over(own).alias("shared"), F.sum("df").over(own).alias("centre")
     )
     # values of one document alone come first in the order and cannot meet
     alone = F.least("n", F.lit(RETAINED)) - F.col("shared")
-    return ranked.where(F.col("rank") <= F.least("n", F.lit(RETAINED)) - least + 1 - alone).select("value", "rep", "n")
+    return ranked.where(F.col("rank") <= F.least("n", F.lit(RETAINED)) - least + 1 - alone).select("value", "rep", "n", "centre")
 
 
 def _leaders(members: DataFrame, turn: int) -> DataFrame:
-    """Every member of a list with the list's leader, unless they are in one component already."""
-    k = len(LEADERS)
-    mask = F.element_at(F.array(*[F.lit(x) for x in LEADERS]), (F.pmod(F.shiftright("value", turn * 8), F.lit(k)) + 1).cast("int"))
-    coded = members.select("value", "rep", "n", "c", F.col("rep").bitwiseXOR(mask).alias("code"))
-    lead = coded.groupBy("value").agg(F.min("code").alias("code"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    lead = coded.join(lead.select("value", "code"), ["value", "code"]).select("value", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
-    return coded.select("value", F.col("rep").alias("u"), F.col("n").alias("nu"), "c").join(lead, "value").where("u <> v and c <> cv")
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs of a list that are in different components: its members outside the list's largest component with all others."""
+    """Every member of a list with the list's leader, unless they are in one component already.
+
+    First the leader is the document whose values most documents have: copies that were changed in different places are
+    all like their original, and not always like each other. Later it is the smallest in one of several orders.
+    """
+    k = len(ORDERS)
+    mask = F.element_at(F.array(*[F.lit(x) for x in ORDERS]), (F.pmod(F.shiftright("value", turn * 8), F.lit(k)) + 1).cast("int"))
+    merit = F.col("centre") if turn == 0 else -F.col("rep").bitwiseXOR(mask)
+    lead = members.withColumn("merit", merit).groupBy("value").agg(F.max_by("rep", "merit").alias("v"), F.min("c").alias("low"), F.max("c").alias("high"))
+    lead = lead.where("low < high").select("value", "v")
+    lead = lead.join(members.select("value", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv")), ["value", "v"])
+    return members.select("value", F.col("rep").alias("u"), F.col("n").alias("nu"), "c").join(lead, "value").where("u <> v and c <> cv")
+
+
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of a list that are in different components: its members outside the list's largest component with all others.
+
+    Lists of up to SHORT members are joined with themselves. Longer ones are packed into blocks by a hash of the document,
+    and two blocks are compared as matrices, from which only pairs come out that may be similar enough.
+    """
     parts = members.groupBy("value", "c").agg(F.count("*").alias("size"))
-    most = parts.groupBy("value").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = members.join(most.select("value", F.col("most.c").alias("main")), "value")
-    left = mixed.where("c <> main").select("value", F.col("rep").alias("u"), F.col("n").alias("nu"), "c")
-    right = mixed.select("value", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), "main")
-    return left.join(right, "value").where("c <> cv and (cv = main or u < v)").where(_alike("nu", "nv"))
+    most = parts.groupBy("value").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
+    mixed = members.join(most.select("value", "size", F.col("most.c").alias("main")), "value")
+    short = mixed.where(F.col("size") <= SHORT)
+    left = short.where("c <> main").select("value", F.col("rep").alias("u"), F.col("n").alias("nu"), "c")
+    right = short.select("value", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), "main")
+    few = left.join(right, "value").where("c <> cv and (cv = main or u < v)").where(_alike("nu", "nv")).select("u", "v", "nu", "nv")
+
+    heads = sets.select("rep", F.substring("shingles", 1, 8 * HEAD).alias("head"))
+    long = mixed.where(F.col("size") > SHORT).select("value", "rep", "n", "c", (F.col("c") != F.col("main")).alias("minor"), "size")
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
+    packed = long.join(heads, "rep").groupBy("value", block.alias("block")).agg(F.collect_list(F.struct("rep", "n", "c", "minor", "head")).alias("rows"))
+    minor = packed.select("value", F.filter("rows", lambda r: r.minor).alias("left")).where("size(left) > 0")
+    many = minor.join(packed.select("value", F.col("rows").alias("right")), "value").select("left", "right")
+    return few.union(many.mapInArrow(_near, "u long, v long, nu long, nv long"))
+
+
+def _near(batches):
+    """Pairs of different components from two blocks of documents whose retained values overlap enough."""
+    for batch in batches:
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            a, b = ({k: left_or_right.values.field(k) for k in ("rep", "n", "c", "minor", "head")} for left_or_right in (left, right))
+            (ra, na, ca), (rb, nb, cb) = (tuple(np.asarray(x[k]) for k in ("rep", "n", "c")) for x in (a, b))
+            overlap = _overlap(a["head"], b["head"])
+            whole = (na <= HEAD)[:, None] & (nb <= HEAD)
+            low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
+            enough = np.where(whole, 100 * overlap >= PERCENT * (na[:, None] + nb - overlap), overlap >= PERCENT / 100 * np.minimum(low, HEAD) - MARGIN * HEAD**0.5)
+            enough &= (ca[:, None] != cb) & (100 * low >= PERCENT * high) & (~np.asarray(b["minor"]) | (ra[:, None] < rb))
+            i, j = np.nonzero(enough)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ra[i], rb[j], na[i], nb[j])], names=["u", "v", "nu", "nv"])
+
+
+def _overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many values each of a's sets shares with each of b's."""
+    sides = [[np.frombuffer(x.as_buffer(), np.int64) for x in side] for side in (a, b)]
+    va, vb = (np.concatenate(s) for s in sides)
+    both = np.intersect1d(va, vb)
+    out = []
+    for s, v in zip(sides, (va, vb), strict=True):
+        at = np.searchsorted(both, v)
+        hit = (at < len(both)) & (both[np.minimum(at, max(0, len(both) - 1))] == v) if len(both) else np.zeros(len(v), bool)
+        m = np.zeros((len(s), len(both)), np.float32)
+        m[np.repeat(np.arange(len(s)), [len(x) for x in s])[hit], at[hit]] = 1
+        out.append(m)
+    return (out[0] @ out[1].T).astype(np.int64)
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:

@@ -17,11 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
     """Lowers the session's rows of an Arrow batch, so that batches of long texts fit the Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= most:
-        spark.conf.set(key, str(most))
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= most:
+        spark.conf.set(ARROW_ROWS, str(most))
 
 
 class Scratch:
