@@ -5,8 +5,7 @@ Every document's non-overlapping seven-word blocks form the index; each of its r
 window always has a probe that hits a block. The windows around hits are then compared whole: those that also start in a
 document with a smaller id are repeats, and runs of them are the maximal exact repeats.
 
-Both comparisons deal packed hashes by hash value to buckets (the number of buckets follows the session's shuffle
-partitions). A bucket gets four or eight bytes for each word window, and answers for each document with the places that
+Both comparisons deal packed hashes by hash value to buckets (a bucket for every BUCKET_WORDS words). A bucket gets four or eight bytes for each word window, and answers for each document with the places that
 matter; texts are never expanded into rows. Exact copies are settled by the hash of their word sequence before that.
 A window is known by 64 bits of one hash and the bucket by another.
 
@@ -31,6 +30,7 @@ BLOCK = (WINDOW + 1) // 2
 MESSAGE = "bucket int, docs binary, counts binary, hashes binary, flags binary, places binary"
 #: Bytes of text whose hashes go to a bucket in one row.
 SEND = 2 << 20
+BUCKET_WORDS, LEAST_BUCKETS = 2_000_000, 16
 EMPTY = sha256(b"").hexdigest()
 
 
@@ -45,13 +45,14 @@ def _info(batches):
 def _deal(bucket: np.ndarray, buckets: int, doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, flags: np.ndarray, places: np.ndarray | None):
     """Message rows: for each bucket the hashes of these documents, in order of document and place."""
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    there = bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1], [True]]))
     rows = {k: [] for k in ("bucket", "docs", "counts", "hashes", "flags", "places")}
-    for b in np.flatnonzero(np.diff(cut)):
-        own = order[cut[b] : cut[b + 1]]
-        there, counts = np.unique(doc[own], return_counts=True)
-        rows["bucket"].append(int(b))
-        rows["docs"].append(ids[there].tobytes())
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        own = order[a:b]
+        some, counts = np.unique(doc[own], return_counts=True)
+        rows["bucket"].append(int(there[a]))
+        rows["docs"].append(ids[some].tobytes())
         rows["counts"].append(counts.astype(np.int32).tobytes())
         rows["hashes"].append(hashes[own].tobytes())
         rows["flags"].append(np.packbits(flags[own]).tobytes())
@@ -135,9 +136,9 @@ def _candidates(buckets: int):
                 for i, hits in enumerate(part.column("hits")):
                     a, b = lo[i], lo[i + 1]
                     order = np.argsort(bucket[a:b], kind="stable")
-                    cut = np.searchsorted(bucket[a:b][order], np.arange(buckets + 1))
+                    there = bucket[a:b][order]
                     for x in hits.as_py():
-                        p = pos[a:b][order[cut[x["bucket"]] + np.frombuffer(x["places"], np.int32)]]
+                        p = pos[a:b][order[np.searchsorted(there, x["bucket"]) + np.frombuffer(x["places"], np.int32)]]
                         np.add.at(near, np.maximum(p - (WINDOW - BLOCK), w.at[i]), 1)
                         np.add.at(near, p + 1, -1)
                 whole, start = windows(h, w.at, WINDOW)
@@ -184,7 +185,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = info.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = scratch.cut(info.join(first, "sha").where("doc_id > first").select("doc_id").distinct(), "copies")
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(LEAST_BUCKETS, (info.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS + 1)
     known = docs.where("doc_id is not null")
     hits = _answers(known.mapInArrow(_anchors(buckets), MESSAGE), np.uint32, True)
     hits = scratch.cut(hits.join(copies, "doc_id", "left_anti"), "hits")
