@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum_spark.llm import bpe, decontam, minhash, pii, toxicity
-from quorum_spark.llm.scratch import Scratch
+from quorum_spark.operators.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
