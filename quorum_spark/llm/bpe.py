@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.llm.scratch import arrow_rows
+from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import pieces
 
 #: Words of the lexicon, words that a worker remembers, and words that it counts before it hands on their counts.

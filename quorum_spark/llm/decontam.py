@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.llm.scratch import arrow_rows
+from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import Words, mix, pieces, windows
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.75, 24, 8

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.llm.graph import components
-from quorum_spark.llm.scratch import ARROW_ROWS, Scratch, arrow_rows
+from quorum_spark.operators.graph import components
+from quorum_spark.operators.scratch import ARROW_ROWS, Scratch, arrow_rows
 
 COSINE = 0.98
 EPS = float(np.sqrt(2 - 2 * COSINE)) * (1 + 1e-9)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorum_spark.llm.learning import remainder, sample, sigmoid
-from quorum_spark.llm.scratch import arrow_rows
+from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import mix, pieces, raw
 
 SAMPLE = 4000

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorum_spark.llm.graph import components
-from quorum_spark.llm.scratch import ARROW_ROWS, Scratch, arrow_rows
+from quorum_spark.operators.graph import components
+from quorum_spark.operators.scratch import ARROW_ROWS, Scratch, arrow_rows
 from quorum_spark.llm.words import Words, pieces, shingle_sets
 
 SHINGLE, RETAINED, OVERLAP, PERCENT = 5, 64, 30, 75

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorum_spark.llm.learning import labelled, logit, remainder, sigmoid
-from quorum_spark.llm.scratch import arrow_rows
+from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import LINES, LOWER, Words, pieces
 
 NEGATIVES, POSITIVES = 3000, 3000
