@@ -5,8 +5,9 @@ Every document's non-overlapping seven-word blocks form the index; each of its r
 window always has a probe that hits a block. The windows around hits are then compared whole: those that also start in a
 document with a smaller id are repeats, and runs of them are the maximal exact repeats.
 
-Both comparisons deal packed hashes by hash value to buckets (a bucket for every BUCKET_WORDS words). A bucket gets four or eight bytes for each word window, and answers for each document with the places that
-matter; texts are never expanded into rows. Exact copies are settled by the hash of their word sequence before that.
+Both comparisons deal packed hashes by hash value to buckets (a bucket for every BUCKET_WORDS words). A bucket gets four
+or eight bytes for each word window, and answers each shard of documents (as many as buckets, by a hash of the id) with
+the places that matter; texts are never expanded into rows. Exact copies are settled by the hash of their word sequence before that.
 A window is known by 64 bits of one hash and the bucket by another.
 
 Null text and text without words have no words: nothing is removed, and kept_sha256 is that of the empty text. Repeated
@@ -85,8 +86,8 @@ def _anchors(buckets: int):
     return run
 
 
-def _answer(table: pa.Table, kind: type, anchored: bool) -> pa.Table:
-    """For each document of a bucket the places (or, without places, the ranks among its hashes there) that matter.
+def _answer(table: pa.Table, kind: type, anchored: bool, shards: int) -> pa.Table:
+    """For each shard of a bucket's documents the places (or, without places, the ranks among its hashes there) that matter.
 
     With anchors: a probe matters if a smaller document has a block of that hash, a block matters if a larger document
     has a probe of it. Without: a window matters if a smaller document has it.
@@ -111,15 +112,44 @@ def _answer(table: pa.Table, kind: type, anchored: bool) -> pa.Table:
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(h)) - starts[owner] if anchored else np.frombuffer(b"".join(table["places"].to_pylist()), np.int32)
     owner, place = owner[hit], place[hit].astype(np.int32)
-    there, begin = np.unique(owner, return_index=True)
-    ends = np.append(begin, len(owner))
-    blobs = [place[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    bucket = np.full(len(there), table["bucket"][0].as_py(), np.int32)
-    return pa.table({"doc_id": pa.array(ids[there], pa.int64()), "bucket": pa.array(bucket), "places": pa.array(blobs, pa.binary())})
+    some, counts = np.unique(owner, return_counts=True)
+    shard = _buckets(ids[some].view(np.uint64), shards)
+    order = np.argsort(shard, kind="stable")
+    blobs = np.split(place, np.cumsum(counts)[:-1]) if len(some) else []
+    edge = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(some) else np.zeros(1, np.int64)
+    rows = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.table(
+        {
+            "shard": pa.array([int(shard[r[0]]) for r in rows], pa.int32()),
+            "bucket": pa.array([table["bucket"][0].as_py()] * len(rows), pa.int32()),
+            "docs": pa.array([ids[some[r]].tobytes() for r in rows], pa.binary()),
+            "counts": pa.array([counts[r].astype(np.int32).tobytes() for r in rows], pa.binary()),
+            "places": pa.array([np.concatenate([blobs[i] for i in r]).tobytes() for r in rows], pa.binary()),
+        }
+    )
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """The answers of all buckets to a shard's documents, one row for each document."""
+    sent = [np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()]
+    ids = np.concatenate(sent)
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
+    bucket = np.repeat(table["bucket"].to_numpy(), [len(x) for x in sent]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(counts.astype(np.int64) * 4)])
+    places = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(table["places"].to_pylist()))])
+    order = np.argsort(ids, kind="stable")
+    some, begin = np.unique(ids[order], return_index=True)
+    hits = pa.StructArray.from_arrays([pa.array(bucket[order]), places.take(pa.array(order)).cast(pa.binary())], ["bucket", "places"])
+    return pa.table({"doc_id": pa.array(some, pa.int64()), "hits": pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), hits)})
+
 
+def _answers(messages: DataFrame, kind: type, anchored: bool, shards: int) -> DataFrame:
+    """(doc_id, hits): the places that matter, by bucket.
 
-def _answers(messages: DataFrame, kind: type, anchored: bool) -> DataFrame:
-    return messages.groupBy("bucket").applyInArrow(lambda t: _answer(t, kind, anchored), "doc_id long, bucket int, places binary")
+    A bucket answers a shard of documents in one row, so rows follow the buckets and not documents times buckets.
+    """
+    sent = messages.groupBy("bucket").applyInArrow(lambda t: _answer(t, kind, anchored, shards), "shard int, bucket int, docs binary, counts binary, places binary")
+    return sent.groupBy("shard").applyInArrow(_by_document, "doc_id long, hits array<struct<bucket:int,places:binary>>")
 
 
 def _candidates(buckets: int):
@@ -156,8 +186,8 @@ def _cover(w: Words, repeats: pa.Array) -> np.ndarray:
     """Words of the texts that lie in a repeated window."""
     cover = np.zeros(len(w.starts) + 1, np.int32)
     for i, places in enumerate(repeats):
-        for blob in places.as_py() or ():
-            start = w.at[i] + np.frombuffer(blob, np.int32)
+        for x in places.as_py() or ():
+            start = w.at[i] + np.frombuffer(x["places"], np.int32)
             np.add.at(cover, start, 1)
             np.add.at(cover, start + WINDOW, -1)
     return np.cumsum(cover[:-1]) > 0
@@ -187,11 +217,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = max(LEAST_BUCKETS, (info.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS + 1)
     known = docs.where("doc_id is not null")
-    hits = _answers(known.mapInArrow(_anchors(buckets), MESSAGE), np.uint32, True)
+    hits = _answers(known.mapInArrow(_anchors(buckets), MESSAGE), np.uint32, True, buckets)
     hits = scratch.cut(hits.join(copies, "doc_id", "left_anti"), "hits")
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "places")).alias("hits"))
-    found = _answers(known.join(hits, "doc_id").mapInArrow(_candidates(buckets), MESSAGE), np.uint64, False)
-    found = scratch.cut(found, "repeats").groupBy("doc_id").agg(F.collect_list("places").alias("repeats"))
+    found = _answers(known.join(hits, "doc_id").mapInArrow(_candidates(buckets), MESSAGE), np.uint64, False, buckets)
+    found = scratch.cut(found, "repeats").withColumnRenamed("hits", "repeats")
     cut = scratch.cut(known.join(found, "doc_id").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "removed")
     cut = cut.withColumnRenamed("n_words", "n")
     gone = copies.withColumn("copy", F.lit(True))
