@@ -21,6 +21,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 from itertools import count
 from pathlib import Path
 
@@ -36,6 +37,8 @@ from quorum_spark.llm.words import pieces
 
 #: Words of the lexicon, words that a worker remembers, and words that it counts before it hands on their counts.
 LEXICON, MEMO, COUNTED = 1 << 16, 400_000, 250_000
+#: Letters from which a word's pairs wait in a heap.
+LONG = 256
 
 
 def byte_letters() -> list[str]:
@@ -86,6 +89,8 @@ class Vocabulary:
             return [self.special[word]]
         s = [self.letters[b] for b in word.encode()]
         s[-1] += self.end
+        if len(s) > LONG:
+            return self._merge_long(s)
         rank, none = self.ranks.get, len(self.ranks)
         ranks = [rank(p, none) for p in zip(s, s[1:])]  # noqa: B905
         while ranks and (low := min(ranks)) < none:
@@ -98,6 +103,26 @@ class Vocabulary:
                 ranks[i] = rank((s[i], s[i + 1]), none)
         return [self.ids[t] for t in s]
 
+    def _merge_long(self, s: list[str]) -> list[int]:
+        """The same for very long words: pairs wait in a heap, so the time is n log n."""
+        n, rank = len(s), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := rank((s[i], s[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if s[i] != a or j >= n or s[j] != b:
+                continue  # merged meanwhile
+            s[i], s[j] = a + b, ""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (r := rank((s[x], s[y]))) is not None:
+                    heappush(heap, (r, x, s[x], s[y]))
+        return [self.ids[t] for t in s if t]
+
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> np.ndarray:
     """The transducer as one array: five lengths, then edge keys, edge targets, edge numbers, final states, where each rank's ids begin, ids.

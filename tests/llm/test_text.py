@@ -80,6 +80,14 @@ def test_bpe_equals_the_library(spark):
     assert whole[4] == library.encode("x", add_special_tokens=False).ids
 
 
+def test_bpe_merges_very_long_words():
+    rng = random.Random(3)
+    library, vocabulary = Tokenizer.from_file(PATH), bpe.Vocabulary(open(PATH).read())
+    words = ["a" * 300_000, "".join(rng.choices("etaoinshr", k=200_000)), "the" * 50_000, "!" * 1000, *("".join(rng.choices("abcé", k=k)) for k in (255, 256, 257, 3000))]
+    for w in words:
+        assert [i for x in vocabulary.words(w) for i in vocabulary.merge(x)] == library.encode(w, add_special_tokens=False).ids
+
+
 def test_transducer_holds_its_words_and_no_others():
     rng = random.Random(1)
     words = {"".join(rng.choices("abc", k=rng.randint(1, 6))).encode() for _ in range(300)}
