@@ -11,8 +11,9 @@ How it keeps to size:
   Values of passages that very many documents share are a document's commonest, and so are not listed for it.
 - Within a list documents are first compared with a few leaders, then only across components, so that a group of
   near copies costs its size and not its square. Pairs of one component need no check: links only matter for components.
-- What is left of long lists (documents that share much, yet not enough) is compared block by block, as products of
-  small matrices; pairs come out only where a link is likely.
+- What is left of long lists (documents that share much, yet not enough) is compared block by block: products of small
+  matrices rule pairs out, full sets decide the others in place, and only links that join components come out. A pair
+  is decided in the first of the long lists that it shares.
 
 The values t (30 of 64; 48 expected, deviation 3.5) and the margins below the threshold at which estimates drop a pair
 (over four deviations) are the only inexact steps; sets of up to 48 shingles are treated exactly.
@@ -42,9 +43,10 @@ WHOLE = RETAINED * PERCENT // 100
 #: Orders in which a list's later leaders are the smallest; several, so that documents of a group meet several leaders.
 ORDERS = (0x0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999, 0x3C3C3C3C3C3C3C3C)
 ROUNDS = 2
-#: Lists of more members are compared in blocks of about BLOCK, by the HEAD smallest values of each full set; sets of up to
-#: HEAD values are decided by that, others may fall MARGIN * sqrt(HEAD) values (4.6 deviations) short of what is expected.
-SHORT, BLOCK, HEAD, MARGIN = 32, 256, 256, 2
+#: Lists of more members are compared in blocks of about BLOCK values (a megabyte), first by the HEAD smallest values of each
+#: full set; sets of up to HEAD values are decided by that, others may fall MARGIN * sqrt(HEAD) values (4.6 deviations)
+#: short of what is expected.
+SHORT, BLOCK, HEAD, MARGIN = 32, 1 << 17, 256, 2
 
 
 def _sketch(batches):
@@ -73,16 +75,18 @@ def _full(batches):
             )
 
 
+def _reach(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
 def _similar(batches):
     """Keeps the pairs whose full sets reach the threshold."""
     for batch in batches:
         left, right = batch.column("left"), batch.column("right")
-        keep = []
-        for x, y in zip(left, right, strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-            both = np.sort(np.concatenate([a, b]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+        keep = [_reach(*(np.frombuffer(z.as_buffer(), np.int64) for z in pair)) for pair in zip(left, right, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep, pa.bool_())), batch.column("v").filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
 
 
@@ -116,20 +120,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "value", "rep", "n", "centre", F.coalesce("component", "rep").alias("c")
         )
         members = scratch.cut(members, "members")
-        pairs = _leaders(members, turn) if turn < ROUNDS else _across(members, sets)
+        found = []
+        if turn == ROUNDS:
+            members = _mixed(members, scratch)
+            found.append(_in_blocks(members, sets, scratch))
+        pairs = _leaders(members, turn) if turn < ROUNDS else _few(members)
         pairs = pairs.where(_alike("nu", "nv")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        rows = spark.conf.get(ARROW_ROWS)
-        arrow_rows(spark, 16)  # a row of two blocks has a megabyte
         pairs = scratch.cut(pairs, "pairs")
-        spark.conf.set(ARROW_ROWS, rows)
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        found = scratch.cut(_confirmed(_estimated(pairs, reps), sets), "links")
-        links = found if links is None else links.union(found)
-        comp = components(links, scratch)
+        if not pairs.isEmpty():
+            tried = pairs if tried is None else tried.union(pairs)
+            found.append(scratch.cut(_confirmed(_estimated(pairs, reps), sets), "links"))
+        for new in found:
+            links = new if links is None else links.union(new)
+        if found:
+            comp = components(links, scratch)
     out = sketched.join(classes, "set_key", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select(
@@ -166,51 +172,80 @@ def _leaders(members: DataFrame, turn: int) -> DataFrame:
     return members.select("value", F.col("rep").alias("u"), F.col("n").alias("nu"), "c").join(lead, "value").where("u <> v and c <> cv")
 
 
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of a list that are in different components: its members outside the list's largest component with all others.
+def _mixed(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members of lists that hold several components, with the list's size, values in all and largest component (main)."""
+    parts = members.groupBy("value", "c").agg(F.count("*").alias("size"), F.sum("n").alias("values"))
+    lists = parts.groupBy("value").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("size"), F.sum("values").alias("values"))
+    lists = lists.where("parts > 1").select("value", "size", "values", F.col("most.c").alias("main"))
+    return scratch.cut(members.join(lists, "value"), "mixed")
 
-    Lists of up to SHORT members are joined with themselves. Longer ones are packed into blocks by a hash of the document,
-    and two blocks are compared as matrices, from which only pairs come out that may be similar enough.
-    """
-    parts = members.groupBy("value", "c").agg(F.count("*").alias("size"))
-    most = parts.groupBy("value").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
-    mixed = members.join(most.select("value", "size", F.col("most.c").alias("main")), "value")
+
+def _few(mixed: DataFrame) -> DataFrame:
+    """All pairs of a list of up to SHORT members that are in different components."""
     short = mixed.where(F.col("size") <= SHORT)
     left = short.where("c <> main").select("value", F.col("rep").alias("u"), F.col("n").alias("nu"), "c")
     right = short.select("value", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), "main")
-    few = left.join(right, "value").where("c <> cv and (cv = main or u < v)").where(_alike("nu", "nv")).select("u", "v", "nu", "nv")
+    return left.join(right, "value").where("c <> cv and (cv = main or u < v)").select("u", "v", "nu", "nv")
+
 
-    heads = sets.select("rep", F.substring("shingles", 1, 8 * HEAD).alias("head"))
-    long = mixed.where(F.col("size") > SHORT).select("value", "rep", "n", "c", (F.col("c") != F.col("main")).alias("minor"), "size")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
-    packed = long.join(heads, "rep").groupBy("value", block.alias("block")).agg(F.collect_list(F.struct("rep", "n", "c", "minor", "head")).alias("rows"))
+def _in_blocks(mixed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links that join the components of longer lists.
+
+    A list's members are packed into blocks by a hash of the document; blocks of members outside the largest component
+    are compared with all blocks.
+    """
+    long = mixed.where(F.col("size") > SHORT)
+    of = long.groupBy("rep").agg(F.collect_list("value").alias("lists"))  # no more than a sketch holds
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("values") / BLOCK))
+    rows = long.select("value", "rep", "n", "c", (F.col("c") != F.col("main")).alias("minor"), block.alias("block")).join(of, "rep").join(sets, "rep")
+    packed = rows.groupBy("value", "block").agg(F.collect_list(F.struct("rep", "n", "c", "minor", "lists", "shingles")).alias("rows"))
     minor = packed.select("value", F.filter("rows", lambda r: r.minor).alias("left")).where("size(left) > 0")
-    many = minor.join(packed.select("value", F.col("rows").alias("right")), "value").select("left", "right")
-    return few.union(many.mapInArrow(_near, "u long, v long, nu long, nv long"))
+    both = minor.join(packed.select("value", F.col("rows").alias("right")), "value")
+    spark = mixed.sparkSession
+    before = spark.conf.get(ARROW_ROWS)
+    arrow_rows(spark, 8)  # a row of two blocks has megabytes
+    links = scratch.cut(both.mapInArrow(_near, "u long, v long"), "dense")
+    spark.conf.set(ARROW_ROWS, before)
+    return links
 
 
 def _near(batches):
-    """Pairs of different components from two blocks of documents whose retained values overlap enough."""
+    """From two blocks of a list the similar pairs that join components, no more than there are components."""
     for batch in batches:
-        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            a, b = ({k: left_or_right.values.field(k) for k in ("rep", "n", "c", "minor", "head")} for left_or_right in (left, right))
+        for value, left, right in zip(batch.column("value").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+            a, b = ({k: side.values.field(k) for k in ("rep", "n", "c", "minor", "lists", "shingles")} for side in (left, right))
             (ra, na, ca), (rb, nb, cb) = (tuple(np.asarray(x[k]) for k in ("rep", "n", "c")) for x in (a, b))
-            overlap = _overlap(a["head"], b["head"])
+            sa, sb = ([np.frombuffer(x.as_buffer(), np.int64) for x in side["shingles"]] for side in (a, b))
+            la, lb = ([set(x) for x in side["lists"].to_pylist()] for side in (a, b))
+            overlap = _overlap([x[:HEAD] for x in sa], [x[:HEAD] for x in sb])
             whole = (na <= HEAD)[:, None] & (nb <= HEAD)
             low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
             enough = np.where(whole, 100 * overlap >= PERCENT * (na[:, None] + nb - overlap), overlap >= PERCENT / 100 * np.minimum(low, HEAD) - MARGIN * HEAD**0.5)
             enough &= (ca[:, None] != cb) & (100 * low >= PERCENT * high) & (~np.asarray(b["minor"]) | (ra[:, None] < rb))
-            i, j = np.nonzero(enough)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ra[i], rb[j], na[i], nb[j])], names=["u", "v", "nu", "nv"])
+            above, links = {}, []
+            for i, j in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
+                x, y = _top(above, int(ca[i])), _top(above, int(cb[j]))
+                if x != y and min(la[i] & lb[j]) == value and (whole[i, j] or _reach(sa[i], sb[j])):
+                    above[x] = y
+                    links.append((ra[i], rb[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def _top(above: dict, x: int) -> int:
+    """The component that x was joined to last."""
+    while x in above:
+        if above[x] in above:
+            above[x] = above[above[x]]
+        x = above[x]
+    return x
 
 
-def _overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
+def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many values each of a's sets shares with each of b's."""
-    sides = [[np.frombuffer(x.as_buffer(), np.int64) for x in side] for side in (a, b)]
-    va, vb = (np.concatenate(s) for s in sides)
+    va, vb = (np.concatenate(s) for s in (a, b))
     both = np.intersect1d(va, vb)
     out = []
-    for s, v in zip(sides, (va, vb), strict=True):
+    for s, v in zip((a, b), (va, vb), strict=True):
         at = np.searchsorted(both, v)
         hit = (at < len(both)) & (both[np.minimum(at, max(0, len(both) - 1))] == v) if len(both) else np.zeros(len(v), bool)
         m = np.zeros((len(s), len(both)), np.float32)

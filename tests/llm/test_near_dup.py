@@ -4,9 +4,11 @@ import random
 import re
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 from quorum_spark.llm import embedding, minhash, substring
+from quorum_spark.operators.scratch import Scratch
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -144,3 +146,36 @@ def test_embeddings(spark):
                 todo += near[x]
     assert {tuple(r) for r in got} == {(i, len(near[i]), comp[i], comp[i] == i) for i in near}
     assert embedding.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).collect() == []
+
+
+def test_blocks_of_long_lists_find_every_component(spark, monkeypatch):
+    """Sets around the threshold, in two lists of several blocks, give the components of all pairs' exact similarities."""
+    monkeypatch.setattr(minhash, "BLOCK", 4000)
+    rng = np.random.default_rng(5)
+    bases = [rng.choice(1 << 40, 320, replace=False) for _ in range(3)]
+    sets = []
+    for i in range(60):
+        base = bases[i % 3]
+        kept = base[rng.random(len(base)) < rng.uniform(0.78, 0.95)]
+        sets.append(np.unique(np.concatenate([kept, rng.choice(1 << 40, 15)])).astype(np.int64))
+    rows = [(v, i, len(s), i, 60, sum(map(len, sets)), 7) for v in (11, 22) for i, s in enumerate(sets)]
+    mixed = spark.createDataFrame(rows, "value long, rep long, n long, c long, size long, values long, main long")
+    full = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "rep long, shingles binary")
+    found = [tuple(r) for r in minhash._in_blocks(mixed, full, Scratch(spark, "test")).collect()]
+
+    def similar(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common)
+
+    def roots(pairs):
+        top = list(range(60))
+        for a, b in pairs:
+            x, y = sorted((top[a], top[b]))
+            top = [x if t == y else t for t in top]
+        return top
+
+    assert all(similar(a, b) for a, b in found)
+    exact = [(a, b) for a in range(60) for b in range(a) if similar(a, b)]
+    assert 60 < len(exact) < 590 and 1 < len(set(roots(exact))) < 60
+    assert roots(found) == roots(exact)
+    assert len(found) < len(exact)
