@@ -2,11 +2,13 @@
 
 Patterns propose spans from left to right, without overlap within a kind. Checks confirm or drop them: parts of addresses
 up to 255, Luhn for card numbers, mod-97 for bank account numbers, digit counts for phone numbers. A dropped proposal is
-not tried again from another place. Words such as "card" or "iban" in the CONTEXT characters around a span raise its score;
+not tried again from another place, but for bank account numbers: these are proposed at every place where one can start,
+have the length of their country (codes without one: as long as the run of capitals and digits goes), and of confirmed
+ones that overlap the first counts. Words such as "card" or "iban" in the CONTEXT characters around a span raise its score;
 kinds that go beyond the base ones (iban, secret) are kept from a score of LEAST. Base spans are always kept.
 
 Proposals are marked in the text with two control characters, and positions follow from the lengths between the marks, so a
-text is scanned once for each kind. Patterns are written without backtracking: a run is tried from its first character, or
+text is scanned once for each kind. A proposal that may overlap the next is marked as a copy before its place. Patterns are written without backtracking: a run is tried from its first character, or
 from where the last match ended, and from nowhere else.
 
 Null counts as empty text, empty texts have no spans. Positions are in code points, ends exclusive. Rows are answered one by
@@ -21,14 +23,25 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = KINDS[:4]
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Countries of each length of a bank account number, spaces not counted: the registry's and those in use without an entry.
+COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_FIXED = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in COUNTRIES.items())
+_OTHER = rf"(?!{'|'.join(' '.join(COUNTRIES.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_FIXED}|{_OTHER})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])",
 }
+#: Kinds proposed at every place, whether or not an earlier proposal covers it.
+OVERLAPPING = ("iban",)
 #: What a text must hold for a kind's pattern to be worth trying.
 NEEDED = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[0-9]"}
 #: What a span of each kind scores by itself, and the words nearby that add NEAR to it.
@@ -91,7 +104,8 @@ def _score(kind: str, around: Column) -> Column:
 def cut(text: Column, kind: str) -> Column:
     """The text up to the first proposal, and then each proposal with the text up to the next, parted by a mark."""
     clean = F.translate(F.coalesce(text, F.lit("")), _OPEN + _CLOSE, "￾￾")
-    marked = F.when(clean.rlike(NEEDED[kind]), F.regexp_replace(clean, f"({PATTERNS[kind]})", f"{_OPEN}$1{_CLOSE}")).otherwise(clean)
+    proposal = f"(?=({PATTERNS[kind]}))" if kind in OVERLAPPING else f"({PATTERNS[kind]})"
+    marked = F.when(clean.rlike(NEEDED[kind]), F.regexp_replace(clean, proposal, f"{_OPEN}$1{_CLOSE}")).otherwise(clean)
     return F.split(marked, _OPEN)
 
 
@@ -103,15 +117,19 @@ def spans(parts: Column, kind: str) -> Column:
     def add(acc: Column, x: Column, before: Column) -> Column:
         match, rest = F.substring_index(x, _CLOSE, 1), F.substring_index(x, _CLOSE, -1)
         end = acc.at + F.length(match)
-        around = F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(rest, F.lit(CONTEXT)))
+        after = rest.substr(F.length(match) + 1, F.lit(CONTEXT)) if kind in OVERLAPPING else F.left(rest, F.lit(CONTEXT))
+        around = F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), after)
         span = F.struct(acc.at.alias("start"), end.alias("end"), match.alias("match"), around.alias("around"))
-        return F.struct((end + F.length(rest)).alias("at"), F.concat(acc.found, F.array(span)).alias("found"))
+        return F.struct(((acc.at if kind in OVERLAPPING else end) + F.length(rest)).alias("at"), F.concat(acc.found, F.array(span)).alias("found"))
 
     first = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), empty.alias("found"))
     pairs = F.arrays_zip(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("x"), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("y"))
     found = F.aggregate(pairs, first, lambda acc, p: add(acc, p["x"], F.substring_index(p["y"], _CLOSE, -1)), lambda acc: acc.found)
+    valid = F.filter(found, lambda s: _valid(kind, s.match))
+    if kind in OVERLAPPING:
+        valid = F.aggregate(valid, empty, lambda acc, s: F.when(s.start < F.coalesce(F.get(acc, F.size(acc) - 1).end, F.lit(0)), acc).otherwise(F.concat(acc, F.array(s))))
     out = F.transform(
-        F.filter(found, lambda s: _valid(kind, s.match)),
+        valid,
         lambda s: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), s.end.alias("end"), F.lit(kind).alias("kind"), _score(kind, s.around).alias("score")),
     )
     return out if kind in BASE else F.filter(out, lambda s: s.score >= LEAST)
