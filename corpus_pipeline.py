@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from quorum_spark.llm import bpe, decontam, minhash, pii, toxicity
 from quorum_spark.operators.scratch import Scratch
 
+#: The column of a row's key within a stage.
+ROW = "_row_key"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
@@ -16,16 +19,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key of each row, written so that every reader sees the same keys. Ids may be null or repeated."""
+    return Scratch(spark, name).cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest id; those without an id come last.
+
+    Rows are compared, not ids: a row with a null id is a document like others and stays unless it is a near copy, and a row
+    repeated under one id stays once, also if it has no words. Different texts under one id are different documents. Rows
+    without words and without an id all stay.
+    """
+    keyed = _keyed(spark, docs, "near-copies")
+    found = minhash.near_duplicates(keyed, ROW).select(F.col("doc_id").alias(ROW), "n_shingles", "component_id")
+    rows = keyed.select(ROW, "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text")).join(found, ROW)
+    alike, own = F.col("n_shingles") > 0, F.col("doc_id").isNull()
+    group = F.when(alike | own, F.struct(F.col("component_id").alias("c"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("d"), F.lit(None).cast("string").alias("t")))
+    group = group.otherwise(F.struct(F.lit(None).cast("long").alias("c"), F.col("doc_id").alias("d"), F.col("text").alias("t")))
+    first = rows.groupBy(group.alias("g")).agg(F.min(F.struct(own.alias("own"), F.col("doc_id"), F.col(ROW))).alias("first"))
+    return keyed.join(first.select(f"first.{ROW}"), ROW, "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item. Each row is judged by its own text, whether its id is null or repeated."""
+    keyed = _keyed(spark, docs, "leaks")
+    texts = keyed.select(F.col(ROW).alias("doc_id"), "text")
+    leaks = decontam.find_leaks(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(ROW)).distinct()
+    return keyed.join(leaks, ROW, "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,3 +232,17 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert len(toxic & set(got)) <= 0.1 * len(toxic)
     library = Tokenizer.from_file(PATH)
     assert got[1009].ids == library.encode("<IP>", add_special_tokens=False).ids
+
+
+def test_stages_keep_rows_without_id_and_one_of_repeated_ids(spark, tmp_path):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(rng.choices("kala mora tiko sela grunz stroff plick drosch".split(), k=40)) for _ in range(4))
+    item = "one two three four five six seven eight"
+    rows = [(None, a), (7, a), (7, a), (5, b), (None, c), (3, None), (3, None), (3, ""), (None, None), (None, ""), (9, c + " x"), (8, d), (8, b)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted((str(i), str(t)) for i, t in [(7, a), (5, b), (9, c + " x"), (3, None), (3, ""), (None, None), (None, ""), (8, d)])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item} {b}"), (None, a), (4, item), (4, b), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()))) == sorted(map(str, [(None, a), (4, b), (6, None)]))
