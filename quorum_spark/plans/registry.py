@@ -12,6 +12,7 @@ from quorum_spark.operators import detections as D
 from quorum_spark.operators import evaluation as E
 from quorum_spark.operators import ledger as L
 from quorum_spark.operators import matching as M
+from quorum_spark.operators.numbering import numbered
 from quorum_spark.operators.scratch import Scratch
 from quorum_spark.params import PipelineParams
 from quorum_spark.plans import oracles
@@ -480,10 +481,11 @@ def biometric_delete_effect(spark, d):
 
 @query
 def linspace_sample(spark, d):
-    k, total = 18, 10_000
-    at = F.floor(F.col("i") * (total - 1) / (k - 1))
-    want = spark.range(k).select(F.col("id").alias("i")).select(at.alias("event_id")).distinct()
-    return S.table(spark, d, "events").join(F.broadcast(want), "event_id").select("event_id", "event_type")
+    k, e = 18, S.table(spark, d, "events").where("event_id is not null")
+    at = F.floor(F.col("id") * (F.col("total") - 1) / (k - 1))
+    want = spark.range(k).crossJoin(e.agg(F.count("*").alias("total"))).select(at.alias("place")).distinct()
+    placed = numbered(e.select("event_id"), ["event_id"], "place", Scratch(spark, "linspace")).join(F.broadcast(want), "place")
+    return e.join(F.broadcast(placed), "event_id").select("event_id", "event_type")
 
 
 @query

@@ -14,6 +14,7 @@ from quorum_spark.operators import evaluation as E
 from quorum_spark.operators import ledger as L
 from quorum_spark.operators import matching as M
 from quorum_spark.params import PipelineParams, stage_hashes
+from quorum_spark.plans import registry
 from quorum_spark.sources import truth
 
 
@@ -152,6 +153,13 @@ def test_hashes_chain():
     assert [a[k] == b[k] for k in a] == [True, True, True, False, False]
 
 
+def test_samples_are_spread_over_the_whole_table(spark, tmp_path):
+    for n in (25_000, 100, 5, 0):
+        spark.range(n).selectExpr("id * 3 + 7 as event_id", "'click' as event_type").repartition(5).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        got = sorted(r.event_id for r in registry.linspace_sample(spark, f"{tmp_path}/{n}").collect())
+        assert got == sorted({i * (n - 1) // 17 * 3 + 7 for i in range(18)} if n else [])
+
+
 def test_contract():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
