@@ -339,7 +339,7 @@ def correction_chain_depth(spark, d):
 @query
 def corrections(spark, d):
     tips = L.current(S.ledger(spark, d))
-    asked = tips.where("student_id % 3 = 0").select((F.col("id") + 10_000_000).alias("id"), "class_session_id", "student_id", F.lit("present").alias("status"))
+    asked = tips.select((F.col("id") + 10_000_000).alias("id"), "class_session_id", "student_id", F.lit("present").alias("status"))
     return L.correct(S.ledger(spark, d), asked)
 
 
@@ -460,7 +460,7 @@ def pan_speed(spark, d):
 
 @query
 def missing_chunks(spark, d):
-    o = S.table(spark, d, "orders").where("o_orderkey % 50 = 0")
+    o = S.table(spark, d, "orders")
     up = o.select(F.col("o_orderkey").alias("upload_id"), F.floor("o_totalprice").alias("total_bytes"), F.lit(20000).alias("chunk_bytes"))
     got = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("upload_id"), F.col("l_linenumber").cast("long").alias("chunk"))
     return L.missing_chunks(up, got)

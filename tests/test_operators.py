@@ -160,6 +160,17 @@ def test_samples_are_spread_over_the_whole_table(spark, tmp_path):
         assert got == sorted({i * (n - 1) // 17 * 3 + 7 for i in range(18)} if n else [])
 
 
+def test_every_upload_and_current_record_is_asked(spark, tmp_path):
+    orders = [(k, k % 7, "FPO"[k % 3], 20000.0 * (k % 4)) for k in range(1, 120)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, n) for k in range(1, 120) for n in (1, 1, 9)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(k, c) for k, *_, price in orders for c in range(int(price // 20000)) if c != 1}
+    assert sorted(map(tuple, registry.missing_chunks(spark, str(tmp_path)).collect())) == sorted(want)
+    last = {student: (k, status) for k, student, status, _ in orders}
+    want = {(k + 10_000_000, student, k) for student, (k, status) in last.items() if status != "F"}
+    assert {(r.id, r.student_id, r.supersedes_id) for r in registry.corrections(spark, str(tmp_path)).collect()} == want
+
+
 def test_contract():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
