@@ -211,24 +211,27 @@ def similarity_percentiles(spark, d):
     return sims.agg(r6(F.avg("s"), "mean"), *[r6(F.percentile("s", F.lit(p / 100)), f"p{p}") for p in (5, 50, 95)])
 
 
-@query
-def nms_boxes(spark, d):
-    rows = S.detections(spark, d)
-    order = ["frame_index", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "x1", "y1", "w"]
+def _boxes(spark, d):
+    """All detections, those of a frame numbered by their whole row."""
     from pyspark.sql.window import Window
 
-    numbered = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("frame_index").orderBy(*order[1:])).cast("long"))
-    kept = D.suppress(numbered, "frame_index", P.nms_iou).select("frame_index", F.posexplode("kept").alias("k", "b"))
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "x1", "y1", "w"]
+    return S.detections(spark, d).withColumn("ordinal", F.row_number().over(Window.partitionBy("frame_index").orderBy(*order)).cast("long"))
+
+
+@query
+def nms_boxes(spark, d):
+    kept = D.suppress(_boxes(spark, d), "frame_index", P.nms_iou).select("frame_index", F.posexplode("kept").alias("k", "b"))
     return kept.select("frame_index", F.concat_ws("_", F.col("frame_index").cast("string"), F.col("k").cast("string")).alias("det_id"), "b.x1", "b.y1", r6("b.score", "score")).where("score >= 0.6")
 
 
 @query
 def iou_pairs(spark, d):
     box = F.struct("x1", "y1", "x2", "y2")
-    rows = S.detections(spark, d).where("l_linenumber = 1").select("frame_index", "l_orderkey", "l_partkey", box.alias("a")).dropDuplicates(["l_orderkey", "l_partkey"])
-    other = rows.select("frame_index", F.col("l_orderkey").alias("o2"), F.col("l_partkey").alias("p2"), F.col("a").alias("b"))
-    met = rows.join(other, "frame_index").where("l_orderkey < o2 or (l_orderkey = o2 and l_partkey < p2)")
-    return met.select("l_orderkey", "l_partkey", "o2", "p2", r6(G.iou(F.col("a"), F.col("b")), "iou")).where("iou > 0.3")
+    rows = Scratch(spark, "iou").cut(_boxes(spark, d).select("frame_index", F.col("ordinal").alias("i"), "l_orderkey", "l_partkey", box.alias("a")), "boxes")
+    other = rows.select("frame_index", F.col("i").alias("j"), F.col("l_orderkey").alias("o2"), F.col("l_partkey").alias("p2"), F.col("a").alias("b"))
+    met = rows.join(other, "frame_index").where("i < j")
+    return met.select("frame_index", "i", "j", "l_orderkey", "l_partkey", "o2", "p2", r6(G.iou(F.col("a"), F.col("b")), "iou")).where("iou > 0.3")
 
 
 @query

@@ -171,6 +171,13 @@ def test_every_upload_and_current_record_is_asked(spark, tmp_path):
     assert {(r.id, r.student_id, r.supersedes_id) for r in registry.corrections(spark, str(tmp_path)).collect()} == want
 
 
+def test_all_boxes_of_a_frame_are_compared(spark, tmp_path):
+    rows = [(o, p, s, n, 10.0) for o, p, s, n in [(1, 5, 1, 1), (1, 5, 2, 1), (1, 5, 1, 3), (2, 5, 1, 2), (9, 5, 1, 1), (9, 6, 1, 1), (9, 605, 1, 2)]]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.frame_index, r.i, r.j): (r.l_orderkey, r.l_partkey, r.o2, r.p2, r.iou) for r in registry.iou_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(0, 1, 2): (1, 5, 1, 5, 1.0), (0, 1, 4): (1, 5, 2, 5, 1.0), (0, 2, 4): (1, 5, 2, 5, 1.0), (1, 1, 3): (9, 5, 9, 605, 1.0)}
+
+
 def test_contract():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
