@@ -31,13 +31,14 @@ def last_decisions(decisions: DataFrame) -> DataFrame:
     return top_rows(own, "student_id", [F.desc("ordinal")]).drop("rank")
 
 
-def commit(roster: DataFrame, decisions: DataFrame, confident: DataFrame, teacher: int) -> DataFrame:
-    """Exactly one row per enrolled student: the explicit decision, else present by a confident match, else absent."""
+def commit(roster: DataFrame, decisions: DataFrame, confident: DataFrame, teacher: int, by: list[str] | None = None) -> DataFrame:
+    """Exactly one row per enrolled student, of each course if by names the roster's columns for it: the explicit decision, else present by a confident match, else absent."""
     d = decisions.select("student_id", F.col("status").alias("d_status"), F.col("source").alias("d_source"))
-    out = roster.select("student_id").distinct().join(d, "student_id", "left").join(confident.select("student_id", "similarity"), "student_id", "left")
+    out = roster.select(*by or [], "student_id").distinct().join(d, "student_id", "left").join(confident.select("student_id", "similarity"), "student_id", "left")
     explicit = F.col("d_status").isNotNull()
     status = F.coalesce("d_status", F.when(F.col("similarity").isNotNull(), "present").otherwise("absent"))
     return out.select(
+        *by or [],
         "student_id",
         status.alias("status"),
         F.coalesce("d_source", F.lit("auto")).alias("source"),
@@ -46,10 +47,10 @@ def commit(roster: DataFrame, decisions: DataFrame, confident: DataFrame, teache
     )
 
 
-def commit_counts(rows: DataFrame) -> DataFrame:
+def commit_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     n = lambda c: F.count_if(c)
     s, o = F.col("status"), F.col("source")
-    return rows.agg(
+    return rows.groupBy(*by or []).agg(
         F.count("*").alias("total"),
         n(s == "present").alias("present"),
         n(s == "absent").alias("absent"),

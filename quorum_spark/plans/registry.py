@@ -353,8 +353,8 @@ def roster(spark, d):
 
 
 def _review(spark, d):
-    """Students of course 7; decisions and confident matches from their orders."""
-    r = S.table(spark, d, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("student_id"))
+    """Students of each course; decisions and confident matches from their orders."""
+    r = S.table(spark, d, "customer").where("c_nationkey is not null").select(F.col("c_nationkey").alias("course"), F.col("c_custkey").alias("student_id"))
     o = S.table(spark, d, "orders").select(F.col("o_custkey").alias("student_id"), "o_orderstatus", "o_orderkey", "o_totalprice")
     status = F.when(F.col("o_totalprice") > 150000, "present").otherwise("absent")
     source = F.when(F.col("o_totalprice") > 150000, "teacher_confirmed").otherwise("teacher_override")
@@ -365,30 +365,32 @@ def _review(spark, d):
 
 @query
 def commit_fanout(spark, d):
-    return rounded(L.commit(*_review(spark, d), 42), "confidence")
+    return rounded(L.commit(*_review(spark, d), 42, ["course"]), "confidence")
 
 
 @query
 def commit_counts(spark, d):
-    return L.commit_counts(L.commit(*_review(spark, d), 42))
+    return L.commit_counts(L.commit(*_review(spark, d), 42, ["course"]), ["course"])
 
 
 @query
 def missing_review(spark, d):
     r, given, sure = _review(spark, d)
-    return r.join(sure, "student_id", "left_semi").join(given, "student_id", "left_anti")
+    return r.join(sure, "student_id", "left_semi").join(given, "student_id", "left_anti").select("course", "student_id")
 
 
 @query
 def unenrolled_decisions(spark, d):
+    """Decisions of students who aren't on a course's roster, for each course."""
     r, given, _ = _review(spark, d)
-    return given.join(r, "student_id", "left_anti").select("student_id", "status")
+    every = given.crossJoin(F.broadcast(r.select("course").distinct()))
+    return every.join(r, ["course", "student_id"], "left_anti").select("course", "student_id", "status")
 
 
 @query
 def absent_list(spark, d):
     r, _, sure = _review(spark, d)
-    return r.join(sure, "student_id", "left_anti")
+    return r.join(sure, "student_id", "left_anti").select("course", "student_id")
 
 
 @query

@@ -178,6 +178,19 @@ def test_all_boxes_of_a_frame_are_compared(spark, tmp_path):
     assert got == {(0, 1, 2): (1, 5, 1, 5, 1.0), (0, 1, 4): (1, 5, 2, 5, 1.0), (0, 2, 4): (1, 5, 2, 5, 1.0), (1, 1, 3): (9, 5, 9, 605, 1.0)}
 
 
+def test_all_courses_are_committed(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 8), (5, 9)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(10, 1, "F", 200000.0), (11, 2, "P", 100000.0), (12, 3, "F", 100000.0), (13, 3, "P", 200000.0), (14, 5, "F", 300000.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    get = lambda f: {tuple(r) for r in f(spark, str(tmp_path)).collect()}
+    auto, yes, no = "auto", ("present", "teacher_confirmed", None, 42), ("absent", "teacher_override", None, 42)
+    assert get(registry.commit_fanout) == {(7, 1, "present", auto, 0.2, None), (7, 2, *no), (8, 3, *yes), (8, 4, "absent", auto, None, None), (9, 5, "present", auto, 0.3, None)}
+    assert get(registry.commit_counts) == {(7, 2, 1, 1, 1, 0, 1), (8, 2, 1, 1, 1, 1, 0), (9, 1, 1, 0, 1, 0, 0)}
+    assert get(registry.missing_review) == {(7, 1), (9, 5)}
+    assert get(registry.unenrolled_decisions) == {(8, 2, "absent"), (9, 2, "absent"), (7, 3, "present"), (9, 3, "present")}
+    assert get(registry.absent_list) == {(7, 2), (8, 4)}
+
+
 def test_contract():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
