@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests on one machine, a folder of our own."""
+    """The folder named in spark.checkpoint.dir; where it is unset, as in tests on one machine, a folder of our own. A cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quorum-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -26,8 +30,19 @@ def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
         spark.conf.set(ARROW_ROWS, str(most))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of a few rows for what runs inside, where a row has megabytes."""
+    before = spark.conf.get(ARROW_ROWS)
+    arrow_rows(spark, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 class Scratch:
-    """Parquet tables of one operator call. `cut` writes and rereads a DataFrame, `drop` deletes one that is no longer read."""
+    """Parquet tables of one operator call. `cut` writes and rereads a DataFrame, `drop` deletes those that are no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -35,13 +50,17 @@ class Scratch:
         self.n = 0
         arrow_rows(spark)
 
-    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def cut(self, df: DataFrame, name: str = "t", large_rows: bool = False) -> DataFrame:
+        """large_rows: rows of megabytes, so row groups of 16 MB are closed in time."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
+        out = df.write.option("compression", "zstd")
+        if large_rows:
+            out = out.options(**{"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+        out.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._scratch_path = path
+        return back
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
