@@ -1,17 +1,24 @@
 """Exact repeats of 13 or more words across documents, found by fixed-block anchors.
 
-Every document's non-overlapping seven-word blocks form the index; each of its rolling seven-word windows is a probe. Any
-13 consecutive words hold one whole block of the document they start in, wherever the blocks lie, so a repeated 13-word
-window always has a probe that hits a block. The windows around hits are then compared whole: those that also start in a
-document with a smaller id are repeats, and runs of them are the maximal exact repeats.
-
-Both comparisons deal packed hashes by hash value to buckets (a bucket for every BUCKET_WORDS words). A bucket gets four
-or eight bytes for each word window, and answers each shard of documents (as many as buckets, by a hash of the id) with
-the places that matter; texts are never expanded into rows. Exact copies are settled by the hash of their word sequence before that.
-A window is known by 64 bits of one hash and the bucket by another.
-
-Null text and text without words have no words: nothing is removed, and kept_sha256 is that of the empty text. Repeated
-rows of one doc_id are one document if their words are equal. Extra columns are ignored.
+Rows are dealt to packs of about PACK bytes of text. Every document's non-overlapping seven-word blocks form the index; each
+of its rolling seven-word windows is a probe. Any 13 consecutive words hold one whole block of the document they start in,
+wherever the blocks lie, so a repeated 13-word window always has a probe that hits a block. From the hits the windows around
+them are extended: those that also start in a document with a smaller id are repeats, and runs of them are the maximal exact
+repeats.
+
+How it keeps to size:
+- A pack sends each of its distinct hashes once, with what matters of all its documents (first whether one is a block and
+  whether several hold it, then the smallest id), so what a hash costs follows the packs and not the documents that share it.
+- Hashes are dealt to buckets by value, a bucket for each BUCKET bytes of text and a task for each bucket. A bucket answers
+  every pack with the places, among the hashes that it sent, that matter. Texts are never expanded into rows.
+- A pack's text and its answers meet in one exchange; rows of answers come first, so a task holds one pack at a time.
+
+Blocks and probes are told apart by 32 bits of a hash within a bucket, which can only propose too much. Windows are decided by
+128 bits: two hashes of different word hashes.
+
+Null text and text without words have no words: nothing is removed, and kept_sha256 is that of the empty text. Rows are
+answered one by one, each by its own words: rows that repeat one doc_id, with equal or different words, don't remove each
+other's, and rows without an id neither lose words nor make others lose any. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,187 +30,248 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.operators.scratch import Scratch
+from quorum_spark.operators.scratch import Scratch, small_batches
 from quorum_spark.llm.words import SECOND, Words, mix, pieces, windows
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
-MESSAGE = "bucket int, docs binary, counts binary, hashes binary, flags binary, places binary"
-#: Bytes of text whose hashes go to a bucket in one row.
-SEND = 2 << 20
-BUCKET_WORDS, LEAST_BUCKETS = 2_000_000, 16
-EMPTY = sha256(b"").hexdigest()
+#: Bytes of text in a pack (a longer text is a pack of its own) and for each bucket.
+PACK, BUCKET = 4 << 20, 12 << 20
+#: Packs that a task reads on average.
+PACKS = 4
+#: Second base of word hashes, and chain of their windows.
+OTHER = np.uint64(0x8BB84B93962EACC9)
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+PACKED = "ids array<bigint>, texts array<string>"
+ANSWER = "pack long, step int, bucket int, places binary"
 
 
-def _info(batches):
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            w = Words(part.column("text"))
-            shas = [sha256(x).hexdigest() for x in w.kept()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(w.at), pa.int64()), pa.array(shas)], names=["doc_id", "n_words", "sha"])
-
-
-def _deal(bucket: np.ndarray, buckets: int, doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, flags: np.ndarray, places: np.ndarray | None):
-    """Message rows: for each bucket the hashes of these documents, in order of document and place."""
-    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-    there = bucket[order]
-    edge = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1], [True]]))
-    rows = {k: [] for k in ("bucket", "docs", "counts", "hashes", "flags", "places")}
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        own = order[a:b]
-        some, counts = np.unique(doc[own], return_counts=True)
-        rows["bucket"].append(int(there[a]))
-        rows["docs"].append(ids[some].tobytes())
-        rows["counts"].append(counts.astype(np.int32).tobytes())
-        rows["hashes"].append(hashes[own].tobytes())
-        rows["flags"].append(np.packbits(flags[own]).tobytes())
-        rows["places"].append(places[own].tobytes() if places is not None else None)
-    kinds = [pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
-
-
-def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(h ^ SECOND) % np.uint64(buckets)).astype(np.int32)
-
-
-def _probes(h: np.ndarray, at: np.ndarray, buckets: int):
-    """All rolling windows of BLOCK words: hash, first word, place in the text, bucket."""
-    roll, pos = windows(h, at, BLOCK)
-    doc = np.searchsorted(at, pos, "right") - 1
-    return roll, pos, doc, _buckets(roll, buckets)
+def _packs(most: int):
+    """Rows in packs of up to most bytes: their ids and texts."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def pack():
+            ids, texts = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, texts)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(lists, names=["ids", "texts"])
+
+        for batch in batches:
+            for part in pieces(batch, "text", most):
+                texts = part.column("text").cast(pa.string())
+                here = texts.nbytes
+                if held and size + here > most:
+                    yield pack()
+                    size = 0
+                held.append((part.column("doc_id").cast(pa.int64()), texts))
+                size += here
+        if held:
+            yield pack()
+
+    return run
+
+
+class Pack:
+    """A pack's words: hashes, where each text begins, and ids. lost: texts without an id."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array):
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        self.parts = [Words(p.column("text")) for p in pieces(batch, "text")]
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.at) for w in self.parts]))])
+        self.known = np.asarray(ids.is_valid())
+        self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        self.h = np.concatenate([w.hashes() for w in self.parts])
+
+    def probes(self, buckets: int):
+        """All rolling windows of BLOCK words of texts with an id: first word, text, and 32 bits of hash after the bucket."""
+        roll, pos = windows(self.h, self.at, BLOCK)
+        doc = np.searchsorted(self.at, pos, "right") - 1
+        keep = self.known[doc]
+        roll, pos, doc = roll[keep], pos[keep], doc[keep]
+        return pos, doc, _bucket(roll, buckets) << np.uint64(32) | roll >> np.uint64(32)
+
+    def candidates(self, hits: list, buckets: int):
+        """Windows of WINDOW words around probes that matter: both hashes, first word, text."""
+        pos, doc, key = self.probes(buckets)
+        some, inverse = np.unique(key, return_inverse=True)
+        near = np.zeros(len(self.h) + 1, np.int32)
+        p, d = (x[_marks(some, hits)[inverse]] for x in (pos, doc))
+        np.add.at(near, np.maximum(p - (WINDOW - BLOCK), self.at[d]), 1)
+        np.add.at(near, p + 1, -1)
+        a, start = windows(self.h, self.at, WINDOW)
+        use = np.cumsum(near)[start] > 0
+        b, _ = windows(np.concatenate([w.hashes(OTHER) for w in self.parts]), self.at, WINDOW, SECOND)
+        a, b, start = a[use], b[use], start[use]
+        return a, b, start, np.searchsorted(self.at, start, "right") - 1
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return mix(h ^ SECOND) % np.uint64(buckets)
+
+
+def _marks(keys: np.ndarray, answers: list) -> np.ndarray:
+    """Which of the sorted keys, bucket first, the buckets named."""
+    out = np.zeros(len(keys), bool)
+    for bucket, places in answers:
+        out[np.searchsorted(keys, np.uint64(bucket) << np.uint64(32)) + np.frombuffer(places, np.uint32)] = True
+    return out
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys, the first one first and equal ones as they stand, and where each group of equal ones begins in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], 0)
+    return order, np.flatnonzero(new)
+
+
+def _rows(pack: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: the pack and the bucket's part of each column. bucket: ascending."""
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    cut = {k: pa.array([v[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for k, v in columns.items()}
+    return pa.RecordBatch.from_pydict({"pack": pa.array([pack] * (len(edge) - 1), pa.int64()), "bucket": pa.array(bucket[edge[:-1]].astype(np.int32)), **cut})
 
 
 def _anchors(buckets: int):
+    """For each bucket a pack's distinct probes: 1 if one is a block, 2 if several texts hold it, 3 for both."""
+
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", SEND):
-                w = Words(part.column("text"))
-                roll, pos, doc, bucket = _probes(w.hashes(), w.at, buckets)
-                ids = part.column("doc_id").cast(pa.int64()).to_numpy()
-                if len(roll):
-                    yield _deal(bucket, buckets, doc, ids, (roll >> np.uint64(32)).astype(np.uint32), (pos - w.at[doc]) % BLOCK == 0, None)
+            for pack, ids, texts in zip(batch.column("pack").to_pylist(), batch.column("ids"), batch.column("texts"), strict=True):
+                own = Pack(ids.values, texts.values)
+                pos, doc, key = own.probes(buckets)
+                if not len(key):
+                    continue
+                order, first = _groups(key)
+                block = (pos - own.at[doc]) % BLOCK == 0
+                several = doc[order][first] != doc[order][np.append(first[1:], len(order)) - 1]
+                flags = np.logical_or.reduceat(block[order], first) + 2 * several
+                some = key[order][first]
+                yield _rows(pack, some >> np.uint64(32), hashes=some.astype(np.uint32), flags=flags.astype(np.uint8))
 
     return run
 
 
-def _answer(table: pa.Table, kind: type, anchored: bool, shards: int) -> pa.Table:
-    """For each shard of a bucket's documents the places (or, without places, the ranks among its hashes there) that matter.
-
-    With anchors: a probe matters if a smaller document has a block of that hash, a block matters if a larger document
-    has a probe of it. Without: a window matters if a smaller document has it.
-    """
-    h = np.frombuffer(b"".join(table["hashes"].to_pylist()), kind)
-    ids = np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64)
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
-    doc = np.repeat(ids, counts)
-    order = np.argsort(h, kind="stable")
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    group, first = np.empty(len(h), np.int64), np.flatnonzero(new)
-    group[order] = np.cumsum(new) - 1
-    if anchored:
-        lens = np.array([len(x) for x in table["hashes"].to_pylist()]) // h.itemsize
-        flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n).astype(bool) for f, n in zip(table["flags"].to_pylist(), lens, strict=True)])
-        low = np.minimum.reduceat(np.where(flags, doc, np.iinfo(np.int64).max)[order], first)
-        high = np.maximum.reduceat(doc[order], first)
-        hit = (low[group] < doc) | flags & (high[group] > doc)
-    else:
-        hit = np.minimum.reduceat(doc[order], first)[group] < doc
-    starts = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(h)) - starts[owner] if anchored else np.frombuffer(b"".join(table["places"].to_pylist()), np.int32)
-    owner, place = owner[hit], place[hit].astype(np.int32)
-    some, counts = np.unique(owner, return_counts=True)
-    shard = _buckets(ids[some].view(np.uint64), shards)
-    order = np.argsort(shard, kind="stable")
-    blobs = np.split(place, np.cumsum(counts)[:-1]) if len(some) else []
-    edge = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(some) else np.zeros(1, np.int64)
-    rows = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.table(
-        {
-            "shard": pa.array([int(shard[r[0]]) for r in rows], pa.int32()),
-            "bucket": pa.array([table["bucket"][0].as_py()] * len(rows), pa.int32()),
-            "docs": pa.array([ids[some[r]].tobytes() for r in rows], pa.binary()),
-            "counts": pa.array([counts[r].astype(np.int32).tobytes() for r in rows], pa.binary()),
-            "places": pa.array([np.concatenate([blobs[i] for i in r]).tobytes() for r in rows], pa.binary()),
-        }
-    )
-
-
-def _by_document(table: pa.Table) -> pa.Table:
-    """The answers of all buckets to a shard's documents, one row for each document."""
-    sent = [np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()]
-    ids = np.concatenate(sent)
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
-    bucket = np.repeat(table["bucket"].to_numpy(), [len(x) for x in sent]).astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum(counts.astype(np.int64) * 4)])
-    places = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(table["places"].to_pylist()))])
-    order = np.argsort(ids, kind="stable")
-    some, begin = np.unique(ids[order], return_index=True)
-    hits = pa.StructArray.from_arrays([pa.array(bucket[order]), places.take(pa.array(order)).cast(pa.binary())], ["bucket", "places"])
-    return pa.table({"doc_id": pa.array(some, pa.int64()), "hits": pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), hits)})
-
-
-def _answers(messages: DataFrame, kind: type, anchored: bool, shards: int) -> DataFrame:
-    """(doc_id, hits): the places that matter, by bucket.
-
-    A bucket answers a shard of documents in one row, so rows follow the buckets and not documents times buckets.
-    """
-    sent = messages.groupBy("bucket").applyInArrow(lambda t: _answer(t, kind, anchored, shards), "shard int, bucket int, docs binary, counts binary, places binary")
-    return sent.groupBy("shard").applyInArrow(_by_document, "doc_id long, hits array<struct<bucket:int,places:binary>>")
+def _whole(batches) -> pa.Table | None:
+    """All rows of a task, which is one bucket."""
+    held = list(batches)
+    return pa.Table.from_batches(held) if sum(b.num_rows for b in held) else None
+
+
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
+def _answer(table: pa.Table, step: int, counts: list[int], hit: np.ndarray) -> pa.RecordBatch:
+    """For each pack the places of its hits among the hashes that it sent."""
+    ends = np.cumsum(counts)
+    places = [np.flatnonzero(hit[b - n : b]).astype(np.uint32) for b, n in zip(ends, counts, strict=True)]
+    rows = [(p, b, x.tobytes()) for p, b, x in zip(table["pack"].to_pylist(), table["bucket"].to_pylist(), places, strict=True) if len(x)]
+    pack, bucket, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(pack, pa.int64()), pa.array([step] * len(rows), pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["pack", "step", "bucket", "places"])
+
+
+def _hits(batches):
+    """Probes matter where a text has a block of that hash and another text has a probe."""
+    if (table := _whole(batches)) is None:
+        return
+    h, flags = _column(table, "hashes", np.uint32), _column(table, "flags", np.uint8)
+    order, first = _groups(h)
+    seen = np.bitwise_or.reduceat(flags[order], first)
+    ok = (seen & 1 > 0) & ((seen & 2 > 0) | (np.diff(np.append(first, len(h))) > 1))
+    hit = np.empty(len(h), bool)
+    hit[order] = np.repeat(ok, np.diff(np.append(first, len(h))))
+    yield _answer(table, 1, [len(x) // 4 for x in table["hashes"].to_pylist()], hit)
+
+
+def _repeats(batches):
+    """Windows of a pack matter where another pack's smallest document is smaller than its own."""
+    if (table := _whole(batches)) is None:
+        return
+    a, b, low = (_column(table, c, k) for c, k in (("hashes", np.uint64), ("others", np.uint64), ("lows", np.int64)))
+    order, first = _groups(a, b)
+    least = np.empty(len(a), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(low[order], first), np.diff(np.append(first, len(a))))
+    yield _answer(table, 2, [len(x) // 8 for x in table["hashes"].to_pylist()], least < low)
+
+
+def _met(batches):
+    """(pack, answers by step, ids, texts) of rows that are sorted by pack and step; the text's row is a pack's last."""
+    answers: dict[int, list] = {}
+    for batch in batches:
+        for pack, step, bucket, places, ids, texts in zip(*(batch.column(c) if c in ("ids", "texts") else batch.column(c).to_pylist() for c in ("pack", "step", "bucket", "places", "ids", "texts")), strict=True):
+            if bucket is not None:
+                answers.setdefault(step, []).append((bucket, places))
+            else:
+                yield pack, answers, ids.values, texts.values
+                answers = {}
+
+
+def _windows(own: Pack, hits: list, buckets: int):
+    """Candidate windows, in groups of equal ones by bucket: order, group starts, bucket of each, then as Pack.candidates."""
+    a, b, start, doc = own.candidates(hits, buckets)
+    bucket = _bucket(b, buckets)
+    order, first = _groups(bucket, a, b)
+    return order, first, bucket, a, b, start, doc
 
 
 def _candidates(buckets: int):
-    """For documents with hits: messages of all 13-word windows that hold one."""
+    """For each bucket a pack's distinct candidate windows, with the smallest document of each."""
 
     def run(batches):
-        for batch in batches:
-            for part in pieces(batch, "text", SEND):
-                w = Words(part.column("text"))
-                h = w.hashes()
-                _, pos, _, bucket = _probes(h, w.at, buckets)
-                lo = np.searchsorted(pos, w.at)
-                near = np.zeros(len(h) + 1, np.int32)
-                for i, hits in enumerate(part.column("hits")):
-                    a, b = lo[i], lo[i + 1]
-                    order = np.argsort(bucket[a:b], kind="stable")
-                    there = bucket[a:b][order]
-                    for x in hits.as_py():
-                        p = pos[a:b][order[np.searchsorted(there, x["bucket"]) + np.frombuffer(x["places"], np.int32)]]
-                        np.add.at(near, np.maximum(p - (WINDOW - BLOCK), w.at[i]), 1)
-                        np.add.at(near, p + 1, -1)
-                whole, start = windows(h, w.at, WINDOW)
-                use = np.cumsum(near)[start] > 0
-                whole, start = whole[use], start[use]
-                if len(whole):
-                    doc = np.searchsorted(w.at, start, "right") - 1
-                    ids = part.column("doc_id").to_numpy()
-                    yield _deal(_buckets(whole, buckets), buckets, doc, ids, whole, np.zeros(len(whole), bool), (start - w.at[doc]).astype(np.int32))
+        for pack, answers, ids, texts in _met(batches):
+            if 1 not in answers:
+                continue
+            own = Pack(ids, texts)
+            order, first, bucket, a, b, _, doc = _windows(own, answers[1], buckets)
+            if len(order):
+                low, one = np.minimum.reduceat(own.ids[doc][order], first), order[first]
+                yield _rows(pack, bucket[one], hashes=a[one], others=b[one], lows=low)
 
     return run
 
 
-def _cover(w: Words, repeats: pa.Array) -> np.ndarray:
-    """Words of the texts that lie in a repeated window."""
-    cover = np.zeros(len(w.starts) + 1, np.int32)
-    for i, places in enumerate(repeats):
-        for x in places.as_py() or ():
-            start = w.at[i] + np.frombuffer(x["places"], np.int32)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + WINDOW, -1)
-    return np.cumsum(cover[:-1]) > 0
+def _removed(buckets: int):
+    """The result of every row of a pack."""
 
+    def run(batches):
+        for _, answers, ids, texts in _met(batches):
+            batch = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
+            gone = None
+            if 1 in answers:
+                own = Pack(ids, texts)
+                gone = _cover(own, answers, buckets)
+            at = 0
+            for part in pieces(batch, "text"):
+                w = Words(part.column("text"))
+                n = len(w.starts)
+                lost = gone[at : at + n] if gone is not None else np.zeros(n, bool)
+                at += n
+                sums = np.concatenate([[0], np.cumsum(lost)])
+                shas = [sha256(x).hexdigest() for x in w.kept(~lost)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(w.at), pa.int64()), pa.array(np.diff(sums[w.at]), pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-def _removed(batches):
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            w = Words(part.column("text"))
-            gone = _cover(w, part.column("repeats"))
-            sums = np.concatenate([[0], np.cumsum(gone)])
-            kept = [bytes(x) for x in w.kept(~gone)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(w.at), pa.int64()), pa.array(np.diff(sums[w.at]), pa.int64()), pa.array([sha256(x).hexdigest() for x in kept])],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-            )
+    return run
+
+
+def _cover(own: Pack, answers: dict[int, list], buckets: int) -> np.ndarray:
+    """Words that lie in a window that starts in a smaller document, too."""
+    order, first, bucket, _, _, start, doc = _windows(own, answers[1], buckets)
+    cover = np.zeros(len(own.h) + 1, np.int32)
+    if len(order):
+        size = np.diff(np.append(first, len(order)))
+        keys = bucket[order][first] << np.uint64(32)
+        other, low = np.zeros(len(first), bool), np.minimum.reduceat(own.ids[doc][order], first)
+        for b, places in answers.get(2, ()):
+            other[np.searchsorted(keys, np.uint64(b) << np.uint64(32)) + np.frombuffer(places, np.uint32)] = True
+        repeated = np.repeat(other, size) | (own.ids[doc][order] > np.repeat(low, size))
+        s = start[order][repeated]
+        np.add.at(cover, s, 1)
+        np.add.at(cover, s + WINDOW, -1)
+    return np.cumsum(cover[:-1]) > 0
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,26 +279,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = scratch.cut(docs.mapInArrow(_info, "doc_id long, n_words long, sha string"), "info")
-    first = info.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = scratch.cut(info.join(first, "sha").where("doc_id > first").select("doc_id").distinct(), "copies")
-
-    buckets = max(LEAST_BUCKETS, (info.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS + 1)
-    known = docs.where("doc_id is not null")
-    hits = _answers(known.mapInArrow(_anchors(buckets), MESSAGE), np.uint32, True, buckets)
-    hits = scratch.cut(hits.join(copies, "doc_id", "left_anti"), "hits")
-    found = _answers(known.join(hits, "doc_id").mapInArrow(_candidates(buckets), MESSAGE), np.uint64, False, buckets)
-    found = scratch.cut(found, "repeats").withColumnRenamed("hits", "repeats")
-    cut = scratch.cut(known.join(found, "doc_id").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "removed")
-    cut = cut.withColumnRenamed("n_words", "n")
-    gone = copies.withColumn("copy", F.lit(True))
-    return (
-        info.join(gone, "doc_id", "left")
-        .join(cut.dropDuplicates(["doc_id"]).drop("n"), "doc_id", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-            F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        )
-    )
+    packs = scratch.cut(docs.mapInArrow(_packs(PACK), PACKED).withColumn("pack", F.monotonically_increasing_id()), "packs", large_rows=True)
+    size = packs.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0)))).alias("bytes"), F.count("*").alias("packs")).first()
+    buckets, tasks = (size["bytes"] or 0) // BUCKET + 1, size["packs"] // PACKS + 1
+
+    def together(*answers: DataFrame) -> DataFrame:
+        """Packs after their answers, dealt evenly to tasks."""
+        rows = packs.select("pack", F.lit(9).alias("step"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("places"), "ids", "texts")
+        for a in answers:
+            rows = rows.unionByName(a, allowMissingColumns=True)
+        return rows.repartitionById(tasks, F.pmod(F.xxhash64("pack"), F.lit(tasks)).cast("int")).sortWithinPartitions("pack", "step")
+
+    def asked(messages: DataFrame, answer, name: str) -> DataFrame:
+        return scratch.cut(messages.repartitionById(buckets, "bucket").mapInArrow(answer, ANSWER), name)
+
+    with small_batches(spark, 4):  # a pack's row has megabytes
+        hits = asked(packs.mapInArrow(_anchors(buckets), "pack long, bucket int, hashes binary, flags binary"), _hits, "hits")
+        found = asked(together(hits).mapInArrow(_candidates(buckets), "pack long, bucket int, hashes binary, others binary, lows binary"), _repeats, "repeats")
+        out = scratch.cut(together(hits, found).mapInArrow(_removed(buckets), RESULT), "removed")
+    scratch.drop(packs, hits, found)
+    return out

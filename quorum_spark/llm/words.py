@@ -77,13 +77,14 @@ class Words:
     def __len__(self) -> int:
         return len(self.off) - 1
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, base: np.uint64 = BASE) -> np.ndarray:
+        """A hash of each word; another base gives another one."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         lens = self.ends - self.starts
         begin = np.zeros(len(lens), np.int64)
         np.cumsum(lens[:-1], out=begin[1:])
-        powers = np.multiply.accumulate(np.full(int(lens.max()), BASE, np.uint64))
+        powers = np.multiply.accumulate(np.full(int(lens.max()), base, np.uint64))
         place = np.arange(int(lens.sum())) - np.repeat(begin, lens)
         values = (self.buf[~self.space].astype(np.uint64) + np.uint64(1)) * powers[place]
         return mix(np.add.reduceat(values, begin) ^ (lens.astype(np.uint64) << np.uint64(48)))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -68,17 +69,18 @@ def brute_near(rows):
 
 
 def brute_repeats(rows):
+    """How often each result row is due."""
     first = {}
-    for i, text in sorted(rows):
+    for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         w = words(text)
         for k in range(len(w) - 12):
             first.setdefault(tuple(w[k : k + 13]), i)
-    out = set()
+    out = Counter()
     for i, text in rows:
         w = words(text)
-        gone = {k + d for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for d in range(13)}
+        gone = {k + d for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for d in range(13)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        out.add((i, len(w), len(gone), sha256(kept.encode()).hexdigest()))
+        out[i, len(w), len(gone), sha256(kept.encode()).hexdigest()] += 1
     return out
 
 
@@ -107,9 +109,24 @@ def test_near_duplicates_of_repeated_and_null_rows(spark):
 
 
 def test_substring(spark, rows):
+    assert Counter(tuple(r) for r in substring.substring_dedup(frame(spark, rows)).collect()) == brute_repeats(rows)
+
+
+def test_substring_of_repeated_ids_with_different_words(spark):
+    rng = random.Random(9)
+    a = " ".join(rng.choices([f"w{i}" for i in range(300)], k=60))
+    rows = [(1, a), (2, "zz " * 30 + a), (2, "x " * 14), (2, "short text here"), (2, a), (2, a), (3, "x " * 14 + "y"), (3, a + " " + a), (None, a), (None, None)]
     got = substring.substring_dedup(frame(spark, rows)).collect()
-    assert {tuple(r) for r in got} == brute_repeats(rows)
-    assert len(got) == len(rows)
+    assert Counter(tuple(r) for r in got) == brute_repeats(rows)
+
+
+def test_substring_in_many_packs(spark, rows, monkeypatch):
+    """Small packs and many buckets give the same rows as one of each."""
+    monkeypatch.setattr(substring, "PACK", 3000)
+    monkeypatch.setattr(substring, "BUCKET", 5000)
+    hot = " ".join(f"hot{i}" for i in range(30))
+    more = rows + [(5000 - i, f"own{i} {hot} end{i}") for i in range(200)] + [(9000 + i, hot) for i in range(100)]
+    assert Counter(tuple(r) for r in substring.substring_dedup(frame(spark, more)).collect()) == brute_repeats(more)
 
 
 @pytest.mark.parametrize("f", [minhash.near_duplicates, substring.substring_dedup])
