@@ -62,8 +62,21 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def put(self, content: bytes, name: str) -> str:
+        """Writes a small file and returns its path."""
+        path, files = self._path(f"{self.root}/{name}")
+        out = files.create(path)
+        try:
+            out.write(content)
+        finally:
+            out.close()
+        return path.toString()
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(table._scratch_path)
+            files.delete(path, True)
+
+    def _path(self, name: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
