@@ -1,9 +1,10 @@
 """BPE encoding and decoding with a lexicon of frequent words compiled into a minimal acyclic transducer.
 
 Words are counted over all documents. The most frequent ones, with the ids that the merges give them, are compiled into an
-automaton whose equal suffixes are shared; numbers on its edges add up to a word's rank, which leads to its ids. The
-automaton is one array file that Spark hands to every executor, where it is memory-mapped. New words of a batch walk
-through it together; words that it doesn't hold are merged exactly.
+automaton whose equal suffixes are shared; numbers on its edges add up to a word's rank, which leads to its ids. Which words
+are frequent enough follows from a histogram of the counts, so no more than LEXICON words come to the driver. The
+automaton is one array file in the shared folder that Spark hands to every executor, where it is memory-mapped. New words of
+a batch walk through it together; words that it doesn't hold are merged exactly. Texts are decoded from their ids.
 
 The results equal the tokenizers library's for a vocabulary with the normalizers NFC, white space and lower case, a split
 into words, byte-level letters, and word-end suffixes. Special tokens in a text are found before anything else.
@@ -14,11 +15,10 @@ columns don't matter. LEXICON and MEMO bound sizes and never change a result.
 
 from __future__ import annotations
 
+import io
 import json
 import re
-import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
@@ -27,16 +27,19 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.operators.scratch import arrow_rows
+from quorum_spark.operators.scratch import Scratch, arrow_rows
 from quorum_spark.llm.words import pieces
 
 #: Words of the lexicon, words that a worker remembers, and words that it counts before it hands on their counts.
 LEXICON, MEMO, COUNTED = 1 << 16, 400_000, 250_000
+#: Steps of the histogram of counts for each doubling.
+STEPS = 64
 #: Letters from which a word's pairs wait in a heap.
 LONG = 256
 
@@ -206,12 +209,11 @@ _OPEN: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A vocabulary, its transducer, and what a worker remembers of words: their ids and their tokens, joined by one space."""
+    """A vocabulary, its transducer, and what a worker remembers of words: their ids, joined by one space."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer = vocabulary, transducer
         self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
 
     @staticmethod
     def of(content: str, name: str) -> Encoder:
@@ -221,27 +223,41 @@ class Encoder:
         return _OPEN[name]
 
     def learn(self, new: list[str]) -> None:
-        text, token = self.vocabulary.numbers, self.vocabulary.tokens
+        text = self.vocabulary.numbers
         for w, ids in zip(new, self.transducer.look_up([w.encode() for w in new]), strict=True):
             if ids is None or w in self.vocabulary.special:
                 ids = self.vocabulary.merge(w)
             self.ids[w] = " ".join([text[i] for i in ids])
-            self.tokens[w] = " ".join([token[i] for i in ids])
 
-    def encode(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
-        """For each text its ids and its decoded text, both joined by one space, and the number of ids."""
+    def encode(self, texts: list[str | None]) -> list[str]:
+        """For each text its ids, joined by one space."""
         split = [self.vocabulary.words(text or "") for text in texts]
         new = set().union(*split).difference(self.ids)
         if len(self.ids) + len(new) > MEMO:
             self.ids.clear()
-            self.tokens.clear()
             new = set().union(*split)
         self.learn(list(new))
-        out = []
-        for words in split:
-            ids = " ".join([self.ids[w] for w in words])
-            out.append((ids, ids.count(" ") + 1 if words else 0, " ".join([self.tokens[w] for w in words])))
-        return out
+        return [" ".join([self.ids[w] for w in words]) for words in split]
+
+
+class Decoder:
+    """Ids to text: their tokens, joined by one space. Ids that the vocabulary lacks and null ones are left out."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        names = [vocabulary.tokens.get(i) for i in range(max(vocabulary.tokens) + 1)]
+        self.tokens = pa.array(names, pa.large_string())
+
+    def decode(self, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
+        """The text of each list. ids: those of all lists; offsets: where each list begins, and the end."""
+        ids = pc.if_else(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(self.tokens))), ids, None)
+        tokens = self.tokens.take(ids)
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), tokens)
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())) if not tokens.null_count else self._known(tokens, offsets)
+
+    def _known(self, tokens: pa.Array, offsets: np.ndarray) -> pa.Array:
+        some = np.asarray(tokens.is_valid())
+        left = np.concatenate([[0], np.cumsum(some)])[offsets]
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(left, pa.int64()), tokens.drop_null()), pa.scalar(" ", pa.large_string()))
 
 
 def _counts(shared):
@@ -264,40 +280,84 @@ def _counts(shared):
     return run
 
 
-def lexicon(docs: DataFrame, vocabulary: Vocabulary, content) -> np.ndarray:
+def lexicon(docs: DataFrame, vocabulary: Vocabulary, content, scratch: Scratch) -> np.ndarray:
+    """The transducer of the most frequent words, LEXICON at most."""
     counts = docs.select("text").mapInArrow(_counts(content), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect()
-    return compile_lexicon({r["word"].encode(): vocabulary.merge(r["word"]) for r in top if r["word"] not in vocabulary.special})
+    counts = scratch.cut(counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "counts")
+    steps = counts.groupBy("step").count().orderBy(F.desc("step")).collect()  # some thousands at most, whatever the input
+    room, least = LEXICON, None
+    for r in steps:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = counts.where(F.col("step") >= least).select("word").toArrow()["word"].to_pylist() if least is not None else []
+    scratch.drop(counts)
+    return compile_lexicon({w.encode(): vocabulary.merge(w) for w in top if w not in vocabulary.special})
 
 
 def _encode(shared, name, digest):
     def run(batches):
         encoder = Encoder.of(shared.value, name)
+        decoder = Decoder(encoder.vocabulary)
         for batch in (part for whole in batches for part in pieces(whole, "text")):
-            rows = encoder.encode(batch.column("text").to_pylist())
+            texts = encoder.encode(batch.column("text").to_pylist())
+            flat, offsets = _numbers(texts)
+            rest = [batch.column(k) for k in range(batch.num_columns - 1)]
             if digest:
                 hexed = lambda s: sha256(s.encode()).hexdigest()
-                cols = {"n_tokens": pa.array([n for _, n, _ in rows], pa.int64()), "ids_sha256": pa.array([hexed(i) for i, _, _ in rows]), "decoded_sha256": pa.array([hexed(d) for _, _, d in rows])}
+                decoded = decoder.decode(flat, offsets).to_pylist()
+                cols = {"n_tokens": pa.array(np.diff(offsets), pa.int64()), "ids_sha256": pa.array([hexed(i) for i in texts], pa.string()), "decoded_sha256": pa.array([hexed(d) for d in decoded], pa.string())}
             else:
-                cols = {"ids": pa.array([[int(x) for x in i.split()] for i, _, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([d for _, _, d in rows])}
-            rest = [batch.column(k) for k in range(batch.num_columns - 1)]
+                cols = {"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)}
             yield pa.RecordBatch.from_arrays([*rest, *cols.values()], names=[*batch.schema.names[:-1], *cols])
 
     return run
 
 
+def _numbers(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The numbers of all texts, and where each text's begin."""
+    counts = [t.count(" ") + 1 if t else 0 for t in texts]
+    flat = np.fromstring(" ".join([t for t in texts if t]), np.int32, sep=" ") if any(counts) else np.zeros(0, np.int32)
+    return pa.array(flat, pa.int32()), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _schema(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+
 def encode(docs: DataFrame, path: str, digest: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' columns in keep, with ids and decoded text, or with digest: n_tokens, ids_sha256, decoded_sha256. path: of the tokenizer's file."""
+    """docs' columns in keep, with ids, or with digest: n_tokens, ids_sha256, decoded_sha256. path: of the tokenizer's file."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    scratch = Scratch(spark, "bpe")
     content = Path(path).read_text()
     shared = spark.sparkContext.broadcast(content)
-    name = f"lexicon-{uuid.uuid4().hex}.npy"
-    file = f"{tempfile.mkdtemp(prefix='quorum-')}/{name}"
-    np.save(file, lexicon(docs, Vocabulary(content), shared))
-    spark.sparkContext.addFile(file)
+    file = io.BytesIO()
+    np.save(file, lexicon(docs, Vocabulary(content), shared, scratch))
+    name = f"{scratch.root.rpartition('/')[2]}.npy"
+    spark.sparkContext.addFile(scratch.put(file.getvalue(), name))
     rows = docs.select(*keep, F.col("text").alias("text"))
-    kept = docs.select(*keep)
-    more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return rows.mapInArrow(_encode(shared, name, digest), f"{schema}, {more}")
+    more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
+    return rows.mapInArrow(_encode(shared, name, digest), f"{_schema(docs.select(*keep))}, {more}")
+
+
+def _decode(shared, name):
+    def run(batches):
+        decoder = Decoder(Vocabulary(shared.value))
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(name))
+            lists = ids.cast(pa.list_(pa.int32())).fill_null([])
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            text = decoder.decode(lists.values[offsets[0] : offsets[-1]], offsets - offsets[0])
+            rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != name]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), text.cast(pa.string())], names=[*(n for n, _ in rest), "decoded"])
+
+    return run
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """rows with a column decoded in place of ids: each list's tokens as text. A null list is an empty text. path: of the tokenizer's file."""
+    arrow_rows(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(Path(path).read_text())
+    rest = rows.drop("decoded").select(*[c for c in rows.columns if c not in (ids, "decoded")], ids)
+    return rest.mapInArrow(_decode(shared, ids), f"{_schema(rest.drop(ids))}{', ' if len(rest.columns) > 1 else ''}decoded string")

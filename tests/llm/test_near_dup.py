@@ -134,37 +134,54 @@ def test_empty_table(spark, f):
     assert f(frame(spark, [])).collect() == []
 
 
-def test_embeddings(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    base = rng.standard_normal((60, 16))
-    rows = [(i, (base[i % 60] + (rng.standard_normal(16) * 0.12 if i > 90 else 0)).tolist(), i % 3 if i % 7 else None, "z") for i in range(260)]
-    rows += [(900, None, 1, "z"), (901, [0.0] * 16, 1, "z"), (902, [1.0, None], 1, "z"), (903, [float("nan"), 1.0], 1, "z"), (904, [1.0, 2.0], 1, "z"), (905, [2.0, 4.0], 1, "z"), (906, [], 1, "z"), (907, [float("inf"), 1.0], 1, "z")]
-    got = embedding.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")).collect()
+def brute_vectors(rows):
+    """How often each result row is due. rows: vec_id, embedding, label."""
 
     def ok(v):
         return v and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
-    near = {i: set() for i, *_ in rows}
-    for a in rows:
-        for b in rows:
-            if a[0] != b[0] and a[2] is not None and a[2] == b[2] and ok(a[1]) and ok(b[1]) and len(a[1]) == len(b[1]):
-                x, y = np.array(a[1]), np.array(b[1])
-                if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.98:
-                    near[a[0]].add(b[0])
-    comp = {}
-    for i in sorted(near):
+    links, near = Counter(), {i: set() for i, *_ in rows}
+    for k, (i, a, x) in enumerate(rows):
+        for m, (j, b, y) in enumerate(rows):
+            if k != m and None not in (i, j, x) and x == y and ok(a) and ok(b) and len(a) == len(b):
+                v, w = np.array(a), np.array(b)
+                if v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.98:
+                    links[i] += 1
+                    near[i].add(j)
+    comp = {None: None}
+    for i in sorted(x for x in near if x is not None):
         todo = [i]
         while todo:
             x = todo.pop()
             if x not in comp:
                 comp[x] = i
                 todo += near[x]
-    assert {tuple(r) for r in got} == {(i, len(near[i]), comp[i], comp[i] == i) for i in near}
+    return Counter((i, links[i], comp[i], comp[i] == i) for i, *_ in rows)
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_embeddings(spark, block):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((60, 16))
+    rows = [(i, (base[i % 60] + (rng.standard_normal(16) * 0.12 if i > 90 else 0)).tolist(), i % 3 if i % 7 else None, "z") for i in range(260)]
+    rows += [(900, None, 1, "z"), (901, [0.0] * 16, 1, "z"), (902, [1.0, None], 1, "z"), (903, [float("nan"), 1.0], 1, "z"), (904, [1.0, 2.0], 1, "z"), (905, [2.0, 4.0], 1, "z"), (906, [], 1, "z"), (907, [float("inf"), 1.0], 1, "z")]
+    got = embedding.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string"), block).collect()
+    assert Counter(tuple(r) for r in got) == brute_vectors([r[:3] for r in rows])
     assert embedding.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).collect() == []
 
 
+def test_embeddings_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    v, w, x = (rng.standard_normal(16) for _ in range(3))
+    near = lambda a: (a + rng.standard_normal(16) * 0.01).tolist()
+    rows = [(1, v.tolist(), 0), (2, near(v), 0), (1, v.tolist(), 1), (3, near(v), 1)]
+    got = {tuple(r) for r in embedding.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False)}
+    rows += [(7, w.tolist(), 0), (7, w.tolist(), 0), (8, near(w), 0), (7, x.tolist(), 0), (9, near(x), 0), (7, None, 0), (4, near(x), None), (None, v.tolist(), 0), (None, None, None)]
+    got = embedding.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 2).collect()
+    assert Counter(tuple(r) for r in got) == brute_vectors(rows)
+
+
 def test_blocks_of_long_lists_find_every_component(spark, monkeypatch):
     """Sets around the threshold, in two lists of several blocks, give the components of all pairs' exact similarities."""
     monkeypatch.setattr(minhash, "BLOCK", 4000)

@@ -7,6 +7,7 @@ from hashlib import sha256
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -93,8 +94,30 @@ def test_bpe_equals_the_library(spark):
         assert got[i].ids_sha256 == sha256(" ".join(map(str, ids)).encode()).hexdigest(), t
         assert got[i].decoded_sha256 == sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), t
     assert bpe.encode(docs.limit(0), PATH).collect() == []
-    whole = {r.doc_id: r.ids for r in bpe.encode(docs, PATH).collect()}
-    assert whole[4] == library.encode("x", add_special_tokens=False).ids
+    whole = bpe.encode(docs, PATH)
+    assert {r.doc_id: r.ids for r in whole.collect()} == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    text = {r.doc_id: r.decoded for r in bpe.decode(whole.withColumn("decoded", F.lit(1)), PATH).collect()}
+    assert text == {i: library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t in enumerate(texts)}
+
+
+def test_bpe_decodes_null_lists_and_unknown_ids(spark):
+    rows = spark.createDataFrame([(1, [320, None, 10**8, -1, 320]), (2, None), (3, []), (4, [None])], "doc_id long, ids array<int>")
+    token = bpe.Vocabulary(open(PATH).read()).tokens[320]
+    assert {r.doc_id: r.decoded for r in bpe.decode(rows, PATH).collect()} == {1: f"{token} {token}", 2: "", 3: "", 4: ""}
+    assert [r.decoded for r in bpe.decode(rows.select("ids").where("doc_id = 2"), PATH).collect()] == [""]
+
+
+def test_bpe_lexicon_is_bounded(spark, monkeypatch):
+    """Words that would not fit are left out, and results don't change."""
+    docs = spark.createDataFrame([(i, "aa bb cc dd " * (i % 3) + "ee " * i) for i in range(20)], "doc_id long, text string")
+    whole = {tuple(r) for r in bpe.encode(docs, PATH, digest=True).collect()}
+    seen = []
+    compiled = bpe.compile_lexicon
+    monkeypatch.setattr(bpe, "compile_lexicon", lambda entries: seen.append(set(entries)) or compiled(entries))
+    for most, words in ((3, {b"ee"}), (5, {b"aa", b"bb", b"cc", b"dd", b"ee"}), (0, set())):
+        monkeypatch.setattr(bpe, "LEXICON", most)
+        assert {tuple(r) for r in bpe.encode(docs, PATH, digest=True).collect()} == whole
+        assert seen[-1] == words
 
 
 def test_bpe_merges_very_long_words():
