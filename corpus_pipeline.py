@@ -55,9 +55,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens."""
-    out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
-    return out.drop("decoded").withColumn("n_tokens", F.size("ids").cast("long"))
+    """doc_id, lang, source, ids, n_tokens, decoded_sha256 (of what the ids decode to)."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "lang", "source")), path)
+    return out.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("decoded")
 
 
 STAGES = [

@@ -345,19 +345,17 @@ def _decode(shared, name):
     def run(batches):
         decoder = Decoder(Vocabulary(shared.value))
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(name))
-            lists = ids.cast(pa.list_(pa.int32())).fill_null([])
+            lists = batch.column(batch.schema.get_field_index(name)).cast(pa.list_(pa.int32())).fill_null([])
             offsets = lists.offsets.to_numpy().astype(np.int64)
             text = decoder.decode(lists.values[offsets[0] : offsets[-1]], offsets - offsets[0])
-            rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != name]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), text.cast(pa.string())], names=[*(n for n, _ in rest), "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """rows with a column decoded in place of ids: each list's tokens as text. A null list is an empty text. path: of the tokenizer's file."""
+    """rows with a column decoded: the text of each list in ids, empty for a null one. path: of the tokenizer's file."""
     arrow_rows(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(Path(path).read_text())
-    rest = rows.drop("decoded").select(*[c for c in rows.columns if c not in (ids, "decoded")], ids)
-    return rest.mapInArrow(_decode(shared, ids), f"{_schema(rest.drop(ids))}{', ' if len(rest.columns) > 1 else ''}decoded string")
+    rows = rows.drop("decoded")
+    return rows.mapInArrow(_decode(shared, ids), f"{_schema(rows)}, decoded string")
