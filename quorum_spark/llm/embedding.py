@@ -11,7 +11,7 @@ themselves are never emitted.
 
 Equal vectors of a label are one node, so copies cost nothing. The axes are fitted on at most SAMPLE vectors and only steer
 what can be skipped; any axes give the same links. Vectors that are null, zero or hold null or non-finite components link
-with nothing, and so do rows whose label is null. Vectors of different length don't link. Rows that repeat a vec_id, with equal
+with nothing, and so do rows whose label or vec_id is null. Vectors of different length don't link. Rows that repeat a vec_id, with equal
 or different labels and vectors, are other vectors of that id: the id has the links of all its rows, what any of them leads
 to is in its component, and each of its rows gets that answer. Extra columns are ignored.
 """
@@ -223,7 +223,8 @@ def near_embeddings(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     known = classes.select("label", "set_key", "node", "rep", "size").join(counts, "node", "left")
     links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))
-    rows = scratch.cut(nodes.select("vec_id", "label", "set_key").join(known, ["label", "set_key"], "left").select("vec_id", "rep", links.cast("long").alias("n")), "rows")
+    keyed = nodes.select("vec_id", "label", F.when(F.col("vec_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    rows = scratch.cut(keyed.join(known, ["label", "set_key"], "left").select("vec_id", "rep", links.cast("long").alias("n")), "rows")
     ids = rows.groupBy("vec_id").agg(F.sum("n").alias("n_links"), F.min("rep").alias("rep"), F.max("rep").alias("other"))
     ids = scratch.cut(ids, "ids")
     several = rows.join(ids.where("rep <> other").select("vec_id"), "vec_id", "left_semi").where("rep is not null")

@@ -4,7 +4,8 @@ Every language has a codeword; for every bit a logistic classifier on hashed cou
 Decoding sums each bit's logistic loss, weighted by how reliable that bit was in training, and chooses the nearest
 codeword; where the second comes close, `ambiguous` is set.
 
-Training takes at most SAMPLE rows (by hash of their ids) to the driver; a language that is in none of them isn't learned.
+Training takes about SAMPLE rows (by hash of their ids), dealt evenly to the languages, to one task; a language with fewer
+rows than its share has all of them in it.
 The model has a fixed size for a number of languages and is broadcast. Texts that are null or hold no letter get `und`
 and score 0; so does every text when nothing could be learned. Rows are answered one by one, so repeated rows and extra
 columns don't matter; equal distances go to the language that comes first by name.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.llm.learning import remainder, sample, sigmoid
+from quorum_spark.llm.learning import counts_of, fitted, remainder, sample, sigmoid
 from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import mix, pieces, raw
 
@@ -140,7 +141,8 @@ def identify(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     known = docs.where("doc_id is not null and lang is not null").where(remainder("doc_id", 4) != 2).select("doc_id", "lang")
-    rows = sample(known, docs.select("doc_id", "text"), "lang", SAMPLE)
-    model = Model(rows) if len(rows) else None
+    counts = counts_of(known, "lang")
+    rows = sample(known, docs.select("doc_id", "text"), "lang", counts, dict.fromkeys(counts, SAMPLE / max(1, len(counts))))
+    model = fitted(rows, Model, "doc_id", "lang")
     out = docs.select("doc_id", "text").mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")

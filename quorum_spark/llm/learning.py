@@ -1,33 +1,56 @@
-"""Bounded training samples, and small parts that the classifiers share."""
+"""Bounded training samples, fits in a task, and small parts that the classifiers share."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_CUTS = 1 << 40
+
 
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo a number."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def sample(rows: DataFrame, docs: DataFrame, target: str, most: int) -> pd.DataFrame:
-    """At most `most` of (doc_id, target), the same whatever the partitioning, joined with their whole texts, in the driver.
+def counts_of(rows: DataFrame, target: str) -> dict:
+    """How many rows have each value of target. It has few."""
+    return {r[0]: r[1] for r in rows.where(F.col(target).isNotNull()).groupBy(target).count().collect()}
+
 
-    The ids are picked by their hash before any text is read, so a broadcast of `most` ids meets the texts.
+def sample(rows: DataFrame, docs: DataFrame, target: str, counts: dict, most: dict) -> DataFrame:
+    """About most[v] of the rows (doc_id, target) for each value v, the same whatever the partitioning, with their documents' columns.
+
+    Ids are picked by their hash before any text is read, so no rows are gathered to choose among them, and a broadcast of the
+    ids meets the texts. Of documents that repeat an id one counts. counts: how many rows each value has.
     """
-    ids = rows.select("doc_id", target).orderBy(F.xxhash64("doc_id"), "doc_id", target).limit(most)
-    out = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", target).toPandas()
-    return out.sort_values(["doc_id", target], kind="stable").reset_index(drop=True)
+    share = F.lit(0)
+    for v, n in counts.items():
+        share = F.when(F.col(target) == v, int(_CUTS * min(1, most.get(v, 0) / max(n, 1)))).otherwise(share)
+    ids = rows.select("doc_id", target).where(F.pmod(F.xxhash64("doc_id"), F.lit(_CUTS)) < share).distinct()
+    own = docs.join(F.broadcast(ids), "doc_id")
+    rest = [c for c in docs.columns if c not in ("doc_id", target)]
+    one = own.groupBy("doc_id", target).agg(F.min(F.struct(F.xxhash64("text").alias("_order"), *rest)).alias("d"))
+    return one.select("doc_id", target, *[F.col(f"d.{c}").alias(c) for c in rest])
+
+
+def fitted(rows: DataFrame, train: Callable[[pd.DataFrame], object], *order: str):
+    """What train makes of a bounded sample, None if it is empty. One task holds it, so neither texts nor the fit weigh on the driver."""
 
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held).to_pandas().sort_values(list(order), kind="stable").reset_index(drop=True)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table))], pa.binary())], names=["model"])
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, most: tuple[int, int]) -> pd.DataFrame:
-    """A sample of up to most[0] rows labelled 0 and most[1] labelled 1, none of them held out."""
-    rows = labels.where(F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held))
-    parts = [sample(rows.where(F.col(target) == y), docs, target, n) for y, n in enumerate(most)]
-    return pd.concat(parts, ignore_index=True)
+    out = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(out[0]["model"]) if out else None
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -16,7 +16,8 @@ How it keeps to size:
   is decided in the first of the long lists that it shares.
 
 The values t (30 of 64; 48 expected, deviation 3.5) and the margins below the threshold at which estimates drop a pair
-(over four deviations) are the only inexact steps; sets of up to 48 shingles are treated exactly.
+(five deviations) are the only inexact steps; sets that a sketch holds whole are treated exactly. RECALL
+`retained` sets k: with k no smaller than the largest set every step is exact, at the cost of lists of whole sets.
 
 Null text, empty text and text without words have size 0 and link with nothing. Repeated rows are answered one by one; a
 null id is its own component. Extra columns are ignored.
@@ -34,36 +35,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorum_spark.operators.graph import components
-from quorum_spark.operators.scratch import ARROW_ROWS, Scratch, arrow_rows
+from quorum_spark.operators.scratch import Scratch, small_batches
 from quorum_spark.llm.words import Words, pieces, shingle_sets
 
-SHINGLE, RETAINED, OVERLAP, PERCENT = 5, 64, 30, 75
-#: Sets of up to this size have similar sets that are retained whole.
-WHOLE = RETAINED * PERCENT // 100
+SHINGLE, RETAINED, PERCENT = 5, 64, 75
+#: Deviations that an overlap or an estimate may fall short of what is expected at the threshold.
+LISTED, MARGIN = 5.2, 5
 #: Orders in which a list's later leaders are the smallest; several, so that documents of a group meet several leaders.
 ORDERS = (0x0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999, 0x3C3C3C3C3C3C3C3C)
 ROUNDS = 2
-#: Lists of more members are compared in blocks of about BLOCK values (a megabyte), first by the HEAD smallest values of each
-#: full set; sets of up to HEAD values are decided by that, others may fall MARGIN * sqrt(HEAD) values (4.6 deviations)
-#: short of what is expected.
-SHORT, BLOCK, HEAD, MARGIN = 32, 1 << 17, 256, 2
+#: Lists of more members are compared in blocks of about BLOCK values (a megabyte), where sketches have HEAD values.
+SHORT, BLOCK, HEAD = 32, 1 << 17, 256
 
 
-def _sketch(batches):
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            sets = list(shingle_sets(Words(part.column("text"), lower=True), SHINGLE))
-            kept = [s[:RETAINED] for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept), pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "set_key", "sketch"],
-            )
+def _spread(k: int) -> float:
+    """The deviation of a similarity at the threshold that k values estimate."""
+    return math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / k)
+
+
+def _sketch(k: int):
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                sets = list(shingle_sets(Words(part.column("text"), lower=True), SHINGLE))
+                kept = [s[:k] for s in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept), pa.int64())),
+                    ],
+                    names=["doc_id", "n_shingles", "set_key", "sketch"],
+                )
+
+    return run
 
 
 def _full(batches):
@@ -95,47 +102,51 @@ def _alike(n: str, m: str):
     return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest document that similar pairs lead to), kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", retained: int = RETAINED) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest document that similar pairs lead to), kept. retained: values of a sketch."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = scratch.cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sketch array<bigint>"), "sketches")
+    sketched = scratch.cut(docs.mapInArrow(_sketch(retained), "doc_id long, n_shingles long, set_key binary, sketch array<bigint>"), "sketches")
     classes = scratch.cut(sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketched.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("k")), "doc_id").where("set_key = k")
     reps = scratch.cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "reps")
 
-    lists = scratch.cut(_lists(reps), "lists")
+    lists = scratch.cut(_lists(reps, retained), "lists")
     several = lists.groupBy("value").count().where("count > 1").select("value")
     listed = scratch.cut(lists.join(several, "value"), "several")
-    scratch.drop(lists)
     needed = listed.select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_full, "doc_id long, shingles binary")
-    sets = scratch.cut(sets, "sets").select(F.col("doc_id").alias("rep"), "shingles")
+    sets = scratch.cut(sets, "sets")
 
-    links, tried = None, None
+    links, tried, done = None, None, [lists, listed, sets]
     comp = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    values = sets.select(F.col("doc_id").alias("rep"), "shingles")
     for turn in range(ROUNDS + 1):
         members = listed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
             "value", "rep", "n", "centre", F.coalesce("component", "rep").alias("c")
         )
         members = scratch.cut(members, "members")
+        done.append(members)
         found = []
         if turn == ROUNDS:
             members = _mixed(members, scratch)
-            found.append(_in_blocks(members, sets, scratch))
+            found.append(_in_blocks(members, values, scratch, max(HEAD, retained)))
+            done.append(members)
         pairs = _leaders(members, turn) if turn < ROUNDS else _few(members)
         pairs = pairs.where(_alike("nu", "nv")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = scratch.cut(pairs, "pairs")
+        done.append(pairs)
         if not pairs.isEmpty():
             tried = pairs if tried is None else tried.union(pairs)
-            found.append(scratch.cut(_confirmed(_estimated(pairs, reps), sets), "links"))
+            found.append(scratch.cut(_confirmed(_estimated(pairs, reps, retained), values), "links"))
         for new in found:
             links = new if links is None else links.union(new)
         if found:
             comp = components(links, scratch)
+    scratch.drop(*done)
     out = sketched.join(classes, "set_key", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select(
@@ -143,18 +154,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _lists(reps: DataFrame) -> DataFrame:
+def _lists(reps: DataFrame, k: int) -> DataFrame:
     """(value, rep, n, centre): every document under its rarest retained values, as many as any pair of the least overlap needs. centre: how often documents have its retained values."""
     postings = reps.select("rep", "n", F.explode("sketch").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("rep")
-    least = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100)).otherwise(OVERLAP)
+    # sets of up to PERCENT of k have similar sets that are retained whole
+    least = F.when(F.col("n") <= k * PERCENT // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(math.floor(k * (PERCENT / 100 - LISTED * _spread(k))))
     ranked = postings.join(shared, "value").select(
         "value", "rep", "n", F.row_number().over(own.orderBy("df", "value")).alias("rank"), F.count("*").over(own).alias("shared"), F.sum("df").over(own).alias("centre")
     )
     # values of one document alone come first in the order and cannot meet
-    alone = F.least("n", F.lit(RETAINED)) - F.col("shared")
-    return ranked.where(F.col("rank") <= F.least("n", F.lit(RETAINED)) - least + 1 - alone).select("value", "rep", "n", "centre")
+    alone = F.least("n", F.lit(k)) - F.col("shared")
+    return ranked.where(F.col("rank") <= F.least("n", F.lit(k)) - least + 1 - alone).select("value", "rep", "n", "centre")
 
 
 def _leaders(members: DataFrame, turn: int) -> DataFrame:
@@ -188,8 +200,8 @@ def _few(mixed: DataFrame) -> DataFrame:
     return left.join(right, "value").where("c <> cv and (cv = main or u < v)").select("u", "v", "nu", "nv")
 
 
-def _in_blocks(mixed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links that join the components of longer lists.
+def _in_blocks(mixed: DataFrame, sets: DataFrame, scratch: Scratch, head: int = HEAD) -> DataFrame:
+    """Links that join the components of longer lists. head: values of a sketch here.
 
     A list's members are packed into blocks by a hash of the document; blocks of members outside the largest component
     are compared with all blocks.
@@ -201,34 +213,47 @@ def _in_blocks(mixed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
     packed = rows.groupBy("value", "block").agg(F.collect_list(F.struct("rep", "n", "c", "minor", "lists", "shingles")).alias("rows"))
     minor = packed.select("value", F.filter("rows", lambda r: r.minor).alias("left")).where("size(left) > 0")
     both = minor.join(packed.select("value", F.col("rows").alias("right")), "value")
-    spark = mixed.sparkSession
-    before = spark.conf.get(ARROW_ROWS)
-    arrow_rows(spark, 8)  # a row of two blocks has megabytes
-    links = scratch.cut(both.mapInArrow(_near, "u long, v long"), "dense")
-    spark.conf.set(ARROW_ROWS, before)
-    return links
+    with small_batches(mixed.sparkSession, 8):  # a row of two blocks has megabytes
+        return scratch.cut(both.mapInArrow(_near(head), "u long, v long"), "dense")
 
 
-def _near(batches):
-    """From two blocks of a list the similar pairs that join components, no more than there are components."""
-    for batch in batches:
-        for value, left, right in zip(batch.column("value").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
-            a, b = ({k: side.values.field(k) for k in ("rep", "n", "c", "minor", "lists", "shingles")} for side in (left, right))
-            (ra, na, ca), (rb, nb, cb) = (tuple(np.asarray(x[k]) for k in ("rep", "n", "c")) for x in (a, b))
-            sa, sb = ([np.frombuffer(x.as_buffer(), np.int64) for x in side["shingles"]] for side in (a, b))
-            la, lb = ([set(x) for x in side["lists"].to_pylist()] for side in (a, b))
-            overlap = _overlap([x[:HEAD] for x in sa], [x[:HEAD] for x in sb])
-            whole = (na <= HEAD)[:, None] & (nb <= HEAD)
-            low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
-            enough = np.where(whole, 100 * overlap >= PERCENT * (na[:, None] + nb - overlap), overlap >= PERCENT / 100 * np.minimum(low, HEAD) - MARGIN * HEAD**0.5)
-            enough &= (ca[:, None] != cb) & (100 * low >= PERCENT * high) & (~np.asarray(b["minor"]) | (ra[:, None] < rb))
-            above, links = {}, []
-            for i, j in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
-                x, y = _top(above, int(ca[i])), _top(above, int(cb[j]))
-                if x != y and min(la[i] & lb[j]) == value and (whole[i, j] or _reach(sa[i], sb[j])):
-                    above[x] = y
-                    links.append((ra[i], rb[j]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+def _near(head: int):
+    """From two blocks of a list the similar pairs that join components, no more than there are components.
+
+    Overlaps of sketches are counted for all pairs at once; pairs that overlap enough are estimated by their union sketch,
+    and those that pass are decided by their full sets.
+    """
+
+    def run(batches):
+        low_share = PERCENT / 100 - MARGIN * _spread(head)
+        for batch in batches:
+            for value, left, right in zip(batch.column("value").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+                a, b = ({k: side.values.field(k) for k in ("rep", "n", "c", "minor", "lists", "shingles")} for side in (left, right))
+                (ra, na, ca), (rb, nb, cb) = (tuple(np.asarray(x[k]) for k in ("rep", "n", "c")) for x in (a, b))
+                sa, sb = ([np.frombuffer(x.as_buffer(), np.int64) for x in side["shingles"]] for side in (a, b))
+                la, lb = ([set(x) for x in side["lists"].to_pylist()] for side in (a, b))
+                overlap = _overlap([x[:head] for x in sa], [x[:head] for x in sb])
+                low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
+                # a union sketch holds no more common values than both sketches share
+                enough = overlap >= np.where(high <= head, PERCENT * (na[:, None] + nb) / (100 + PERCENT), low_share * np.minimum(low, head)) - 1e-9
+                enough &= (ca[:, None] != cb) & (100 * low >= PERCENT * high) & (~np.asarray(b["minor"]) | (ra[:, None] < rb))
+                above, links = {}, []
+                for i, j in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
+                    x, y = _top(above, int(ca[i])), _top(above, int(cb[j]))
+                    if x != y and min(la[i] & lb[j]) == value and _estimate(sa[i][:head], sb[j][:head], head) >= low_share and _reach(sa[i], sb[j]):
+                        above[x] = y
+                        links.append((ra[i], rb[j]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return run
+
+
+def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """The similarity of two sets by their union sketch: how many of its k smallest values both sketches hold."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    twice = np.flatnonzero(both[1:] == both[:-1])
+    distinct = np.delete(both, twice + 1)[:k]
+    return int((both[twice] <= distinct[-1]).sum()) / len(distinct)
 
 
 def _top(above: dict, x: int) -> int:
@@ -254,13 +279,13 @@ def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return (out[0] @ out[1].T).astype(np.int64)
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """The pairs whose union sketch doesn't rule out the threshold. Where one sketch holds each whole set, it decides exactly."""
     a = reps.select(F.col("rep").alias("u"), F.col("sketch").alias("a"))
     b = reps.select(F.col("rep").alias("v"), F.col("sketch").alias("b"))
-    union = F.slice(F.array_sort(F.array_union("a", "b")), 1, RETAINED)
+    union = F.slice(F.array_sort(F.array_union("a", "b")), 1, k)
     share = F.size(F.array_intersect(F.array_intersect("a", "b"), "union")) / F.size("union")
-    low = PERCENT / 100 - 5 * math.sqrt(0.75 * 0.25 / RETAINED)
+    low = PERCENT / 100 - MARGIN * _spread(k)
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", union.alias("union")).where(share >= low).select("u", "v")
 
 

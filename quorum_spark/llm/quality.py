@@ -4,7 +4,7 @@ Features of the whole text are binned at quantiles. Boosting goes through the fe
 tree on one feature's bins and adds its leaves to that feature's lookup table. Then the pairs of features that explain
 most of what is left get coarse two-dimensional tables in the same way. A score is a sum of table entries.
 
-Training takes at most NEGATIVES and POSITIVES labelled rows (by hash of their ids) to the driver; the share of labels is
+Training takes about NEGATIVES and POSITIVES labelled rows (by hash of their ids) to one task; the share of labels is
 restored by weights. The tables are a few kilobytes and are broadcast. Null and empty texts have the features of a text
 without words. Without labelled rows of both kinds the score is 0. The cut between the labels lies at a score of 0.3.
 Repeated rows and extra columns don't matter.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.llm.learning import labelled, logit, remainder, sigmoid
+from quorum_spark.llm.learning import counts_of, fitted, logit, remainder, sample, sigmoid
 from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import LINES, LOWER, Words, pieces
 
@@ -143,10 +143,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     texts = docs.select("doc_id", "text")
-    rows = labelled(texts, labels, "quality", 5, 0, (NEGATIVES, POSITIVES))
-    model = None
-    if len(rows):
-        counts = labels.where(remainder("doc_id", 5) != 0).groupBy("quality").count().toPandas().set_index("quality")["count"]
-        model = train(rows, counts.get(1, 0) / max(1, counts.sum()))
+    known = labels.where(F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0))
+    counts = counts_of(known, "quality")
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    rows = sample(known, texts, "quality", counts, {0: NEGATIVES, 1: POSITIVES})
+    model = fitted(rows, lambda r: train(r, share), "doc_id", "quality")
     out = texts.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
