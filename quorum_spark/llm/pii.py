@@ -7,8 +7,10 @@ have the length of their country (codes without one: as long as the run of capit
 ones that overlap the first counts. Words such as "card" or "iban" in the CONTEXT characters around a span raise its score;
 kinds that go beyond the base ones (iban, secret) are kept from a score of LEAST. Base spans are always kept.
 
-Proposals are marked in the text with two control characters, and positions follow from the lengths between the marks, so a
-text is scanned once for each kind. A proposal that may overlap the next is marked as a copy before its place. Patterns are written without backtracking: a run is tried from its first character, or
+Proposals are marked in the text with two control characters, and positions follow from running sums of the lengths between
+the marks, so a text is scanned once for each kind. A proposal that may overlap the next is marked as a copy before its
+place. Running sums go through CHUNK numbers at a time, and redaction cuts fixed-width code points, so both take time in
+proportion to the text and its spans. Patterns are written without backtracking: a run is tried from its first character, or
 from where the last match ended, and from nowhere else.
 
 Null counts as empty text, empty texts have no spans. Positions are in code points, ends exclusive. Rows are answered one by
@@ -17,6 +19,8 @@ one, so repeated rows and extra columns don't matter; spans of one start are in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +59,11 @@ WORDS = {
     "secret": r"token|key|secret|password|apikey",
 }
 NEAR, LEAST, CONTEXT = 0.2, 0.5, 40
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _OPEN, _CLOSE = "\x01", "\x02"
+#: Numbers that a running sum goes through before it begins another array.
+CHUNK = 256
 
 
 def _digits(match: Column) -> Column:
@@ -109,30 +116,67 @@ def cut(text: Column, kind: str) -> Column:
     return F.split(marked, _OPEN)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _chunks(values: Column) -> Column:
+    """An array in arrays of up to CHUNK."""
+    n = F.ceil(F.size(values) / CHUNK).cast("int")
+    return F.when(n == 0, F.array()).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK))))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's whole numbers what all before it make together, from 0; step adds one to the others."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    fold = lambda xs, of: F.aggregate(xs, zero, lambda acc, x: F.struct(step(acc.at, of(x)).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")))
+    own = let(values, lambda v: F.transform(_chunks(v), lambda c: fold(c, lambda x: x)))
+    return let(own, lambda cs: F.flatten(F.zip_with(cs, fold(cs, lambda c: c.at).out, lambda c, before: F.transform(c.out, lambda x: step(before, x)))))
+
+
+def _first_come(found: Column) -> Column:
+    """Of spans in order those that begin after the last one that was taken."""
+    none = F.array().cast("array<boolean>")
+
+    def take(acc: Column, s: Column) -> Column:
+        ok = s.start >= acc.at
+        return F.struct(F.when(ok, s.end).otherwise(acc.at).alias("at"), F.concat(acc.taken, F.array(ok)).alias("taken"))
+
+    def chunk(acc: Column, c: Column) -> Column:
+        last = F.aggregate(c, F.struct(acc.at.alias("at"), none.alias("taken")), take)
+        return let(last, lambda r: F.struct(r.at.alias("at"), F.concat(acc.taken, F.array(r.taken)).alias("taken")))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<boolean>>").alias("taken"))
+    taken = lambda v: F.aggregate(_chunks(v), first, chunk, lambda acc: F.flatten(acc.taken))
+    return let(found, lambda v: F.transform(F.filter(F.arrays_zip(v.alias("s"), taken(v).alias("ok")), lambda z: z["ok"]), lambda z: z["s"]))
+
+
 def spans(parts: Column, kind: str) -> Column:
-    """Confirmed spans of a kind, in order: array of (start, rank, end, kind, score). parts: a column made by cut, so that it is made once."""
-    rank = KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,around:string>>")
-
-    def add(acc: Column, x: Column, before: Column) -> Column:
-        match, rest = F.substring_index(x, _CLOSE, 1), F.substring_index(x, _CLOSE, -1)
-        end = acc.at + F.length(match)
-        after = rest.substr(F.length(match) + 1, F.lit(CONTEXT)) if kind in OVERLAPPING else F.left(rest, F.lit(CONTEXT))
-        around = F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), after)
-        span = F.struct(acc.at.alias("start"), end.alias("end"), match.alias("match"), around.alias("around"))
-        return F.struct(((acc.at if kind in OVERLAPPING else end) + F.length(rest)).alias("at"), F.concat(acc.found, F.array(span)).alias("found"))
-
-    first = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), empty.alias("found"))
-    pairs = F.arrays_zip(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("x"), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("y"))
-    found = F.aggregate(pairs, first, lambda acc, p: add(acc, p["x"], F.substring_index(p["y"], _CLOSE, -1)), lambda acc: acc.found)
-    valid = F.filter(found, lambda s: _valid(kind, s.match))
-    if kind in OVERLAPPING:
-        valid = F.aggregate(valid, empty, lambda acc, s: F.when(s.start < F.coalesce(F.get(acc, F.size(acc) - 1).end, F.lit(0)), acc).otherwise(F.concat(acc, F.array(s))))
+    """Confirmed spans of a kind, in order: array of (start, rank, end, kind, score). parts: as cut makes them."""
+    rank, again = KINDS.index(kind), kind in OVERLAPPING
+
+    def add(z: Column) -> Column:
+        match, rest = F.substring_index(z["x"], _CLOSE, 1), F.substring_index(z["x"], _CLOSE, -1)
+        after = rest.substr(F.length(match) + 1, F.lit(CONTEXT)) if again else F.left(rest, F.lit(CONTEXT))
+        around = F.concat(F.right(F.substring_index(z["y"], _CLOSE, -1), F.lit(CONTEXT)), F.lit(" "), after)
+        return F.struct(z["at"].alias("start"), (z["at"] + F.length(match)).alias("end"), match.alias("match"), around.alias("around"))
+
+    def found(p: Column) -> Column:
+        size = lambda x, i: F.length(F.substring_index(x, _CLOSE, -1)) if again else F.length(x) - F.when(i > 0, 1).otherwise(0)
+        at = running(F.transform(p, size), lambda a, b: a + b)
+        some = lambda c, first: F.slice(c, first, F.greatest(F.size(p) - 1, F.lit(0)))
+        return F.transform(F.arrays_zip(some(p, 2).alias("x"), some(p, 1).alias("y"), some(at, 2).alias("at")), add)
+
+    valid = F.filter(let(parts, found), lambda s: _valid(kind, s.match))
+    if again:
+        valid = _first_come(valid)
     out = F.transform(
         valid,
         lambda s: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), s.end.alias("end"), F.lit(kind).alias("kind"), _score(kind, s.around).alias("score")),
     )
-    return out if kind in BASE else F.filter(out, lambda s: s.score >= LEAST)
+    out = out if kind in BASE else F.filter(out, lambda s: s.score >= LEAST)
+    return F.when(F.size(parts) > 1, out).otherwise(F.array().cast(SPANS))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -159,19 +203,29 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _cut_out(text: Column, found: Column) -> Column:
+    """text with spans, in order of their starts, replaced by their kinds. Spans that overlap one before them go with it.
+
+    Code points are four bytes wide here, so a piece is cut without going through what is before it. The letter in front of
+    each piece keeps a mark of byte order from being taken for one.
+    """
+    point = lambda wide, a, n: F.decode(F.concat(F.encode(F.lit("x"), "UTF-32"), F.substring(wide, a * 4 + 1, n * 4)), "UTF-32").substr(F.lit(2), n)
+
+    def pieces(s: Column) -> Column:
+        last = F.array_max(F.transform(s["found"], lambda x: x.end))
+        ends = running(F.transform(s["found"], lambda x: x.end), lambda a, b: F.greatest(a, b))
+        put = lambda z: F.when(z["x"].start >= z["at"], F.concat(point(s["wide"], z["at"], z["x"].start - z["at"]), F.lit("<"), F.upper(z["x"].kind), F.lit(">"))).otherwise(F.lit(""))
+        before = F.array_join(F.transform(F.arrays_zip(s["found"].alias("x"), ends.alias("at")), put), "")
+        return F.concat(before, point(s["wide"], last, F.greatest((F.octet_length(s["wide"]) / 4).cast("int") - last, F.lit(0))))
+
+    return let(F.struct(F.encode(text, "UTF-32").alias("wide"), found.alias("found")), pieces)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in angle brackets, and n_chars to match. Of overlapping spans the earliest counts, and covers the others."""
     found = find_spans(docs).withColumn("_spans", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])))
     text = F.col("text")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def put(acc: Column, s: Column) -> Column:
-        new = F.concat(acc.out, text.substr(acc.at + 1, F.greatest(s.start - acc.at, F.lit(0))), F.concat(F.lit("<"), F.upper(s.kind), F.lit(">")))
-        over = s.start < acc.at
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(over, acc.out).otherwise(new).alias("out"))
-
-    whole = F.aggregate("_spans", state, put, lambda acc: F.concat(acc.out, text.substr(acc.at + 1, F.length(text))))
-    new = F.when(F.size("_spans") > 0, whole).otherwise(text)
+    new = F.when(F.size("_spans") > 0, _cut_out(text, F.col("_spans"))).otherwise(text)
     cols = [new.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     out = found.select(*cols)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -76,6 +76,17 @@ def test_pii_account_numbers_before_capitals_and_digits(spark):
     assert pii.report(docs).where("doc_id = 1").first().spans == "iban:0:27"
 
 
+def test_pii_of_a_hundred_thousand_spans(spark):
+    """Time follows the spans and the text, in the report and in redaction; a mark of byte order is a letter like others."""
+    n = 34_000
+    text = " é😀 ".join(["a1@b.cd 1.2.3.4 DE89370400440532013000\ufeff"] * n)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.report(docs).first()
+    assert (r.n_email, r.n_ip, r.spans.count("iban:"), r.spans.count(",")) == (n, n, n, 3 * n - 1)
+    assert r.spans.endswith(f"iban:{len(text) - 23}:{len(text) - 1}")
+    assert pii.redact(docs).first().text == " é😀 ".join(["<EMAIL> <IP> <IBAN>\ufeff"] * n)
+
+
 def bpe_texts():
     rng = random.Random(8)
     some = ["the", "Hello", "don't", "WE'LL", "x²½Ⅷ", "Σίσυφος ΣΑΣ", "İstanbul", "日本語", "😀", "!!!", "<|endoftext|>", "<|startoftext|>", "<|", "é", "\x1c", "\x85", " ", "﻿", "ß", "Ａ", "123", "'s", "''", "ǅ", "zxqvbn", "ÉCOLE", "naïve", "ſ"]
