@@ -7,8 +7,10 @@ or less in some block, so a table of each block's near values finds every item w
 the exact similarity of their shingles weighted by how often each occurs: the sum of the smaller weights over the sum of
 the larger ones. A window of that similarity lies 11 bits away on average, with a deviation of 3; RADIUS is 24.
 
-The benchmark is the query set. It is read in blocks of about BLOCK_BYTES of text; each block is broadcast, and documents
-are scanned once for each. Items with fewer than five words match a window that equals them. ASCII letters are
+The benchmark is the query set. It is read in blocks of about BLOCK_BYTES of text, one of which is in the driver and
+broadcast at a time. Documents are scanned once: with more than one block, a bitmap of fixed size first tells which documents
+share a shingle with the benchmark at all, and only those are kept for the blocks. Long texts are worked on in slices of
+windows, so memory follows a text's words and a slice. Items with fewer than five words match a window that equals them. ASCII letters are
 lower-cased. Null and empty texts, of documents or items, match nothing. Repeated rows give repeated answers; equal
 similarities go to the earliest window. Extra columns are ignored.
 """
@@ -23,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum_spark.operators.scratch import arrow_rows
+from quorum_spark.operators.scratch import Scratch, arrow_rows
 from quorum_spark.llm.words import Words, mix, pieces, windows
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.75, 24, 8
 BLOCK_BYTES = 4 << 20
+#: Windows of a slice, pairs of windows and items of a slice, shingles whose bits are summed at once.
+SLICE, PAIRS, SUMMED = 1 << 14, 1 << 22, 1 << 12
+#: Bits of the bitmap of all the benchmark's shingles.
+BITMAP = 1 << 27
 SCHEMA = "item_id long, start_word long, n_words long, distance int, similarity double"
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _BITS = np.arange(64, dtype=np.uint64)
@@ -82,33 +88,93 @@ class Items:
         """Best window of each item that leaks into one text: (similarity, -start, words, distance)."""
         found: dict[int, tuple] = {}
         hits = np.concatenate([[0], np.cumsum(hit)])
-        sums, memo = None, {}
         for n, (rows, prints, index) in self.lengths.items():
             width = min(n - SHINGLE + 1, len(shingles))
             full = n - SHINGLE + 1
-            starts = np.flatnonzero(hits[width:] - hits[: len(hits) - width] >= SIMILARITY * full)
-            if not len(starts):
-                continue
-            if sums is None:
-                sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(votes(shingles), 0)])
-            fp = pack(sums[starts + width] - sums[starts])
-            parts = fp[:, None].view(np.uint8).reshape(len(fp), BLOCKS)
-            near = reduce(np.logical_or, (index[b][parts[:, b]] for b in range(BLOCKS)))
-            for i, j in zip(*np.nonzero(near), strict=True):
-                distance = int(np.bitwise_count(fp[i] ^ prints[j]))
-                if distance > RADIUS:
-                    continue
-                key = (int(starts[i]), width)
-                if key not in memo:
-                    memo[key] = Counter(shingles[key[0] : key[0] + width].tolist())
-                item, counts, _ = rows[j]
-                low = sum(min(c, counts[s]) for s, c in memo[key].items() if s in counts)
-                similarity = low / (width + full - low)
-                if similarity >= SIMILARITY:
-                    found[item] = max(found.get(item, (-1.0,)), (similarity, -key[0], width + SHINGLE - 1, -distance))
+            every = np.flatnonzero(hits[width:] - hits[: len(hits) - width] >= SIMILARITY * full)
+            step = max(1, min(SLICE, PAIRS // len(rows)))
+            for a in range(0, len(every), step):
+                starts = every[a : a + step]
+                fp = pack(window_sums(shingles, starts, width))
+                parts = fp[:, None].view(np.uint8).reshape(len(fp), BLOCKS)
+                near = reduce(np.logical_or, (index[b][parts[:, b]] for b in range(BLOCKS)))
+                counted = (-1, Counter())
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    distance = int(np.bitwise_count(fp[i] ^ prints[j]))
+                    if distance > RADIUS:
+                        continue
+                    start = int(starts[i])
+                    if counted[0] != start:
+                        counted = (start, Counter(shingles[start : start + width].tolist()))
+                    item, counts, _ = rows[j]
+                    low = sum(min(c, counts[s]) for s, c in counted[1].items() if s in counts)
+                    similarity = low / (width + full - low)
+                    if similarity >= SIMILARITY:
+                        found[item] = max(found.get(item, (-1.0,)), (similarity, -start, width + SHINGLE - 1, -distance))
         return found
 
 
+def window_sums(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """For each start the summed votes of width shingles. Running sums are made for SUMMED shingles at a time."""
+    at = np.unique(np.concatenate([starts, starts + width]))
+    sums = np.empty((len(at), 64), np.int32)
+    total = np.zeros(64, np.int32)
+    for s in range(int(at[0]), int(at[-1]) + 1, SUMMED):
+        part = np.cumsum(votes(shingles[s : min(s + SUMMED, int(at[-1]))]), 0, dtype=np.int32)
+        part = np.concatenate([np.zeros((1, 64), np.int32), part]) + total
+        lo, hi = np.searchsorted(at, [s, s + SUMMED])
+        sums[lo:hi] = part[at[lo:hi] - s]
+        total = part[-1]
+    return sums[np.searchsorted(at, starts + width)] - sums[np.searchsorted(at, starts)]
+
+
+def _keys(w: Words) -> np.ndarray:
+    """Hashes, modulo the bitmap's size, of the shingles of these items, and of items with fewer words than a shingle as a whole."""
+    h, words = w.hashes(), np.diff(w.at)
+    every = [windows(h, w.at, SHINGLE)[0]]
+    for n in range(1, SHINGLE):
+        whole, at = windows(h, w.at, n)
+        every.append(whole[words[np.searchsorted(w.at, at, "right") - 1] == n])
+    return np.concatenate(every) % np.uint64(BITMAP)
+
+
+def _marked(batches):
+    """The bits of these items, without repeats."""
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_keys(Words(part.column("text"), lower=True))).astype(np.int64))], names=["bit"])
+
+
+def _bytes_of_bits(batches):
+    """The bits of a range, packed, as (place of the first byte, bytes)."""
+    for batch in batches:
+        bits = np.unique(batch.column("bit").to_numpy())
+        if len(bits):
+            at = int(bits[0]) // 8
+            flags = np.zeros((int(bits[-1]) // 8 + 1 - at) * 8, bool)
+            flags[bits - at * 8] = True
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["at", "bytes"])
+
+
+def _touched(shared):
+    """Documents that hold a shingle of the benchmark or a whole item of fewer words."""
+
+    def run(batches):
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                w = Words(part.column("text"), lower=True)
+                h, keep = w.hashes(), np.zeros(len(w), bool)
+                for n in range(1, SHINGLE + 1):
+                    whole, at = windows(h, w.at, n)
+                    key = whole % np.uint64(BITMAP)
+                    bit = bitmap[(key >> np.uint64(3)).astype(np.int64)] >> (7 - (key & np.uint64(7)).astype(np.uint8)) & 1
+                    keep[np.searchsorted(w.at, at[bit > 0], "right") - 1] = True
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
 def _scan(shared):
     def run(batches):
         items: Items = shared.value
@@ -143,18 +209,38 @@ def _scan(shared):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, start_word, n_words, distance, similarity."""
     spark = docs.sparkSession
     arrow_rows(spark)
     texts = docs.select("doc_id", "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = int(size // BLOCK_BYTES) + 1
+    n_blocks = int(size // block_bytes) + 1
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
+
+    def block(k: int):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
+        return spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own]))
+
+    if n_blocks == 1:
+        return texts.mapInArrow(_scan(block(0)), schema)
+    scratch = Scratch(spark, "leaks")
+    texts = scratch.cut(texts.mapInArrow(_touched(_bitmap(items)), texts.schema), "touched")
     out = None
     for k in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own]))
-        found = texts.mapInArrow(_scan(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+        shared = block(k)
+        found = scratch.cut(texts.mapInArrow(_scan(shared), schema), f"block-{k}")
+        shared.destroy()
         out = found if out is None else out.union(found)
+    scratch.drop(texts)
     return out
+
+
+def _bitmap(items: DataFrame):
+    """A broadcast of BITMAP bits: those of the benchmark's shingles and short items."""
+    bits = items.mapInArrow(_marked, "bit long").distinct().repartitionByRange("bit").sortWithinPartitions("bit")
+    packed = np.zeros(BITMAP // 8, np.uint8)
+    for r in bits.mapInArrow(_bytes_of_bits, "at long, bytes binary").toLocalIterator():  # BITMAP bits at most, whatever the benchmark
+        packed[r["at"] : r["at"] + len(r["bytes"])] |= np.frombuffer(r["bytes"], np.uint8)
+    return items.sparkSession.sparkContext.broadcast(packed.tobytes())

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -195,10 +196,29 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.find_leaks(frame, bench).collect()
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == brute_leaks(docs, items)
+    blocks = decontam.find_leaks(frame, bench, block_bytes=300).collect()
+    assert Counter(tuple(r) for r in blocks) == Counter(tuple(r) for r in got)
+    assert decontam.find_leaks(frame.limit(0), bench, block_bytes=300).collect() == []
     assert decontam.find_leaks(frame.limit(0), bench).collect() == []
     assert decontam.find_leaks(frame, bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_a_million_words(spark):
+    """Windows of a long text are found in slices, also those across slices, and sums of votes equal plain ones."""
+    rng = np.random.default_rng(3)
+    sh = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    starts = np.array([0, 5, 4090, 4096, 8000, 19_000])
+    want = [decontam.votes(sh[s : s + 1000]).sum(0) for s in starts]
+    assert (decontam.window_sums(sh, starts, 1000) == want).all()
+    item = [f"q{i}" for i in range(40)]
+    w = [f"w{x}" for x in rng.integers(0, 5000, 1_000_000)]
+    for at in (10, decontam.SLICE - 3, 700_000):
+        w[at : at + 40] = item
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(item * 25_000))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontam.find_leaks(docs, bench).collect()) == [(1, 7, 10, 1.0), (2, 7, 0, 1.0)]
+
+
 def test_rotation(spark):
     rows = [(1, 0, "system", "s", 0), (1, 1, "ann", "hi 😀", 0), (1, 2, "bob", None, 0), (1, 3, "ann", "x", 0), (1, 3, "ann", "x", 0), (2, None, None, "q", 0), (None, 1, "ann", "z", 0), (3, 0, "system", "only", 0)]
     got = {(r.conv_id, r.speaker): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, speaker int")).collect()}
