@@ -14,45 +14,68 @@ from pyspark.sql.window import Window
 from quorum_spark.functions.geometry import shared_frames
 from quorum_spark.functions.vectors import dot, normalize
 from quorum_spark.operators.graph import components
+from quorum_spark.operators.numbering import numbered
 from quorum_spark.operators.scratch import Scratch
 
 BLOCK = 512
 
 
-def eps_pairs(crops: DataFrame, eps: float) -> DataFrame:
-    """(i, j, distance) with i < j and a cosine distance up to eps. Blocks of crops meet blocks; a task holds two at once."""
-    n = crops.count()
-    block = F.pmod(F.xxhash64("det_id"), F.lit(n // BLOCK + 1))
-    packed = crops.groupBy(block.alias("b")).agg(F.collect_list(F.struct("det_id", "v")).alias("rows"))
-    left = packed.select(F.col("b").alias("b1"), F.col("rows").alias("left"))
-    right = packed.select(F.col("b").alias("b2"), F.col("rows").alias("right"))
+def eps_pairs(crops: DataFrame, eps: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, i, j, distance) with i < j and a cosine distance up to eps. by: columns, of whole numbers or text, within which crops are compared, such as the job.
+
+    Crops are packed into blocks of about BLOCK by a hash; the keys of pairs of blocks meet their vectors by joins, so nothing
+    is broadcast, and a task holds two blocks at once.
+    """
+    keys = list(by)
+    sized = crops.groupBy(*keys).agg((F.count("*") / BLOCK).cast("int").alias("more"))
+    rows = crops.join(sized, keys) if keys else crops.crossJoin(F.broadcast(sized))  # one row without keys
+    block = F.pmod(F.xxhash64("det_id"), F.col("more") + 1).cast("int")
+    packed = rows.groupBy(*keys, block.alias("b")).agg(F.any_value("more").alias("more"), F.collect_list("det_id").alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
+    packed = Scratch(crops.sparkSession, "eps").cut(packed, "blocks")
+    pairs = packed.select(*keys, F.col("b").alias("b1"), F.explode(F.sequence("b", "more")).alias("b2"))
+    left = packed.select(*keys, F.col("b").alias("b1"), F.col("ids").alias("left"), F.col("v").alias("x"))
+    right = packed.select(*keys, F.col("b").alias("b2"), F.col("ids").alias("right"), F.col("v").alias("y"))
+    met = pairs.join(left, [*keys, "b1"]).join(right, [*keys, "b2"]).select(*keys, "left", "x", "right", "y")
 
     def run(batches):
         for batch in batches:
-            for a, b in zip(batch.column("left"), batch.column("right"), strict=True):
-                (i, x), (j, y) = ((np.asarray(s.values.field("det_id")), np.stack(s.values.field("v").to_pylist())) for s in (a, b))
-                d = 1 - x @ y.T
-                p, q = np.nonzero((d <= eps) & (i[:, None] != j))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[p], j[q])), pa.array(np.maximum(i[p], j[q])), pa.array(d[p, q])], names=["i", "j", "distance"])
-
-    met = left.join(right, F.col("b1") <= F.col("b2")).select("left", "right")
-    return met.mapInArrow(run, "i long, j long, distance double").dropDuplicates(["i", "j"])
-
-
-def dbscan(crops: DataFrame, eps: float, min_samples: int, pairs: DataFrame | None = None) -> DataFrame:
-    """(det_id, cluster_id, core). A crop with min_samples neighbours, itself included, is core; linked cores are a cluster, numbered by their smallest det_id; other neighbours of cores join the lowest number."""
-    scratch = Scratch(crops.sparkSession, "dbscan")
-    pairs = scratch.cut((eps_pairs(crops, eps) if pairs is None else pairs).where(F.col("distance") <= eps), "pairs")
-    both = pairs.select(F.col("i").alias("a"), F.col("j").alias("b")).union(pairs.select("j", "i"))
-    core = crops.select("det_id").join(both.groupBy(F.col("a").alias("det_id")).count(), "det_id", "left").where(F.coalesce("count", F.lit(0)) + 1 >= min_samples).select("det_id")
-    edges = both.join(core.withColumnRenamed("det_id", "a"), "a").join(core.withColumnRenamed("det_id", "b"), "b").where("a < b")
-    comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    rooted = core.join(comp.withColumnRenamed("node", "det_id"), "det_id", "left").select("det_id", F.coalesce("component", "det_id").alias("root"))
-    number = rooted.select("root").distinct().select("root", (F.dense_rank().over(Window.orderBy("root")) - 1).alias("cluster_id"))
+            get = lambda c, r, batch=batch: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
+            for r in range(batch.num_rows):
+                i, x, j, y = (get(c, r) for c in ("left", "x", "right", "y"))
+                d = 1 - x.reshape(len(i), -1) @ y.reshape(len(j), -1).T
+                near = d <= eps
+                near &= i[:, None] < j if len(i) == len(j) and (i == j).all() else i[:, None] != j
+                p, q = np.nonzero(near)
+                own = [batch.column(k).take(pa.array(np.full(len(p), r))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.minimum(i[p], j[q])), pa.array(np.maximum(i[p], j[q])), pa.array(d[p, q])], names=[*keys, "i", "j", "distance"])
+
+    kinds = "".join(f"`{k}` {crops.schema[k].dataType.simpleString()}, " for k in keys)
+    return met.mapInArrow(run, f"{kinds}i long, j long, distance double")
+
+
+def dbscan(crops: DataFrame, eps: float, min_samples: int, pairs: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, det_id, cluster_id, core). A crop with min_samples neighbours, itself included, is core; linked cores are a cluster, numbered by their smallest det_id; other neighbours of cores join the lowest number.
+
+    by: columns, such as the job, each of whose values is clustered and numbered by itself; det_id is unique all the same.
+    """
+    scratch, keys = Scratch(crops.sparkSession, "dbscan"), list(by)
+    pairs = scratch.cut((eps_pairs(crops, eps, by) if pairs is None else pairs).where(F.col("distance") <= eps).select("i", "j"), "pairs")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))).alias("e")).select("e.a", "e.b")
+    own = crops.select(*keys, "det_id")
+    core = own.join(both.groupBy(F.col("a").alias("det_id")).count(), "det_id", "left").where(F.coalesce("count", F.lit(0)) + 1 >= min_samples).select(*keys, "det_id")
+    core = scratch.cut(core, "core")
+    edges = pairs.join(core.select(F.col("det_id").alias("i")), "i").join(core.select(F.col("det_id").alias("j")), "j")
+    comp = components(edges.select(F.col("i").alias("u"), F.col("j").alias("v")), scratch)
+    rooted = core.join(comp.withColumnRenamed("node", "det_id"), "det_id", "left").select(*keys, "det_id", F.coalesce("component", "det_id").alias("root"))
+    roots = rooted.select(*keys, "root").distinct()
+    if keys:
+        number = roots.select("root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).alias("cluster_id"))
+    else:
+        number = numbered(roots, ["root"], "cluster_id", scratch).select("root", "cluster_id")
     cores = scratch.cut(rooted.join(number, "root").select("det_id", F.col("cluster_id").cast("int").alias("cluster_id")), "cores")
     border = both.join(cores.withColumnRenamed("det_id", "b"), "b").groupBy(F.col("a").alias("det_id")).agg(F.min("cluster_id").alias("near"))
-    out = crops.select("det_id").join(cores, "det_id", "left").join(border, "det_id", "left")
-    return out.select("det_id", F.coalesce("cluster_id", "near", F.lit(-1)).alias("cluster_id"), F.col("cluster_id").isNotNull().alias("core"))
+    out = own.join(cores, "det_id", "left").join(border, "det_id", "left")
+    return out.select(*keys, "det_id", F.coalesce("cluster_id", "near", F.lit(-1)).alias("cluster_id"), F.col("cluster_id").isNotNull().alias("core"))
 
 
 def mean_vectors(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
@@ -106,7 +129,9 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), Scratch(labels.sparkSession, "merge"))
     old = labels.where("cluster_id >= 0").select("cluster_id").distinct()
     root = old.join(comp.withColumnRenamed("node", "cluster_id"), "cluster_id", "left").select("cluster_id", F.coalesce("component", "cluster_id").alias("root"))
-    new = root.select("cluster_id", (F.dense_rank().over(Window.orderBy("root")) - 1).cast("int").alias("new"))
+    scratch = Scratch(labels.sparkSession, "merge")
+    number = numbered(root.select("root").distinct(), ["root"], "new", scratch)
+    new = root.join(number, "root").select("cluster_id", F.col("new").cast("int").alias("new"))
     return labels.join(new, "cluster_id", "left").select("det_id", F.coalesce("new", "cluster_id").alias("cluster_id"))
 
 
@@ -127,7 +152,8 @@ def split(crops: DataFrame, labels: DataFrame, candidates: DataFrame, eps: float
     parts = parts.join(several, "cluster_id", "left_semi")
     top = labels.agg(F.max("cluster_id").alias("top"))
     fresh = parts.where("part >= 0").select("cluster_id", "part").distinct().crossJoin(F.broadcast(top))
-    fresh = fresh.select("cluster_id", "part", (F.row_number().over(Window.orderBy("cluster_id", "part")) + F.col("top")).cast("int").alias("new"))
+    fresh = numbered(fresh, ["cluster_id", "part"], "at", Scratch(labels.sparkSession, "split"))
+    fresh = fresh.select("cluster_id", "part", (F.col("at") + 1 + F.col("top")).cast("int").alias("new"))
     moved = parts.join(fresh, ["cluster_id", "part"], "left").select("det_id", F.coalesce("new", F.lit(-1)).alias("moved"))
     return labels.join(moved, "det_id", "left").select("det_id", F.coalesce("moved", "cluster_id").alias("cluster_id"))
 

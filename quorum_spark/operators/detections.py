@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,42 @@ from quorum_spark.functions import geometry as G
 from quorum_spark.params import PipelineParams
 
 
+BOX = "array<struct<minus:double,ordinal:bigint,x1:double,y1:double,x2:double,y2:double,score:double>>"
+
+
+def _kept(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, limit: float) -> np.ndarray:
+    """Which boxes, from the best score down, overlap none that is kept before them by limit or more."""
+    area, keep, gone = (x2 - x1) * (y2 - y1), np.zeros(len(x1), bool), np.zeros(len(x1), bool)
+    for i in range(len(x1)):
+        if gone[i]:
+            continue
+        keep[i] = True
+        w = np.minimum(x2[i], x2[i + 1 :]) - np.maximum(x1[i], x1[i + 1 :])
+        h = np.minimum(y2[i], y2[i + 1 :]) - np.maximum(y1[i], y1[i + 1 :])
+        both = np.maximum(w, 0) * np.maximum(h, 0)
+        union = area[i] + area[i + 1 :] - both
+        gone[i + 1 :] |= np.where(union > 0, both / np.where(union > 0, union, 1), 0) >= limit
+    return keep
+
+
 def suppress(boxes: DataFrame, key: str, limit: float) -> DataFrame:
     """(key, kept boxes): from the best score down, boxes that overlap a kept one by limit or more go. boxes: key, ordinal, x1..y2, score; equal scores in order of ordinal. A frame's boxes are gathered, since each decision needs the earlier ones."""
     box = F.struct((-F.col("score")).alias("minus"), "ordinal", "x1", "y1", "x2", "y2", "score")
-    frames = boxes.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("all"))
-    kind = "array<struct<minus:double,ordinal:bigint,x1:double,y1:double,x2:double,y2:double,score:double>>"
-    put = lambda acc, d: F.when(F.exists(acc, lambda k: G.iou(k, d) >= limit), acc).otherwise(F.concat(acc, F.array(d)))
-    return frames.select(key, F.aggregate("all", F.array().cast(kind), put).alias("kept"))
+    frames = boxes.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("kept"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("kept")
+            offsets, values = lists.offsets.to_numpy(), lists.values
+            x1, y1, x2, y2 = (values.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+            keep = np.zeros(len(values), bool)
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                keep[a:b] = _kept(x1[a:b], y1[a:b], x2[a:b], y2[a:b], limit)
+            at = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(at), values.filter(pa.array(keep)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), kept], names=[key, "kept"])
+
+    return frames.mapInArrow(run, f"`{key}` {boxes.schema[key].dataType.simpleString()}, kept {BOX}")
 
 
 def gate(detections: DataFrame, p: PipelineParams) -> DataFrame:
@@ -26,3 +57,4 @@ def gate(detections: DataFrame, p: PipelineParams) -> DataFrame:
     out = out.withColumn("quality_score", G.composite_quality(width, F.col("blur"), F.col("yaw"), F.col("pitch"), p))
     reason = G.reject_reason((width >= 1) & (height >= 1), F.col("score"), width, F.col("blur"), F.col("yaw"), F.col("pitch"), F.col("brightness"), p)
     return out.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
+

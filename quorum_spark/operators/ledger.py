@@ -1,4 +1,4 @@
-"""The append-only attendance ledger, consent, uploads and retention."""
+"""The append-only ledger of who was present, consent, uploads and retention."""
 
 from __future__ import annotations
 

@@ -57,11 +57,11 @@ gated AS (SELECT *, 0.4::DOUBLE * least(w / 150, 1) + 0.3::DOUBLE * least(blur /
 BUCKET = "CASE WHEN yaw < -15 THEN 'left' WHEN yaw > 15 THEN 'right' ELSE 'frontal' END"
 CONSENT = "consents AS (SELECT event_id AS id, user_id AS student_id, ts, event_type FROM events WHERE event_type IN ('signup', 'error')), latest AS (SELECT student_id, id, CASE WHEN event_type = 'error' THEN 'revoked' ELSE 'valid' END AS state FROM consents QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY ts DESC, id DESC) = 1)"
 LEDGER = "ledger AS (SELECT o_orderkey AS id, o_custkey % 25 AS class_session_id, o_custkey AS student_id, CASE WHEN o_orderstatus = 'F' THEN 'present' ELSE 'absent' END AS status, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS supersedes_id FROM orders), tip AS (SELECT * FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger n WHERE n.supersedes_id = l.id))"
-REVIEW = """r AS (SELECT c_custkey AS student_id FROM customer WHERE c_nationkey = 7),
+REVIEW = """r AS (SELECT c_nationkey AS course, c_custkey AS student_id FROM customer WHERE c_nationkey IS NOT NULL),
 given AS (SELECT o_custkey AS student_id, CASE WHEN o_totalprice > 150000 THEN 'present' ELSE 'absent' END AS status, CASE WHEN o_totalprice > 150000 THEN 'teacher_confirmed' ELSE 'teacher_override' END AS source
   FROM orders WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
 sure AS (SELECT o_custkey AS student_id, max(o_totalprice) / 1000000 AS similarity FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
-done AS (SELECT student_id, coalesce(status, CASE WHEN similarity IS NOT NULL THEN 'present' ELSE 'absent' END) AS status, coalesce(source, 'auto') AS source,
+done AS (SELECT course, student_id, coalesce(status, CASE WHEN similarity IS NOT NULL THEN 'present' ELSE 'absent' END) AS status, coalesce(source, 'auto') AS source,
   CASE WHEN status IS NULL THEN similarity END AS confidence, CASE WHEN status IS NOT NULL THEN 42 END AS decided_by FROM r LEFT JOIN given USING (student_id) LEFT JOIN sure USING (student_id))"""
 TRUTH = "truth AS (SELECT doc_id, quality = 1 AS actual, n_chars, lang, source, toxic, n_chars >= 1000 AS predicted FROM documents JOIN labels USING (doc_id))"
 
@@ -119,10 +119,10 @@ kept AS (SELECT frame_index, list_reduce(list_transform(l, lambda x: [x]), lambd
   THEN acc ELSE list_concat(acc, d) END) AS k FROM fr),
 out AS (SELECT frame_index, unnest(k) AS b, generate_subscripts(k, 1) - 1 AS n FROM kept)
 SELECT frame_index, frame_index || '_' || n AS det_id, b.x1 AS x1, b.y1 AS y1, round(b.score, 6) AS score FROM out WHERE round(b.score, 6) >= 0.6""",
-    "iou_pairs": f"""WITH {DET}, one AS (SELECT DISTINCT ON (l_orderkey, l_partkey) * FROM det WHERE l_linenumber = 1),
-p AS (SELECT a.l_orderkey, a.l_partkey, b.l_orderkey AS o2, b.l_partkey AS p2, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, a.w * a.w + b.w * b.w AS s
-  FROM one a JOIN one b ON a.frame_index = b.frame_index AND (a.l_orderkey < b.l_orderkey OR a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey))
-SELECT l_orderkey, l_partkey, o2, p2, round(i / (s - i), 6) AS iou FROM p WHERE round(i / (s - i), 6) > 0.3""",
+    "iou_pairs": f"""WITH {DET}, num AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, x1, y1, w) AS o FROM det),
+p AS (SELECT a.frame_index, a.o AS i, b.o AS j, a.l_orderkey, a.l_partkey, b.l_orderkey AS o2, b.l_partkey AS p2, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter, a.w * a.w + b.w * b.w AS s
+  FROM num a JOIN num b ON a.frame_index = b.frame_index AND a.o < b.o)
+SELECT frame_index, i, j, l_orderkey, l_partkey, o2, p2, round(inter / (s - inter), 6) AS iou FROM p WHERE round(inter / (s - inter), 6) > 0.3""",
     "tile_grid": "WITH x AS (SELECT unnest([0, 1024, 1720]) AS x), y AS (SELECT unnest([0, 520]) AS y) SELECT x, y, least(x + 1280, 3000) AS x2, least(y + 1280, 1800) AS y2 FROM x CROSS JOIN y",
     "width_histogram": f"WITH {DET} SELECT low, low || '-' || (low + 10) AS bucket, count(*) AS n FROM (SELECT (floor(w / 10) * 10)::INT AS low FROM det) GROUP BY low",
     "detections_per_frame": f"WITH {DET}, c AS (SELECT frame_index, count(*) AS n FROM det GROUP BY 1), f AS (SELECT unnest(range(0, (SELECT max(frame_index) + 1 FROM c))) AS frame_index) SELECT count(*) AS frames, sum(coalesce(n, 0))::BIGINT AS total, round(avg(coalesce(n, 0)), 6) AS mean, min(coalesce(n, 0)) AS least, max(coalesce(n, 0)) AS most FROM f LEFT JOIN c USING (frame_index)",
@@ -140,15 +140,15 @@ SELECT *, total >= 5 AND "left" > 0 AND frontal > 0 AND "right" > 0 AS sufficien
     "latest_job": "SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "best_photo_topk": "SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id)::INT AS rank FROM events QUALIFY rank <= 4",
     "first_audit": "SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY ALL",
-    "current_attendance": f"WITH {LEDGER} SELECT id, class_session_id, student_id, status FROM tip",
+    "current_presence": f"WITH {LEDGER} SELECT id, class_session_id, student_id, status FROM tip",
     "correction_chain_depth": f"WITH {LEDGER} SELECT student_id, count(*) AS records, count(supersedes_id) AS corrections FROM ledger GROUP BY student_id",
-    "corrections": f"WITH {LEDGER} SELECT id + 10000000 AS id, class_session_id, student_id, 'present' AS status, id AS supersedes_id FROM tip WHERE student_id % 3 = 0 AND status <> 'present'",
+    "corrections": f"WITH {LEDGER} SELECT id + 10000000 AS id, class_session_id, student_id, 'present' AS status, id AS supersedes_id FROM tip WHERE status <> 'present'",
     "roster": "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "commit_fanout": f"WITH {REVIEW} SELECT student_id, status, source, round(confidence, 6) AS confidence, decided_by FROM done",
-    "commit_counts": f"WITH {REVIEW} SELECT count(*) AS total, count(*) FILTER (status = 'present') AS present, count(*) FILTER (status = 'absent') AS absent, count(*) FILTER (source = 'auto') AS automatic, count(*) FILTER (source = 'teacher_confirmed') AS confirmed, count(*) FILTER (source = 'teacher_override') AS overridden FROM done",
-    "missing_review": f"WITH {REVIEW} SELECT student_id FROM r WHERE student_id IN (SELECT student_id FROM sure) AND student_id NOT IN (SELECT student_id FROM given)",
-    "unenrolled_decisions": f"WITH {REVIEW} SELECT student_id, status FROM given WHERE student_id NOT IN (FROM r)",
-    "absent_list": f"WITH {REVIEW} SELECT student_id FROM r WHERE student_id NOT IN (SELECT student_id FROM sure)",
+    "commit_fanout": f"WITH {REVIEW} SELECT course, student_id, status, source, round(confidence, 6) AS confidence, decided_by FROM done",
+    "commit_counts": f"WITH {REVIEW} SELECT course, count(*) AS total, count(*) FILTER (status = 'present') AS present, count(*) FILTER (status = 'absent') AS absent, count(*) FILTER (source = 'auto') AS automatic, count(*) FILTER (source = 'teacher_confirmed') AS confirmed, count(*) FILTER (source = 'teacher_override') AS overridden FROM done GROUP BY course",
+    "missing_review": f"WITH {REVIEW} SELECT course, student_id FROM r WHERE student_id IN (SELECT student_id FROM sure) AND student_id NOT IN (SELECT student_id FROM given)",
+    "unenrolled_decisions": f"WITH {REVIEW} SELECT course, student_id, status FROM given CROSS JOIN (SELECT DISTINCT course FROM r) ANTI JOIN r USING (course, student_id)",
+    "absent_list": f"WITH {REVIEW} SELECT course, student_id FROM r WHERE student_id NOT IN (SELECT student_id FROM sure)",
     "reviewer_live_counts": """WITH n AS (SELECT o_custkey % 25 AS session, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 10 = 0) + count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0) + count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 20 = 0) AS present FROM orders GROUP BY 1)
 SELECT session, total, present, floor(100.0::DOUBLE * present / total + 0.5)::BIGINT AS percent FROM n""",
     "confusion_metrics": f"WITH {TRUTH} {_metrics(f'SELECT {CELLS.format(p="predicted")} FROM truth')}",
@@ -163,10 +163,10 @@ SELECT clusters, conflicting, people, over_split, round(conflicting / clusters,
     "preflight_checks": """WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n, quantile_cont(value, 0.5) AS sharp, max(value) - min(value) AS spread FROM events GROUP BY 1)
 SELECT hour, n, round(sharp, 6) AS sharp, (n < 10)::INT + coalesce(sharp < 50, false)::INT + coalesce(spread < 60, false)::INT AS n_checks, CASE WHEN n < 10 THEN 'fail' WHEN sharp < 50 OR spread < 60 THEN 'warn' ELSE 'pass' END AS status FROM h""",
     "pan_speed": "WITH s AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS step FROM events WHERE value IS NOT NULL) SELECT user_id, round(sum(step) / 60, 6) AS speed FROM s GROUP BY user_id",
-    "missing_chunks": "WITH w AS (SELECT o_orderkey AS upload_id, unnest(range(0, ceil(floor(o_totalprice) / 20000)::BIGINT)) AS chunk FROM orders WHERE o_orderkey % 50 = 0 AND floor(o_totalprice) > 0) SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = upload_id AND l_linenumber = chunk)",
+    "missing_chunks": "WITH w AS (SELECT o_orderkey AS upload_id, unnest(range(0, ceil(floor(o_totalprice) / 20000)::BIGINT)) AS chunk FROM orders WHERE floor(o_totalprice) > 0) SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = upload_id AND l_linenumber = chunk)",
     "retention_expired": "SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 180 DAY < TIMESTAMP '2000-01-01'",
     "biometric_delete_effect": f"WITH {CONSENT} SELECT event_type, count(*) AS kept FROM events WHERE user_id NOT IN (SELECT student_id FROM latest WHERE state = 'revoked') GROUP BY 1",
-    "linspace_sample": "SELECT event_id, event_type FROM events WHERE event_id IN (SELECT floor(i * 9999 / 17)::BIGINT FROM range(18) AS t(i))",
+    "linspace_sample": "WITH e AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS place, count(*) OVER () AS total FROM events WHERE event_id IS NOT NULL) SELECT event_id, event_type FROM e WHERE list_contains(list_transform(range(18), lambda i: floor(i * (total - 1) / 17)::BIGINT), place)",
     "media_urls": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '/media/jobs/' || o_orderkey || '/best.jpg' END AS url FROM orders",
     "params_hash": """SELECT sha256('{"eps":0.65,"min_samples":3}') AS cluster, sha256('{"match_threshold":0.25}' || sha256('{"eps":0.65,"min_samples":3}')) AS match""",
 }

@@ -330,7 +330,7 @@ def first_audit(spark, d):
 
 
 @query
-def current_attendance(spark, d):
+def current_presence(spark, d):
     return L.current(S.ledger(spark, d)).select("id", "class_session_id", "student_id", "status")
 
 
