@@ -163,3 +163,29 @@ def purity(labels: DataFrame, truth: DataFrame) -> DataFrame:
     per = labels.where("cluster_id >= 0").join(truth, "det_id").groupBy("cluster_id", "true_label").count()
     best = per.groupBy("cluster_id").agg(F.max("count").alias("best"), F.sum("count").alias("all"))
     return best.agg((F.sum("best") / F.sum("all")).alias("purity"))
+
+
+def sweep(crops: DataFrame, pairs: DataFrame, grid: DataFrame, truth: DataFrame) -> DataFrame:
+    """(eps, min_samples, noise, clusters, purity) for every point of a grid (point, eps, min_samples; a few rows). pairs: of the largest eps.
+
+    Crops of all points are clustered at once: a crop of a point is a node of its own.
+    """
+    scratch = Scratch(crops.sparkSession, "sweep")
+    n = grid.agg(F.max("point")).first()[0] + 1
+    node = lambda c: F.col(c) * n + F.col("point")
+    points = F.broadcast(grid)
+    near = pairs.crossJoin(points).where(F.col("distance") <= F.col("eps"))
+    near = scratch.cut(near.select("point", "min_samples", node("i").alias("i"), node("j").alias("j"), F.lit(0.0).alias("distance")), "pairs")
+    every = crops.select("det_id").crossJoin(points).select("point", "min_samples", "det_id", node("det_id").alias("node"))
+    least = near.select("min_samples", F.explode(F.array("i", "j")).alias("node")).groupBy("node", "min_samples").count().where("count + 1 >= min_samples").select("node")
+    core = scratch.cut(least, "core")
+    edges = near.join(core.withColumnRenamed("node", "i"), "i").join(core.withColumnRenamed("node", "j"), "j").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    comp = components(edges, scratch)
+    roots = core.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    both = near.select(F.col("i").alias("node"), F.col("j").alias("other")).union(near.select("j", "i"))
+    border = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("beside")), "other").groupBy("node").agg(F.min("beside").alias("beside"))
+    labels = scratch.cut(every.join(roots, "node", "left").join(border, "node", "left").select("point", "det_id", F.coalesce("root", "beside").alias("cluster")), "labels")
+    counts = labels.groupBy("point").agg(F.count_if(F.col("cluster").isNull()).alias("noise"), F.count_distinct("cluster").alias("clusters"))
+    per = labels.where("cluster is not null").join(truth, "det_id").groupBy("point", "cluster", "true_label").count()
+    best = per.groupBy("point", "cluster").agg(F.max("count").alias("best"), F.sum("count").alias("all")).groupBy("point").agg((F.sum("best") / F.sum("all")).alias("purity"))
+    return points.join(counts, "point", "left").join(best, "point", "left").select("eps", "min_samples", "noise", "clusters", "purity")

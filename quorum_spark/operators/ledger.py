@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quorum_spark.operators.scratch import Scratch
+
 
 def top_rows(rows: DataFrame, key: str | list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of each key in an order."""
@@ -19,16 +21,33 @@ def current(records: DataFrame) -> DataFrame:
     return records.join(newer, "id", "left_anti")
 
 
+def chain_depths(records: DataFrame) -> DataFrame:
+    """(id, depth): how many records each current record supersedes, directly or through others. records: id, supersedes_id.
+
+    Every round joins what each record reaches with what that reaches, so rounds follow the logarithm of the longest chain.
+    """
+    scratch = Scratch(records.sparkSession, "chains")
+    state = scratch.cut(records.select("id", F.col("supersedes_id").alias("up"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).alias("depth")), "state")
+    for _ in range(64):
+        if state.where("up is not null").isEmpty():
+            return current(records).select("id").join(state.select("id", "depth"), "id")
+        further = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        new = scratch.cut(state.join(further, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "state")
+        scratch.drop(state)
+        state = new
+    raise ValueError("records supersede each other in a circle")
+
+
 def latest_consent(consents: DataFrame) -> DataFrame:
     """(student_id, id, state): the newest consent's state, valid or revoked. Students without a row have none."""
     last = top_rows(consents, "student_id", [F.desc("granted_at"), F.desc("id")])
     return last.select("student_id", "id", F.when(F.col("revoked_at").isNull(), "valid").otherwise("revoked").alias("state"))
 
 
-def last_decisions(decisions: DataFrame) -> DataFrame:
-    """One decision per student, the one given last. decisions: student_id, status, source, ordinal. Automatic ones are refused."""
+def last_decisions(decisions: DataFrame, key: str = "student_id") -> DataFrame:
+    """One decision per student or other key, the one given last. decisions: key, status, source, ordinal. Automatic ones are refused."""
     own = decisions.withColumn("source", F.when(F.col("source") != "auto", F.col("source")).otherwise(F.raise_error(F.lit("a decision cannot be automatic"))))
-    return top_rows(own, "student_id", [F.desc("ordinal")]).drop("rank")
+    return top_rows(own, key, [F.desc("ordinal")]).drop("rank")
 
 
 def commit(roster: DataFrame, decisions: DataFrame, confident: DataFrame, teacher: int, by: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,12 +12,42 @@ from pyspark.sql.window import Window
 from quorum_spark.functions.vectors import dot
 from quorum_spark.params import PipelineParams
 
+#: Vectors of a block.
+BLOCK = 1024
+
 
 def similarities(reps: DataFrame, gallery: DataFrame) -> DataFrame:
-    """(cluster_id, student_id, similarity) for all pairs. reps: cluster_id, representative; gallery: student_id, mean."""
+    """(cluster_id, student_id, similarity) for all pairs. reps: cluster_id, representative; gallery: student_id, mean.
+
+    All pairs are what the assignment of a job needs; top_matches is for the best few.
+    """
     return reps.crossJoin(gallery).select("cluster_id", "student_id", dot("representative", "mean").alias("similarity"))
 
 
+def top_matches(reps: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+    """(cluster_id, student_id, similarity, rank) of each cluster's k best gallery entries; equal similarities in order of student_id.
+
+    Both sides are packed in blocks; a pair of blocks is one matrix product, of which k entries for each cluster are kept.
+    """
+    pack = lambda t, key, v, b: t.groupBy(F.pmod(F.xxhash64(key), F.lit(t.count() // BLOCK + 1)).alias(b)).agg(F.collect_list(key).alias(key), F.flatten(F.collect_list(v)).alias(v))
+    left, right = pack(reps, "cluster_id", "representative", "b1"), pack(gallery, "student_id", "mean", "b2")
+    met = left.join(right.select("b2", "student_id", "mean").withColumn("all", F.lit(1)), F.lit(1) == F.col("all"))  # blocks of the gallery, the query set
+
+    def run(batches):
+        for batch in batches:
+            get = lambda c, r, batch=batch: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
+            for r in range(batch.num_rows):
+                i, x, j, y = (get(c, r) for c in ("cluster_id", "representative", "student_id", "mean"))
+                order = np.argsort(j, kind="stable")
+                j, s = j[order], x.reshape(len(i), -1) @ y.reshape(len(j), -1)[order].T
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])), pa.array(j[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["cluster_id", "student_id", "similarity"])
+
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    found = met.select("cluster_id", "representative", "student_id", "mean").mapInArrow(run, f"cluster_id {kind(reps, 'cluster_id')}, student_id {kind(gallery, 'student_id')}, similarity double")
+    return ranked(found, k)
+
+
 def ranked(sims: DataFrame, k: int, key: str = "cluster_id") -> DataFrame:
     """Each key's k best entries; equal similarities in order of student_id."""
     order = Window.partitionBy(key).orderBy(F.desc("similarity"), "student_id")
@@ -74,10 +105,14 @@ def assign(sims: DataFrame, job: str) -> DataFrame:
     return sims.groupBy(job).applyInPandas(one, f"{kinds}, similarity double")
 
 
-def decide(sims: DataFrame, assigned: DataFrame, p: PipelineParams) -> DataFrame:
-    """One row per cluster: similarity of its assigned student, best similarity of any other, band; no student where unmatched."""
+def decide(sims: DataFrame, assigned: DataFrame, p: PipelineParams, clusters: DataFrame | None = None) -> DataFrame:
+    """One row per cluster: similarity of its assigned student, best similarity of any other, band; no student where unmatched.
+
+    clusters: cluster_id of all clusters; those that no gallery entry was compared with, as with an empty gallery, are unmatched.
+    """
     mine = assigned.select("cluster_id", F.col("student_id").alias("mine"), F.col("similarity").alias("own"))
-    rows = sims.join(mine, "cluster_id", "left").groupBy("cluster_id").agg(
+    every = sims.select("cluster_id").distinct() if clusters is None else clusters.select("cluster_id").distinct()
+    rows = every.join(sims, "cluster_id", "left").join(mine, "cluster_id", "left").groupBy("cluster_id").agg(
         F.max("mine").alias("mine"), F.max("own").alias("similarity"), F.max(F.when(F.col("student_id") != F.col("mine"), F.col("similarity"))).alias("runner_up")
     )
     rows = rows.withColumn("decision", band(F.col("similarity"), F.col("runner_up"), p))
@@ -105,7 +140,7 @@ def session_summary(decisions: DataFrame, roster: DataFrame, warned: bool, p: Pi
 
 def majority_vote(crops: DataFrame, gallery: DataFrame, threshold: float, votes: int) -> DataFrame:
     """(student_id, votes, present): crops vote for their best entry if it is similar enough. Every gallery student has a row."""
-    sims = crops.select("det_id", "v").crossJoin(F.broadcast(gallery)).select("det_id", "student_id", dot("v", "mean").alias("similarity"))
+    sims = crops.select("det_id", "v").crossJoin(gallery).select("det_id", "student_id", dot("v", "mean").alias("similarity"))
     best = sims.groupBy("det_id").agg(F.max(F.struct("similarity", (-F.col("student_id")).alias("minus"))).alias("b"))
     given = best.where(F.col("b.similarity") >= threshold).groupBy((-F.col("b.minus")).alias("student_id")).agg(F.count("*").alias("votes"))
     n = F.coalesce("votes", F.lit(0))

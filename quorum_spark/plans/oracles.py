@@ -76,15 +76,37 @@ SWEPT = _metrics(f"SELECT threshold, {CELLS.format(p='n_chars >= threshold')} FR
 VOTE = "s AS (SELECT det_id, gal_v.label AS student_id, list_dot_product(v, r) AS similarity FROM crops CROSS JOIN gal_v)"
 
 
-def _sweep() -> str:
-    grid = [(e, m) for e in (0.5, 0.6, 0.65) for m in (3, 4)]
-    steps = ", ".join(_dbscan(e, m, f"_{k}") for k, (e, m) in enumerate(grid))
-    rows = " UNION ALL ".join(
-        f"""SELECT {e}::DOUBLE AS eps, {m} AS min_samples, (SELECT count(*) FROM labels_{k} WHERE cluster_id = -1) AS noise, (SELECT max(cluster_id) + 1 FROM labels_{k}) AS clusters,
-(SELECT round(sum(b) / sum(n), 6) FROM (SELECT max(c) AS b, sum(c) AS n FROM (SELECT cluster_id, label, count(*) AS c FROM labels_{k} JOIN crops USING (det_id) WHERE cluster_id >= 0 GROUP BY ALL) GROUP BY cluster_id)) AS purity"""
-        for k, (e, m) in enumerate(grid)
-    )
-    return f"WITH RECURSIVE {CROPS}, {steps} {rows}"
+GRID = "grid AS (SELECT row_number() OVER (ORDER BY e, m) - 1 AS point, e / 100.0::DOUBLE AS eps, m::INT AS min_samples FROM range(30, 55, 2) t(e), range(2, 6) u(m))"
+SWEEP = f"""WITH RECURSIVE {CROPS}, {GRID}, pairs AS (SELECT a.det_id AS i, b.det_id AS j, 1 - list_dot_product(a.v, b.v) AS d FROM crops a JOIN crops b ON a.det_id < b.det_id),
+met AS (SELECT point, min_samples, i AS a, j AS b FROM pairs JOIN grid ON d <= eps UNION ALL SELECT point, min_samples, j, i FROM pairs JOIN grid ON d <= eps),
+core AS (SELECT point, a AS det_id FROM met GROUP BY point, min_samples, a HAVING count(*) + 1 >= min_samples),
+edges AS (SELECT met.* FROM met SEMI JOIN core x ON (x.point, x.det_id) = (met.point, a) SEMI JOIN core y ON (y.point, y.det_id) = (met.point, b)),
+reach(point, node, seen) AS (SELECT point, det_id, det_id FROM core UNION SELECT r.point, e.b, r.seen FROM reach r JOIN edges e ON e.point = r.point AND e.a = r.node WHERE r.seen < e.b),
+root AS (SELECT point, node AS det_id, min(seen) AS root FROM reach GROUP BY ALL),
+border AS (SELECT met.point, a AS det_id, min(root) AS near FROM met JOIN root ON (root.point, root.det_id) = (met.point, b) GROUP BY ALL),
+labels AS (SELECT g.point, c.det_id, label, coalesce(root, near) AS cluster FROM grid g CROSS JOIN crops c LEFT JOIN root USING (point, det_id) LEFT JOIN border USING (point, det_id)),
+n AS (SELECT point, count(*) FILTER (cluster IS NULL) AS noise, count(DISTINCT cluster) AS clusters FROM labels GROUP BY 1),
+p AS (SELECT point, sum(best) / sum(every) AS purity FROM (SELECT point, cluster, max(c) AS best, sum(c) AS every FROM (SELECT point, cluster, label, count(*) AS c FROM labels WHERE cluster IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY 1)
+SELECT eps, min_samples, noise, clusters, round(purity, 6) AS purity FROM grid JOIN n USING (point) LEFT JOIN p USING (point)"""
+JOBS = f"""WITH RECURSIVE {CROPS}, {_dbscan().replace("ON a.det_id < b.det_id WHERE", "ON a.det_id < b.det_id AND a.label = b.label WHERE").replace("FROM root)", "FROM root JOIN crops ON crops.det_id = node)").replace("OVER (ORDER BY root)", "OVER (PARTITION BY label ORDER BY root)")}
+SELECT label AS job_id, det_id, cluster_id, core FROM labels JOIN crops USING (det_id) WHERE label IS NOT NULL"""
+SPLIT = f"""inside AS (SELECT det_id, cluster_id FROM labels WHERE cluster_id IN (SELECT cluster_id FROM found)),
+sm AS (SELECT x.det_id AS a, y.det_id AS b FROM pairs JOIN inside x ON x.det_id = i JOIN inside y ON y.det_id = j WHERE x.cluster_id = y.cluster_id AND d <= {0.95 * 0.65!r} UNION ALL SELECT y.det_id, x.det_id FROM pairs JOIN inside x ON x.det_id = i JOIN inside y ON y.det_id = j WHERE x.cluster_id = y.cluster_id AND d <= {0.95 * 0.65!r}),
+score AS (SELECT a AS det_id FROM sm GROUP BY a HAVING count(*) + 1 >= 3), sedges AS (SELECT a, b FROM sm WHERE a IN (FROM score) AND b IN (FROM score)),
+sreach(node, seen) AS (SELECT det_id, det_id FROM score UNION SELECT e.b, r.seen FROM sreach r JOIN sedges e ON e.a = r.node WHERE r.seen < e.b),
+sroot AS (SELECT node AS det_id, min(seen) AS root FROM sreach GROUP BY node), sborder AS (SELECT a AS det_id, min(root) AS near FROM sm JOIN sroot ON b = sroot.det_id GROUP BY a),
+parts AS (SELECT det_id, cluster_id, coalesce(root, near) AS part FROM inside LEFT JOIN sroot USING (det_id) LEFT JOIN sborder USING (det_id)),
+several AS (SELECT cluster_id FROM parts GROUP BY 1 HAVING count(DISTINCT part) >= 2),
+fresh AS (SELECT cluster_id, part, ((SELECT max(cluster_id) FROM labels) + row_number() OVER (ORDER BY cluster_id, part))::INT AS new FROM (SELECT DISTINCT cluster_id, part FROM parts WHERE part IS NOT NULL AND cluster_id IN (FROM several)))
+SELECT det_id, CASE WHEN l.cluster_id IN (FROM several) THEN coalesce(new, -1) ELSE l.cluster_id END AS cluster_id FROM labels l LEFT JOIN parts USING (det_id) LEFT JOIN fresh ON fresh.cluster_id = parts.cluster_id AND fresh.part = parts.part"""
+ASSIGNED = """js AS (SELECT cluster_id // 4 AS job, cluster_id, cluster_id % 4 + 1 AS k, student_id, similarity FROM sims),
+tried(job, k, path, total) AS (SELECT DISTINCT job, 0, []::INT[], 0.0::DOUBLE FROM js UNION ALL SELECT t.job, t.k + 1, list_append(path, student_id), total + similarity FROM tried t JOIN js ON js.job = t.job AND js.k = t.k + 1 AND NOT list_contains(path, student_id)),
+won AS (SELECT job, arg_max(path, total) AS path FROM (SELECT * FROM tried QUALIFY k = max(k) OVER (PARTITION BY job)) GROUP BY job),
+best AS (SELECT cluster_id, student_id AS mine, similarity AS own FROM js JOIN won USING (job) WHERE path[k] = student_id),
+dec AS (SELECT cluster_id, mine, own AS similarity, max(similarity) FILTER (student_id <> mine) AS runner_up FROM sims JOIN best USING (cluster_id) GROUP BY ALL),
+banded AS (SELECT *, CASE WHEN similarity >= 0.25 AND similarity - coalesce(runner_up, 0) >= 0.05 THEN 'confident' WHEN similarity >= 0.25 - 0.05 THEN 'uncertain' ELSE 'unmatched' END AS decision FROM dec)"""
+DECIDED = "SELECT cluster_id, CASE WHEN decision <> 'unmatched' THEN mine END AS student_id, round(similarity, 6) AS similarity, round(runner_up, 6) AS runner_up, decision FROM banded"
+PLAIN = _means("plain", "members", "cluster_id", "1.0")
 
 
 SQL = {
@@ -96,11 +118,29 @@ SQL = {
     "plain_mean_representative": f"{LABELS}, {MEMBERS}, {_means('plain', 'members', 'cluster_id', '1.0')} SELECT cluster_id, pos, round(x, 6) AS x FROM plain",
     "distance_to_representative": f"{LABELS}, {MEMBERS}, {REPS} SELECT det_id, cluster_id, round(1 - list_dot_product(v, r), 6) AS distance FROM crops JOIN labels USING (det_id) LEFT JOIN reps_v USING (cluster_id)",
     "noise_and_cluster_counts": f"{LABELS} SELECT count(*) FILTER (cluster_id = -1) AS noise, count(DISTINCT cluster_id) FILTER (cluster_id >= 0) AS clusters, count(*) FILTER (core) AS core FROM labels",
-    "cluster_sweep": _sweep(),
+    "cluster_sweep": SWEEP,
+    "job_labels": JOBS,
+    "split_labels": f"{LABELS}, {MEMBERS}, {TIGHT}, {SUMMARY}, {SPANS}, {SPLIT}",
+    "hungarian_match": f"{MATCH}, {ASSIGNED} {DECIDED}",
+    "session_summary": f"""{MATCH}, {ASSIGNED}, per AS (SELECT mine AS student_id, bool_or(decision = 'confident') AS sure FROM banded WHERE decision <> 'unmatched' GROUP BY 1),
+n AS (SELECT count(*) AS enrolled, count(*) FILTER (sure) AS present, count(*) FILTER (NOT sure) AS review, count(*) FILTER (sure IS NULL) AS absent FROM gal_v LEFT JOIN per ON student_id = label),
+o AS (SELECT count(*) FILTER (decision = 'unmatched') AS unrecognised, avg(similarity) FILTER (decision = 'confident') AS mean_similarity FROM banded), c AS (SELECT *, 100.0::DOUBLE * (present + review) / enrolled AS coverage FROM n, o)
+SELECT enrolled, present, review, absent, unrecognised, round(mean_similarity, 6) AS mean_similarity, round(coverage, 6) AS coverage, CASE WHEN coverage < 60 OR coalesce(mean_similarity < 0.45, false) THEN 'poor' WHEN coverage < 85 THEN 'fair' ELSE 'good' END AS health FROM c""",
+    "ablations": f"""{MATCH}, {PLAIN}, {GREEDY}, psims AS (SELECT cluster_id, label AS student_id, list_dot_product(plain_v.r, gal_v.r) AS similarity FROM plain_v CROSS JOIN gal_v),
+pbest AS (SELECT cluster_id, student_id AS mine, similarity AS own FROM psims QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, student_id) = 1),
+pdec AS (SELECT cluster_id, own AS similarity, max(similarity) FILTER (student_id <> mine) AS runner_up FROM psims JOIN pbest USING (cluster_id) GROUP BY ALL),
+{VOTE}, top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY similarity DESC, student_id) = 1)
+SELECT 'votes' AS variant, 'present' AS decision, count(*) AS n FROM (SELECT student_id FROM top WHERE similarity >= 0.3 GROUP BY 1 HAVING count(*) >= 3) UNION ALL SELECT 'weighted', decision, count(*) FROM banded GROUP BY 2
+UNION ALL SELECT 'plain', CASE WHEN similarity >= 0.25 AND similarity - coalesce(runner_up, 0) >= 0.05 THEN 'confident' WHEN similarity >= 0.25 - 0.05 THEN 'uncertain' ELSE 'unmatched' END, count(*) FROM pdec GROUP BY 2""",
     "temporal_merge_edges": f"{LABELS}, {MEMBERS}, {REPS}, {SUMMARY}, {MERGE} SELECT a, b, round(distance, 6) AS distance, round(overlap, 6) AS overlap FROM mfound",
     "temporal_merge_labels": f"""{LABELS}, {MEMBERS}, {REPS}, {SUMMARY}, {MERGE}, mboth AS (SELECT a, b FROM mfound UNION ALL SELECT b, a FROM mfound),
 mreach(node, seen) AS (SELECT cluster_id, cluster_id FROM summary UNION SELECT e.b, r.seen FROM mreach r JOIN mboth e ON e.a = r.node WHERE r.seen < e.b),
 mnew AS (SELECT node, (dense_rank() OVER (ORDER BY min(seen)) - 1)::INT AS n FROM mreach GROUP BY node) SELECT det_id, coalesce(n, -1) AS cluster_id FROM labels LEFT JOIN mnew ON node = cluster_id""",
+    "merged_summary": f"""{LABELS}, {MEMBERS}, {REPS}, {SUMMARY}, {MERGE}, mboth AS (SELECT a, b FROM mfound UNION ALL SELECT b, a FROM mfound),
+mreach(node, seen) AS (SELECT cluster_id, cluster_id FROM summary UNION SELECT e.b, r.seen FROM mreach r JOIN mboth e ON e.a = r.node WHERE r.seen < e.b),
+mnew AS (SELECT node, (dense_rank() OVER (ORDER BY min(seen)) - 1)::INT AS n FROM mreach GROUP BY node), mlabels AS (SELECT det_id, n AS cluster_id FROM labels JOIN mnew ON node = cluster_id), mm AS (SELECT * FROM crops JOIN mlabels USING (det_id)),
+mtight AS (SELECT a.cluster_id, sum(list_dot_product(a.v, b.v)) / count(*) AS t FROM mm a JOIN mm b ON a.cluster_id = b.cluster_id AND a.det_id <> b.det_id GROUP BY 1)
+SELECT cluster_id, count(*) AS member_count, round(avg(quality_score), 6) AS mean_quality, min(frame_index) AS first_frame, max(frame_index) AS last_frame, arg_max(det_id, (quality_score, -det_id)) AS best_det, round(any_value(coalesce(t, 1.0)), 6) AS tightness FROM mm LEFT JOIN mtight USING (cluster_id) GROUP BY 1""",
     "split_candidates": f"{LABELS}, {MEMBERS}, {TIGHT}, {SUMMARY}, {SPANS} SELECT cluster_id, round(span, 6) AS span, round(tightness, 6) AS tightness FROM found",
     "gallery_means": f"WITH {CROPS}, {GALLERY} SELECT label AS student_id, pos, round(x, 6) AS x FROM gal",
     "similarity_matrix_topk": f"{MATCH} SELECT cluster_id, student_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, student_id) AS rank FROM sims QUALIFY rank <= 3",

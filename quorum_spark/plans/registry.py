@@ -10,12 +10,13 @@ from quorum_spark.functions.vectors import dot
 from quorum_spark.operators import clustering as C
 from quorum_spark.operators import detections as D
 from quorum_spark.operators import evaluation as E
+from quorum_spark.operators import intake as I
 from quorum_spark.operators import ledger as L
 from quorum_spark.operators import matching as M
 from quorum_spark.operators.numbering import numbered
 from quorum_spark.operators.scratch import Scratch
 from quorum_spark.params import PipelineParams
-from quorum_spark.plans import oracles
+from quorum_spark.plans import oracles, reviews, scores
 from quorum_spark.plans import stand_ins as S
 
 P = S.PARAMS
@@ -92,18 +93,30 @@ def noise_and_cluster_counts(spark, d):
     return _labels(spark, d)[1].agg(F.count_if(F.col("cluster_id") == -1).alias("noise"), F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("clusters"), F.count_if("core").alias("core"))
 
 
+#: The grid of a sweep.
+EPS_GRID, MIN_SAMPLES_GRID = [round(0.30 + 0.02 * k, 2) for k in range(13)], [2, 3, 4, 5]
+
+
 @query
 def cluster_sweep(spark, d):
+    """All points of the grid in one clustering: a crop stands for itself at every point, and pairs are found once."""
     crops = S.crops(spark, d)
-    pairs = Scratch(spark, "sweep").cut(C.eps_pairs(crops, 0.65), "pairs")
-    truth, out = crops.select("det_id", F.col("label").alias("true_label")), None
-    for eps in (0.5, 0.6, 0.65):
-        for m in (3, 4):
-            labels = C.dbscan(crops, eps, m, pairs)
-            row = labels.agg(F.lit(eps).alias("eps"), F.lit(m).alias("min_samples"), F.count_if(F.col("cluster_id") == -1).alias("noise"), F.max("cluster_id").alias("top"))
-            row = row.crossJoin(C.purity(labels, truth)).select("eps", "min_samples", "noise", (F.col("top") + 1).alias("clusters"), r6("purity", "purity"))
-            out = row if out is None else out.union(row)
-    return out
+    pairs = Scratch(spark, "sweep").cut(C.eps_pairs(crops, max(EPS_GRID)), "pairs")
+    grid = spark.createDataFrame([(k, e, m) for k, (e, m) in enumerate((e, m) for e in EPS_GRID for m in MIN_SAMPLES_GRID)], "point long, eps double, min_samples int")
+    return rounded(C.sweep(crops, pairs, grid, crops.select("det_id", F.col("label").alias("true_label"))), "purity")
+
+
+@query
+def job_labels(spark, d):
+    crops = S.crops(spark, d).withColumnRenamed("label", "job_id").where("job_id is not null")
+    return C.dbscan(crops, P.eps, P.min_samples, by=("job_id",))
+
+
+@query
+def merged_summary(spark, d):
+    crops, labels, summary = _summary(spark, d)
+    new = C.merged(labels.drop("core"), C.merge_edges(summary, P.eps * P.merge_factor, P.merge_overlap))
+    return rounded(C.summarize(crops, new).drop("representative"), "mean_quality", "tightness")
 
 
 @query
@@ -131,7 +144,7 @@ def split_candidates(spark, d):
 def split_labels(spark, d):
     crops, labels, summary = _summary(spark, d)
     found = C.split_candidates(summary, _frames(crops), P.split_span, P.split_tightness)
-    return C.split(crops, labels.drop("core"), found, 0.95 * P.eps, P.min_samples, C.eps_pairs(crops, P.eps))
+    return C.split(crops, labels.drop("core"), found, P.split_factor * P.eps, P.min_samples, C.eps_pairs(crops, P.eps))
 
 
 @query
@@ -146,7 +159,7 @@ def _sims(spark, d):
 
 @query
 def similarity_matrix_topk(spark, d):
-    return rounded(M.ranked(_sims(spark, d), 3), "similarity")
+    return rounded(M.top_matches(_summary(spark, d)[2].select("cluster_id", "representative"), S.gallery(spark, d), 3), "similarity")
 
 
 @query
@@ -173,8 +186,10 @@ def lowest_margin_topk(spark, d):
 
 
 def _assigned(spark, d):
+    """Clusters four at a time as jobs, each assigned by itself."""
     sims = _sims(spark, d)
-    return M.decide(sims, M.assign(sims.withColumn("job_id", F.lit(1)), "job_id"), P)
+    assigned = M.assign(sims.withColumn("job_id", F.expr("cluster_id div 4")), "job_id")
+    return M.decide(sims, assigned, P)
 
 
 @query
@@ -187,6 +202,19 @@ def session_summary(spark, d):
     return rounded(M.session_summary(_assigned(spark, d), S.gallery(spark, d).select("student_id"), False, P), "coverage", "mean_similarity")
 
 
+@query
+def ablations(spark, d):
+    """Decisions by weighted and by plain representatives, and people that votes of crops alone find present."""
+    crops, labels, summary = _summary(spark, d)
+    plain = C.mean_vectors(crops.join(labels.where("cluster_id >= 0"), "det_id"), "cluster_id").withColumnRenamed("mean", "representative")
+    out = M.majority_vote(crops, S.gallery(spark, d), 0.3, 3).where("present").agg(F.lit("votes").alias("variant"), F.lit("present").alias("decision"), F.count("*").alias("n"))
+    for name, reps in (("weighted", summary), ("plain", plain)):
+        sims = Scratch(spark, "plan").cut(M.similarities(reps.select("cluster_id", "representative"), S.gallery(spark, d)), "sims")
+        decided = M.decide(sims, M.ranked(sims, 1).select("cluster_id", "student_id", "similarity"), P)
+        out = out.union(decided.groupBy(F.lit(name).alias("variant"), "decision").agg(F.count("*").alias("n")))
+    return out
+
+
 @query
 def majority_vote(spark, d):
     return M.majority_vote(S.crops(spark, d), S.gallery(spark, d), 0.3, 3)
@@ -201,17 +229,17 @@ def within_between_similarity(spark, d):
 
 @query
 def similarity_histogram(spark, d):
-    sims = S.crops(spark, d).select("det_id", "v").crossJoin(F.broadcast(S.gallery(spark, d))).select(F.round(dot("v", "mean"), 9).alias("s"))
+    sims = S.crops(spark, d).select("det_id", "v").crossJoin(S.gallery(spark, d)).select(F.round(dot("v", "mean"), 9).alias("s"))
     return E.histogram(sims, "s", -1.0, 1.0, 20)
 
 
 @query
 def similarity_percentiles(spark, d):
-    sims = S.crops(spark, d).select("det_id", "v").crossJoin(F.broadcast(S.gallery(spark, d))).select(dot("v", "mean").alias("s"))
+    sims = S.crops(spark, d).select("det_id", "v").crossJoin(S.gallery(spark, d)).select(dot("v", "mean").alias("s"))
     return sims.agg(r6(F.avg("s"), "mean"), *[r6(F.percentile("s", F.lit(p / 100)), f"p{p}") for p in (5, 50, 95)])
 
 
-def _boxes(spark, d):
+def boxes(spark, d):
     """All detections, those of a frame numbered by their whole row."""
     from pyspark.sql.window import Window
 
@@ -220,15 +248,15 @@ def _boxes(spark, d):
 
 
 @query
-def nms_boxes(spark, d):
-    kept = D.suppress(_boxes(spark, d), "frame_index", P.nms_iou).select("frame_index", F.posexplode("kept").alias("k", "b"))
+def nmsboxes(spark, d):
+    kept = D.suppress(boxes(spark, d), "frame_index", P.nms_iou).select("frame_index", F.posexplode("kept").alias("k", "b"))
     return kept.select("frame_index", F.concat_ws("_", F.col("frame_index").cast("string"), F.col("k").cast("string")).alias("det_id"), "b.x1", "b.y1", r6("b.score", "score")).where("score >= 0.6")
 
 
 @query
 def iou_pairs(spark, d):
     box = F.struct("x1", "y1", "x2", "y2")
-    rows = Scratch(spark, "iou").cut(_boxes(spark, d).select("frame_index", F.col("ordinal").alias("i"), "l_orderkey", "l_partkey", box.alias("a")), "boxes")
+    rows = Scratch(spark, "iou").cut(boxes(spark, d).select("frame_index", F.col("ordinal").alias("i"), "l_orderkey", "l_partkey", box.alias("a")), "boxes")
     other = rows.select("frame_index", F.col("i").alias("j"), F.col("l_orderkey").alias("o2"), F.col("l_partkey").alias("p2"), F.col("a").alias("b"))
     met = rows.join(other, "frame_index").where("i < j")
     return met.select("frame_index", "i", "j", "l_orderkey", "l_partkey", "o2", "p2", r6(G.iou(F.col("a"), F.col("b")), "iou")).where("iou > 0.3")
@@ -336,7 +364,9 @@ def current_presence(spark, d):
 
 @query
 def correction_chain_depth(spark, d):
-    return S.ledger(spark, d).groupBy("student_id").agg(F.count("*").alias("records"), F.count("supersedes_id").alias("corrections"))
+    records = S.ledger(spark, d)
+    deep = L.chain_depths(records).join(records.select("id", "student_id"), "id")
+    return deep.select("student_id", (F.col("depth") + 1).cast("long").alias("records"), F.col("depth").cast("long").alias("corrections"))
 
 
 @query
@@ -443,15 +473,8 @@ def clustering_quality(spark, d):
 
 @query
 def preflight_checks(spark, d):
-    hours = S.table(spark, d, "events").groupBy(F.date_trunc("HOUR", "ts").alias("hour")).agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("sharp"), (F.max("value") - F.min("value")).alias("spread"))
-    checks = F.array(
-        F.when(F.col("n") < 10, F.struct(F.lit("few_detections").alias("check"), F.lit("fail").alias("state"))),
-        F.when(F.col("sharp") < 50, F.struct(F.lit("soft").alias("check"), F.lit("warn").alias("state"))),
-        F.when(F.col("spread") < 60, F.struct(F.lit("narrow").alias("check"), F.lit("warn").alias("state"))),
-    )
-    h = hours.withColumn("checks", F.filter(checks, lambda c: c.isNotNull()))
-    any_of = lambda s: F.exists("checks", lambda c: c.state == s)
-    return h.select("hour", "n", r6("sharp", "sharp"), F.size("checks").alias("n_checks"), F.when(any_of("fail"), "fail").when(any_of("warn"), "warn").otherwise("pass").alias("status"))
+    samples = S.table(spark, d, "events").select(F.date_trunc("HOUR", "ts").alias("hour"), "value")
+    return rounded(I.preflight(samples, "hour", {"least_detections": 10, "least_sharpness": 50, "least_spread": 60}), "sharp")
 
 
 @query
@@ -512,8 +535,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return QUERIES
+    return QUERIES | reviews.QUERIES | scores.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL
+    return oracles.SQL | reviews.SQL | scores.SQL

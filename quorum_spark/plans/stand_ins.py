@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quorum_spark.operators.clustering import mean_vectors
 from quorum_spark.params import PipelineParams
 
-PARAMS = PipelineParams(eps=0.65, merge_factor=1.1, match_threshold=0.25, match_margin=0.05, match_band=0.05)
+PARAMS = PipelineParams(eps=0.65, merge_factor=1.1, split_factor=0.95, match_threshold=0.25, match_margin=0.05, match_band=0.05)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
