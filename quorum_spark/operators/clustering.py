@@ -114,11 +114,20 @@ def distances(crops: DataFrame, labels: DataFrame, summary: DataFrame) -> DataFr
     return rows.select("det_id", "cluster_id", (1 - dot("v", "representative")).alias("distance"))
 
 
+#: Frames of a bin.
+BIN = 64
+
+
 def merge_edges(summary: DataFrame, limit: float, overlap: float) -> DataFrame:
-    """Pairs of clusters whose representatives are nearer than limit and whose frames overlap enough."""
+    """Pairs of clusters whose representatives are nearer than limit and whose frames overlap enough. overlap: above 0.
+
+    Clusters meet in the bins that their frames fall into, each pair in the first bin that both are in.
+    """
     cols = ["cluster_id", "representative", "first_frame", "last_frame"]
-    a, b = (summary.select([F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
-    near = a.join(b, F.col("cluster_id_a") < F.col("cluster_id_b"))
+    at = lambda c: F.floor(F.col(c) / BIN)
+    a, b = (summary.select(*[F.col(c).alias(f"{c}_{s}") for c in cols], F.explode(F.sequence(at("first_frame"), at("last_frame"))).alias("bin")) for s in "ab")
+    first = F.greatest(at("first_frame_a"), at("first_frame_b"))
+    near = a.join(b, "bin").where((F.col("cluster_id_a") < F.col("cluster_id_b")) & (F.col("bin") == first))
     d = 1 - dot("representative_a", "representative_b")
     f = shared_frames(*[F.col(c) for c in ("first_frame_a", "last_frame_a", "first_frame_b", "last_frame_b")])
     return near.where((d < limit) & (f >= overlap)).select(F.col("cluster_id_a").alias("a"), F.col("cluster_id_b").alias("b"), d.alias("distance"), f.alias("overlap"))

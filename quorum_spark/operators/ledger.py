@@ -27,15 +27,16 @@ def chain_depths(records: DataFrame) -> DataFrame:
     Every round joins what each record reaches with what that reaches, so rounds follow the logarithm of the longest chain.
     """
     scratch = Scratch(records.sparkSession, "chains")
-    state = scratch.cut(records.select("id", F.col("supersedes_id").alias("up"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).alias("depth")), "state")
-    for _ in range(64):
-        if state.where("up is not null").isEmpty():
-            return current(records).select("id").join(state.select("id", "depth"), "id")
+    state = scratch.cut(records.select("id", F.col("supersedes_id").alias("up"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).cast("long").alias("depth")), "state")
+    left, before = state.where("up is not null").count(), None
+    while left:
+        if left == before:  # in chains, some reach their end in every round
+            raise ValueError("records supersede each other in a circle")
         further = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         new = scratch.cut(state.join(further, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "state")
         scratch.drop(state)
-        state = new
-    raise ValueError("records supersede each other in a circle")
+        state, before, left = new, left, new.where("up is not null").count()
+    return current(records).select("id").join(state.select("id", "depth"), "id")
 
 
 def latest_consent(consents: DataFrame) -> DataFrame:

@@ -140,8 +140,7 @@ def session_summary(decisions: DataFrame, roster: DataFrame, warned: bool, p: Pi
 
 def majority_vote(crops: DataFrame, gallery: DataFrame, threshold: float, votes: int) -> DataFrame:
     """(student_id, votes, present): crops vote for their best entry if it is similar enough. Every gallery student has a row."""
-    sims = crops.select("det_id", "v").crossJoin(gallery).select("det_id", "student_id", dot("v", "mean").alias("similarity"))
-    best = sims.groupBy("det_id").agg(F.max(F.struct("similarity", (-F.col("student_id")).alias("minus"))).alias("b"))
-    given = best.where(F.col("b.similarity") >= threshold).groupBy((-F.col("b.minus")).alias("student_id")).agg(F.count("*").alias("votes"))
+    best = top_matches(crops.select(F.col("det_id").alias("cluster_id"), F.col("v").alias("representative")), gallery, 1)
+    given = best.where(F.col("similarity") >= threshold).groupBy("student_id").agg(F.count("*").alias("votes"))
     n = F.coalesce("votes", F.lit(0))
     return gallery.select("student_id").join(given, "student_id", "left").select("student_id", n.alias("votes"), (n >= votes).alias("present"))

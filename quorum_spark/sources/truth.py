@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorum_spark.operators.numbering import numbered
+from quorum_spark.operators.scratch import Scratch
+
 REQUIRED = ["roll_number", "actually_present", "row_number", "seat_position", "wears_glasses", "notes"]
 
 
@@ -51,3 +57,47 @@ def read_stage(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_stage(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("job_id").parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """Two text columns of a csv file with a header, such as cluster_id and roll_number or det_id and true_label; rows without a value are left out."""
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    if missing := [c for c in (key, value) if c not in raw.columns]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return raw.select(key, F.trim(value).alias(value)).where(F.col(value) != "")
+
+
+def write_sweep(rows: DataFrame, path: str, order: str) -> None:
+    """A sweep's few rows as one csv file, in order."""
+    rows.orderBy(order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def list_frames(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, frame_index) of files, numbered from 0 in order of path; what they hold isn't read."""
+    found = spark.read.format("binaryFile").load(pattern).select("path")
+    return numbered(found, ["path"], "frame_index", Scratch(spark, "frames")).select("path", "frame_index")
+
+
+def _rows_of_npy(dtype: str, skip: int, width: int):
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                x = np.frombuffer(content.as_buffer()[skip:], dtype).reshape(-1, width).astype(np.float32)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(x)), pa.array(np.arange(len(x))), lists], names=["path", "row", "v"])
+
+    return run
+
+
+def read_npy(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, row, v) of two-dimensional .npy files of one shape of rows and one type, as the first file's header says."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    first = files.select(F.substring("content", 1, 256).alias("head")).first()
+    if first is None:
+        return spark.createDataFrame([], "path string, row long, v array<float>")
+    head = io.BytesIO(bytes(first["head"]))
+    version = np.lib.format.read_magic(head)
+    shape, fortran, dtype = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
+    if fortran or len(shape) != 2:
+        raise ValueError("not rows of vectors")
+    return files.mapInArrow(_rows_of_npy(dtype.str, head.tell(), shape[1]), "path string, row long, v array<float>")
