@@ -5,7 +5,8 @@ users; the mask lists where the assistant's own words stand, in code points of t
 messages stay system messages in every view and are nobody's view.
 
 A view is rendered in parts of PART turn numbers (part 0 holds turns 0 to 63, and so on), so that a very long conversation
-is spread over tasks; the parts of a view, in order, are the whole rendering. Messages come in order of turn, then role and
+is spread over tasks; the parts of a view, in order, are the whole rendering, and a mask counts from its part's beginning. With
+part=None a view is one row, whatever its length. Messages come in order of turn, then role and
 text. A message whose role is null is by a user named "unknown", who has no view; null text is empty; a null turn counts as
 0; rows of a null conv_id belong to no conversation. Repeated rows are repeated messages. Extra columns are ignored.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 PART, SYSTEM, UNKNOWN = 64, "system", "unknown"
 
 
-def rotate(conversations: DataFrame) -> DataFrame:
-    """One row per conversation, participant and part: conv_id, speaker, part, n_messages, n_trained, rendered, mask."""
+def rotate(conversations: DataFrame, part: int | None = PART) -> DataFrame:
+    """One row per conversation, participant and part: conv_id, speaker, part, n_messages, n_trained, rendered, mask. part: turn numbers of a part, None for whole views."""
     turns = conversations.where("conv_id is not null").select(
         "conv_id",
         F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"),
@@ -32,7 +33,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     own = (F.col("role") == F.col("speaker")) & ~F.col("nobody")
     head = F.when(own, F.lit("assistant")).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), "role"))
     message = F.struct("turn", "role", "text", F.concat(F.lit("<|im_start|>"), head, F.lit("\n")).alias("head"), own.alias("own"))
-    parts = seen.groupBy("conv_id", "speaker", F.floor(F.col("turn") / PART).alias("part")).agg(F.array_sort(F.collect_list(message)).alias("m"))
+    of = F.floor(F.col("turn") / part) if part else F.lit(0).cast("long")
+    parts = seen.groupBy("conv_id", "speaker", of.alias("part")).agg(F.array_sort(F.collect_list(message)).alias("m"))
     end = "<|im_end|>\n"
 
     def add(acc, x):

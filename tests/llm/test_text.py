@@ -229,6 +229,17 @@ def test_rotation(spark):
     assert (ann.n_messages, ann.n_trained, got[1, "bob"].n_trained) == (5, 3, 1)
 
 
+def test_parts_of_a_view_are_the_whole_view(spark):
+    rows = [(1, t, ("ann", "bob", "system")[t % 3], f"m{t}") for t in range(150)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.speaker: r for r in chat.rotate(docs, part=None).collect()}
+    for speaker, view in whole.items():
+        parts = sorted((r for r in chat.rotate(docs, part=20).collect() if r.speaker == speaker), key=lambda r: r.part)
+        assert len(parts) == 8 and "".join(r.rendered for r in parts) == view.rendered
+        own = [r.rendered[int(a) : int(b)] for r in parts for a, b in (x.split(":") for x in r.mask.split(","))]
+        assert own == [view.rendered[int(a) : int(b)] for a, b in (x.split(":") for x in view.mask.split(","))] == [f"m{t}" for t in range(150) if ("ann", "bob", "system")[t % 3] == speaker]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = random.Random(12)
