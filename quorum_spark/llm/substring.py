@@ -11,7 +11,8 @@ How it keeps to size:
   whether several hold it, then the smallest id), so what a hash costs follows the packs and not the documents that share it.
 - Hashes are dealt to buckets by value, a bucket for each BUCKET bytes of text and a task for each bucket. A bucket answers
   every pack with the places, among the hashes that it sent, that matter. Texts are never expanded into rows.
-- A pack's text and its answers meet in one exchange; rows of answers come first, so a task holds one pack at a time.
+- A pack's text, compressed, and its answers meet in one exchange; rows of answers come first, so a task holds one pack at a
+  time, and packs are dealt to tasks by their number.
 
 Blocks and probes are told apart by 32 bits of a hash within a bucket, which can only propose too much. Windows are decided by
 128 bits: two hashes of different word hashes.
@@ -42,21 +43,23 @@ PACKS = 4
 #: Second base of word hashes, and chain of their windows.
 OTHER = np.uint64(0x8BB84B93962EACC9)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-PACKED = "ids array<bigint>, texts array<string>"
+PACKED = "bytes long, rows binary"
 ANSWER = "pack long, step int, bucket int, places binary"
 
 
 def _packs(most: int):
-    """Rows in packs of up to most bytes: their ids and texts."""
+    """Rows in packs of up to most bytes: size, and ids and texts as a compressed Arrow stream."""
 
     def run(batches):
         held, size = [], 0
 
         def pack():
-            ids, texts = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, texts)]
+            rows = pa.RecordBatch.from_arrays([pa.concat_arrays([x[k] for x in held]) for k in (0, 1)], names=["doc_id", "text"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(rows)
             held.clear()
-            return pa.RecordBatch.from_arrays(lists, names=["ids", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["bytes", "rows"])
 
         for batch in batches:
             for part in pieces(batch, "text", most):
@@ -76,8 +79,8 @@ def _packs(most: int):
 class Pack:
     """A pack's words: hashes, where each text begins, and ids. lost: texts without an id."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array):
-        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    def __init__(self, batch: pa.RecordBatch):
+        ids = batch.column("doc_id")
         self.parts = [Words(p.column("text")) for p in pieces(batch, "text")]
         self.at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.at) for w in self.parts]))])
         self.known = np.asarray(ids.is_valid())
@@ -107,6 +110,10 @@ class Pack:
         return a, b, start, np.searchsorted(self.at, start, "right") - 1
 
 
+def _opened(rows: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rows).read_next_batch()
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return mix(h ^ SECOND) % np.uint64(buckets)
 
@@ -129,28 +136,28 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(pack: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: the pack and the bucket's part of each column. bucket: ascending."""
+    """A row for each bucket: the pack and the bucket's part of each column, truth values as bits. bucket: ascending."""
+    raw = lambda v: (np.packbits(v) if v.dtype == bool else v).tobytes()
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    cut = {k: pa.array([v[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for k, v in columns.items()}
+    cut = {k: pa.array([raw(v[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for k, v in columns.items()}
     return pa.RecordBatch.from_pydict({"pack": pa.array([pack] * (len(edge) - 1), pa.int64()), "bucket": pa.array(bucket[edge[:-1]].astype(np.int32)), **cut})
 
 
 def _anchors(buckets: int):
-    """For each bucket a pack's distinct probes: 1 if one is a block, 2 if several texts hold it, 3 for both."""
+    """For each bucket a pack's distinct probes, whether one is a block, and whether several texts hold it."""
 
     def run(batches):
         for batch in batches:
-            for pack, ids, texts in zip(batch.column("pack").to_pylist(), batch.column("ids"), batch.column("texts"), strict=True):
-                own = Pack(ids.values, texts.values)
+            for pack, rows in zip(batch.column("pack").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                own = Pack(_opened(rows))
                 pos, doc, key = own.probes(buckets)
                 if not len(key):
                     continue
                 order, first = _groups(key)
                 block = (pos - own.at[doc]) % BLOCK == 0
                 several = doc[order][first] != doc[order][np.append(first[1:], len(order)) - 1]
-                flags = np.logical_or.reduceat(block[order], first) + 2 * several
                 some = key[order][first]
-                yield _rows(pack, some >> np.uint64(32), hashes=some.astype(np.uint32), flags=flags.astype(np.uint8))
+                yield _rows(pack, some >> np.uint64(32), hashes=some.astype(np.uint32), blocks=np.logical_or.reduceat(block[order], first), several=several)
 
     return run
 
@@ -178,20 +185,22 @@ def _hits(batches):
     """Probes matter where a text has a block of that hash and another text has a probe."""
     if (table := _whole(batches)) is None:
         return
-    h, flags = _column(table, "hashes", np.uint32), _column(table, "flags", np.uint8)
+    h, counts = _column(table, "hashes", np.uint32), [len(x) // 4 for x in table["hashes"].to_pylist()]
+    block, several = (np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table[c].to_pylist(), counts, strict=True)]) for c in ("blocks", "several"))
     order, first = _groups(h)
-    seen = np.bitwise_or.reduceat(flags[order], first)
-    ok = (seen & 1 > 0) & ((seen & 2 > 0) | (np.diff(np.append(first, len(h))) > 1))
+    size = np.diff(np.append(first, len(h)))
+    ok = (np.bitwise_or.reduceat(block[order], first) > 0) & ((np.bitwise_or.reduceat(several[order], first) > 0) | (size > 1))
     hit = np.empty(len(h), bool)
-    hit[order] = np.repeat(ok, np.diff(np.append(first, len(h))))
-    yield _answer(table, 1, [len(x) // 4 for x in table["hashes"].to_pylist()], hit)
+    hit[order] = np.repeat(ok, size)
+    yield _answer(table, 1, counts, hit)
 
 
 def _repeats(batches):
     """Windows of a pack matter where another pack's smallest document is smaller than its own."""
     if (table := _whole(batches)) is None:
         return
-    a, b, low = (_column(table, c, k) for c, k in (("hashes", np.uint64), ("others", np.uint64), ("lows", np.int64)))
+    a, b = (_column(table, c, np.uint64) for c in ("hashes", "others"))
+    low = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table["steps"].to_pylist()])
     order, first = _groups(a, b)
     least = np.empty(len(a), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(low[order], first), np.diff(np.append(first, len(a))))
@@ -199,37 +208,56 @@ def _repeats(batches):
 
 
 def _met(batches):
-    """(pack, answers by step, ids, texts) of rows that are sorted by pack and step; the text's row is a pack's last."""
+    """(pack, answers by step, ids and texts) of rows that are sorted by pack and step; the text's row is a pack's last."""
     answers: dict[int, list] = {}
     for batch in batches:
-        for pack, step, bucket, places, ids, texts in zip(*(batch.column(c) if c in ("ids", "texts") else batch.column(c).to_pylist() for c in ("pack", "step", "bucket", "places", "ids", "texts")), strict=True):
+        for pack, step, bucket, places, rows in zip(*(batch.column(c).to_pylist() for c in ("pack", "step", "bucket", "places", "rows")), strict=True):
             if bucket is not None:
                 answers.setdefault(step, []).append((bucket, places))
             else:
-                yield pack, answers, ids.values, texts.values
+                yield pack, answers, _opened(rows)
                 answers = {}
 
 
-def _windows(own: Pack, hits: list, buckets: int):
-    """Candidate windows, in groups of equal ones by bucket: order, group starts, bucket of each, then as Pack.candidates."""
-    a, b, start, doc = own.candidates(hits, buckets)
-    bucket = _bucket(b, buckets)
-    order, first = _groups(bucket, a, b)
-    return order, first, bucket, a, b, start, doc
+class Windows:
+    """A pack's candidate windows in groups of equal ones. Groups are in the order of their bucket, and there of their smallest document."""
+
+    def __init__(self, own: Pack, hits: list, buckets: int):
+        self.a, self.b, self.start, doc = own.candidates(hits, buckets)
+        self.ids = own.ids[doc]
+        self.order, self.first = _groups(self.a, self.b)
+        self.size = np.diff(np.append(self.first, len(self.order)))
+        one = self.order[self.first]
+        self.bucket = _bucket(self.b[one], buckets)
+        self.low = np.minimum.reduceat(self.ids[self.order], self.first) if len(one) else np.zeros(0, np.int64)
+        self.sorted = np.lexsort((np.arange(len(one)), self.low, self.bucket))
+
+    def message(self, pack: int) -> pa.RecordBatch:
+        """For each bucket the groups' hashes and by how much each one's smallest document exceeds the one before."""
+        one = self.order[self.first][self.sorted]
+        bucket, low = self.bucket[self.sorted], self.low[self.sorted]
+        step = np.diff(low, prepend=0)
+        new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        step[new] = low[new]
+        return _rows(pack, bucket, hashes=self.a[one], others=self.b[one], steps=step)
+
+    def repeats(self, answers: list) -> np.ndarray:
+        """Where windows start that a smaller document holds, too. answers: groups that a smaller document of another pack holds."""
+        keys = self.bucket[self.sorted] << np.uint64(32)
+        other = np.zeros(len(self.first), bool)
+        for bucket, places in answers:
+            other[self.sorted[np.searchsorted(keys, np.uint64(bucket) << np.uint64(32)) + np.frombuffer(places, np.uint32)]] = True
+        repeated = np.repeat(other, self.size) | (self.ids[self.order] > np.repeat(self.low, self.size))
+        return self.start[self.order][repeated]
 
 
 def _candidates(buckets: int):
     """For each bucket a pack's distinct candidate windows, with the smallest document of each."""
 
     def run(batches):
-        for pack, answers, ids, texts in _met(batches):
-            if 1 not in answers:
-                continue
-            own = Pack(ids, texts)
-            order, first, bucket, a, b, _, doc = _windows(own, answers[1], buckets)
-            if len(order):
-                low, one = np.minimum.reduceat(own.ids[doc][order], first), order[first]
-                yield _rows(pack, bucket[one], hashes=a[one], others=b[one], lows=low)
+        for pack, answers, rows in _met(batches):
+            if 1 in answers and len((found := Windows(Pack(rows), answers[1], buckets)).first):
+                yield found.message(pack)
 
     return run
 
@@ -238,12 +266,8 @@ def _removed(buckets: int):
     """The result of every row of a pack."""
 
     def run(batches):
-        for _, answers, ids, texts in _met(batches):
-            batch = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
-            gone = None
-            if 1 in answers:
-                own = Pack(ids, texts)
-                gone = _cover(own, answers, buckets)
+        for _, answers, batch in _met(batches):
+            gone = _cover(Pack(batch), answers, buckets) if 1 in answers else None
             at = 0
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"))
@@ -259,18 +283,10 @@ def _removed(buckets: int):
 
 def _cover(own: Pack, answers: dict[int, list], buckets: int) -> np.ndarray:
     """Words that lie in a window that starts in a smaller document, too."""
-    order, first, bucket, _, _, start, doc = _windows(own, answers[1], buckets)
+    start = Windows(own, answers[1], buckets).repeats(answers.get(2, []))
     cover = np.zeros(len(own.h) + 1, np.int32)
-    if len(order):
-        size = np.diff(np.append(first, len(order)))
-        keys = bucket[order][first] << np.uint64(32)
-        other, low = np.zeros(len(first), bool), np.minimum.reduceat(own.ids[doc][order], first)
-        for b, places in answers.get(2, ()):
-            other[np.searchsorted(keys, np.uint64(b) << np.uint64(32)) + np.frombuffer(places, np.uint32)] = True
-        repeated = np.repeat(other, size) | (own.ids[doc][order] > np.repeat(low, size))
-        s = start[order][repeated]
-        np.add.at(cover, s, 1)
-        np.add.at(cover, s + WINDOW, -1)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, start + WINDOW, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -280,22 +296,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "substring")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packs = scratch.cut(docs.mapInArrow(_packs(PACK), PACKED).withColumn("pack", F.monotonically_increasing_id()), "packs", large_rows=True)
-    size = packs.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0)))).alias("bytes"), F.count("*").alias("packs")).first()
+    part, place = F.shiftright("pack", 33), F.col("pack").bitwiseAND((1 << 33) - 1)
+    size = packs.select(F.sum("bytes").alias("bytes"), F.count("*").alias("packs"), F.max(part).alias("last")).first()
     buckets, tasks = (size["bytes"] or 0) // BUCKET + 1, size["packs"] // PACKS + 1
+    number = part * (size["packs"] // ((size["last"] or 0) + 1) + 1) + place  # parts hold about as many packs
 
     def together(*answers: DataFrame) -> DataFrame:
         """Packs after their answers, dealt evenly to tasks."""
-        rows = packs.select("pack", F.lit(9).alias("step"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("places"), "ids", "texts")
+        rows = packs.select("pack", F.lit(9).alias("step"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("places"), "rows")
         for a in answers:
             rows = rows.unionByName(a, allowMissingColumns=True)
-        return rows.repartitionById(tasks, F.pmod(F.xxhash64("pack"), F.lit(tasks)).cast("int")).sortWithinPartitions("pack", "step")
+        return rows.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("pack", "step")
 
     def asked(messages: DataFrame, answer, name: str) -> DataFrame:
         return scratch.cut(messages.repartitionById(buckets, "bucket").mapInArrow(answer, ANSWER), name)
 
     with small_batches(spark, 4):  # a pack's row has megabytes
-        hits = asked(packs.mapInArrow(_anchors(buckets), "pack long, bucket int, hashes binary, flags binary"), _hits, "hits")
-        found = asked(together(hits).mapInArrow(_candidates(buckets), "pack long, bucket int, hashes binary, others binary, lows binary"), _repeats, "repeats")
+        hits = asked(packs.mapInArrow(_anchors(buckets), "pack long, bucket int, hashes binary, blocks binary, several binary"), _hits, "hits")
+        found = asked(together(hits).mapInArrow(_candidates(buckets), "pack long, bucket int, hashes binary, others binary, steps binary"), _repeats, "repeats")
         out = scratch.cut(together(hits, found).mapInArrow(_removed(buckets), RESULT), "removed")
     scratch.drop(packs, hits, found)
     return out
