@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorum_spark.operators.scratch import Scratch, arrow_rows
+from quorum_spark.llm.learning import fitted
 from quorum_spark.llm.words import pieces
 
 #: Words of the lexicon, words that a worker remembers, and words that it counts before it hands on their counts.
@@ -280,8 +281,8 @@ def _counts(shared):
     return run
 
 
-def lexicon(docs: DataFrame, vocabulary: Vocabulary, content, scratch: Scratch) -> np.ndarray:
-    """The transducer of the most frequent words, LEXICON at most."""
+def lexicon(docs: DataFrame, content, scratch: Scratch) -> np.ndarray:
+    """The transducer of the most frequent words, LEXICON at most, compiled in one task."""
     counts = docs.select("text").mapInArrow(_counts(content), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = scratch.cut(counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "counts")
     steps = counts.groupBy("step").count().orderBy(F.desc("step")).collect()  # some thousands at most, whatever the input
@@ -291,9 +292,15 @@ def lexicon(docs: DataFrame, vocabulary: Vocabulary, content, scratch: Scratch)
         if room < 0:
             break
         least = r["step"]
-    top = counts.where(F.col("step") >= least).select("word").toArrow()["word"].to_pylist() if least is not None else []
+    array = None
+    if least is not None:
+        array = fitted(counts.where(F.col("step") >= least).select("word"), lambda top: _compiled(top["word"], Vocabulary(content.value)), "word")
     scratch.drop(counts)
-    return compile_lexicon({w.encode(): vocabulary.merge(w) for w in top if w not in vocabulary.special})
+    return compile_lexicon({}) if array is None else array
+
+
+def _compiled(words, vocabulary: Vocabulary) -> np.ndarray:
+    return compile_lexicon({w.encode(): vocabulary.merge(w) for w in words if w not in vocabulary.special})
 
 
 def _encode(shared, name, digest):
@@ -333,7 +340,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False, keep: tuple[str, ..
     content = Path(path).read_text()
     shared = spark.sparkContext.broadcast(content)
     file = io.BytesIO()
-    np.save(file, lexicon(docs, Vocabulary(content), shared, scratch))
+    np.save(file, lexicon(docs, shared, scratch))
     name = f"{scratch.root.rpartition('/')[2]}.npy"
     spark.sparkContext.addFile(scratch.put(file.getvalue(), name))
     rows = docs.select(*keep, F.col("text").alias("text"))

@@ -13,8 +13,9 @@ columns don't matter; equal distances go to the language that comes first by nam
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ from quorum_spark.llm.learning import counts_of, fitted, remainder, sample, sigm
 from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import mix, pieces, raw
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SAMPLE = 4000
 FEATURES, ORDERS = 4096, (1, 2, 3)
 ROUNDS, RATE = 60, 8.0

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:  # pandas is loaded where models are fitted, in tasks
+    import pandas as pd
+
 _CUTS = 1 << 40
 
 
@@ -41,7 +44,7 @@ def sample(rows: DataFrame, docs: DataFrame, target: str, counts: dict, most: di
 
 
 def fitted(rows: DataFrame, train: Callable[[pd.DataFrame], object], *order: str):
-    """What train makes of a bounded sample, None if it is empty. One task holds it, so neither texts nor the fit weigh on the driver."""
+    """What train makes of bounded rows, None if there are none. One task holds them, so neither texts nor the fit weigh on the driver."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]

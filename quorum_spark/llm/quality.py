@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import itertools
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ from quorum_spark.llm.learning import counts_of, fitted, logit, remainder, sampl
 from quorum_spark.operators.scratch import arrow_rows
 from quorum_spark.llm.words import LINES, LOWER, Words, pieces
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 NEGATIVES, POSITIVES = 3000, 3000
 THRESHOLD = 0.3
 BINS, COARSE, CYCLES, PAIRS, PAIR_CYCLES, RATE, LEAVES = 32, 8, 80, 6, 30, 0.15, 4

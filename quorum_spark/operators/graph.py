@@ -48,9 +48,12 @@ def _contracted(batches):
         yield stars()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (u, v), whole numbers; component is the smallest node that can be reached.
 
+    With rounds no more than so many are made: nodes of one component are still connected, but one that is connected may yet be
+    in several.
+
     Each round first turns the links that a task reads into stars of their own components, which shortens long paths. Then
     both star steps rewrite every link with a join and a grouped minimum, so a hub's links are spread over tasks by the
     join, and no neighbour list is gathered. Rounds end when the links no longer change; there they are a star from
@@ -58,8 +61,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     edges = scratch.cut(edges.mapInArrow(_contracted, "u long, v long").distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    state, done = None if rounds else _state(edges), 0
+    while state[0] if state else done < rounds:
         stars = edges.mapInArrow(_contracted, "u long, v long")
         both = stars.select("u", "v", F.explode(F.array(F.lit(True), F.lit(False))).alias("turn"))
         both = both.select(F.when(F.col("turn"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("turn"), F.col("v")).otherwise(F.col("u")).alias("v"))
@@ -69,9 +72,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         scratch.drop(edges)
-        edges, before, state = new, state, _state(new)
-        if state == before:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        edges, done = new, done + 1
+        if state:
+            state, before = _state(new), state
+            if state == before:
+                break
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    return out.groupBy("node").agg(F.min("component").alias("component")) if rounds else out

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quorum_spark.llm import bpe, chat, decontam, language, pii, quality, toxicity
+from quorum_spark.operators.scratch import Scratch
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 EDGES = [None, "", " ", "\n", "x", "😀 " * 50, "a" * 5000, "word " * 20000, "\x00\x01\x02﻿", "1.2.3.4"]
@@ -123,13 +124,13 @@ def test_bpe_lexicon_is_bounded(spark, monkeypatch):
     """Words that would not fit are left out, and results don't change."""
     docs = spark.createDataFrame([(i, "aa bb cc dd " * (i % 3) + "ee " * i) for i in range(20)], "doc_id long, text string")
     whole = {tuple(r) for r in bpe.encode(docs, PATH, digest=True).collect()}
-    seen = []
-    compiled = bpe.compile_lexicon
-    monkeypatch.setattr(bpe, "compile_lexicon", lambda entries: seen.append(set(entries)) or compiled(entries))
-    for most, words in ((3, {b"ee"}), (5, {b"aa", b"bb", b"cc", b"dd", b"ee"}), (0, set())):
+    content = spark.sparkContext.broadcast(open(PATH).read())
+    for most, words in ((3, [b"ee"]), (5, [b"aa", b"bb", b"cc", b"dd", b"ee"]), (0, [])):
         monkeypatch.setattr(bpe, "LEXICON", most)
+        machine = bpe.Transducer(bpe.lexicon(docs, content, Scratch(spark, "test")))
+        held = [x is not None for x in machine.look_up([b"aa", b"bb", b"cc", b"dd", b"ee", b"zz"])]
+        assert [w for w, ok in zip([b"aa", b"bb", b"cc", b"dd", b"ee", b"zz"], held) if ok] == words
         assert {tuple(r) for r in bpe.encode(docs, PATH, digest=True).collect()} == whole
-        assert seen[-1] == words
 
 
 def test_bpe_merges_very_long_words():
@@ -311,3 +312,22 @@ def test_stages_keep_rows_without_id_and_one_of_repeated_ids(spark, tmp_path):
     rows = [(None, f"{a} {item} {b}"), (None, a), (4, item), (4, b), (6, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()))) == sorted(map(str, [(None, a), (4, b), (6, None)]))
+
+
+def test_pipeline_of_odd_columns_and_of_nothing(spark, corpus, tmp_path):
+    """Nulls in every column, columns that stages make themselves, very long and empty texts; and an empty table."""
+    names = ["score", "kept", "component_id", "n_shingles", "item_id", "ids", "decoded", "n_tokens", "_row_key", "rep", "value"]
+    make = ", ".join(f"cast(doc_id as string) as {n}" for n in names)
+    docs = corpus[0].selectExpr("doc_id", "text", "if(doc_id % 2 = 0, lang, null) as lang", "source", "cast(null as long) as n_chars", make.split(", ")[0], *make.split(", ")[1:])
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        corpus[1].write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, f"{tmp_path}/a")
+        assert stage.columns == docs.columns
+    assert all(r._row_key == str(r.doc_id) == r.score for r in stage.collect())
+    assert {1000 + k for k in range(len(EDGES))} <= {r.doc_id for r in corpus_pipeline.encode_tokens(spark, stage, "").collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
