@@ -67,7 +67,8 @@ class Scratch:
         path, files = self._path(f"{self.root}/{name}")
         out = files.create(path)
         try:
-            out.write(content)
+            for at in range(0, len(content), 1 << 16):  # a large argument would take many times its size in the driver
+                out.write(content[at : at + (1 << 16)])
         finally:
             out.close()
         return path.toString()
