@@ -175,7 +175,8 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> np.ndarray:
     ids = [entries[w] for w in words]
     begin = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
     flat = np.array([i for x in ids for i in x], np.int64)
-    return np.concatenate([[len(edges), len(final), len(begin), len(flat), 0], *edges.T, final, begin, flat]).astype(np.int64)
+    whole = np.concatenate([[len(edges), len(final), len(begin), len(flat), 0], *edges.T, final, begin, flat])
+    return whole.astype(np.int32 if whole.max() < 1 << 31 else np.int64)
 
 
 class Transducer:
@@ -196,7 +197,7 @@ class Transducer:
             go = np.flatnonzero(alive & (lens > i))
             if not len(go):
                 break
-            key = state[go] * 256 + text[first[go] + i]
+            key = (state[go] * 256 + text[first[go] + i]).astype(self.keys.dtype)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[at] == key
             alive[go[~ok]] = False
