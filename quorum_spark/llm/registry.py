@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum_spark.llm import bpe, chat, decontam, embedding, language, minhash, oracles, pii, quality, substring, toxicity
+from quorum_spark.llm import bpe, chat, conversation, decontam, embedding, language, minhash, oracles, pii, quality, spelling, substring, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_read(spark, sf_dir, "conversations"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversation.report(rows, conversation.damage(rows))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.listed_pages(pages))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_read(spark, sf_dir, "documents"), damage=97))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_minhash_near_dedup,
@@ -66,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_pii,
         op10_chat_rotation,
+        op11_conversation_repair,
+        op12_url_filters,
+        op13_spelling_variants,
     ]
     return {f.__name__: f for f in own}
 
