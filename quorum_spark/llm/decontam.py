@@ -53,7 +53,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str]):
         w = Words(pa.array(texts, pa.string()), lower=True)
-        h = w.hashes()
+        h = w.digests()[0]
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         by_length, every = defaultdict(list), []
         for i, item in enumerate(ids):
@@ -130,7 +130,7 @@ def window_sums(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.ndar
 
 def _keys(w: Words) -> np.ndarray:
     """Hashes, modulo the bitmap's size, of the shingles of these items, and of items with fewer words than a shingle as a whole."""
-    h, words = w.hashes(), np.diff(w.at)
+    h, words = w.digests()[0], np.diff(w.at)
     every = [windows(h, w.at, SHINGLE)[0]]
     for n in range(1, SHINGLE):
         whole, at = windows(h, w.at, n)
@@ -164,7 +164,7 @@ def _touched(shared):
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"), lower=True)
-                h, keep = w.hashes(), np.zeros(len(w), bool)
+                h, keep = w.digests()[0], np.zeros(len(w), bool)
                 for n in range(1, SHINGLE + 1):
                     whole, at = windows(h, w.at, n)
                     key = whole % np.uint64(BITMAP)
@@ -181,7 +181,7 @@ def _scan(shared):
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = Words(part.column("text"), lower=True)
-                h = w.hashes()
+                h = w.digests()[0]
                 sh, pos = windows(h, w.at, SHINGLE)
                 hit = items.occurs(sh)
                 lo = np.searchsorted(pos, w.at)
@@ -217,15 +217,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(size // block_bytes) + 1
+    scratch = Scratch(spark, "leaks")
+    if n_blocks > 1:  # written by block, so each one is read by itself
+        items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+        items = scratch.cut(items.repartitionByRange(n_blocks, "block").sortWithinPartitions("block"), "items")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
 
     def block(k: int):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
+        own = (items.where(F.col("block") == k) if n_blocks > 1 else items).orderBy("item_id", "text").collect()
         return spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own]))
 
     if n_blocks == 1:
         return texts.mapInArrow(_scan(block(0)), schema)
-    scratch = Scratch(spark, "leaks")
     texts = scratch.cut(texts.mapInArrow(_touched(_bitmap(items)), texts.schema), "touched")
     out = None
     for k in range(n_blocks):
@@ -233,7 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
         found = scratch.cut(texts.mapInArrow(_scan(shared), schema), f"block-{k}")
         shared.destroy()
         out = found if out is None else out.union(found)
-    scratch.drop(texts)
+    scratch.drop(texts, items)
     return out
 
 

@@ -9,8 +9,8 @@ there both sequences are halved again and again in the same way, and the smalles
 Every comparison of blocks yields for each vector a number of links, and a link to its part's smallest vector; links
 themselves are never emitted.
 
-Equal vectors of a label are one node, so copies cost nothing. The axes are fitted on at most SAMPLE vectors and only steer
-what can be skipped; any axes give the same links. Vectors that are null, zero or hold null or non-finite components link
+Equal vectors of a label are one node, so copies cost nothing. The axes are fitted on about SAMPLE vectors, picked by a cut of
+hashes and never more than twice as many, and only steer what can be skipped; any axes give the same links. Vectors that are null, zero or hold null or non-finite components link
 with nothing, and so do rows whose label or vec_id is null. Vectors of different length don't link. Rows that repeat a vec_id, with equal
 or different labels and vectors, are other vectors of that id: the id has the links of all its rows, what any of them leads
 to is in its component, and each of its rows gets that answer. Extra columns are ignored.
@@ -38,46 +38,51 @@ NODE = "vec_id long, label int, dim int, set_key binary, unit binary, cells arra
 BLOCKS = "label int, dim int, nodes binary, ids binary, sizes binary, units binary, low array<double>, high array<double>"
 
 
-def _unit(values) -> np.ndarray | None:
-    v = np.array([np.nan if x is None else x for x in values], np.float64)
-    if not len(v) or not np.isfinite(v).all():
-        return None
-    top = np.abs(v).max()
-    if top == 0:
-        return None
-    v = v / top
-    return v / np.sqrt(v @ v)
+def _units(vectors: pa.Array):
+    """For each length of vectors: the rows that have a direction, their vectors, and these scaled to length 1."""
+    lens = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls are not numbers here
+    begin = np.cumsum(lens) - lens
+    for dim in np.unique(lens[lens > 0]).tolist():
+        rows = np.flatnonzero(lens == dim)
+        v = flat[begin[rows][:, None] + np.arange(dim)]
+        top = np.abs(v).max(1)
+        ok = np.isfinite(top) & (top > 0)
+        rows, v = rows[ok], v[ok]
+        u = v / top[ok][:, None]
+        yield dim, rows, v, u / np.sqrt((u * u).sum(1))[:, None]
 
 
 def _nodes(shared):
     def run(batches):
         axes = shared.value
         for batch in batches:
-            vectors = batch.column("embedding")
-            rows = []
-            for ok, label, v in zip(vectors.is_valid(), batch.column("label"), vectors, strict=True):
-                u = _unit(v.as_py()) if ok.as_py() and label.is_valid else None
-                if u is None:
-                    rows.append((0, None, None, None))
-                    continue
-                at = (axes[len(u)] @ u if len(u) in axes else u[:AXES]) / EPS
-                rows.append((len(u), blake2b(np.float64(v.as_py()).tobytes(), digest_size=16).digest(), u.tobytes(), np.floor(at).astype(int).tolist()))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32())], strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), *cols], names=["vec_id", "label", "dim", "set_key", "unit", "cells"])
+            n = batch.num_rows
+            dims, keys, units, cells = np.zeros(n, np.int32), [None] * n, [None] * n, [None] * n
+            labelled = np.asarray(batch.column("label").is_valid())
+            for dim, rows, v, u in _units(batch.column("embedding")):
+                use = labelled[rows]
+                rows, v, u = rows[use], np.ascontiguousarray(v[use]), np.ascontiguousarray(u[use])
+                dims[rows] = dim
+                at = np.floor((u @ axes[dim].T if dim in axes else u[:, :AXES]) / EPS).astype(np.int32)
+                for k, r in enumerate(rows.tolist()):
+                    keys[r], units[r], cells[r] = blake2b(v[k].data, digest_size=16).digest(), u[k].tobytes(), at[k]
+            cols = [pa.array(dims), pa.array(keys, pa.binary()), pa.array(units, pa.binary()), pa.array(cells, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), *cols], names=["vec_id", "label", "dim", "set_key", "unit", "cells"])
 
     return run
 
 
 def _axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """The leading principal axes for the commonest length of vectors in a sample by hash."""
-    rows = vectors.where("embedding is not null and label is not null").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").collect()
-    units = [u for r in rows if (u := _unit(r[0])) is not None]
+    """The leading principal axes for the commonest length of vectors in a sample by a cut of hashes."""
+    usable = vectors.where("embedding is not null and label is not null")
+    share = min(1.0, SAMPLE / max(1, usable.count()))
+    rows = usable.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(share * (1 << 40))).select("embedding").limit(2 * SAMPLE)
+    units = {dim: u for dim, _, _, u in _units(rows.toArrow().column("embedding").combine_chunks()) if len(u)}
     if not units:
         return {}
-    lens, counts = np.unique([len(u) for u in units], return_counts=True)
-    dim = int(lens[counts.argmax()])
-    x = np.stack([u for u in units if len(u) == dim])
+    dim = max(units, key=lambda d: (len(units[d]), -d))
+    x = units[dim]
     return {dim: np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:AXES]}
 
 

@@ -5,7 +5,7 @@ lists of the retained values propose pairs, the k smallest values of both sketch
 and the full shingle sets decide.
 
 How it keeps to size:
-- Documents with the same set are one node, so copies meet nobody.
+- Documents with the same set are one node, so copies meet nobody. Full sets are read from one document of each node.
 - A pair of similarity 0.75 shares about 48 of 64 retained values. A document is listed only under its k - t + 1 rarest
   values, where t is the least overlap such a pair can be expected to have; any pair that shares t values still meets.
   Values of passages that very many documents share are a document's commonest, and so are not listed for it.
@@ -15,12 +15,13 @@ How it keeps to size:
   matrices rule pairs out, full sets decide the others in place, and only links that join components come out. A pair
   is decided in the first of the long lists that it shares.
 
-The values t (30 of 64; 48 expected, deviation 3.5) and the margins below the threshold at which estimates drop a pair
+The values t (29 of 64; 48 expected, deviation 3.5) and the margins below the threshold at which estimates drop a pair
 (five deviations) are the only inexact steps; sets that a sketch holds whole are treated exactly. Measured
 on planted pairs of 146 to 896 shingles with similarities just above 0.75 (tests): 400 of 400 found. `retained` sets k: with k no smaller than the largest set every step is exact, at the cost of lists of whole sets.
 
-Null text, empty text and text without words have size 0 and link with nothing. Repeated rows are answered one by one; a
-null id is its own component. Extra columns are ignored.
+Null text, empty text and text without words have size 0 and link with nothing. Rows are answered one by one, each by its own
+set, also where they repeat an id: its component is the smallest id of all rows whose sets it reaches, and its own. A null id is
+its own component. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,23 +64,33 @@ def _sketch(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
+                        part.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_key(s) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept), pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "sketch"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_key", "sketch"],
                 )
 
     return run
 
 
+def _key(s: np.ndarray) -> bytes | None:
+    """A set's own key, None for an empty one."""
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _full(batches):
+    """The full set of each node, by the rows that its key was taken from."""
+    seen = set()
     for batch in batches:
         for part in pieces(batch, "text"):
-            sets = shingle_sets(Words(part.column("text"), lower=True), SHINGLE)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"]
-            )
+            rep, keys = part.column("rep").to_pylist(), part.column("set_key").to_pylist()
+            sets = list(shingle_sets(Words(part.column("text"), lower=True), SHINGLE))
+            own = [k for k, s in enumerate(sets) if rep[k] not in seen and _key(s) == keys[k]]
+            own = list({rep[k]: k for k in own}.values())  # rows may be repeated
+            seen.update(rep[k] for k in own)
+            yield pa.RecordBatch.from_arrays([pa.array([rep[k] for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["rep", "shingles"])
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> bool:
@@ -106,22 +117,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_shingles, component_id (smallest document that similar pairs lead to), kept. retained: values of a sketch."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = scratch.cut(docs.mapInArrow(_sketch(retained), "doc_id long, n_shingles long, set_key binary, sketch array<bigint>"), "sketches")
-    classes = scratch.cut(sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketched.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("k")), "doc_id").where("set_key = k")
-    reps = scratch.cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "reps")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    sketched = scratch.cut(docs.mapInArrow(_sketch(retained), "doc_id long, text_hash long, n_shingles long, set_key binary, sketch array<bigint>"), "sketches")
+    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = scratch.cut(classes.select("set_key", "first.*", F.monotonically_increasing_id().alias("rep")), "classes")
+    reps = sketched.select("doc_id", "text_hash", "set_key", "n_shingles", "sketch").join(classes, ["doc_id", "text_hash", "set_key"])
+    reps = scratch.cut(reps.groupBy("rep").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "reps")
 
     lists = scratch.cut(_lists(reps, retained), "lists")
     several = lists.groupBy("value").count().where("count > 1").select("value")
     listed = scratch.cut(lists.join(several, "value"), "several")
-    needed = listed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_full, "doc_id long, shingles binary")
-    sets = scratch.cut(sets, "sets")
+    needed = classes.join(listed.select("rep").distinct(), "rep", "left_semi")
+    own = docs.join(needed, ["doc_id", "text_hash"]).select("text", "rep", "set_key")
+    values = scratch.cut(own.mapInArrow(_full, "rep long, shingles binary"), "sets")
 
-    links, tried, done = None, None, [lists, listed, sets]
+    links, tried, done = None, None, [lists, listed, values]
     comp = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    values = sets.select(F.col("doc_id").alias("rep"), "shingles")
     for turn in range(ROUNDS + 1):
         members = listed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
             "value", "rep", "n", "centre", F.coalesce("component", "rep").alias("c")
@@ -147,8 +158,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found:  # in between, only to spare comparisons, one round will do
             comp = components(links, scratch, None if turn == ROUNDS else 1)
     scratch.drop(*done)
-    out = sketched.join(classes, "set_key", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    first = classes.select("set_key", "rep", F.col("doc_id").alias("first")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    lows = first.where("component is not null").groupBy("component").agg(F.min("first").alias("low"))
+    answers = scratch.cut(first.join(lows, "component", "left").select("set_key", F.coalesce("low", "first").alias("answer")), "answers")
+    out = sketched.join(answers, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("answer", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept")
     )

@@ -15,7 +15,7 @@ How it keeps to size:
   time, and packs are dealt to tasks by their number.
 
 Blocks and probes are told apart by 32 bits of a hash within a bucket, which can only propose too much. Windows are decided by
-128 bits: two hashes of different word hashes.
+128 bits: two hashes, of different halves of the 128-bit digests of their words.
 
 Null text and text without words have no words: nothing is removed, and kept_sha256 is that of the empty text. Rows are
 answered one by one, each by its own words: rows that repeat one doc_id, with equal or different words, don't remove each
@@ -40,8 +40,6 @@ BLOCK = (WINDOW + 1) // 2
 PACK, BUCKET = 4 << 20, 12 << 20
 #: Packs that a task reads on average.
 PACKS = 4
-#: Second base of word hashes, and chain of their windows.
-OTHER = np.uint64(0x8BB84B93962EACC9)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 PACKED = "bytes long, rows binary"
 ANSWER = "pack long, step int, bucket int, places binary"
@@ -85,7 +83,8 @@ class Pack:
         self.at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.at) for w in self.parts]))])
         self.known = np.asarray(ids.is_valid())
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        self.h = np.concatenate([w.hashes() for w in self.parts])
+        halves = [w.digests() for w in self.parts]
+        self.h, self.other = (np.concatenate([x[k] for x in halves]) for k in (0, 1))
 
     def probes(self, buckets: int):
         """All rolling windows of BLOCK words of texts with an id: first word, text, and 32 bits of hash after the bucket."""
@@ -105,7 +104,7 @@ class Pack:
         np.add.at(near, p + 1, -1)
         a, start = windows(self.h, self.at, WINDOW)
         use = np.cumsum(near)[start] > 0
-        b, _ = windows(np.concatenate([w.hashes(OTHER) for w in self.parts]), self.at, WINDOW, SECOND)
+        b, _ = windows(self.other, self.at, WINDOW, SECOND)
         a, b, start = a[use], b[use], start[use]
         return a, b, start, np.searchsorted(self.at, start, "right") - 1
 

@@ -1,12 +1,15 @@
 """Words of whole texts as NumPy arrays: boundaries and 64-bit hashes for all texts of an Arrow batch at once.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomials modulo 2**64, finished by a
-bijective mixer, and depend on nothing but the word's bytes.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. What decides whether words are equal are BLAKE2b digests
+(`digests`), or their bytes where these are few; windows of words hash pairs of halves of them. Features of
+classifiers use polynomials modulo 2**64 (`hashes`), for which different words of the same hash can be written on purpose.
+Both depend on nothing but the word's bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,10 @@ MARKS, LINES = np.array([c < 128 and not chr(c).isalnum() for c in range(256)]),
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE, CHAIN, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Bytes of a word that 128 bits hold with its length; masks of the first bytes of eight; constants of a permutation's rounds.
+SHORT = 15
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ROUNDS = BASE * np.arange(1, 7, dtype=np.uint64)
 #: Bytes of text that are handled at once, unless one text alone is longer.
 PIECE = 1 << 20
 
@@ -89,6 +96,24 @@ class Words:
         values = (self.buf[~self.space].astype(np.uint64) + np.uint64(1)) * powers[place]
         return mix(np.add.reduceat(values, begin) ^ (lens.astype(np.uint64) << np.uint64(48)))
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """The halves of 128 bits that name each word. Of words of up to SHORT bytes they are the bytes and the length themselves, permuted, so no two are alike; longer ones have BLAKE2b digests."""
+        lens = self.ends - self.starts
+        eight = np.ndarray(len(self.buf) + 8, np.dtype("<u8"), np.concatenate([self.buf, np.zeros(16, np.uint8)]), strides=(1,))
+        low = eight[self.starts] & _FIRST[np.minimum(lens, 8)]
+        high = eight[np.minimum(self.starts + 8, len(self.buf))] & _FIRST[np.clip(lens - 8, 0, 7)] | lens.astype(np.uint64) << np.uint64(56)
+        for k in range(0, len(_ROUNDS), 2):
+            high ^= mix(low + _ROUNDS[k])
+            low ^= mix(high + _ROUNDS[k + 1])
+        known: dict[bytes, tuple] = {}
+        text = self.buf.data
+        for i in np.flatnonzero(lens > SHORT).tolist():
+            word = text[self.starts[i] : self.ends[i]].tobytes()
+            if word not in known:
+                known[word] = np.frombuffer(blake2b(word, digest_size=16).digest(), np.uint64)
+            low[i], high[i] = known[word]
+        return low, high
+
     def doc_of(self) -> np.ndarray:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self)), np.diff(self.at))
@@ -111,25 +136,35 @@ def windows(h: np.ndarray, at: np.ndarray, k: int, chain: np.uint64 = CHAIN) ->
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    acc = np.zeros(n, np.uint64)
-    for i in range(k):
-        acc = acc * chain + h[i : n + i]
+    acc = _runs(h, k, chain)
     room = np.repeat(at[1:], np.diff(at))[:n] - np.arange(n) >= k
     pos = np.flatnonzero(room)
-    return mix(acc[pos]), pos
+    return acc[pos], pos
+
+
+def _runs(h: np.ndarray, k: int, chain: np.uint64) -> np.ndarray:
+    """Hashes of all runs of k numbers: runs of powers of two from two halves each, then those of which k is made, the longest first."""
+    acc, have, part, size = None, 0, h, 1
+    parts = [(1, h)]
+    while size * 2 <= k:
+        part, size = mix(part[:-size] * chain + part[size:]), size * 2
+        parts.append((size, part))
+    n = len(h) - k + 1
+    for size, part in reversed(parts):
+        if have + size <= k:
+            own = part[have : have + n]
+            acc, have = own if acc is None else mix(acc * chain + own), have + size
+    return acc
 
 
 def sequence_hash(h: np.ndarray) -> np.uint64:
     """The hash of one run of words of any length, equal to that of `windows` for the same words."""
-    acc = np.zeros(1, np.uint64)
-    for x in h:
-        acc = acc * CHAIN + x
-    return mix(acc)[0]
+    return _runs(h, len(h), CHAIN)[0]
 
 
 def shingle_sets(words: Words, k: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles, as signed 64-bit numbers; with fewer words, of the whole sequence; without words, none."""
-    h = words.hashes()
+    h, _ = words.digests()
     sh, pos = windows(h, words.at, k)
     lo = np.searchsorted(pos, words.at)
     for i in range(len(words)):

@@ -8,7 +8,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from quorum_spark.llm import embedding, minhash, substring
+from quorum_spark.llm import decontam, embedding, minhash, substring
 from quorum_spark.operators.scratch import Scratch
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -233,3 +233,36 @@ def test_recall_at_the_threshold_and_the_exact_way(spark):
     found = minhash.near_duplicates(docs).where("component_id <> doc_id").count()
     assert found >= 0.99 * pairs
     assert minhash.near_duplicates(docs, retained=1000).where("component_id <> doc_id").count() == pairs
+
+
+def thue_morse(n):
+    """Two words of 2 ** n letters that polynomials modulo 2 ** 64 don't tell apart."""
+    bits = [0]
+    for _ in range(n):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = thue_morse(11)
+    lead = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*lead, x])), (2, " ".join([*lead, y]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substring.substring_dedup(docs).collect())) == brute_repeats(rows)
+    ends = [(k, " ".join(["a b c d", w])) for k, w in enumerate((x, y))]
+    got = minhash.near_duplicates(spark.createDataFrame(ends, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute_near(ends)
+    item = spark.createDataFrame([(5, " ".join(["a b c d", x, "e f g h"]))], "item_id long, text string")
+    texts = spark.createDataFrame([(1, " ".join(["a b c d", y, "e f g h"])), (2, " ".join(["a b c d", x, "e f g h"]))], "doc_id long, text string")
+    assert {r.doc_id for r in decontam.find_leaks(texts, item).collect()} == {2}
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """Each row is judged by its own set; its component is the smallest id that it reaches."""
+    w = [f"v{i}" for i in range(200)]
+    a, b = " ".join(w[:100]), " ".join(w[100:])
+    v = " ".join(w[:95] + w[195:200])
+    rows = [(1, a), (2, a), (2, b), (3, v), (7, b), (2, b), (9, None), (9, a)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = Counter([(1, 96, 1, True), (2, 96, 1, False), (2, 96, 2, True), (3, 96, 1, False), (7, 96, 2, False), (2, 96, 2, True), (9, 0, 9, True), (9, 96, 1, False)])
+    assert Counter(map(tuple, got.collect())) == want
