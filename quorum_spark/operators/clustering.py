@@ -13,158 +13,235 @@ from pyspark.sql.window import Window
 
 from quorum_spark.functions.geometry import shared_frames
 from quorum_spark.functions.vectors import dot, normalize
+from quorum_spark.operators import metric
 from quorum_spark.operators.graph import components
 from quorum_spark.operators.numbering import numbered
-from quorum_spark.operators.scratch import Scratch
-
-BLOCK = 512
+from quorum_spark.operators.scratch import Scratch, small_batches
 
 
 def eps_pairs(crops: DataFrame, eps: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, i, j, distance) with i < j and a cosine distance up to eps. by: columns, of whole numbers or text, within which crops are compared, such as the job.
 
-    Crops are packed into blocks of about BLOCK by a hash; the keys of pairs of blocks meet their vectors by joins, so nothing
-    is broadcast, and a task holds two blocks at once.
+    Only blocks of crops whose balls are near enough meet (see metric).
     """
-    keys = list(by)
-    sized = crops.groupBy(*keys).agg((F.count("*") / BLOCK).cast("int").alias("more"))
-    rows = crops.join(sized, keys) if keys else crops.crossJoin(F.broadcast(sized))  # one row without keys
-    block = F.pmod(F.xxhash64("det_id"), F.col("more") + 1).cast("int")
-    packed = rows.groupBy(*keys, block.alias("b")).agg(F.any_value("more").alias("more"), F.collect_list("det_id").alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
-    packed = Scratch(crops.sparkSession, "eps").cut(packed, "blocks")
-    pairs = packed.select(*keys, F.col("b").alias("b1"), F.explode(F.sequence("b", "more")).alias("b2"))
-    left = packed.select(*keys, F.col("b").alias("b1"), F.col("ids").alias("left"), F.col("v").alias("x"))
-    right = packed.select(*keys, F.col("b").alias("b2"), F.col("ids").alias("right"), F.col("v").alias("y"))
-    met = pairs.join(left, [*keys, "b1"]).join(right, [*keys, "b2"]).select(*keys, "left", "x", "right", "y")
-
-    def run(batches):
-        for batch in batches:
-            get = lambda c, r, batch=batch: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
-            for r in range(batch.num_rows):
-                i, x, j, y = (get(c, r) for c in ("left", "x", "right", "y"))
-                d = 1 - x.reshape(len(i), -1) @ y.reshape(len(j), -1).T
-                near = d <= eps
-                near &= i[:, None] < j if len(i) == len(j) and (i == j).all() else i[:, None] != j
-                p, q = np.nonzero(near)
-                own = [batch.column(k).take(pa.array(np.full(len(p), r))) for k in keys]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.minimum(i[p], j[q])), pa.array(np.maximum(i[p], j[q])), pa.array(d[p, q])], names=[*keys, "i", "j", "distance"])
-
-    kinds = "".join(f"`{k}` {crops.schema[k].dataType.simpleString()}, " for k in keys)
-    return met.mapInArrow(run, f"{kinds}i long, j long, distance double")
-
-
-def dbscan(crops: DataFrame, eps: float, min_samples: int, pairs: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    blocks = metric.balls(crops, Scratch(crops.sparkSession, "eps"), by)
+    pairs = metric.block_pairs(blocks, eps, by).where("not skipped")
+
+    def kernel(a, b, same):
+        hit, d = metric.near(a, b, same, eps)
+        if same:
+            hit &= a["ids"][:, None] < b["ids"]
+        p, q = np.nonzero(hit)
+        i, j = a["ids"][p], b["ids"][q]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d[p, q])], names=["i", "j", "distance"])
+
+    return metric.between(pairs, blocks, kernel, "i long, j long, distance double", keys=by)
+
+
+def _neighbours(eps: float):
+    """How many neighbours each crop has between two blocks, and the pair of blocks if there are any."""
+
+    def kernel(a, b, same):
+        hit, _ = metric.near(a, b, same, eps)
+        if not hit.any():
+            return
+        for side, n in [(a, hit.sum(1))] + ([] if same else [(b, hit.sum(0))]):
+            some = n > 0
+            k = int(some.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(side["ids"][some]), pa.array(n[some].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["det_id", "n", "b1", "b2"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a["block"]]), pa.array([b["block"]])], names=["det_id", "n", "b1", "b2"])
+
+    return kernel
+
+
+def _core_links(eps: float):
+    """A link from every core crop to the smallest one that links between cores of two blocks lead to."""
+
+    def kernel(a, b, same):
+        hit, _ = metric.near(a, b, same, eps)
+        hit &= np.isin(a["ids"], a["cores"])[:, None] & np.isin(b["ids"], b["cores"])
+        ra, rb, none = a["ids"].copy(), b["ids"].copy(), np.iinfo(np.int64).max
+        while True:
+            na = np.minimum(ra, np.where(hit, rb, none).min(1))
+            nb = np.minimum(rb, np.where(hit, na[:, None], none).min(0))
+            if (na == ra).all() and (nb == rb).all():
+                break
+            ra, rb = na, nb
+        for side, root in [(a, ra)] + ([] if same else [(b, rb)]):
+            own = root != side["ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(side["ids"][own]), pa.array(root[own])], names=["u", "v"])
+
+    return kernel
+
+
+def _borders(eps: float):
+    """The lowest cluster of core neighbours of each crop that isn't core. cores and clusters: a block's core crops, in order, and their clusters."""
+
+    def kernel(a, b, same):
+        hit, _ = metric.near(a, b, same, eps)
+        for own, other, m in [(a, b, hit)] + ([] if same else [(b, a, hit.T)]):
+            if not len(other["cores"]):
+                continue
+            order = np.argsort(other["cores"])
+            at = np.minimum(np.searchsorted(other["cores"][order], other["ids"]), len(order) - 1)
+            core = other["cores"][order][at] == other["ids"]
+            label = np.where(core, other["clusters"][order][at], np.iinfo(np.int32).max)
+            best = np.where(m, label, np.iinfo(np.int32).max).min(1)
+            some = (best < np.iinfo(np.int32).max) & ~np.isin(own["ids"], own["cores"])
+            yield pa.RecordBatch.from_arrays([pa.array(own["ids"][some]), pa.array(best[some].astype(np.int32))], names=["det_id", "near"])
+
+    return kernel
+
+
+def dbscan(crops: DataFrame, eps: float, min_samples: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, det_id, cluster_id, core). A crop with min_samples neighbours, itself included, is core; linked cores are a cluster, numbered by their smallest det_id; other neighbours of cores join the lowest number.
 
     by: columns, such as the job, each of whose values is clustered and numbered by itself; det_id is unique all the same.
+    Neighbours are counted, cores linked and borders labelled between blocks, three times over; pairs are never listed.
     """
-    scratch, keys = Scratch(crops.sparkSession, "dbscan"), list(by)
-    pairs = scratch.cut((eps_pairs(crops, eps, by) if pairs is None else pairs).where(F.col("distance") <= eps).select("i", "j"), "pairs")
-    both = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))).alias("e")).select("e.a", "e.b")
-    own = crops.select(*keys, "det_id")
-    core = own.join(both.groupBy(F.col("a").alias("det_id")).count(), "det_id", "left").where(F.coalesce("count", F.lit(0)) + 1 >= min_samples).select(*keys, "det_id")
-    core = scratch.cut(core, "core")
-    edges = pairs.join(core.select(F.col("det_id").alias("i")), "i").join(core.select(F.col("det_id").alias("j")), "j")
-    comp = components(edges.select(F.col("i").alias("u"), F.col("j").alias("v")), scratch)
-    rooted = core.join(comp.withColumnRenamed("node", "det_id"), "det_id", "left").select(*keys, "det_id", F.coalesce("component", "det_id").alias("root"))
-    roots = rooted.select(*keys, "root").distinct()
-    if keys:
-        number = roots.select("root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).alias("cluster_id"))
-    else:
-        number = numbered(roots, ["root"], "cluster_id", scratch).select("root", "cluster_id")
-    cores = scratch.cut(rooted.join(number, "root").select("det_id", F.col("cluster_id").cast("int").alias("cluster_id")), "cores")
-    border = both.join(cores.withColumnRenamed("det_id", "b"), "b").groupBy(F.col("a").alias("det_id")).agg(F.min("cluster_id").alias("near"))
-    out = own.join(cores, "det_id", "left").join(border, "det_id", "left")
+    spark, keys = crops.sparkSession, list(by)
+    scratch = Scratch(spark, "dbscan")
+    blocks = metric.balls(crops, scratch, by)
+    pairs = scratch.cut(metric.block_pairs(blocks, eps, by).where("not skipped").select("b1", "b2"), "pairs")
+    where = blocks.select(*keys, "block", F.explode("ids").alias("det_id"))
+    with small_batches(spark, 8):  # two blocks of vectors to a row
+        found = scratch.cut(metric.between(pairs, blocks, _neighbours(eps), "det_id long, n long, b1 long, b2 long"), "neighbours")
+        live = found.where("b1 is not null").select("b1", "b2")
+        counts = found.where("det_id is not null").groupBy("det_id").agg(F.sum("n").alias("n"))
+        core = where.join(counts, "det_id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select(*keys, "block", "det_id")
+        core = scratch.cut(core, "core")
+        none = F.array().cast("array<long>")
+        told = blocks.join(core.groupBy("block").agg(F.collect_list("det_id").alias("cores")), "block", "left").withColumn("cores", F.coalesce("cores", none))
+        links = scratch.cut(metric.between(live, told, _core_links(eps), "u long, v long", ("cores",)), "links")
+        comp = components(links, scratch)
+        rooted = core.join(comp.withColumnRenamed("node", "det_id"), "det_id", "left").select(*keys, "block", "det_id", F.coalesce("component", "det_id").alias("root"))
+        roots = rooted.select(*keys, "root").distinct()
+        if keys:
+            number = roots.select("root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).alias("cluster_id"))
+        else:
+            number = numbered(roots, ["root"], "cluster_id", scratch).select("root", "cluster_id")
+        cores = scratch.cut(rooted.join(number, "root").select("block", "det_id", F.col("cluster_id").cast("int").alias("cluster_id")), "cores")
+        listed = cores.groupBy("block").agg(F.collect_list(F.struct("det_id", "cluster_id")).alias("c")).select("block", F.col("c.det_id").alias("cores"), F.col("c.cluster_id").alias("clusters"))
+        told = blocks.join(listed, "block", "left").withColumns({"cores": F.coalesce("cores", none), "clusters": F.coalesce("clusters", F.array().cast("array<int>"))})
+        border = metric.between(live, told, _borders(eps), "det_id long, near int", ("cores", "clusters")).groupBy("det_id").agg(F.min("near").alias("near"))
+        border = scratch.cut(border, "border")
+    out = crops.select(*keys, "det_id").join(cores.select("det_id", "cluster_id"), "det_id", "left").join(border, "det_id", "left")
     return out.select(*keys, "det_id", F.coalesce("cluster_id", "near", F.lit(-1)).alias("cluster_id"), F.col("cluster_id").isNotNull().alias("core"))
 
 
-def mean_vectors(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def mean_vectors(rows: DataFrame, key: str | list[str], weight: str | None = None) -> DataFrame:
     """(key, mean): the mean of v, weighted by at least 1e-6, scaled to length 1. Sums are taken per component, so groups of any size are pre-aggregated."""
+    keys = _keys(key)
     w = F.greatest(F.col(weight), F.lit(1e-6)) if weight else F.lit(1.0)
-    flat = rows.select(key, w.alias("w"), F.posexplode("v").alias("k", "x"))
-    sums = flat.groupBy(key, "k").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
-    whole = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m"))
-    return whole.select(key, normalize(F.transform("m", lambda s: s.x)).alias("mean"))
+    flat = rows.select(*keys, w.alias("w"), F.posexplode("v").alias("k", "x"))
+    sums = flat.groupBy(*keys, "k").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
+    whole = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m"))
+    return whole.select(*keys, normalize(F.transform("m", lambda s: s.x)).alias("mean"))
 
 
-def tightness(rows: DataFrame, key: str) -> DataFrame:
+def tightness(rows: DataFrame, key: str | list[str]) -> DataFrame:
     """(key, tightness): the mean cosine of a group's pairs, by its sums alone; 1 for a single member."""
-    flat = rows.select(key, F.posexplode("v").alias("k", "x")).groupBy(key, "k").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("m"))
-    total = flat.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"))
-    return total.select(key, F.when(F.col("m") <= 1, 1.0).otherwise((F.col("s") - F.col("q")) / (F.col("m") * F.greatest(F.col("m") - 1, F.lit(1)))).alias("tightness"))
+    keys = _keys(key)
+    flat = rows.select(*keys, F.posexplode("v").alias("k", "x")).groupBy(*keys, "k").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("m"))
+    total = flat.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"))
+    return total.select(*keys, F.when(F.col("m") <= 1, 1.0).otherwise((F.col("s") - F.col("q")) / (F.col("m") * F.greatest(F.col("m") - 1, F.lit(1)))).alias("tightness"))
 
 
-def summarize(crops: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per cluster: member_count, mean_quality, first_frame, last_frame, best_det, tightness, representative."""
+def summarize(crops: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per cluster, of each job if by names its columns: member_count, mean_quality, first_frame, last_frame, best_det, tightness, representative."""
+    keys = [*by, "cluster_id"]
     rows = crops.join(labels.where("cluster_id >= 0").select("det_id", "cluster_id"), "det_id")
-    basic = rows.groupBy("cluster_id").agg(
+    basic = rows.groupBy(*keys).agg(
         F.count("*").alias("member_count"),
         F.avg("quality_score").alias("mean_quality"),
         F.min("frame_index").alias("first_frame"),
         F.max("frame_index").alias("last_frame"),
         F.max_by("det_id", F.struct("quality_score", -F.col("det_id"))).alias("best_det"),
     )
-    means = mean_vectors(rows, "cluster_id", "quality_score").withColumnRenamed("mean", "representative")
-    return basic.join(tightness(rows, "cluster_id"), "cluster_id").join(means, "cluster_id")
+    means = mean_vectors(rows, keys, "quality_score").withColumnRenamed("mean", "representative")
+    return basic.join(tightness(rows, keys), keys).join(means, keys)
 
 
-def distances(crops: DataFrame, labels: DataFrame, summary: DataFrame) -> DataFrame:
+def distances(crops: DataFrame, labels: DataFrame, summary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Each crop's distance to its cluster's representative, null for noise."""
-    rows = crops.join(labels, "det_id").join(summary.select("cluster_id", "representative"), "cluster_id", "left")
-    return rows.select("det_id", "cluster_id", (1 - dot("v", "representative")).alias("distance"))
+    keys = [*by, "cluster_id"]
+    rows = crops.join(labels.select("det_id", "cluster_id"), "det_id").join(summary.select(*keys, "representative"), keys, "left")
+    return rows.select(*by, "det_id", "cluster_id", (1 - dot("v", "representative")).alias("distance"))
 
 
 #: Frames of a bin.
 BIN = 64
 
 
-def merge_edges(summary: DataFrame, limit: float, overlap: float) -> DataFrame:
-    """Pairs of clusters whose representatives are nearer than limit and whose frames overlap enough. overlap: above 0.
+def merge_edges(summary: DataFrame, limit: float, overlap: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of clusters, of one job if by names its columns, whose representatives are nearer than limit and whose frames overlap enough. overlap: above 0.
 
     Clusters meet in the bins that their frames fall into, each pair in the first bin that both are in.
     """
     cols = ["cluster_id", "representative", "first_frame", "last_frame"]
     at = lambda c: F.floor(F.col(c) / BIN)
-    a, b = (summary.select(*[F.col(c).alias(f"{c}_{s}") for c in cols], F.explode(F.sequence(at("first_frame"), at("last_frame"))).alias("bin")) for s in "ab")
+    a, b = (summary.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in cols], F.explode(F.sequence(at("first_frame"), at("last_frame"))).alias("bin")) for s in "ab")
     first = F.greatest(at("first_frame_a"), at("first_frame_b"))
-    near = a.join(b, "bin").where((F.col("cluster_id_a") < F.col("cluster_id_b")) & (F.col("bin") == first))
+    near = a.join(b, [*by, "bin"]).where((F.col("cluster_id_a") < F.col("cluster_id_b")) & (F.col("bin") == first))
     d = 1 - dot("representative_a", "representative_b")
     f = shared_frames(*[F.col(c) for c in ("first_frame_a", "last_frame_a", "first_frame_b", "last_frame_b")])
-    return near.where((d < limit) & (f >= overlap)).select(F.col("cluster_id_a").alias("a"), F.col("cluster_id_b").alias("b"), d.alias("distance"), f.alias("overlap"))
+    return near.where((d < limit) & (f >= overlap)).select(*by, F.col("cluster_id_a").alias("a"), F.col("cluster_id_b").alias("b"), d.alias("distance"), f.alias("overlap"))
+
+
+def _numbered(rows: DataFrame, by: tuple[str, ...], order: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """rows numbered from 0 in an order, within each job or over all."""
+    if by:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return numbered(rows, order, name, scratch)
 
 
-def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels after merging along edges, transitively, and numbered anew by the smallest old number."""
-    comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), Scratch(labels.sparkSession, "merge"))
-    old = labels.where("cluster_id >= 0").select("cluster_id").distinct()
-    root = old.join(comp.withColumnRenamed("node", "cluster_id"), "cluster_id", "left").select("cluster_id", F.coalesce("component", "cluster_id").alias("root"))
-    scratch = Scratch(labels.sparkSession, "merge")
-    number = numbered(root.select("root").distinct(), ["root"], "new", scratch)
-    new = root.join(number, "root").select("cluster_id", F.col("new").cast("int").alias("new"))
-    return labels.join(new, "cluster_id", "left").select("det_id", F.coalesce("new", "cluster_id").alias("cluster_id"))
+def merged(labels: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Labels after merging along edges, transitively, and numbered anew by the smallest old number, within each job if by names its columns."""
+    scratch, keys = Scratch(labels.sparkSession, "merge"), [*by, "cluster_id"]
+    nodes = scratch.cut(labels.where("cluster_id >= 0").groupBy(*keys).agg(F.min("det_id").alias("node")), "nodes")  # a crop stands for its cluster
+    end = lambda c, n: nodes.select(*by, F.col("cluster_id").alias(c), F.col("node").alias(n))
+    links = edges.select(*by, "a", "b").join(end("a", "u"), [*by, "a"]).join(end("b", "v"), [*by, "b"])
+    comp = components(links.select("u", "v"), scratch)
+    root = nodes.join(comp, "node", "left").select(*keys, F.coalesce("component", "node").alias("root"))
+    old = root.groupBy(*by, "root").agg(F.min("cluster_id").alias("old"))
+    new = root.join(_numbered(old, by, ["old"], "new", scratch), [*by, "root"]).select(*keys, F.col("new").cast("int").alias("new"))
+    return labels.join(new, keys, "left").select(*by, "det_id", F.coalesce("new", "cluster_id").alias("cluster_id"))
 
 
-def split_candidates(summary: DataFrame, frames: DataFrame, span: float, tight: float) -> DataFrame:
-    """Clusters that last for more than a share of all frames and are loose. frames: one row, total."""
+def split_candidates(summary: DataFrame, frames: DataFrame, span: float, tight: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters that last for more than a share of all frames and are loose. frames: by, total; one row without by."""
     share = (F.col("last_frame") - F.col("first_frame") + 1) / F.col("total")
-    return summary.crossJoin(F.broadcast(frames)).where((share > span) & (F.col("tightness") < tight)).select("cluster_id", share.alias("span"), "tightness")
-
-
-def split(crops: DataFrame, labels: DataFrame, candidates: DataFrame, eps: float, min_samples: int, pairs: DataFrame) -> DataFrame:
-    """Labels after clustering each candidate's members again with a smaller eps. Candidates that fall into two parts or more get new numbers after the largest, in order of cluster and part; their noise becomes -1."""
-    inside = crops.join(labels.join(candidates.select("cluster_id"), "cluster_id", "left_semi"), "det_id")
-    own = inside.select("det_id", "cluster_id")
-    near = pairs.join(own.select(F.col("det_id").alias("i"), F.col("cluster_id").alias("ci")), "i").join(own.select(F.col("det_id").alias("j"), F.col("cluster_id").alias("cj")), "j")
-    sub = dbscan(inside, eps, min_samples, near.where("ci = cj").select("i", "j", "distance")).select("det_id", F.col("cluster_id").alias("part"))
-    parts = own.join(sub, "det_id")
-    several = parts.where("part >= 0").groupBy("cluster_id").agg(F.countDistinct("part").alias("n")).where("n >= 2")
-    parts = parts.join(several, "cluster_id", "left_semi")
-    top = labels.agg(F.max("cluster_id").alias("top"))
-    fresh = parts.where("part >= 0").select("cluster_id", "part").distinct().crossJoin(F.broadcast(top))
-    fresh = numbered(fresh, ["cluster_id", "part"], "at", Scratch(labels.sparkSession, "split"))
-    fresh = fresh.select("cluster_id", "part", (F.col("at") + 1 + F.col("top")).cast("int").alias("new"))
-    moved = parts.join(fresh, ["cluster_id", "part"], "left").select("det_id", F.coalesce("new", F.lit(-1)).alias("moved"))
-    return labels.join(moved, "det_id", "left").select("det_id", F.coalesce("moved", "cluster_id").alias("cluster_id"))
+    rows = summary.join(frames, list(by)) if by else summary.crossJoin(F.broadcast(frames))
+    return rows.where((share > span) & (F.col("tightness") < tight)).select(*by, "cluster_id", share.alias("span"), "tightness")
+
+
+def split(crops: DataFrame, labels: DataFrame, candidates: DataFrame, eps: float, min_samples: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Labels after clustering each candidate's members again with a smaller eps. Candidates that fall into two parts or more get new numbers after the largest (of their job), in order of cluster and part; their noise becomes -1."""
+    scratch, keys = Scratch(labels.sparkSession, "split"), [*by, "old"]
+    old = labels.join(candidates.select(*by, "cluster_id"), [*by, "cluster_id"], "left_semi").select("det_id", F.col("cluster_id").alias("old"))
+    inside = crops.select(*by, "det_id", "v").join(old, "det_id")
+    parts = scratch.cut(dbscan(inside, eps, min_samples, (*by, "old")).select(*keys, "det_id", F.col("cluster_id").alias("part")), "parts")
+    several = parts.where("part >= 0").groupBy(*keys).agg(F.countDistinct("part").alias("n")).where("n >= 2")
+    parts = parts.join(several, keys, "left_semi")
+    top = labels.groupBy(*by).agg(F.max("cluster_id").alias("top"))
+    fresh = parts.where("part >= 0").select(*keys, "part").distinct()
+    fresh = _numbered(fresh.join(top, list(by)) if by else fresh.crossJoin(F.broadcast(top)), by, ["old", "part"], "at", scratch)
+    fresh = fresh.select(*keys, "part", (F.col("at") + 1 + F.col("top")).cast("int").alias("new"))
+    moved = parts.join(fresh, [*keys, "part"], "left").select("det_id", F.coalesce("new", F.lit(-1)).alias("moved"))
+    return labels.join(moved, "det_id", "left").select(*by, "det_id", F.coalesce("moved", "cluster_id").alias("cluster_id"))
+
+
+def coherent(crops: DataFrame, labels: DataFrame, p, by: tuple[str, ...] = ()) -> DataFrame:
+    """Labels after both passes by time: clusters that are near and seen together merge, and loose ones that last for most of the frames are split. p: PipelineParams."""
+    scratch = Scratch(crops.sparkSession, "coherent")
+    one = scratch.cut(merged(labels, merge_edges(summarize(crops, labels, by), p.eps * p.merge_factor, p.merge_overlap, by), by), "merged")
+    frames = crops.groupBy(*by).agg((F.max("frame_index") + 1).alias("total"))
+    loose = split_candidates(summarize(crops, one, by), frames, p.split_span, p.split_tightness, by)
+    return split(crops, one, loose, p.split_factor * p.eps, p.min_samples, by)
 
 
 def purity(labels: DataFrame, truth: DataFrame) -> DataFrame:

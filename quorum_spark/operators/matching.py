@@ -9,42 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorum_spark.functions.vectors import dot
+from quorum_spark.operators.products import all_products, products
 from quorum_spark.params import PipelineParams
 
-#: Vectors of a block.
-BLOCK = 1024
 
+def _sides(reps: DataFrame, gallery: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return reps.select(F.col("cluster_id").alias("id"), F.col("representative").alias("v")), gallery.select(F.col("student_id").alias("id"), F.col("mean").alias("v"))
 
-def similarities(reps: DataFrame, gallery: DataFrame) -> DataFrame:
-    """(cluster_id, student_id, similarity) for all pairs. reps: cluster_id, representative; gallery: student_id, mean.
 
-    All pairs are what the assignment of a job needs; top_matches is for the best few.
-    """
-    return reps.crossJoin(gallery).select("cluster_id", "student_id", dot("representative", "mean").alias("similarity"))
+def similarities(reps: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(cluster_id, student_id, similarity) for all pairs, where these are asked for. reps: cluster_id, representative; gallery: student_id, mean."""
+    found = all_products(*_sides(reps, gallery))
+    return found.select(F.col("i").cast(reps.schema["cluster_id"].dataType).alias("cluster_id"), F.col("j").cast(gallery.schema["student_id"].dataType).alias("student_id"), F.col("s").alias("similarity"))
 
 
 def top_matches(reps: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """(cluster_id, student_id, similarity, rank) of each cluster's k best gallery entries; equal similarities in order of student_id.
 
-    Both sides are packed in blocks; a pair of blocks is one matrix product, of which k entries for each cluster are kept.
+    A pair of packs is one matrix product, of which k entries for each cluster are kept.
     """
-    pack = lambda t, key, v, b: t.groupBy(F.pmod(F.xxhash64(key), F.lit(t.count() // BLOCK + 1)).alias(b)).agg(F.collect_list(key).alias(key), F.flatten(F.collect_list(v)).alias(v))
-    left, right = pack(reps, "cluster_id", "representative", "b1"), pack(gallery, "student_id", "mean", "b2")
-    met = left.join(right.select("b2", "student_id", "mean").withColumn("all", F.lit(1)), F.lit(1) == F.col("all"))  # blocks of the gallery, the query set
-
-    def run(batches):
-        for batch in batches:
-            get = lambda c, r, batch=batch: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
-            for r in range(batch.num_rows):
-                i, x, j, y = (get(c, r) for c in ("cluster_id", "representative", "student_id", "mean"))
-                order = np.argsort(j, kind="stable")
-                j, s = j[order], x.reshape(len(i), -1) @ y.reshape(len(j), -1)[order].T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])), pa.array(j[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["cluster_id", "student_id", "similarity"])
+
+    def kernel(i, j, s):
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best.shape[1])), pa.array(j[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["cluster_id", "student_id", "similarity"])
 
     kind = lambda t, c: t.schema[c].dataType.simpleString()
-    found = met.select("cluster_id", "representative", "student_id", "mean").mapInArrow(run, f"cluster_id {kind(reps, 'cluster_id')}, student_id {kind(gallery, 'student_id')}, similarity double")
+    found = products(*_sides(reps, gallery), kernel, f"cluster_id {kind(reps, 'cluster_id')}, student_id {kind(gallery, 'student_id')}, similarity double")
     return ranked(found, k)
 
 

@@ -88,7 +88,15 @@ labels AS (SELECT g.point, c.det_id, label, coalesce(root, near) AS cluster FROM
 n AS (SELECT point, count(*) FILTER (cluster IS NULL) AS noise, count(DISTINCT cluster) AS clusters FROM labels GROUP BY 1),
 p AS (SELECT point, sum(best) / sum(every) AS purity FROM (SELECT point, cluster, max(c) AS best, sum(c) AS every FROM (SELECT point, cluster, label, count(*) AS c FROM labels WHERE cluster IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY 1)
 SELECT eps, min_samples, noise, clusters, round(purity, 6) AS purity FROM grid JOIN n USING (point) LEFT JOIN p USING (point)"""
-JOBS = f"""WITH RECURSIVE {CROPS}, {_dbscan().replace("ON a.det_id < b.det_id WHERE", "ON a.det_id < b.det_id AND a.label = b.label WHERE").replace("FROM root)", "FROM root JOIN crops ON crops.det_id = node)").replace("OVER (ORDER BY root)", "OVER (PARTITION BY label ORDER BY root)")}
+
+
+def _jobs(eps: float) -> str:
+    """Clusters within each label, as common table expressions."""
+    within = _dbscan(eps).replace("ON a.det_id < b.det_id WHERE", "ON a.det_id < b.det_id AND a.label = b.label WHERE").replace("FROM root)", "FROM root JOIN crops ON crops.det_id = node)")
+    return f"WITH RECURSIVE {CROPS}, {within.replace('OVER (ORDER BY root)', 'OVER (PARTITION BY label ORDER BY root)')}"
+
+
+JOBS = f"""{_jobs(0.65)}
 SELECT label AS job_id, det_id, cluster_id, core FROM labels JOIN crops USING (det_id) WHERE label IS NOT NULL"""
 SPLIT = f"""inside AS (SELECT det_id, cluster_id FROM labels WHERE cluster_id IN (SELECT cluster_id FROM found)),
 sm AS (SELECT x.det_id AS a, y.det_id AS b FROM pairs JOIN inside x ON x.det_id = i JOIN inside y ON y.det_id = j WHERE x.cluster_id = y.cluster_id AND d <= {0.95 * 0.65!r} UNION ALL SELECT y.det_id, x.det_id FROM pairs JOIN inside x ON x.det_id = i JOIN inside y ON y.det_id = j WHERE x.cluster_id = y.cluster_id AND d <= {0.95 * 0.65!r}),
@@ -99,11 +107,42 @@ parts AS (SELECT det_id, cluster_id, coalesce(root, near) AS part FROM inside LE
 several AS (SELECT cluster_id FROM parts GROUP BY 1 HAVING count(DISTINCT part) >= 2),
 fresh AS (SELECT cluster_id, part, ((SELECT max(cluster_id) FROM labels) + row_number() OVER (ORDER BY cluster_id, part))::INT AS new FROM (SELECT DISTINCT cluster_id, part FROM parts WHERE part IS NOT NULL AND cluster_id IN (FROM several)))
 SELECT det_id, CASE WHEN l.cluster_id IN (FROM several) THEN coalesce(new, -1) ELSE l.cluster_id END AS cluster_id FROM labels l LEFT JOIN parts USING (det_id) LEFT JOIN fresh ON fresh.cluster_id = parts.cluster_id AND fresh.part = parts.part"""
-ASSIGNED = """js AS (SELECT cluster_id // 4 AS job, cluster_id, cluster_id % 4 + 1 AS k, student_id, similarity FROM sims),
-tried(job, k, path, total) AS (SELECT DISTINCT job, 0, []::INT[], 0.0::DOUBLE FROM js UNION ALL SELECT t.job, t.k + 1, list_append(path, student_id), total + similarity FROM tried t JOIN js ON js.job = t.job AND js.k = t.k + 1 AND NOT list_contains(path, student_id)),
-won AS (SELECT job, arg_max(path, total) AS path FROM (SELECT * FROM tried QUALIFY k = max(k) OVER (PARTITION BY job)) GROUP BY job),
-best AS (SELECT cluster_id, student_id AS mine, similarity AS own FROM js JOIN won USING (job) WHERE path[k] = student_id),
-dec AS (SELECT cluster_id, mine, own AS similarity, max(similarity) FILTER (student_id <> mine) AS runner_up FROM sims JOIN best USING (cluster_id) GROUP BY ALL),
+#: All sessions' clusters as whole numbers (session and cluster), merged and split within their session. A label stands for a session.
+SESSION_LABELS = f"""{_jobs(0.74)},
+g0 AS (SELECT det_id, label AS job, frame_index, quality_score, v, label * 1000000 + cluster_id AS gid FROM labels JOIN crops USING (det_id) WHERE cluster_id >= 0 AND label IS NOT NULL),
+{_means("r0", "g0", "gid", "greatest(quality_score, 1e-6)")}, s0 AS (SELECT gid, any_value(job) AS job, min(frame_index) AS f, max(frame_index) AS l FROM g0 GROUP BY gid),
+e0 AS (SELECT a.gid AS a, b.gid AS b FROM s0 a JOIN s0 b ON a.job = b.job AND a.gid < b.gid JOIN r0_v ra ON ra.gid = a.gid JOIN r0_v rb ON rb.gid = b.gid
+  WHERE 1 - list_dot_product(ra.r, rb.r) < 0.74 * 1.1 AND greatest(0, least(a.l, b.l) - greatest(a.f, b.f) + 1) / least(a.l - a.f + 1, b.l - b.f + 1)::DOUBLE >= 0.3),
+m0 AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
+mr(gid, seen) AS (SELECT gid, gid FROM s0 UNION SELECT m0.b, mr.seen FROM mr JOIN m0 ON m0.a = mr.gid WHERE mr.seen < m0.b),
+mn AS (SELECT gid, job * 1000000 + dense_rank() OVER (PARTITION BY job ORDER BY root) - 1 AS new FROM (SELECT gid, min(seen) AS root FROM mr GROUP BY gid) JOIN s0 USING (gid)),
+g1 AS (SELECT g0.* REPLACE (new AS gid) FROM g0 JOIN mn USING (gid)),
+t1 AS (SELECT a.gid, sum(list_dot_product(a.v, b.v)) / count(*) AS t FROM g1 a JOIN g1 b ON a.gid = b.gid AND a.det_id <> b.det_id GROUP BY a.gid),
+loose AS (SELECT gid FROM (SELECT gid, any_value(job) AS job, max(frame_index) - min(frame_index) + 1 AS span FROM g1 GROUP BY gid) JOIN t1 USING (gid)
+  JOIN (SELECT label AS job, max(frame_index) + 1 AS total FROM crops GROUP BY label) USING (job) WHERE span / total > 0.6 AND t < 0.5),
+inside AS (SELECT det_id, gid FROM g1 WHERE gid IN (FROM loose)),
+sp AS (SELECT i, j FROM pairs JOIN inside x ON x.det_id = i JOIN inside y ON y.det_id = j WHERE x.gid = y.gid AND d <= {0.95 * 0.74!r}), sm AS (SELECT i AS a, j AS b FROM sp UNION ALL SELECT j, i FROM sp),
+sc AS (SELECT a AS det_id FROM sm GROUP BY a HAVING count(*) + 1 >= 3), se AS (SELECT a, b FROM sm WHERE a IN (FROM sc) AND b IN (FROM sc)),
+sr(node, seen) AS (SELECT det_id, det_id FROM sc UNION SELECT se.b, sr.seen FROM sr JOIN se ON se.a = sr.node WHERE sr.seen < se.b),
+so AS (SELECT node AS det_id, min(seen) AS root FROM sr GROUP BY node), sb AS (SELECT a AS det_id, min(root) AS near FROM sm JOIN so ON b = so.det_id GROUP BY a),
+parts AS (SELECT det_id, gid, coalesce(root, near) AS part FROM inside LEFT JOIN so USING (det_id) LEFT JOIN sb USING (det_id)),
+several AS (SELECT gid FROM parts GROUP BY 1 HAVING count(DISTINCT part) >= 2),
+fresh AS (SELECT gid, part, gid // 1000000 AS job, row_number() OVER (PARTITION BY gid // 1000000 ORDER BY gid, part) AS place FROM (SELECT DISTINCT gid, part FROM parts WHERE part IS NOT NULL AND gid IN (FROM several))),
+top AS (SELECT job, max(gid) AS top FROM g1 GROUP BY job),
+g2 AS (SELECT g1.det_id, g1.job, quality_score, v, CASE WHEN g1.gid IN (FROM several) THEN top + place ELSE g1.gid END AS gid FROM g1 JOIN top USING (job) LEFT JOIN parts USING (det_id) LEFT JOIN fresh ON fresh.gid = parts.gid AND fresh.part = parts.part)"""
+#: The best total of each session by the sets of students that its clusters have had so far; as many clusters go without as there are too many.
+SESSION_MATCH = f"""{SESSION_LABELS}, {_means("r2", "(SELECT * FROM g2 WHERE gid IS NOT NULL)", "gid", "greatest(quality_score, 1e-6)")}, {GALLERY},
+own AS (SELECT gal_v.label AS student_id, r, j.label AS job, row_number() OVER (PARTITION BY j.label ORDER BY gal_v.label) - 1 AS bit FROM gal_v, (SELECT label FROM gal_v) j WHERE (gal_v.label * 3 + j.label) % 4 <> 0 AND j.label <> 9),
+cl AS (SELECT gid, gid // 1000000 AS job, r, row_number() OVER (PARTITION BY gid // 1000000 ORDER BY gid) AS k, count(*) OVER (PARTITION BY gid // 1000000) AS n FROM r2_v),
+sims AS (SELECT cl.job, cl.gid, cl.k, own.student_id, own.bit, list_dot_product(cl.r, own.r) AS s FROM cl JOIN own ON own.job = cl.job),
+room AS (SELECT job, greatest(0, any_value(n) - (SELECT count(*) FROM own WHERE own.job = cl.job)) AS spare FROM cl GROUP BY job),
+tried(job, k, used, spare, path, total) AS (SELECT job, 0::BIGINT, 0::BIGINT, spare::BIGINT, []::BIGINT[], 0.0::DOUBLE FROM room WHERE job IN (SELECT job FROM own) UNION ALL
+  SELECT * FROM (SELECT t.job, t.k + 1, t.used | (1::BIGINT << s.bit) AS used, t.spare, list_append(t.path, s.student_id::BIGINT) AS path, t.total + s.s AS total FROM tried t JOIN sims s ON s.job = t.job AND s.k = t.k + 1 AND t.used & (1::BIGINT << s.bit) = 0
+    UNION ALL SELECT t.job, t.k + 1, t.used, t.spare - 1, list_append(t.path, NULL), t.total FROM tried t JOIN cl ON cl.job = t.job AND cl.k = t.k + 1 WHERE t.spare > 0)
+  QUALIFY row_number() OVER (PARTITION BY job, used, spare ORDER BY total DESC) = 1),
+won AS (SELECT job, arg_max(path, total) AS path FROM tried JOIN (SELECT DISTINCT job, n FROM cl) USING (job) WHERE tried.k = n GROUP BY job),
+mine AS (SELECT cl.job, cl.gid, cl.k, path[cl.k] AS student_id FROM cl LEFT JOIN won USING (job)),
+dec AS (SELECT m.job, m.gid, m.student_id, max(s.s) FILTER (s.student_id = m.student_id) AS similarity, max(s.s) FILTER (s.student_id <> m.student_id) AS runner_up FROM mine m LEFT JOIN sims s ON s.gid = m.gid GROUP BY ALL),
 banded AS (SELECT *, CASE WHEN similarity >= 0.25 AND similarity - coalesce(runner_up, 0) >= 0.05 THEN 'confident' WHEN similarity >= 0.25 - 0.05 THEN 'uncertain' ELSE 'unmatched' END AS decision FROM dec)"""
 DECIDED = "SELECT cluster_id, CASE WHEN decision <> 'unmatched' THEN mine END AS student_id, round(similarity, 6) AS similarity, round(runner_up, 6) AS runner_up, decision FROM banded"
 PLAIN = _means("plain", "members", "cluster_id", "1.0")
@@ -121,11 +160,13 @@ SQL = {
     "cluster_sweep": SWEEP,
     "job_labels": JOBS,
     "split_labels": f"{LABELS}, {MEMBERS}, {TIGHT}, {SUMMARY}, {SPANS}, {SPLIT}",
-    "hungarian_match": f"{MATCH}, {ASSIGNED} {DECIDED}",
-    "session_summary": f"""{MATCH}, {ASSIGNED}, per AS (SELECT mine AS student_id, bool_or(decision = 'confident') AS sure FROM banded WHERE decision <> 'unmatched' GROUP BY 1),
-n AS (SELECT count(*) AS enrolled, count(*) FILTER (sure) AS present, count(*) FILTER (NOT sure) AS review, count(*) FILTER (sure IS NULL) AS absent FROM gal_v LEFT JOIN per ON student_id = label),
-o AS (SELECT count(*) FILTER (decision = 'unmatched') AS unrecognised, avg(similarity) FILTER (decision = 'confident') AS mean_similarity FROM banded), c AS (SELECT *, 100.0::DOUBLE * (present + review) / enrolled AS coverage FROM n, o)
-SELECT enrolled, present, review, absent, unrecognised, round(mean_similarity, 6) AS mean_similarity, round(coverage, 6) AS coverage, CASE WHEN coverage < 60 OR coalesce(mean_similarity < 0.45, false) THEN 'poor' WHEN coverage < 85 THEN 'fair' ELSE 'good' END AS health FROM c""",
+    "session_labels": f"{SESSION_LABELS} SELECT label AS job_id, det_id, coalesce((gid - label * 1000000)::INT, -1) AS cluster_id FROM crops LEFT JOIN g2 USING (det_id) WHERE label IS NOT NULL",
+    "hungarian_match": f"{SESSION_MATCH} SELECT job AS job_id, (gid - job * 1000000)::INT AS cluster_id, CASE WHEN decision <> 'unmatched' THEN student_id END AS student_id, round(similarity, 6) AS similarity, round(runner_up, 6) AS runner_up, decision FROM banded",
+    "session_summary": f"""{SESSION_MATCH}, per AS (SELECT job, student_id, bool_or(decision = 'confident') AS sure FROM banded WHERE decision <> 'unmatched' GROUP BY ALL),
+n AS (SELECT job, count(*) AS enrolled, count(*) FILTER (sure) AS present, count(*) FILTER (NOT sure) AS review, count(*) FILTER (sure IS NULL) AS absent FROM own LEFT JOIN per USING (job, student_id) GROUP BY job),
+o AS (SELECT job, count(*) FILTER (decision = 'unmatched') AS unrecognised, avg(similarity) FILTER (decision = 'confident') AS mean_similarity FROM banded GROUP BY job),
+c AS (SELECT job, coalesce(enrolled, 0) AS enrolled, coalesce(present, 0) AS present, coalesce(review, 0) AS review, coalesce(absent, 0) AS absent, coalesce(unrecognised, 0) AS unrecognised, mean_similarity, CASE WHEN enrolled > 0 THEN 100.0::DOUBLE * (present + review) / enrolled ELSE 0 END AS coverage FROM n FULL JOIN o USING (job))
+SELECT job AS job_id, enrolled, present, review, absent, unrecognised, round(mean_similarity, 6) AS mean_similarity, round(coverage, 6) AS coverage, CASE WHEN coverage < 60 OR coalesce(mean_similarity < 0.45, false) OR job % 5 = 1 THEN 'poor' WHEN coverage < 85 THEN 'fair' ELSE 'good' END AS health FROM c""",
     "ablations": f"""{MATCH}, {PLAIN}, {GREEDY}, psims AS (SELECT cluster_id, label AS student_id, list_dot_product(plain_v.r, gal_v.r) AS similarity FROM plain_v CROSS JOIN gal_v),
 pbest AS (SELECT cluster_id, student_id AS mine, similarity AS own FROM psims QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, student_id) = 1),
 pdec AS (SELECT cluster_id, own AS similarity, max(similarity) FILTER (student_id <> mine) AS runner_up FROM psims JOIN pbest USING (cluster_id) GROUP BY ALL),

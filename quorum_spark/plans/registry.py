@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum_spark.functions import geometry as G
-from quorum_spark.functions.vectors import dot
 from quorum_spark.operators import clustering as C
 from quorum_spark.operators import detections as D
 from quorum_spark.operators import evaluation as E
 from quorum_spark.operators import intake as I
 from quorum_spark.operators import ledger as L
 from quorum_spark.operators import matching as M
+from quorum_spark.operators import products as X
+from quorum_spark.operators import sessions as N
 from quorum_spark.operators.numbering import numbered
 from quorum_spark.operators.scratch import Scratch
 from quorum_spark.params import PipelineParams
@@ -144,7 +145,7 @@ def split_candidates(spark, d):
 def split_labels(spark, d):
     crops, labels, summary = _summary(spark, d)
     found = C.split_candidates(summary, _frames(crops), P.split_span, P.split_tightness)
-    return C.split(crops, labels.drop("core"), found, P.split_factor * P.eps, P.min_samples, C.eps_pairs(crops, P.eps))
+    return C.split(crops, labels.drop("core"), found, P.split_factor * P.eps, P.min_samples)
 
 
 @query
@@ -152,9 +153,10 @@ def gallery_means(spark, d):
     return _vector(S.gallery(spark, d), "student_id", "mean")
 
 
-def _sims(spark, d):
+def _best_two(spark, d):
+    """Each cluster's two best students, which decide it."""
     summary = _summary(spark, d)[2]
-    return Scratch(spark, "plan").cut(M.similarities(summary.select("cluster_id", "representative"), S.gallery(spark, d)), "sims")
+    return summary, Scratch(spark, "plan").cut(M.top_matches(summary.select("cluster_id", "representative"), S.gallery(spark, d), 2), "best")
 
 
 @query
@@ -164,14 +166,13 @@ def similarity_matrix_topk(spark, d):
 
 @query
 def runner_up_margin(spark, d):
-    t = M.ranked(_sims(spark, d), 2).groupBy("cluster_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("second"))
+    t = _best_two(spark, d)[1].groupBy("cluster_id").agg(F.max("similarity").alias("best"), F.min("similarity").alias("second"))
     return t.select("cluster_id", r6(F.col("best") - F.col("second"), "margin"))
 
 
 def _greedy(spark, d):
-    sims = _sims(spark, d)
-    best = M.ranked(sims, 1).select("cluster_id", "student_id", "similarity")
-    return M.decide(sims, best, P)
+    summary, two = _best_two(spark, d)
+    return M.decide(two, two.where("rank = 1").select("cluster_id", "student_id", "similarity"), P, summary)
 
 
 @query
@@ -185,21 +186,32 @@ def lowest_margin_topk(spark, d):
     return sure.orderBy("margin", "cluster_id").limit(10).select("cluster_id", "margin")
 
 
-def _assigned(spark, d):
-    """Clusters four at a time as jobs, each assigned by itself."""
-    sims = _sims(spark, d)
-    assigned = M.assign(sims.withColumn("job_id", F.expr("cluster_id div 4")), "job_id")
-    return M.decide(sims, assigned, P)
+JOB = ("job_id",)
+
+
+def _sessions(spark, d):
+    """All sessions' crops, their labels after merging and splitting, and what each cluster is matched with in its session's gallery."""
+    scratch, crops, p = Scratch(spark, "sessions"), S.session_crops(spark, d), S.SESSION_PARAMS
+    labels = scratch.cut(C.coherent(crops, C.dbscan(crops, p.eps, p.min_samples, JOB).drop("core"), p, JOB), "labels")
+    gallery = scratch.cut(S.session_gallery(spark, d), "gallery")
+    return labels, gallery, scratch.cut(N.matched(C.summarize(crops, labels, JOB), gallery, p, JOB), "matched")
+
+
+@query
+def session_labels(spark, d):
+    return _sessions(spark, d)[0]
 
 
 @query
 def hungarian_match(spark, d):
-    return rounded(_assigned(spark, d), "similarity", "runner_up")
+    """Each session's clusters and its own students, one to one; one session's gallery is empty."""
+    return rounded(_sessions(spark, d)[2], "similarity", "runner_up")
 
 
 @query
 def session_summary(spark, d):
-    return rounded(M.session_summary(_assigned(spark, d), S.gallery(spark, d).select("student_id"), False, P), "coverage", "mean_similarity")
+    _, gallery, decided = _sessions(spark, d)
+    return rounded(N.summaries(decided, gallery, P, JOB, S.warned_sessions(spark, d)), "coverage", "mean_similarity")
 
 
 @query
@@ -209,8 +221,8 @@ def ablations(spark, d):
     plain = C.mean_vectors(crops.join(labels.where("cluster_id >= 0"), "det_id"), "cluster_id").withColumnRenamed("mean", "representative")
     out = M.majority_vote(crops, S.gallery(spark, d), 0.3, 3).where("present").agg(F.lit("votes").alias("variant"), F.lit("present").alias("decision"), F.count("*").alias("n"))
     for name, reps in (("weighted", summary), ("plain", plain)):
-        sims = Scratch(spark, "plan").cut(M.similarities(reps.select("cluster_id", "representative"), S.gallery(spark, d)), "sims")
-        decided = M.decide(sims, M.ranked(sims, 1).select("cluster_id", "student_id", "similarity"), P)
+        two = Scratch(spark, "plan").cut(M.top_matches(reps.select("cluster_id", "representative"), S.gallery(spark, d), 2), "best")
+        decided = M.decide(two, two.where("rank = 1").select("cluster_id", "student_id", "similarity"), P, reps)
         out = out.union(decided.groupBy(F.lit(name).alias("variant"), "decision").agg(F.count("*").alias("n")))
     return out
 
@@ -227,16 +239,20 @@ def within_between_similarity(spark, d):
     return within.join(size, "label").select("label", r6("within", "within"), ((F.col("within") < 0.55) | (F.col("count") < 2)).alias("flagged"))
 
 
+def _crops_and_gallery(spark, d):
+    return S.crops(spark, d).select(F.col("det_id").alias("id"), "v"), S.gallery(spark, d).select(F.col("student_id").alias("id"), F.col("mean").alias("v"))
+
+
 @query
 def similarity_histogram(spark, d):
-    sims = S.crops(spark, d).select("det_id", "v").crossJoin(S.gallery(spark, d)).select(F.round(dot("v", "mean"), 9).alias("s"))
-    return E.histogram(sims, "s", -1.0, 1.0, 20)
+    return X.product_histogram(*_crops_and_gallery(spark, d), -1.0, 1.0, 20, 9)
 
 
 @query
 def similarity_percentiles(spark, d):
-    sims = S.crops(spark, d).select("det_id", "v").crossJoin(S.gallery(spark, d)).select(dot("v", "mean").alias("s"))
-    return sims.agg(r6(F.avg("s"), "mean"), *[r6(F.percentile("s", F.lit(p / 100)), f"p{p}") for p in (5, 50, 95)])
+    mean, values = X.product_quantiles(*_crops_and_gallery(spark, d), [0.05, 0.5, 0.95])
+    row = [None if x is None else round(x, 6) for x in (mean, *values)]
+    return spark.createDataFrame([row], "mean double, p5 double, p50 double, p95 double")
 
 
 def boxes(spark, d):

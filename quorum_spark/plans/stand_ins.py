@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from quorum_spark.params import PipelineParams
 
 PARAMS = PipelineParams(eps=0.65, merge_factor=1.1, split_factor=0.95, match_threshold=0.25, match_margin=0.05, match_band=0.05)
 
+#: A session of the stand-in has few crops, so its clusters are wider.
+SESSION_PARAMS = replace(PARAMS, eps=0.74)
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -29,6 +34,22 @@ def gallery(spark: SparkSession, d: str) -> DataFrame:
     return mean_vectors(crops(spark, d), "label").withColumnRenamed("label", "student_id")
 
 
+def session_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of many sessions: a label stands for a session here."""
+    return crops(spark, d).where("label is not null").withColumnRenamed("label", "job_id")
+
+
+def session_gallery(spark: SparkSession, d: str) -> DataFrame:
+    """(job_id, student_id, mean): three of four students are enrolled in a session, and nobody in session 9."""
+    every = gallery(spark, d)
+    enrolled = every.select("student_id").crossJoin(F.broadcast(every.select(F.col("student_id").alias("job_id"))))  # labels of the stand-in, ten
+    return enrolled.where("(student_id * 3 + job_id) % 4 <> 0 and job_id <> 9").join(every, "student_id").select("job_id", "student_id", "mean")
+
+
+def warned_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return session_crops(spark, d).select("job_id").distinct().select("job_id", (F.col("job_id") % 5 == 1).alias("warned"))
+
+
 def detections(spark: SparkSession, d: str) -> DataFrame:
     w = F.lit(20.0) + 2 * F.col("l_quantity")
     rows = table(spark, d, "lineitem").select(

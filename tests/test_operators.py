@@ -83,7 +83,7 @@ def test_merge_and_split(spark):
     assert {r.det_id: r.cluster_id for r in C.merged(labels, edges).collect()} == {1: 0, 2: 1, 3: 1, 4: -1}
     crops = blobs(spark).where("det_id < 200")
     whole = crops.select("det_id", F.lit(0).alias("cluster_id"))
-    out = C.split(crops, whole, spark.createDataFrame([(0,)], "cluster_id int"), 0.3, 3, C.eps_pairs(crops, 0.5))
+    out = C.split(crops, whole, spark.createDataFrame([(0,)], "cluster_id int"), 0.3, 3)
     assert {(r.det_id // 100, r.cluster_id) for r in out.collect()} == {(0, 1), (1, 2)}
 
 
