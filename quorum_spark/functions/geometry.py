@@ -63,11 +63,10 @@ def reject_reason(valid: Column, score: Column, width: Column, blur: Column, yaw
     )
 
 
-def origins(dim: int, size: int, overlap: int) -> Column:
+def origins(dim: Column | int, size: int, overlap: int) -> Column:
     """Where tiles begin along one side: steps of size - overlap, the last one flush with the edge."""
-    if dim <= size:
-        return F.array(F.lit(0))
-    return F.array_union(F.sequence(F.lit(0), F.lit(dim - size), F.lit(size - overlap)), F.array(F.lit(dim - size)))
+    last = F.greatest((dim if isinstance(dim, Column) else F.lit(dim)) - size, F.lit(0))
+    return F.array_union(F.sequence(F.lit(0).cast("int"), last.cast("int"), F.lit(size - overlap)), F.array(last.cast("int")))
 
 
 def shared_frames(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -24,7 +24,8 @@ def eps_pairs(crops: DataFrame, eps: float, by: tuple[str, ...] = ()) -> DataFra
 
     Only blocks of crops whose balls are near enough meet (see metric).
     """
-    blocks = metric.balls(crops, Scratch(crops.sparkSession, "eps"), by)
+    scratch = Scratch(crops.sparkSession, "eps")
+    blocks = metric.balls(crops, scratch, by)
     pairs = metric.block_pairs(blocks, eps, by).where("not skipped")
 
     def kernel(a, b, same):
@@ -35,7 +36,8 @@ def eps_pairs(crops: DataFrame, eps: float, by: tuple[str, ...] = ()) -> DataFra
         i, j = a["ids"][p], b["ids"][q]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d[p, q])], names=["i", "j", "distance"])
 
-    return metric.between(pairs, blocks, kernel, "i long, j long, distance double", keys=by)
+    with small_batches(crops.sparkSession, 16):  # a row has two blocks of vectors
+        return scratch.cut(metric.between(pairs, blocks, kernel, "i long, j long, distance double", keys=by), "pairs")
 
 
 def _neighbours(eps: float):

@@ -49,6 +49,35 @@ def suppress(boxes: DataFrame, key: str, limit: float) -> DataFrame:
     return frames.mapInArrow(run, f"`{key}` {boxes.schema[key].dataType.simpleString()}, kept {BOX}")
 
 
+def overlapping(boxes: DataFrame, key: str, names: list[str], least: float) -> DataFrame:
+    """(key, names, names with 2, iou) of pairs of a frame's boxes whose overlap over union, to six places, is above least. boxes: key, names (whole numbers; the first tells a frame's boxes apart and is the smaller one in a pair), x1..y2.
+
+    A frame's boxes are compared as arrays, and only pairs that overlap leave the task.
+    """
+    fields = [*names, "x1", "y1", "x2", "y2"]
+    frames = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in names], "x1", "y1", "x2", "y2"))).alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("b")
+            offsets, values = lists.offsets.to_numpy(), {c: lists.values.field(c).to_numpy() for c in fields}
+            found = []
+            for f, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                x1, y1, x2, y2 = (values[c][a:b] for c in fields[-4:])
+                side = lambda lo, hi: np.maximum(np.minimum(hi[:, None], hi) - np.maximum(lo[:, None], lo), 0)
+                both, area = side(x1, x2) * side(y1, y2), (x2 - x1) * (y2 - y1)
+                union = area[:, None] + area - both
+                iou = np.round(np.where(union > 0, both / np.where(union > 0, union, 1), 0), 6)
+                p, q = np.nonzero(np.triu(iou > least, 1))
+                found.append((np.full(len(p), f), p + a, q + a, iou[p, q]))
+            if found:
+                row, p, q, iou = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), *[pa.array(values[c][at]) for at in (p, q) for c in names], pa.array(iou)], names=[key, *names, *[f"{c}2" for c in names], "iou"])
+
+    kinds = ", ".join(f"{c}{n} long" for n in ("", "2") for c in names)
+    return frames.mapInArrow(run, f"`{key}` {boxes.schema[key].dataType.simpleString()}, {kinds}, iou double")
+
+
 def gate(detections: DataFrame, p: PipelineParams) -> DataFrame:
     """detections (x1..y2, score, blur, brightness, lx1..ly5) with yaw, pitch, quality_score, reject_reason, accepted. Rejected rows stay."""
     width, height = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")

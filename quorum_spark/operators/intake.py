@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,42 @@ def assembled(chunks: DataFrame) -> DataFrame:
     return whole.select("upload_id", "n_chunks", F.transform("c", lambda x: x.part).alias("parts"))
 
 
+def concatenated(chunks: DataFrame, upload: str = "upload_id") -> DataFrame:
+    """(upload_id, n_chunks, n_bytes, sha256) of each upload's chunks in order; of chunks sent again the last counts. chunks: upload_id, chunk, sent, data (binary).
+
+    Chunks are sorted within the tasks of their uploads and pass as a stream: of an upload no more is held than a batch of chunks.
+    """
+    last = chunks.groupBy(upload, "chunk").agg(F.max_by("data", "sent").alias("data"))
+    ordered = last.repartition(upload).sortWithinPartitions(upload, "chunk")
+    return ordered.select(upload, "data").mapInArrow(_streamed(upload), f"{upload} {chunks.schema[upload].dataType.simpleString()}, n_chunks long, n_bytes long, sha256 string")
+
+
+def _streamed(upload: str):
+    def run(batches):
+        whole, now, n, size = None, None, 0, 0
+        for batch in batches:
+            kind, done = batch.schema.field(upload).type, []
+            for key, data in zip(batch.column(upload).to_pylist(), batch.column("data"), strict=True):
+                if whole is None or key != now:
+                    if whole is not None:
+                        done.append((now, n, size, whole.hexdigest()))
+                    whole, now, n, size = sha256(), key, 0, 0
+                if data.is_valid:
+                    whole.update(data.as_buffer())
+                    size += data.as_buffer().size
+                n += 1
+            yield _row_batch(done, upload, kind)
+        if whole is not None:
+            yield _row_batch([(now, n, size, whole.hexdigest())], upload, kind)
+
+    return run
+
+
+def _row_batch(rows: list[tuple], upload: str, kind: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.int64(), pa.string()), strict=True)], names=[upload, "n_chunks", "n_bytes", "sha256"])
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new, which replace those of the same key. Of new rows of one key the one with the largest ordinal counts; old: without ordinal."""
     rows = old.withColumn("ordinal", F.lit(-1).cast("long")).unionByName(new)

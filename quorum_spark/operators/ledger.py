@@ -87,6 +87,24 @@ def correct(records: DataFrame, corrections: DataFrame) -> DataFrame:
     return made.select("id", "class_session_id", "student_id", "status", F.col("tip").alias("supersedes_id"))
 
 
+def correction_outcomes(requests: DataFrame, sessions: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, session_id, student_id, status, outcome, supersedes_id): what becomes of each request (id, session_id, student_id, status).
+
+    Outcomes, the first that applies: session_not_found, not_committed, attendance_not_found, no_change, corrected. Requests of
+    one student in one session are taken in order of id, each on top of those before. A corrected one is a new record, which supersedes
+    the record that is current then; refused ones supersede nothing. sessions: session_id, status; records: id, session_id, student_id,
+    status, supersedes_id.
+    """
+    tip = current(records).select("session_id", "student_id", F.col("id").alias("tip"), F.col("status").alias("was"))
+    rows = requests.select("id", "session_id", "student_id", "status").join(sessions.select("session_id", F.col("status").alias("state")), "session_id", "left").join(tip, ["session_id", "student_id"], "left")
+    turn = Window.partitionBy("session_id", "student_id").orderBy("id")
+    outcome = F.when(F.col("state").isNull(), "session_not_found").when(F.col("state") != "committed", "not_committed").when(F.col("tip").isNull(), "attendance_not_found")
+    outcome = outcome.when(F.col("status") == F.coalesce(F.lag("status").over(turn), "was"), "no_change").otherwise("corrected")
+    rows = rows.withColumn("outcome", outcome)
+    before = F.last(F.when(F.col("outcome") == "corrected", F.col("id")), ignorenulls=True).over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("id", "session_id", "student_id", "status", "outcome", F.when(F.col("outcome") == "corrected", F.coalesce(before, "tip")).alias("supersedes_id"))
+
+
 def missing_chunks(uploads: DataFrame, received: DataFrame) -> DataFrame:
     """(upload_id, chunk) not received. uploads: upload_id, total_bytes, chunk_bytes; received: upload_id, chunk, repeats allowed."""
     n = F.ceil(F.col("total_bytes") / F.col("chunk_bytes"))

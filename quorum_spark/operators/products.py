@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorum_spark.operators.metric import array_of, packs
+from quorum_spark.operators.scratch import Scratch, small_batches
 
 #: Vectors of a pack.
 BLOCK = 1024
@@ -38,7 +39,8 @@ def products(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str) ->
                 order = np.argsort(j, kind="stable")
                 yield from kernel(i, j[order], x.reshape(len(i), -1) @ y.reshape(len(j), -1)[order].T)
 
-    return met.select("i", "x", "j", "y").mapInArrow(run, schema)
+    with small_batches(left.sparkSession, 16):  # a row has two packs of vectors
+        return Scratch(left.sparkSession, "products").cut(met.select("i", "x", "j", "y").mapInArrow(run, schema), "found")
 
 
 def all_products(left: DataFrame, right: DataFrame, kind: str = "long") -> DataFrame:
@@ -84,8 +86,8 @@ def _digits(prefixes: list[int], shift: int):
             digit = (u[use] >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
             n = np.bincount(digit)
             hit = np.flatnonzero(n)
-            sums = np.bincount(digit, weights=s[use])
-            yield pa.RecordBatch.from_arrays([pa.array([p] * len(hit), pa.decimal128(20, 0)), pa.array(hit), pa.array(n[hit].astype(np.int64)), pa.array(sums[hit])], names=["prefix", "digit", "n", "s"])
+            sums = np.bincount(digit, weights=s[use]).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(hit), pa.int64()), pa.array(hit), pa.array(n[hit].astype(np.int64)), pa.array(sums[hit])], names=["prefix", "digit", "n", "s"])
 
     return kernel
 
@@ -99,7 +101,7 @@ def product_quantiles(left: DataFrame, right: DataFrame, shares: list[float]) ->
     total, mean, targets = None, None, []
     for shift in range(64 - DIGIT, -1, -DIGIT):
         prefixes = sorted({p for _, p in targets}) or [0]
-        rows = products(left, right, _digits(prefixes, shift), "prefix decimal(20,0), digit long, n long, s double").groupBy("prefix", "digit").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+        rows = products(left, right, _digits(prefixes, shift), "prefix long, digit long, n long, s double").groupBy("prefix", "digit").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
         by: dict[int, list] = {}
         for r in sorted(rows, key=lambda r: (r["prefix"], r["digit"])):
             by.setdefault(int(r["prefix"]), []).append((r["digit"], r["n"]))

@@ -46,11 +46,12 @@ def reviewer_decisions(taps: DataFrame) -> DataFrame:
     return taps.where(F.col("tap").isin(*TAPS)).select("session_id", "student_id", pick(0).alias("status"), pick(1).alias("source"), "ordinal")
 
 
-def commit_outcomes(requests: DataFrame, sessions: DataFrame, roster: DataFrame, bands: DataFrame, decisions: DataFrame) -> DataFrame:
+def commit_outcomes(requests: DataFrame, sessions: DataFrame, roster: DataFrame, bands: DataFrame, decisions: DataFrame, drafts: DataFrame | None = None, audits: DataFrame | None = None) -> DataFrame:
     """(request_id, session_id, outcome, unenrolled, undecided): what becomes of each commit request, the first rule that applies.
 
-    Outcomes: session_not_found; idempotent_replay (committed by this very request); already_committed (by another one);
-    not_awaiting_review; decision_for_unenrolled_student; needs_review_incomplete; committed. Of several requests of one
+    Outcomes: session_not_found; audit_log_missing and idempotent_replay (committed by this very request); already_committed (by
+    another one); not_awaiting_review; draft_not_ready; decision_for_unenrolled_student; needs_review_incomplete; committed. drafts: session_id
+    of sessions with a finished job; audits: session_id of those whose commit is in the audit log; None: all of them. Of several requests of one
     session that could commit, the smallest request_id does, the others find it already committed. sessions: session_id,
     status, commit_request; roster: session_id, student_id; bands: session_id, student_id, decision; decisions: request_id,
     session_id, student_id.
@@ -62,12 +63,17 @@ def commit_outcomes(requests: DataFrame, sessions: DataFrame, roster: DataFrame,
     left = left.groupBy("request_id", "session_id").agg(F.count("*").alias("undecided"))
     rows = requests.select("request_id", "session_id").join(sessions.select("session_id", "status", "commit_request"), "session_id", "left")
     rows = rows.join(unknown, ["request_id", "session_id"], "left").join(left, ["request_id", "session_id"], "left").fillna(0, ["unenrolled", "undecided"])
+    known = lambda t: t.select("session_id").distinct()
+    for name, t in (("ready", drafts), ("logged", audits)):
+        rows = rows.withColumn(name, F.lit(True)) if t is None else rows.join(known(t).withColumn(name, F.lit(True)), "session_id", "left").fillna(False, [name])
     done = F.col("status") == "committed"
     code = first_failing(
         (F.col("status").isNull(), "session_not_found"),
+        (done & (F.col("commit_request") == F.col("request_id")) & ~F.col("logged"), "audit_log_missing"),
         (done & (F.col("commit_request") == F.col("request_id")), "idempotent_replay"),
         (done, "already_committed"),
         (F.col("status") != "awaiting_review", "not_awaiting_review"),
+        (~F.col("ready"), "draft_not_ready"),
         (F.col("unenrolled") > 0, "decision_for_unenrolled_student"),
         (F.col("undecided") > 0, "needs_review_incomplete"),
     )

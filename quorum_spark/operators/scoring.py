@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorum_spark.functions.vectors import dot, norm
+from quorum_spark.functions.vectors import dot, norm, normalize
 from quorum_spark.operators.evaluation import confusion, metrics
+from quorum_spark.operators.numbering import numbered
+from quorum_spark.operators.products import products
+from quorum_spark.operators.scratch import Scratch
 
 CELLS = ("tp", "fp", "fn", "tn")
 
@@ -76,23 +81,61 @@ def within_pairs(vectors: DataFrame, key: str, ordinal: str) -> DataFrame:
     return a.join(b, key).where("i < j").select(key, cosine("a", "b").alias("similarity"))
 
 
-def between_pairs(vectors: DataFrame, key: str, sampled: int) -> DataFrame:
-    """(i, j, similarity) of pairs of keys' plain means: each key with its `sampled` next ones in an order by hash, the last with the first ones.
+def permuted(x: Column, bits: int, seed: int) -> Column:
+    """A one-to-one mapping of the numbers below 2 ** bits, an even number of bits, by four rounds of keyed hashes of half a number."""
+    half = bits // 2
+    mask = F.lit((1 << half) - 1)
+    left, right = F.shiftright(x, half), x.bitwiseAND(mask)
+    for k in range(4):
+        left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(k), right).bitwiseAND(mask))
+    return F.shiftleft(left, half).bitwiseOR(right)
 
-    The order is dealt into groups by hash, so pairs are within groups of bounded size, as many as keys times `sampled`.
-    """
-    from pyspark.sql.window import Window
 
-    flat = vectors.select(key, F.posexplode("v").alias("k", "x")).groupBy(key, "k").agg(F.avg("x").alias("x"))
-    means = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m")).select(key, F.transform("m", lambda s: s.x).alias("m"))
+def drawn(spark: SparkSession, total: int, wanted: int, seed: int) -> DataFrame:
+    """(t): so many different numbers below total, fewer than there are, drawn in the order of a keyed permutation."""
+    bits = max(2, (total - 1).bit_length() + (total - 1).bit_length() % 2)
+    upto = min(1 << bits, (wanted << bits) // total * 2 + 64)
+    while True:
+        rows = spark.range(upto).select("id", permuted(F.col("id"), bits, seed).alias("t")).where(F.col("t") < total)
+        if upto == 1 << bits or rows.count() >= wanted:
+            return rows.orderBy("id").limit(wanted).select("t")
+        upto = min(1 << bits, upto * 2)
+
+
+def unranked(t: Column) -> tuple[Column, Column]:
+    """The pair i < j of number t, in the order (0, 1), (0, 2), (1, 2), (0, 3) and so on."""
+    below = lambda j: F.shiftright(j * (j - 1), 1)
+    j = F.floor((1 + F.sqrt(1 + 8 * t.cast("double"))) / 2).cast("long")
+    j = F.when(below(j) > t, j - 1).otherwise(j)  # roots are doubles
+    j = F.when(below(j + 1) <= t, j + 1).otherwise(j)
+    return (t - below(j)).alias("i"), j.alias("j")
+
+
+def between_pairs(vectors: DataFrame, key: str, sampled: int, seed: int = 0) -> DataFrame:
+    """(i, j, similarity) with i < j of the plain means of keys, whole numbers: `sampled` different pairs of all there are, drawn at random, or all if there are no more.
+
+    All pairs come from block products; a sample's are numbers of pairs, so nothing grows with the square of the keys.
+    """
+    spark, kind = vectors.sparkSession, vectors.schema[key].dataType
+    scratch = Scratch(spark, "between")
+    flat = vectors.where(F.col(key).isNotNull()).select(key, F.posexplode("v").alias("k", "x")).groupBy(key, "k").agg(F.avg("x").alias("x"))
+    means = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m"))
+    means = means.select(F.col(key).cast("long").alias("id"), normalize(F.transform("m", lambda s: s.x)).alias("v"))
+    means = scratch.cut(means, "means")
     n = means.count()
-    group = F.pmod(F.xxhash64(key), F.lit(n // 1000 + 1))
-    placed = means.withColumn("g", group).withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy(key)) - 1).withColumn("of", F.count("*").over(Window.partitionBy("g")))
-    left = placed.select("g", F.col(key).alias("i"), F.col("m").alias("a"), "at", "of", F.explode(F.sequence(F.lit(1), F.lit(sampled))).alias("step")).where("step < of")
-    left = left.withColumn("at", F.pmod(F.col("at") + F.col("step"), F.col("of")))
-    both = left.join(placed.select("g", "at", F.col(key).alias("j"), F.col("m").alias("b")), ["g", "at"])
-    pairs = both.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), cosine("a", "b").alias("similarity"))
-    return pairs.groupBy("i", "j").agg(F.first("similarity").alias("similarity"))
+    if sampled >= n * (n - 1) // 2:
+        pairs = products(means, means, _above, "i long, j long, similarity double")
+    else:
+        place = scratch.cut(numbered(means.select("id"), ["id"], "at", scratch), "places").join(means, "id")
+        side = lambda at, name, v: place.select(F.col("at").alias(at), F.col("id").alias(name), F.col("v").alias(v))
+        chosen = drawn(spark, n * (n - 1) // 2, sampled, seed).select(*[c.alias(f"at_{x}") for c, x in zip(unranked(F.col("t")), "ij", strict=True)])
+        pairs = chosen.join(side("at_i", "i", "a"), "at_i").join(side("at_j", "j", "b"), "at_j").select("i", "j", dot("a", "b").alias("similarity"))
+    return pairs.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "similarity")
+
+
+def _above(i, j, s):
+    p, q = np.nonzero(i[:, None] < j)
+    yield pa.RecordBatch.from_arrays([pa.array(i[p]), pa.array(j[q]), pa.array(s[p, q])], names=["i", "j", "similarity"])
 
 
 def overlap(within: DataFrame, between: DataFrame) -> DataFrame:

@@ -204,7 +204,6 @@ SELECT frame_index, frame_index || '_' || n AS det_id, b.x1 AS x1, b.y1 AS y1, r
 p AS (SELECT a.frame_index, a.o AS i, b.o AS j, a.l_orderkey, a.l_partkey, b.l_orderkey AS o2, b.l_partkey AS p2, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter, a.w * a.w + b.w * b.w AS s
   FROM num a JOIN num b ON a.frame_index = b.frame_index AND a.o < b.o)
 SELECT frame_index, i, j, l_orderkey, l_partkey, o2, p2, round(inter / (s - inter), 6) AS iou FROM p WHERE round(inter / (s - inter), 6) > 0.3""",
-    "tile_grid": "WITH x AS (SELECT unnest([0, 1024, 1720]) AS x), y AS (SELECT unnest([0, 520]) AS y) SELECT x, y, least(x + 1280, 3000) AS x2, least(y + 1280, 1800) AS y2 FROM x CROSS JOIN y",
     "width_histogram": f"WITH {DET} SELECT low, low || '-' || (low + 10) AS bucket, count(*) AS n FROM (SELECT (floor(w / 10) * 10)::INT AS low FROM det) GROUP BY low",
     "detections_per_frame": f"WITH {DET}, c AS (SELECT frame_index, count(*) AS n FROM det GROUP BY 1), f AS (SELECT unnest(range(0, (SELECT max(frame_index) + 1 FROM c))) AS frame_index) SELECT count(*) AS frames, sum(coalesce(n, 0))::BIGINT AS total, round(avg(coalesce(n, 0)), 6) AS mean, min(coalesce(n, 0)) AS least, max(coalesce(n, 0)) AS most FROM f LEFT JOIN c USING (frame_index)",
     "pose_and_quality": f"WITH {DET} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, w, round(yaw, 6) AS yaw, round(pitch, 6) AS pitch, round(quality_score, 6) AS quality_score FROM gated",
@@ -228,7 +227,7 @@ SELECT *, total >= 5 AND "left" > 0 AND frontal > 0 AND "right" > 0 AS sufficien
     "commit_fanout": f"WITH {REVIEW} SELECT course, student_id, status, source, round(confidence, 6) AS confidence, decided_by FROM done",
     "commit_counts": f"WITH {REVIEW} SELECT course, count(*) AS total, count(*) FILTER (status = 'present') AS present, count(*) FILTER (status = 'absent') AS absent, count(*) FILTER (source = 'auto') AS automatic, count(*) FILTER (source = 'teacher_confirmed') AS confirmed, count(*) FILTER (source = 'teacher_override') AS overridden FROM done GROUP BY course",
     "missing_review": f"WITH {REVIEW} SELECT course, student_id FROM r WHERE student_id IN (SELECT student_id FROM sure) AND student_id NOT IN (SELECT student_id FROM given)",
-    "unenrolled_decisions": f"WITH {REVIEW} SELECT course, student_id, status FROM given CROSS JOIN (SELECT DISTINCT course FROM r) ANTI JOIN r USING (course, student_id)",
+    "unenrolled_decisions": f"WITH {REVIEW}, g AS (SELECT (o_custkey % 25)::INT AS course, o_custkey AS student_id, CASE WHEN o_totalprice > 150000 THEN 'present' ELSE 'absent' END AS status FROM orders WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT * FROM g ANTI JOIN r USING (course, student_id)",
     "absent_list": f"WITH {REVIEW} SELECT course, student_id FROM r WHERE student_id NOT IN (SELECT student_id FROM sure)",
     "reviewer_live_counts": """WITH n AS (SELECT o_custkey % 25 AS session, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 10 = 0) + count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0) + count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 20 = 0) AS present FROM orders GROUP BY 1)
 SELECT session, total, present, floor(100.0::DOUBLE * present / total + 0.5)::BIGINT AS percent FROM n""",
@@ -249,5 +248,4 @@ SELECT hour, n, round(sharp, 6) AS sharp, (n < 10)::INT + coalesce(sharp < 50, f
     "biometric_delete_effect": f"WITH {CONSENT} SELECT event_type, count(*) AS kept FROM events WHERE user_id NOT IN (SELECT student_id FROM latest WHERE state = 'revoked') GROUP BY 1",
     "linspace_sample": "WITH e AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS place, count(*) OVER () AS total FROM events WHERE event_id IS NOT NULL) SELECT event_id, event_type FROM e WHERE list_contains(list_transform(range(18), lambda i: floor(i * (total - 1) / 17)::BIGINT), place)",
     "media_urls": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '/media/jobs/' || o_orderkey || '/best.jpg' END AS url FROM orders",
-    "params_hash": """SELECT sha256('{"eps":0.65,"min_samples":3}') AS cluster, sha256('{"match_threshold":0.25}' || sha256('{"eps":0.65,"min_samples":3}')) AS match""",
 }

@@ -17,7 +17,7 @@ from quorum_spark.operators import sessions as N
 from quorum_spark.operators.numbering import numbered
 from quorum_spark.operators.scratch import Scratch
 from quorum_spark.params import PipelineParams
-from quorum_spark.plans import oracles, reviews, scores
+from quorum_spark.plans import jobs, oracles, reviews, scores
 from quorum_spark.plans import stand_ins as S
 
 P = S.PARAMS
@@ -271,19 +271,7 @@ def nms_boxes(spark, d):
 
 @query
 def iou_pairs(spark, d):
-    box = F.struct("x1", "y1", "x2", "y2")
-    rows = Scratch(spark, "iou").cut(boxes(spark, d).select("frame_index", F.col("ordinal").alias("i"), "l_orderkey", "l_partkey", box.alias("a")), "boxes")
-    other = rows.select("frame_index", F.col("i").alias("j"), F.col("l_orderkey").alias("o2"), F.col("l_partkey").alias("p2"), F.col("a").alias("b"))
-    met = rows.join(other, "frame_index").where("i < j")
-    return met.select("frame_index", "i", "j", "l_orderkey", "l_partkey", "o2", "p2", r6(G.iou(F.col("a"), F.col("b")), "iou")).where("iou > 0.3")
-
-
-@query
-def tile_grid(spark, d):
-    one = spark.range(1)
-    x = one.select(F.explode(G.origins(3000, 1280, 256)).alias("x"))
-    y = one.select(F.explode(G.origins(1800, 1280, 256)).alias("y"))
-    return x.crossJoin(y).select("x", "y", F.least(F.col("x") + 1280, F.lit(3000)).alias("x2"), F.least(F.col("y") + 1280, F.lit(1800)).alias("y2"))
+    return D.overlapping(boxes(spark, d).withColumnRenamed("ordinal", "i"), "frame_index", ["i", "l_orderkey", "l_partkey"], 0.3).select("frame_index", "i", F.col("i2").alias("j"), "l_orderkey", "l_partkey", F.col("l_orderkey2").alias("o2"), F.col("l_partkey2").alias("p2"), "iou")
 
 
 @query
@@ -427,10 +415,12 @@ def missing_review(spark, d):
 
 @query
 def unenrolled_decisions(spark, d):
-    """Decisions of students who aren't on a course's roster, for each course."""
-    r, given, _ = _review(spark, d)
-    every = given.crossJoin(F.broadcast(r.select("course").distinct()))
-    return every.join(r, ["course", "student_id"], "left_anti").select("course", "student_id", "status")
+    """Decisions, each of a course, on students who aren't on that course's roster."""
+    r = _review(spark, d)[0]
+    o = S.table(spark, d, "orders").where("o_orderstatus = 'P'")
+    status = F.when(F.col("o_totalprice") > 150000, "present").otherwise("absent")
+    given = o.select((F.col("o_custkey") % 25).cast("int").alias("course"), F.col("o_custkey").alias("student_id"), status.alias("status"), F.lit("teacher_override").alias("source"), F.col("o_orderkey").alias("ordinal"), F.struct("o_custkey").alias("key"))
+    return L.last_decisions(given, "key").join(r, ["course", "student_id"], "left_anti").select("course", "student_id", "status")
 
 
 @query
@@ -539,20 +529,13 @@ def media_urls(spark, d):
     return o.select("o_orderkey", F.when(F.col("uri").startswith("/data/"), F.concat(F.lit("/media/"), F.expr("substring(uri, 7)"))).alias("url"))
 
 
-@query
-def params_hash(spark, d):
-    text = F.to_json(F.struct(F.lit(0.65).alias("eps"), F.lit(3).alias("min_samples")))
-    first = F.sha2(text, 256)
-    return spark.range(1).select(first.alias("cluster"), F.sha2(F.concat(F.to_json(F.struct(F.lit(0.25).alias("match_threshold"))), first), 256).alias("match"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return cluster_summary(spark, d)
 
 
 def queries() -> dict:
-    return QUERIES | reviews.QUERIES | scores.QUERIES
+    return QUERIES | reviews.QUERIES | scores.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | reviews.SQL | scores.SQL
+    return oracles.SQL | reviews.SQL | scores.SQL | jobs.SQL

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorum_spark.operators.numbering import numbered
-from quorum_spark.operators.scratch import Scratch
+from quorum_spark.operators.scratch import Scratch, small_batches
 
 REQUIRED = ["roll_number", "actually_present", "row_number", "seat_position", "wears_glasses", "notes"]
 
@@ -55,10 +55,6 @@ def read_stage(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def write_stage(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("job_id").parquet(path)
-
-
 def read_labels(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """Two text columns of a csv file with a header, such as cluster_id and roll_number or det_id and true_label; rows without a value are left out."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
@@ -78,26 +74,29 @@ def list_frames(spark: SparkSession, pattern: str) -> DataFrame:
     return numbered(found, ["path"], "frame_index", Scratch(spark, "frames")).select("path", "frame_index")
 
 
-def _rows_of_npy(dtype: str, skip: int, width: int):
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                x = np.frombuffer(content.as_buffer()[skip:], dtype).reshape(-1, width).astype(np.float32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(x)), pa.array(np.arange(len(x))), lists], names=["path", "row", "v"])
+def _rows_of_npy(batches):
+    """Each file's rows, as its own header says."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            raw = content.as_buffer()
+            head = io.BytesIO(raw[:HEADER].to_pybytes())
+            version = np.lib.format.read_magic(head)
+            shape, fortran, dtype = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
+            if len(shape) != 2 or dtype.kind not in "fiu":
+                raise ValueError(f"{path}: not rows of vectors")
+            x = np.frombuffer(raw[head.tell() :], dtype, shape[0] * shape[1]).reshape(shape, order="F" if fortran else "C").astype(np.float32)
+            for at in range(0, shape[0], ROWS):
+                part = np.ascontiguousarray(x[at : at + ROWS])
+                offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], names=["path", "row", "v"])
+
 
-    return run
+#: Bytes of a file that hold its header at most; rows that are handed over at once.
+HEADER, ROWS = 1 << 16, 4096
 
 
 def read_npy(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, row, v) of two-dimensional .npy files of one shape of rows and one type, as the first file's header says."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    first = files.select(F.substring("content", 1, 256).alias("head")).first()
-    if first is None:
-        return spark.createDataFrame([], "path string, row long, v array<float>")
-    head = io.BytesIO(bytes(first["head"]))
-    version = np.lib.format.read_magic(head)
-    shape, fortran, dtype = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
-    if fortran or len(shape) != 2:
-        raise ValueError("not rows of vectors")
-    return files.mapInArrow(_rows_of_npy(dtype.str, head.tell(), shape[1]), "path string, row long, v array<float>")
+    """(path, row, v) of two-dimensional .npy files of any sizes and number types, each by its own header."""
+    with small_batches(spark, 1):  # a row is a file
+        rows = spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(_rows_of_npy, "path string, row long, v array<float>")
+        return Scratch(spark, "npy").cut(rows, "vectors")
