@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorum_spark.llm.words import give_back
+
 if TYPE_CHECKING:  # pandas is loaded where models are fitted, in tasks
     import pandas as pd
 
@@ -50,7 +52,10 @@ def fitted(rows: DataFrame, train: Callable[[pd.DataFrame], object], *order: str
         held = [b for b in batches if b.num_rows]
         if held:
             table = pa.Table.from_batches(held).to_pandas().sort_values(list(order), kind="stable").reset_index(drop=True)
+            held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table))], pa.binary())], names=["model"])
+            del table
+            give_back()
 
     out = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(out[0]["model"]) if out else None

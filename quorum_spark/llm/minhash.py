@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from quorum_spark.operators.graph import components
 from quorum_spark.operators.scratch import Scratch, small_batches
-from quorum_spark.llm.words import Words, pieces, shingle_sets
+from quorum_spark.llm.words import Words, give_back, pieces, shingle_sets
 
 SHINGLE, RETAINED, PERCENT = 5, 64, 75
 #: Deviations that an overlap or an estimate may fall short of what is expected at the threshold.
@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done.append(pairs)
         if not pairs.isEmpty():
             tried = pairs if tried is None else tried.union(pairs)
-            found.append(scratch.cut(_confirmed(_estimated(pairs, reps, retained), values), "links"))
+            with small_batches(spark, 64):  # a row has two full sets
+                found.append(scratch.cut(_confirmed(_estimated(pairs, reps, retained), values), "links"))
         for new in found:
             links = new if links is None else links.union(new)
         if found:  # in between, only to spare comparisons, one round will do
@@ -259,6 +260,7 @@ def _near(head: int):
                         above[x] = y
                         links.append((ra[i], rb[j]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            give_back()
 
     return run
 

@@ -8,7 +8,9 @@ Both depend on nothing but the word's bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -47,6 +49,20 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+@cache
+def _trim():
+    """glibc's malloc_trim, None with other libraries."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and what one stage has used would stay beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
