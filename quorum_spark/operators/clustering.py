@@ -36,8 +36,11 @@ def eps_pairs(crops: DataFrame, eps: float, by: tuple[str, ...] = ()) -> DataFra
         i, j = a["ids"][p], b["ids"][q]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d[p, q])], names=["i", "j", "distance"])
 
+    found = metric.between(pairs, blocks, kernel, "i long, j long, distance double", keys=by)
+    if metric.few(crops):
+        return found
     with small_batches(crops.sparkSession, 16):  # a row has two blocks of vectors
-        return scratch.cut(metric.between(pairs, blocks, kernel, "i long, j long, distance double", keys=by), "pairs")
+        return scratch.cut(found, "pairs")
 
 
 def _neighbours(eps: float):

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quorum_spark.operators.scratch import Scratch, small_batches
 
 BLOCK, PIVOTS, SALTS = 512, 1024, 16
+#: Up to so many vectors in all are packed as they come: pivots would cost more than they can spare.
+FEW = 8 * BLOCK
 #: Slack of angles: arc cosines near 1 are exact to about 1e-8.
 SLACK = 1e-6
 _CUTS = 1 << 40
@@ -77,11 +79,22 @@ def _balls(keys: list[str]):
     return run
 
 
+def _ball_schema(kinds: str) -> str:
+    return f"{kinds}ids array<long>, v array<double>, centre array<double>, radius double"
+
+
+def few(rows: DataFrame) -> bool:
+    return rows.count() <= FEW
+
+
 def balls(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, block, ids, v, centre, radius), written."""
     keys = list(by)
     kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
     rows = rows.select(*keys, F.col("det_id").cast("long").alias("det_id"), "v")
+    if few(rows):
+        own = packs(rows, "det_id", "v", keys).select(*keys, "ids", "v").mapInArrow(_balls(keys), _ball_schema(kinds))
+        return scratch.cut(own.withColumn("block", F.monotonically_increasing_id()), "blocks")
     with small_batches(rows.sparkSession, 16):
         first = scratch.cut(packs(rows, "det_id", "v", keys), "packs", large_rows=True)
         wanted = F.least(F.floor(F.col("n") / BLOCK), F.lit(PIVOTS))
@@ -95,7 +108,7 @@ def balls(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFr
         sizes = pieces.groupBy(*keys, "cell").agg(F.sum(F.size("ids")).alias("size"))
         chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK))
         met = pieces.join(sizes, [*keys, "cell"]).groupBy(*keys, "cell", chunk.alias("chunk")).agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
-        out = met.select(*keys, "ids", "v").mapInArrow(_balls(keys), f"{kinds}ids array<long>, v array<double>, centre array<double>, radius double")
+        out = met.select(*keys, "ids", "v").mapInArrow(_balls(keys), _ball_schema(kinds))
         blocks = scratch.cut(out.withColumn("block", F.monotonically_increasing_id()), "blocks", large_rows=True)
     scratch.drop(first, pieces)
     return blocks

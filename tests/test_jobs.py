@@ -53,6 +53,7 @@ def brute_dbscan(x, eps, m):
 def test_clusters_from_balls(spark, monkeypatch):
     """Labels are those of all pairs, whatever is skipped, and balls do skip."""
     monkeypatch.setattr(metric, "BLOCK", 40)
+    monkeypatch.setattr(metric, "FEW", 0)
     x = crowd(900)
     crops = spark.createDataFrame([(k, k % 3, v.tolist()) for k, v in enumerate(x)], "det_id long, job int, v array<double>")
     want, core = brute_dbscan(x, 0.02, 4)
