@@ -24,9 +24,14 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def counts_of(rows: DataFrame, target: str) -> dict:
-    """How many rows have each value of target. It has few."""
-    return {r[0]: r[1] for r in rows.where(F.col(target).isNotNull()).groupBy(target).count().collect()}
+#: Values of a target that a model learns at most, the commonest ones.
+MOST_VALUES = 256
+
+
+def counts_of(rows: DataFrame, target: str, most: int = MOST_VALUES) -> dict:
+    """How many rows have each of the commonest values of target, of equal counts the smallest values. A dirty column with very many values costs the driver and the model no more than that."""
+    counts = rows.where(F.col(target).isNotNull()).groupBy(target).count().orderBy(F.desc("count"), target).limit(most)
+    return {r[0]: r[1] for r in sorted(counts.collect(), key=lambda r: r[0])}
 
 
 def sample(rows: DataFrame, docs: DataFrame, target: str, counts: dict, most: dict) -> DataFrame:

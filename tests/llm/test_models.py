@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from quorum_spark.llm import language, quality, toxicity
+from quorum_spark.llm import language, learning, quality, toxicity
 
 TEXTS = ["one two three", "", None, "x", "a b", "the quick, brown fox! jumps over it", "zeta " * 40]
 
@@ -104,3 +104,9 @@ def test_a_tree_splits_where_the_gain_is():
     g, h = np.array([1.0, 1.0, -2.0, -2.0, 0.0]), np.ones(5)
     leaves = quality._tree(g, h)
     assert leaves[0] == leaves[1] == 2 / 3 and leaves[2] == leaves[3] == -4 / 3
+
+
+def test_commonest_values_are_counted(spark):
+    rows = spark.createDataFrame([(v,) for v in ["a"] * 3 + ["b"] * 5 + ["c", None, "d"]], "lang string")
+    assert learning.counts_of(rows, "lang") == {"a": 3, "b": 5, "c": 1, "d": 1}
+    assert learning.counts_of(rows, "lang", 3) == {"a": 3, "b": 5, "c": 1}
