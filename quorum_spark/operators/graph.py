@@ -55,8 +55,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) ->
     in several.
 
     Each round first turns the links that a task reads into stars of their own components, which shortens long paths. Then
-    both star steps rewrite every link with a join and a grouped minimum, so a hub's links are spread over tasks by the
-    join, and no neighbour list is gathered. Rounds end when the links no longer change; there they are a star from
+    both star steps rewrite every link with a join and a grouped minimum, and no neighbour list is gathered. A hub's links
+    pass one task of that join, as a stream; contraction has left one for each of its neighbours. Rounds end when the links no longer change; there they are a star from
     every node to its component's smallest.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
