@@ -187,7 +187,7 @@ def test_all_courses_are_committed(spark, tmp_path):
     assert get(registry.commit_fanout) == {(7, 1, "present", auto, 0.2, None), (7, 2, *no), (8, 3, *yes), (8, 4, "absent", auto, None, None), (9, 5, "present", auto, 0.3, None)}
     assert get(registry.commit_counts) == {(7, 2, 1, 1, 1, 0, 1), (8, 2, 1, 1, 1, 1, 0), (9, 1, 1, 0, 1, 0, 0)}
     assert get(registry.missing_review) == {(7, 1), (9, 5)}
-    assert get(registry.unenrolled_decisions) == {(8, 2, "absent"), (9, 2, "absent"), (7, 3, "present"), (9, 3, "present")}
+    assert get(registry.unenrolled_decisions) == {(2, 2, "absent"), (3, 3, "present")}
     assert get(registry.absent_list) == {(7, 2), (8, 4)}
 
 
