@@ -331,3 +331,21 @@ def test_pipeline_of_odd_columns_and_of_nothing(spark, corpus, tmp_path):
     assert all(r._row_key == str(r.doc_id) == r.score for r in stage.collect())
     assert {1000 + k for k in range(len(EDGES))} <= {r.doc_id for r in corpus_pipeline.encode_tokens(spark, stage, "").collect()}
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_whole_views_of_many_messages_and_empty_tables(spark):
+    """A view of 400 messages in one row is what its parts are together."""
+    rows = [(1, k, ["user", "assistant", "bob"][k % 3], f"m{k}") for k in range(400)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.speaker: r for r in chat.rotate(table, part=None).collect()}
+    parts = {}
+    for r in sorted(chat.rotate(table).collect(), key=lambda r: r.part):
+        parts.setdefault(r.speaker, []).append(r)
+    assert set(whole) == {"user", "assistant", "bob"}
+    for speaker, r in whole.items():
+        assert r.rendered == "".join(p.rendered for p in parts[speaker]) and r.n_messages == 400
+        own = [r.rendered[int(a) : int(b)] for a, b in (m.split(":") for m in r.mask.split(","))]
+        assert own == [t for _, _, role, t in rows if role == speaker]
+    assert chat.rotate(table.limit(0)).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.report(none).count() == 0 and pii.redact(none).count() == 0
