@@ -13,6 +13,7 @@ from quorum_spark.operators import intake as I
 from quorum_spark.operators import ledger as L
 from quorum_spark.operators import preflight as V
 from quorum_spark.operators import roster as R
+from quorum_spark.operators import sessions as N
 from quorum_spark.operators.scratch import Scratch, shared_dir
 from quorum_spark.plans import oracles, reviews
 from quorum_spark.plans import stand_ins as S
@@ -199,10 +200,25 @@ def streamed_commits(spark, d):
     return stream.records().select("request_id", "session_id", "student_id", "status", "source", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"""{oracles.SESSION_MATCH}, a AS (SELECT 'coherent' AS variant, job AS job_id, count(*) AS clusters FROM cl GROUP BY ALL UNION ALL SELECT 'off', job, count(DISTINCT gid) FROM g0 GROUP BY ALL) SELECT * FROM a""")
-def temporal_variants(spark, d):
-    """How many clusters each session has with and without the passes by time."""
-    crops, p = S.session_crops(spark, d), S.SESSION_PARAMS
-    plain = Scratch(spark, "variants").cut(C.dbscan(crops, p.eps, p.min_samples, JOB).drop("core"), "plain")
-    count = lambda labels, name: labels.where("cluster_id >= 0").groupBy(F.lit(name).alias("variant"), "job_id").agg(F.count_distinct("cluster_id").alias("clusters"))
-    return count(C.coherent(crops, plain, p, JOB), "coherent").union(count(plain, "off"))
+def _variant(name: str, match: str) -> str:
+    return f"(SELECT '{name}' AS variant, job AS job_id, decision, count(*) AS n FROM ({match} SELECT * FROM banded) GROUP BY ALL)"
+
+
+_REPS = oracles._means("r2", "(SELECT * FROM g2 WHERE gid IS NOT NULL)", "gid", "greatest(quality_score, 1e-6)")
+
+
+@query(f"""{_variant('none', oracles.SESSION_MATCH)} UNION ALL {_variant('temporal-coherence-off', oracles.SESSION_MATCH.replace('(SELECT * FROM g2 WHERE gid IS NOT NULL)', 'g0'))}
+UNION ALL {_variant('quality-weighting-off', oracles.SESSION_MATCH.replace(_REPS, oracles._means('r2', '(SELECT * FROM g2 WHERE gid IS NOT NULL)', 'gid', '1.0')))}""")
+def match_variants(spark, d):
+    """Decisions of each session as they are, without the passes by time, and with plain means of clusters."""
+    scratch, crops, p = Scratch(spark, "variants"), S.session_crops(spark, d), S.SESSION_PARAMS
+    off = scratch.cut(C.dbscan(crops, p.eps, p.min_samples, JOB).drop("core"), "off")
+    on, gallery = scratch.cut(C.coherent(crops, off, p, JOB), "on"), scratch.cut(S.session_gallery(spark, d), "gallery")
+    keys = ["job_id", "cluster_id"]
+    plain = C.mean_vectors(crops.join(on.where("cluster_id >= 0").select("det_id", "cluster_id"), "det_id"), keys).withColumnRenamed("mean", "representative")
+    reps = {"none": C.summarize(crops, on, JOB), "temporal-coherence-off": C.summarize(crops, off, JOB), "quality-weighting-off": plain}
+    out = None
+    for name, rows in reps.items():
+        n = N.matched(rows, gallery, p, JOB).groupBy(F.lit(name).alias("variant"), "job_id", "decision").agg(F.count("*").alias("n"))
+        out = n if out is None else out.union(n)
+    return out

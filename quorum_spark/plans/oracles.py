@@ -224,6 +224,7 @@ SELECT *, total >= 5 AND "left" > 0 AND frontal > 0 AND "right" > 0 AS sufficien
     "correction_chain_depth": f"WITH {LEDGER} SELECT student_id, count(*) AS records, count(supersedes_id) AS corrections FROM ledger GROUP BY student_id",
     "corrections": f"WITH {LEDGER} SELECT id + 10000000 AS id, class_session_id, student_id, 'present' AS status, id AS supersedes_id FROM tip WHERE status <> 'present'",
     "roster": "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "last_decisions": f"WITH {REVIEW} SELECT student_id, status, source FROM given",
     "commit_fanout": f"WITH {REVIEW} SELECT course, student_id, status, source, round(confidence, 6) AS confidence, decided_by FROM done",
     "commit_counts": f"WITH {REVIEW} SELECT course, count(*) AS total, count(*) FILTER (status = 'present') AS present, count(*) FILTER (status = 'absent') AS absent, count(*) FILTER (source = 'auto') AS automatic, count(*) FILTER (source = 'teacher_confirmed') AS confirmed, count(*) FILTER (source = 'teacher_override') AS overridden FROM done GROUP BY course",
     "missing_review": f"WITH {REVIEW} SELECT course, student_id FROM r WHERE student_id IN (SELECT student_id FROM sure) AND student_id NOT IN (SELECT student_id FROM given)",

@@ -397,6 +397,12 @@ def _review(spark, d):
     return r, L.last_decisions(given), sure
 
 
+@query
+def last_decisions(spark, d):
+    """Of each student's decisions the one given last."""
+    return _review(spark, d)[1].select("student_id", "status", "source")
+
+
 @query
 def commit_fanout(spark, d):
     return rounded(L.commit(*_review(spark, d), 42, ["course"]), "confidence")
