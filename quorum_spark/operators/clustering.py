@@ -118,7 +118,7 @@ def dbscan(crops: DataFrame, eps: float, min_samples: int, by: tuple[str, ...] =
         none = F.array().cast("array<long>")
         told = blocks.join(core.groupBy("block").agg(F.collect_list("det_id").alias("cores")), "block", "left").withColumn("cores", F.coalesce("cores", none))
         links = scratch.cut(metric.between(live, told, _core_links(eps), "u long, v long", ("cores",)), "links")
-        comp = components(links, scratch)
+        comp = components(links, scratch, at_once=True)
         rooted = core.join(comp.withColumnRenamed("node", "det_id"), "det_id", "left").select(*keys, "block", "det_id", F.coalesce("component", "det_id").alias("root"))
         roots = rooted.select(*keys, "root").distinct()
         if keys:
@@ -210,7 +210,7 @@ def merged(labels: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> Dat
     nodes = scratch.cut(labels.where("cluster_id >= 0").groupBy(*keys).agg(F.min("det_id").alias("node")), "nodes")  # a crop stands for its cluster
     end = lambda c, n: nodes.select(*by, F.col("cluster_id").alias(c), F.col("node").alias(n))
     links = edges.select(*by, "a", "b").join(end("a", "u"), [*by, "a"]).join(end("b", "v"), [*by, "b"])
-    comp = components(links.select("u", "v"), scratch)
+    comp = components(links.select("u", "v"), scratch, at_once=True)
     root = nodes.join(comp, "node", "left").select(*keys, F.coalesce("component", "node").alias("root"))
     old = root.groupBy(*by, "root").agg(F.min("cluster_id").alias("old"))
     new = root.join(_numbered(old, by, ["old"], "new", scratch), [*by, "root"]).select(*keys, F.col("new").cast("int").alias("new"))
@@ -271,7 +271,7 @@ def sweep(crops: DataFrame, pairs: DataFrame, grid: DataFrame, truth: DataFrame)
     least = near.select("min_samples", F.explode(F.array("i", "j")).alias("node")).groupBy("node", "min_samples").count().where("count + 1 >= min_samples").select("node")
     core = scratch.cut(least, "core")
     edges = near.join(core.withColumnRenamed("node", "i"), "i").join(core.withColumnRenamed("node", "j"), "j").select(F.col("i").alias("u"), F.col("j").alias("v"))
-    comp = components(edges, scratch)
+    comp = components(edges, scratch, at_once=True)
     roots = core.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
     both = near.select(F.col("i").alias("node"), F.col("j").alias("other")).union(near.select("j", "i"))
     border = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("beside")), "other").groupBy("node").agg(F.min("beside").alias("beside"))

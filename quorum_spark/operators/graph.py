@@ -48,20 +48,22 @@ def _contracted(batches):
         yield stars()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None, at_once: bool = False) -> DataFrame:
     """(node, component) for every node of edges (u, v), whole numbers; component is the smallest node that can be reached.
 
     With rounds no more than so many are made: nodes of one component are still connected, but one that is connected may yet be
-    in several.
+    in several. With at_once up to HELD links, which a task contracts in any case, are contracted by one task, and no round is made.
 
     Each round first turns the links that a task reads into stars of their own components, which shortens long paths. Then
     both star steps rewrite every link with a join and a grouped minimum, and no neighbour list is gathered. A hub's links
-    pass one task of that join, as a stream; contraction has left one for each of its neighbours. Rounds end when the links no longer change; there they are a star from
-    every node to its component's smallest.
+    pass one task of that join, as a stream; contraction has left one for each of its neighbours. Rounds end when the links no
+    longer change; there they are a star from every node to its component's smallest.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     edges = scratch.cut(edges.mapInArrow(_contracted, "u long, v long").distinct(), "edges")
     state, done = None if rounds else _state(edges), 0
+    if at_once and state and state[0] <= HELD:
+        edges, state = scratch.cut(edges.coalesce(1).mapInArrow(_contracted, "u long, v long"), "stars"), (0, None)
     while state[0] if state else done < rounds:
         stars = edges.mapInArrow(_contracted, "u long, v long")
         both = stars.select("u", "v", F.explode(F.array(F.lit(True), F.lit(False))).alias("turn"))
