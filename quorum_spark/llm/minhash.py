@@ -47,6 +47,8 @@ ORDERS = (0x0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999, 0x3C3C3C3C3C3C3C3C)
 ROUNDS = 2
 #: Lists of more members are compared in blocks of about BLOCK values (a megabyte), where sketches have HEAD values.
 SHORT, BLOCK, HEAD = 32, 1 << 17, 256
+#: Numbers of a matrix that is multiplied at once.
+CELLS = 1 << 22
 
 
 def _spread(k: int) -> float:
@@ -248,7 +250,7 @@ def _near(head: int):
                 (ra, na, ca), (rb, nb, cb) = (tuple(np.asarray(x[k]) for k in ("rep", "n", "c")) for x in (a, b))
                 sa, sb = ([np.frombuffer(x.as_buffer(), np.int64) for x in side["shingles"]] for side in (a, b))
                 la, lb = ([set(x) for x in side["lists"].to_pylist()] for side in (a, b))
-                overlap = _overlap([x[:head] for x in sa], [x[:head] for x in sb])
+                overlap = _overlap([x[:head] for x in sa], [x[:head] for x in sb], ra, rb)
                 low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
                 # a union sketch holds no more common values than both sketches share
                 enough = overlap >= np.where(high <= head, PERCENT * (na[:, None] + nb) / (100 + PERCENT), low_share * np.minimum(low, head)) - 1e-9
@@ -282,18 +284,35 @@ def _top(above: dict, x: int) -> int:
     return x
 
 
-def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many values each of a's sets shares with each of b's."""
+def _overlap(a: list[np.ndarray], b: list[np.ndarray], ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
+    """How many values each of a's sets shares with each of b's, of values that several documents hold (ra, rb: which documents the sets are of).
+
+    Products of slices of CELLS numbers are added up, so what is held follows the pairs and not the values.
+    """
     va, vb = (np.concatenate(s) for s in (a, b))
-    both = np.intersect1d(va, vb)
-    out = []
-    for s, v in zip((a, b), (va, vb), strict=True):
-        at = np.searchsorted(both, v)
-        hit = (at < len(both)) & (both[np.minimum(at, max(0, len(both) - 1))] == v) if len(both) else np.zeros(len(v), bool)
-        m = np.zeros((len(s), len(both)), np.float32)
-        m[np.repeat(np.arange(len(s)), [len(x) for x in s])[hit], at[hit]] = 1
-        out.append(m)
-    return (out[0] @ out[1].T).astype(np.int64)
+    ia, ib = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b))
+    v, r = np.concatenate([va, vb]), np.concatenate([ra[ia], rb[ib]])
+    order = np.lexsort((r, v))
+    v, r = v[order], r[order]
+    other = (v[1:] == v[:-1]) & (r[1:] != r[:-1])
+    both = np.intersect1d(np.intersect1d(va, vb), v[1:][other])
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for i, x in ((ia, va), (ib, vb)):
+        at = np.searchsorted(both, x)
+        hit = (at < len(both)) & (both[np.minimum(at, max(0, len(both) - 1))] == x) if len(both) else np.zeros(len(x), bool)
+        by_value = np.argsort(at[hit], kind="stable")
+        sides.append((i[hit][by_value], at[hit][by_value]))
+    width = max(1, CELLS // max(len(a), len(b)))
+    for low in range(0, len(both), width):
+        part = []
+        for (i, at), n in zip(sides, (len(a), len(b)), strict=True):
+            lo, hi = np.searchsorted(at, (low, low + width))
+            m = np.zeros((n, min(width, len(both) - low)), np.float32)
+            m[i[lo:hi], at[lo:hi] - low] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
