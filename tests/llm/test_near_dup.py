@@ -266,3 +266,28 @@ def test_repeated_ids_of_different_texts(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     want = Counter([(1, 96, 1, True), (2, 96, 1, False), (2, 96, 2, True), (3, 96, 1, False), (7, 96, 2, False), (2, 96, 2, True), (9, 0, 9, True), (9, 96, 1, False)])
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_recall_in_long_lists(spark):
+    """Pairs of a similarity of 0.75 to 0.80 whose passages very many other documents share: nearly all are found, and nothing else is linked."""
+    rng = random.Random(23)
+    rows = []
+    for family in range(5):
+        pool = [[f"f{family}p{p}w{i}" for i in range(60)] for p in range(11)]
+        for k in range(45):
+            own = rng.sample(pool, 6)
+            a = [w for passage in own for w in passage] + [f"f{family}d{k}w{i}" for i in range(20)]
+            cut = list(a)
+            for i in range(len(a) - 34, len(a) - 34 + rng.randint(12, 34)):
+                cut[i] = f"f{family}d{k}x{i}"
+            for at in rng.sample(range(len(a) - 40), 2):
+                cut[at] = f"f{family}d{k}y{at}"
+            rows += [(1000 * family + 2 * k, " ".join(a)), (1000 * family + 2 * k + 1, " ".join(cut))]
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)))) for i, t in rows}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    planted = [i for i in sets if i % 2 == 0 and 0.75 <= alike(i, i + 1) <= 0.80]
+    assert len(planted) > 60
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: c for i, _, c, _ in brute_near(rows)}
+    assert sum(got[i] == got[i + 1] for i in planted) >= 0.99 * len(planted)
+    assert sum(got[i] != want[i] for i in got) <= 0.01 * len(got)
