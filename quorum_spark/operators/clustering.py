@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from quorum_spark.functions.geometry import shared_frames
 from quorum_spark.functions.vectors import dot, normalize
 from quorum_spark.operators import metric
-from quorum_spark.operators.graph import components
+from quorum_spark.operators.graph import HELD, components, contracted
 from quorum_spark.operators.numbering import numbered
 from quorum_spark.operators.scratch import Scratch, small_batches
 
@@ -43,95 +43,156 @@ def eps_pairs(crops: DataFrame, eps: float, by: tuple[str, ...] = ()) -> DataFra
         return scratch.cut(found, "pairs")
 
 
-def _neighbours(eps: float):
-    """How many neighbours each crop has between two blocks, and the pair of blocks if there are any."""
-
-    def kernel(a, b, same):
-        hit, _ = metric.near(a, b, same, eps)
-        if not hit.any():
-            return
-        for side, n in [(a, hit.sum(1))] + ([] if same else [(b, hit.sum(0))]):
-            some = n > 0
-            k = int(some.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(side["ids"][some]), pa.array(n[some].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["det_id", "n", "b1", "b2"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a["block"]]), pa.array([b["block"]])], names=["det_id", "n", "b1", "b2"])
+def _reached(hit: np.ndarray) -> np.ndarray:
+    """Of nodes in ascending order and what each is near, the first node that each one leads to. Every row is read once."""
+    root = np.full(len(hit), -1)
+    for k in range(len(hit)):
+        if root[k] < 0:
+            root[k], front = k, np.array([k])
+            while len(front):
+                front = np.flatnonzero(hit[front].any(0) & (root < 0))
+                root[front] = k
+    return root
+
+
+NONE = np.iinfo(np.int64).max
+
+
+def _tile(eps: float, min_samples: int):
+    """Neighbours in the tile and whether these make a crop core; the smallest core that such cores of the tile lead to, or of a crop that isn't core the smallest one of its neighbours, which is final if there is no other tile."""
+
+    def kernel(x, tile, alone):
+        order = np.argsort(x.ids, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        near = np.zeros((len(order), len(order)), bool)
+        for rows, cols, hit, _ in metric.hits(x, x, eps):
+            near[np.ix_(place[rows], place[cols])] = hit
+        ids, n = x.ids[order], near.sum(1)
+        core = n + 1 >= min_samples
+        root = np.full(len(ids), NONE)
+        at = np.flatnonzero(core)
+        root[at] = ids[at][_reached(near[np.ix_(at, at)])]
+        for k in np.flatnonzero(~core & (n > 0)) if alone else ():
+            root[k] = root[near[k] & core].min(initial=NONE)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(x.block[order]), pa.array(np.full(len(ids), tile)), pa.array(root, mask=root == NONE), pa.array(core), pa.array(np.full(len(ids), alone))],
+            names=["det_id", "block", "tile", "root", "core", "final"],
+        )
 
     return kernel
 
 
-def _core_links(eps: float):
-    """A link from every core crop to the smallest one that links between cores of two blocks lead to."""
+def _counted(eps: float):
+    """How many neighbours each of a's crops has among b's."""
 
-    def kernel(a, b, same):
-        hit, _ = metric.near(a, b, same, eps)
-        hit &= np.isin(a["ids"], a["cores"])[:, None] & np.isin(b["ids"], b["cores"])
-        ra, rb, none = a["ids"].copy(), b["ids"].copy(), np.iinfo(np.int64).max
-        while True:
-            na = np.minimum(ra, np.where(hit, rb, none).min(1))
-            nb = np.minimum(rb, np.where(hit, na[:, None], none).min(0))
-            if (na == ra).all() and (nb == rb).all():
-                break
-            ra, rb = na, nb
-        for side, root in [(a, ra)] + ([] if same else [(b, rb)]):
-            own = root != side["ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(side["ids"][own]), pa.array(root[own])], names=["u", "v"])
+    def kernel(a, b):
+        n = np.zeros(len(a.ids), np.int64)
+        for rows, _, hit, _ in metric.hits(a, b, eps):
+            n[rows] += hit.sum(1)
+        some = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(a.ids[some]), pa.array(n[some])], names=["det_id", "n"])
 
     return kernel
 
 
-def _borders(eps: float):
-    """The lowest cluster of core neighbours of each crop that isn't core. cores and clusters: a block's core crops, in order, and their clusters."""
+def _linked(eps: float):
+    """Links between the marks of near crops, contracted into stars as they are found."""
+
+    def kernel(a, b):
+        u, v, held = [], [], 0
+        for rows, cols, hit, _ in metric.hits(a, b, eps):
+            p, q = np.nonzero(hit & (a.mark[rows][:, None] != b.mark[cols]))
+            pairs = np.unique(np.stack([a.mark[rows][p], b.mark[cols][q]]), axis=1) if len(p) else np.zeros((2, 0), np.int64)
+            u.append(pairs[0])
+            v.append(pairs[1])
+            held += len(pairs[0])
+            if held > HELD:
+                stars = contracted(np.concatenate(u), np.concatenate(v))
+                u, v, held = [stars[0]], [stars[1]], 0
+        if u and sum(map(len, u)):
+            u, v = contracted(np.concatenate(u), np.concatenate(v))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def kernel(a, b, same):
-        hit, _ = metric.near(a, b, same, eps)
-        for own, other, m in [(a, b, hit)] + ([] if same else [(b, a, hit.T)]):
-            if not len(other["cores"]):
-                continue
-            order = np.argsort(other["cores"])
-            at = np.minimum(np.searchsorted(other["cores"][order], other["ids"]), len(order) - 1)
-            core = other["cores"][order][at] == other["ids"]
-            label = np.where(core, other["clusters"][order][at], np.iinfo(np.int32).max)
-            best = np.where(m, label, np.iinfo(np.int32).max).min(1)
-            some = (best < np.iinfo(np.int32).max) & ~np.isin(own["ids"], own["cores"])
-            yield pa.RecordBatch.from_arrays([pa.array(own["ids"][some]), pa.array(best[some].astype(np.int32))], names=["det_id", "near"])
+    return kernel
+
+
+def _beside(eps: float):
+    """The smallest mark of b's crops that each of a's is near."""
+
+    def kernel(a, b):
+        best = np.full(len(a.ids), NONE)
+        order = np.argsort(b.mark, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        for rows, cols, hit, _ in metric.hits(a, b, eps):
+            cols = cols[by := np.argsort(rank[cols])]
+            hit = hit[:, by]
+            first = hit.argmax(1)
+            found = np.where(hit[np.arange(len(hit)), first], b.mark[cols][first], NONE)
+            best[rows] = np.minimum(best[rows], found)
+        some = best < NONE
+        yield pa.RecordBatch.from_arrays([pa.array(a.ids[some]), pa.array(best[some])], names=["det_id", "root"])
 
     return kernel
 
 
+def _joined(cores: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """cores with the smallest root that links between roots lead to."""
+    comp = components(links.select("u", "v"), scratch, at_once=True).withColumnRenamed("node", "root")
+    return scratch.cut(cores.join(comp, "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component"), "cores")
+
+
+def _across(blocks: DataFrame, first: DataFrame, eps: float, min_samples: int, scratch: Scratch, by: tuple[str, ...]) -> DataFrame:
+    """(by, det_id, root, core) of crops whose keys have several tiles, from what their tiles tell."""
+    keys, own = list(by), ["block", "det_id"]
+    open_ = first.where("not core")
+    some = metric.part(blocks, open_.select(*own, F.lit(0).cast("long").alias("mark")), scratch, by)
+    n = metric.rectangles(some, blocks, _counted(eps), "det_id long, n long", by).groupBy("det_id").agg(F.sum("n").alias("n"))
+    more = scratch.cut(open_.select(*keys, *own).join(n.where(F.col("n") + 1 >= min_samples), "det_id").select(*keys, *own, F.col("det_id").alias("root"), F.lit(-1).cast("long").alias("tile")), "more")
+    cores = scratch.cut(first.where("core").select(*keys, *own, "root", "tile").unionByName(more), "cores")
+    for turn in ("hubs", "rest"):
+        marked = metric.part(blocks, cores.select(*own, F.col("root").alias("mark")), scratch, by)
+        if turn == "hubs":  # one tile's cores tie most of the others together
+            chosen = cores.where("tile = 0")
+        else:  # a link that is still missing has an end outside the largest component
+            size = cores.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+            large = size.groupBy(*keys).agg(F.max_by("root", F.struct("n", "root")).alias("root"))
+            chosen = cores.join(large, [*keys, "root"], "left_anti")
+        chosen = metric.part(blocks, chosen.select(*own, F.col("root").alias("mark")), scratch, by)
+        links = scratch.cut(metric.rectangles(chosen, marked, _linked(eps), "u long, v long", by), "links")
+        cores = _joined(cores, links, scratch)
+    marked = metric.part(blocks, cores.select(*own, F.col("root").alias("mark")), scratch, by)
+    others = open_.select(*keys, *own).join(more.select("det_id"), "det_id", "left_anti")
+    others = metric.part(blocks, others.select(*own, F.lit(0).cast("long").alias("mark")), scratch, by)
+    border = metric.rectangles(others, marked, _beside(eps), "det_id long, root long", by).groupBy(*keys, "det_id").agg(F.min("root").alias("root"))
+    return scratch.cut(cores.select(*keys, "det_id", "root", F.lit(True).alias("core")).union(border.select(*keys, "det_id", "root", F.lit(False))), "across")
+
+
 def dbscan(crops: DataFrame, eps: float, min_samples: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, det_id, cluster_id, core). A crop with min_samples neighbours, itself included, is core; linked cores are a cluster, numbered by their smallest det_id; other neighbours of cores join the lowest number.
 
     by: columns, such as the job, each of whose values is clustered and numbered by itself; det_id is unique all the same.
-    Neighbours are counted, cores linked and borders labelled between blocks, three times over; pairs are never listed.
+    Tiles of a few thousand crops are clustered by themselves. Crops that are core in their tile are so for good, so only the others are
+    compared with all; tiles' clusters are tied by the cores of one tile, and then only cores outside the largest cluster are
+    compared with all cores; crops that aren't core are compared with all cores. No pair whose outcome is open is left out, and pairs are never listed.
     """
     spark, keys = crops.sparkSession, list(by)
     scratch = Scratch(spark, "dbscan")
     blocks = metric.balls(crops, scratch, by)
-    pairs = scratch.cut(metric.block_pairs(blocks, eps, by).where("not skipped").select("b1", "b2"), "pairs")
-    where = blocks.select(*keys, "block", F.explode("ids").alias("det_id"))
-    with small_batches(spark, 8):  # two blocks of vectors to a row
-        found = scratch.cut(metric.between(pairs, blocks, _neighbours(eps), "det_id long, n long, b1 long, b2 long"), "neighbours")
-        live = found.where("b1 is not null").select("b1", "b2")
-        counts = found.where("det_id is not null").groupBy("det_id").agg(F.sum("n").alias("n"))
-        core = where.join(counts, "det_id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select(*keys, "block", "det_id")
-        core = scratch.cut(core, "core")
-        none = F.array().cast("array<long>")
-        told = blocks.join(core.groupBy("block").agg(F.collect_list("det_id").alias("cores")), "block", "left").withColumn("cores", F.coalesce("cores", none))
-        links = scratch.cut(metric.between(live, told, _core_links(eps), "u long, v long", ("cores",)), "links")
-        comp = components(links, scratch, at_once=True)
-        rooted = core.join(comp.withColumnRenamed("node", "det_id"), "det_id", "left").select(*keys, "block", "det_id", F.coalesce("component", "det_id").alias("root"))
-        roots = rooted.select(*keys, "root").distinct()
-        if keys:
-            number = roots.select("root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).alias("cluster_id"))
-        else:
-            number = numbered(roots, ["root"], "cluster_id", scratch).select("root", "cluster_id")
-        cores = scratch.cut(rooted.join(number, "root").select("block", "det_id", F.col("cluster_id").cast("int").alias("cluster_id")), "cores")
-        listed = cores.groupBy("block").agg(F.collect_list(F.struct("det_id", "cluster_id")).alias("c")).select("block", F.col("c.det_id").alias("cores"), F.col("c.cluster_id").alias("clusters"))
-        told = blocks.join(listed, "block", "left").withColumns({"cores": F.coalesce("cores", none), "clusters": F.coalesce("clusters", F.array().cast("array<int>"))})
-        border = metric.between(live, told, _borders(eps), "det_id long, near int", ("cores", "clusters")).groupBy("det_id").agg(F.min("near").alias("near"))
-        border = scratch.cut(border, "border")
-    out = crops.select(*keys, "det_id").join(cores.select("det_id", "cluster_id"), "det_id", "left").join(border, "det_id", "left")
-    return out.select(*keys, "det_id", F.coalesce("cluster_id", "near", F.lit(-1)).alias("cluster_id"), F.col("cluster_id").isNotNull().alias("core"))
+    first = scratch.cut(metric.in_tiles(blocks, _tile(eps, min_samples), "det_id long, block long, tile long, root long, core boolean, final boolean", by), "tiles")
+    told = first.where("final and root is not null").select(*keys, "det_id", "root", "core")
+    rest = first.where("not final")
+    if not rest.isEmpty():
+        told = told.union(_across(blocks, rest, eps, min_samples, scratch, by))
+    roots = told.where("core").select(*keys, "root").distinct()
+    if keys:
+        number = roots.select(*keys, "root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).alias("cluster_id"))
+    else:
+        number = numbered(roots, ["root"], "cluster_id", scratch).select("root", "cluster_id")
+    label = told.join(number, [*keys, "root"]).select("det_id", "core", F.col("cluster_id").cast("int").alias("cluster_id"))
+    out = crops.select(*keys, "det_id").join(label, "det_id", "left")
+    return out.select(*keys, "det_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def _keys(key: str | list[str]) -> list[str]:

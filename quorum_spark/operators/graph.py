@@ -17,7 +17,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A link from every node to the smallest one that these links reach."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
@@ -28,7 +28,11 @@ def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         np.minimum.at(low, b, before[a])
         low = low[low]
     own = low != np.arange(len(nodes))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[low[own]])], names=["u", "v"])
+    return nodes[own], nodes[low[own]]
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(u, v)], names=["u", "v"])
 
 
 def _contracted(batches):

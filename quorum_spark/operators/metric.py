@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quorum_spark.operators.scratch import Scratch, small_batches
 
 BLOCK, PIVOTS, SALTS = 512, 1024, 16
+#: Vectors of a tile, in which all are compared, and of a side of a rectangle; vectors of a product.
+TILE, SIDE, STRIP = 4096, 16384, 4096
 #: Up to so many vectors in all are packed as they come: pivots would cost more than they can spare.
 FEW = 8 * BLOCK
 #: Slack of angles: arc cosines near 1 are exact to about 1e-8.
@@ -87,14 +89,21 @@ def few(rows: DataFrame) -> bool:
     return rows.count() <= FEW
 
 
+def dealt(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, block, ids, v, centre, radius), written, of vectors as they come, where none are skipped."""
+    keys = list(by)
+    with small_batches(rows.sparkSession, 16):
+        own = packs(rows, "det_id", "v", keys).select(*keys, "ids", "v").mapInArrow(_balls(keys), _ball_schema(_named(rows, keys)))
+        return scratch.cut(own.withColumn("block", F.monotonically_increasing_id()), "blocks", large_rows=True)
+
+
 def balls(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, block, ids, v, centre, radius), written."""
     keys = list(by)
-    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
-    rows = rows.select(*keys, F.col("det_id").cast("long").alias("det_id"), "v")
+    kinds = _named(rows, keys)
+    rows = rows.where("v is not null").select(*keys, F.col("det_id").cast("long").alias("det_id"), "v")
     if few(rows):
-        own = packs(rows, "det_id", "v", keys).select(*keys, "ids", "v").mapInArrow(_balls(keys), _ball_schema(kinds))
-        return scratch.cut(own.withColumn("block", F.monotonically_increasing_id()), "blocks")
+        return dealt(rows, scratch, by)
     with small_batches(rows.sparkSession, 16):
         first = scratch.cut(packs(rows, "det_id", "v", keys), "packs", large_rows=True)
         wanted = F.least(F.floor(F.col("n") / BLOCK), F.lit(PIVOTS))
@@ -151,3 +160,127 @@ def near(a: dict, b: dict, same: bool, eps: float) -> tuple[np.ndarray, np.ndarr
     if same:
         hit &= a["ids"][:, None] != b["ids"]
     return hit, d
+
+
+class Vectors:
+    """Blocks of a table, one after the other: ids, v (a row each), mark (if there is one), at (where blocks begin), and their balls."""
+
+    def __init__(self, table: pa.Table):
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.ids = flat("ids")
+        self.v = flat("v").reshape(len(self.ids), -1)
+        self.mark = flat("mark") if "mark" in table.column_names else self.ids
+        size = np.array([len(x) for x in table.column("ids")], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.block = np.repeat(table.column("block").to_numpy(), size)
+        self.centre = flat("centre").reshape(len(size), -1)
+        self.radius = table.column("radius").to_numpy()
+
+
+def hits(a: Vectors, b: Vectors, eps: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b, which are within eps, distances) for blocks whose balls are near enough; a vector isn't near itself."""
+    theta = float(np.arccos(np.clip(1 - eps, -1, 1))) + SLACK
+    near = np.arccos(np.clip(a.centre @ b.centre.T, -1, 1)) - a.radius[:, None] - b.radius <= theta
+    for k in range(len(a.at) - 1):
+        rows, all_cols = slice(a.at[k], a.at[k + 1]), np.flatnonzero(np.repeat(near[k], np.diff(b.at)))
+        for start in range(0, len(all_cols), STRIP):
+            cols = all_cols[start : start + STRIP]
+            d = 1 - a.v[rows] @ b.v[cols].T
+            hit = d <= eps
+            hit &= a.ids[rows][:, None] != b.ids[cols]
+            yield rows, cols, hit, d
+
+
+def _named(rows: DataFrame, keys: list[str]) -> str:
+    return "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], own: list, keys: list[str], schema: pa.Schema) -> pa.Table:
+    """One table of a group's result, with its keys in front."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return schema.empty_table()
+    table = pa.Table.from_batches(held)
+    for k, value in reversed(list(zip(keys, own, strict=True))):
+        table = table.add_column(0, k, pa.array([value.as_py()] * table.num_rows, schema.field(k).type))
+    return table.cast(schema)
+
+
+def _arrow(spark, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def _count(blocks: DataFrame, keys: list[str], name: str, per: int, least: int) -> DataFrame:
+    """(keys, name): into how many parts of about `per` vectors the keys' blocks are dealt; up to `least` smaller ones for more tasks."""
+    n = F.sum(F.size("ids"))
+    parts = F.greatest(F.ceil(n / per), F.least(F.lit(least), F.ceil(n / 1024)))
+    return blocks.groupBy(*keys).agg(parts.cast("long").alias(name))
+
+
+def _beside(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.join(sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))  # one row without keys
+
+
+def in_tiles(blocks: DataFrame, kernel: Callable[[Vectors, int, bool], Iterator[pa.RecordBatch]], schema: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """What kernel(vectors, tile, alone) yields for each tile of about TILE vectors of the same keys, after the keys; alone: the keys have no other tile."""
+    keys = list(by)
+    rows = _beside(blocks, _count(blocks, keys, "tiles", TILE, 1), keys).withColumn("tile", F.pmod(F.xxhash64("block"), F.col("tiles")))
+    kinds = f"{_named(blocks, keys)}{schema}"
+    arrow = _arrow(blocks.sparkSession, kinds)
+
+    def run(key, table):
+        return _grouped(kernel(Vectors(table), key[-1].as_py(), table.column("tiles")[0].as_py() == 1), key[:-1], keys, arrow)
+
+    return rows.groupBy(*keys, "tile").applyInArrow(run, kinds)
+
+
+def rectangles(left: DataFrame, right: DataFrame, kernel: Callable[[Vectors, Vectors], Iterator[pa.RecordBatch]], schema: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """What kernel(a, b) yields for all of left and right of the same keys, after the keys.
+
+    Both are dealt to sides of about SIDE vectors, and each two sides meet in one group. A vector is sent once for every side of
+    the other, so what is sent is the vectors times the other's sides, not a pair of blocks for every product.
+    """
+    keys = list(by)
+    def sent(rows, own, other, mine, theirs):
+        """rows with the number of their side, once for every side of the other table."""
+        p, q = _count(left, keys, "p", SIDE, 8), _count(right, keys, "q", SIDE, 16)
+        sizes = p.join(q, keys) if keys else p.crossJoin(q)
+        cols = rows.columns
+        rows = _beside(rows, sizes, keys).withColumn(own, F.pmod(F.xxhash64("block"), F.col(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)))
+        return rows.select(*[F.col(c).alias(c) for c in (*cols, "a", "b")])
+
+    a, b = sent(left, "a", "b", "p", "q"), sent(right, "b", "a", "q", "p")
+    kinds = f"{_named(left, keys)}{schema}"
+    arrow = _arrow(left.sparkSession, kinds)
+
+    def run(key, x, y):
+        return _grouped(kernel(Vectors(x), Vectors(y)) if x.num_rows and y.num_rows else iter(()), key[:-2], keys, arrow)
+
+    return a.groupBy(*keys, "a", "b").cogroup(b.groupBy(*keys, "a", "b")).applyInArrow(run, kinds)
+
+
+def part(blocks: DataFrame, marks: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
+    """The blocks' vectors that have a mark (block, det_id, mark), with their marks, written. Balls stay as they are."""
+    keys = list(by)
+    told = marks.groupBy("block").agg(F.collect_list("det_id").alias("named"), F.collect_list("mark").alias("marks"))
+    rows = blocks.join(told, "block").select(*keys, "block", "ids", "v", "centre", "radius", "named", "marks")
+    kinds = f"{_named(blocks, keys)}block long, ids array<long>, v array<double>, centre array<double>, radius double, mark array<long>"
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, v, centre, named, marks = (array_of(batch, c, r) for c in ("ids", "v", "centre", "named", "marks"))
+                order = np.argsort(named)
+                at = np.minimum(np.searchsorted(named[order], ids), len(order) - 1)
+                use = named[order][at] == ids
+                column = lambda x, kind: pa.array([x], pa.list_(kind))
+                yield pa.RecordBatch.from_arrays(
+                    [*_own(batch, [*keys, "block"], r), column(ids[use], pa.int64()), column(v.reshape(len(ids), -1)[use].ravel(), pa.float64()), column(centre, pa.float64()), *_own(batch, ["radius"], r), column(marks[order][at][use], pa.int64())],
+                    names=[*keys, "block", "ids", "v", "centre", "radius", "mark"],
+                )
+
+    with small_batches(blocks.sparkSession, 16):
+        return scratch.cut(rows.mapInArrow(run, kinds), "part", large_rows=True)

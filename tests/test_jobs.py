@@ -50,6 +50,25 @@ def brute_dbscan(x, eps, m):
     return np.where(core, label, np.where(border < len(x), border, -1)), core
 
 
+def test_clusters_across_tiles(spark, monkeypatch):
+    """Labels are those of all pairs where many tiles share a cluster, crops are core only by neighbours of other tiles, and borders lie between tiles."""
+    for name, n in (("BLOCK", 20), ("FEW", 0), ("TILE", 60), ("SIDE", 100)):
+        monkeypatch.setattr(metric, name, n)
+    sent = []
+    monkeypatch.setattr(metric, "block_pairs", lambda *a: sent.append(a))
+    for x, eps, m in ((crowd(300, groups=12), 0.03, 6), (crowd(250, noise=0.6, seed=2), 0.08, 3)):
+        crops = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(x)] + [(len(x), 0, None)], "det_id long, job int, v array<double>")
+        label, core = brute_dbscan(x, eps, m)
+        assert len(set(label.tolist())) > 2 and (~core & (label >= 0)).any()
+        got = {r.det_id: (r.cluster_id, r.core) for r in clustering.dbscan(crops, eps, m).collect()}
+        assert [got[k] for k in range(len(x))] == list(zip(label.tolist(), core.tolist(), strict=True))
+        assert got[len(x)] == (-1, False)
+        by_job = {r.det_id: r.cluster_id for r in clustering.dbscan(crops, eps, m, ("job",)).collect()}
+        for job in range(2):
+            assert [by_job[k] for k in range(job, len(x), 2)] == brute_dbscan(x[job::2], eps, m)[0].tolist()
+    assert not sent  # no pair of blocks is sent
+
+
 def test_clusters_from_balls(spark, monkeypatch):
     """Labels are those of all pairs, whatever is skipped, and balls do skip."""
     monkeypatch.setattr(metric, "BLOCK", 40)
