@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from quorum_spark.functions.vectors import dot, norm, normalize
 from quorum_spark.operators.evaluation import confusion, metrics
+from quorum_spark.operators import metric
 from quorum_spark.operators.numbering import numbered
 from quorum_spark.operators.products import products
 from quorum_spark.operators.scratch import Scratch
 
 CELLS = ("tp", "fp", "fn", "tn")
+#: Rows of a product.
+ROWS = 256
 
 
 def predictions(gallery: DataFrame, matches: DataFrame) -> DataFrame:
@@ -81,6 +84,25 @@ def within_pairs(vectors: DataFrame, key: str, ordinal: str) -> DataFrame:
     return a.join(b, key).where("i < j").select(key, cosine("a", "b").alias("similarity"))
 
 
+def within_extremes(vectors: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """(key, similarity): the smallest and largest of all pairs of one key's vectors, a few rows for each key. Pairs are products of matrices in place, so people may have any number of vectors."""
+    rows = vectors.where(F.col(key).isNotNull() & F.col("v").isNotNull()).select(key, F.col(ordinal).cast("long").alias("det_id"), "v")
+    blocks = metric.dealt(rows, Scratch(vectors.sparkSession, "within"), (key,))
+
+    def kernel(a, b):
+        size, low, high = np.linalg.norm(b.v, axis=1), np.inf, -np.inf
+        for start in range(0, len(a.ids), ROWS):
+            x, ids = a.v[start : start + ROWS], a.ids[start : start + ROWS]
+            s = x @ b.v.T
+            s /= np.linalg.norm(x, axis=1)[:, None] * size + 1e-12
+            other = ids[:, None] != b.ids
+            low, high = min(low, s.min(initial=np.inf, where=other)), max(high, s.max(initial=-np.inf, where=other))
+        if low <= high:
+            yield pa.RecordBatch.from_arrays([pa.array([low, high])], names=["similarity"])
+
+    return metric.rectangles(blocks, blocks, kernel, "similarity double", (key,))
+
+
 def permuted(x: Column, bits: int, seed: int) -> Column:
     """A one-to-one mapping of the numbers below 2 ** bits, an even number of bits, by four rounds of keyed hashes of half a number."""
     half = bits // 2
@@ -139,7 +161,7 @@ def _above(i, j, s):
 
 
 def overlap(within: DataFrame, between: DataFrame) -> DataFrame:
-    """(low, high) where both distributions of similarity have values, null if nowhere."""
+    """(low, high) where both distributions of similarity have values, null if nowhere. Their extremes are enough."""
     a = within.agg(F.min("similarity").alias("a0"), F.max("similarity").alias("a1"))
     b = between.agg(F.min("similarity").alias("b0"), F.max("similarity").alias("b1"))
     low, high = F.greatest("a0", "b0"), F.least("a1", "b1")

@@ -69,6 +69,18 @@ def test_clusters_across_tiles(spark, monkeypatch):
     assert not sent  # no pair of blocks is sent
 
 
+def test_extremes_of_within_pairs(spark, monkeypatch):
+    """They are those of all pairs, whatever blocks and sides the vectors are dealt to; nulls and single vectors make no pair."""
+    monkeypatch.setattr(metric, "BLOCK", 20)
+    monkeypatch.setattr(metric, "SIDE", 50)
+    x = 3 * crowd(300, noise=0.5)
+    data = [(k, k % 3, v.tolist()) for k, v in enumerate(x)] + [(900, None, [1.0] * 6), (901, 1, None), (902, 8, [1.0] * 6)]
+    people = spark.createDataFrame(data, "det_id long, label int, v array<double>")
+    got = {r[0]: r[1:] for r in scoring.within_extremes(people, "label", "det_id").groupBy("label").agg(F.min("similarity"), F.max("similarity")).collect()}
+    want = {r[0]: r[1:] for r in scoring.within_pairs(people, "label", "det_id").groupBy("label").agg(F.min("similarity"), F.max("similarity")).collect()}
+    assert set(got) == {0, 1, 2} and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_clusters_from_balls(spark, monkeypatch):
     """Labels are those of all pairs, whatever is skipped, and balls do skip."""
     monkeypatch.setattr(metric, "BLOCK", 40)
