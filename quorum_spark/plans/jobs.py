@@ -117,7 +117,7 @@ def stages_due(spark, d):
     """Results of four of five jobs were written with earlier parameters; what has to run now."""
     scratch = Scratch(spark, "stages-due")
     store, before = StageStore(spark, f"{scratch.root}/store"), _expected(spark, d, False).where("job_id % 5 <> 0")
-    found = S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("job_id"), "l_orderkey").distinct()
+    found = scratch.cut(S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("job_id"), "l_orderkey").distinct(), "found")
     for stage in _stages():
         store.write(stage, found, before.where(F.col("stage") == stage).select("job_id", "params_hash"))
     return due(_expected(spark, d, True), store.manifest()).select("job_id", "stage")

@@ -234,6 +234,21 @@ def test_stage_store(spark, tmp_path):
     assert {r.job_id for r in stages.due(wanted, store.manifest()).collect()} == {1, 2, 3, 4}
 
 
+def test_files_follow_rows_and_not_jobs(spark, tmp_path):
+    """A run of many jobs writes a few files; later runs of few or many jobs replace theirs alone."""
+    store = stages.StageStore(spark, f"{tmp_path}/store")
+    jobs = lambda a, b, h: spark.range(a, b).select(F.col("id").alias("job_id"), F.lit(h).alias("params_hash"))
+    items = lambda a, b, x: spark.range(2 * a, 2 * b).select(F.expr("id div 2").cast("int").alias("job_id"), F.lit(x).alias("x"))
+    store.write("detect", items(0, 490, 1).repartition(8), jobs(0, 500, "a"))
+    assert len(list(tmp_path.glob("store/**/*.parquet"))) < 50
+    store.write("detect", items(3, 4, 2), jobs(3, 5, "b"))
+    assert rows(store.read("detect", "job_id long, x int").where("job_id < 6")) == [(k, 2 if k == 3 else 1) for k in (0, 1, 2, 3, 5) for _ in range(2)]
+    store.write("detect", items(0, 100, 3), jobs(0, 100, "c"))
+    got = {r.job_id: (r.params_hash, r.item_count) for r in store.manifest().collect()}
+    assert got == {k: ("c" if k < 100 else "a", 2 if k < 490 else 0) for k in range(500)}
+    assert store.read("detect", "job_id int, x int").where("x = 3").count() == 200 and store.read("detect", "job_id long, x int").count() == 980
+
+
 def test_changed_parameters_redo_what_follows(spark):
     jobs = lambda eps: spark.createDataFrame([(1, 40, 30), (2, 40, eps)], "job_id long, iou int, eps int")
     chain = {"detect": [F.col("iou")], "cluster": [F.col("eps")], "match": [F.lit(5).alias("t")]}
