@@ -16,31 +16,25 @@ from quorum_spark.functions.vectors import dot, normalize
 from quorum_spark.operators import metric
 from quorum_spark.operators.graph import HELD, components, contracted
 from quorum_spark.operators.numbering import numbered
-from quorum_spark.operators.scratch import Scratch, small_batches
+from quorum_spark.operators.scratch import Scratch
 
 
 def eps_pairs(crops: DataFrame, eps: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, i, j, distance) with i < j and a cosine distance up to eps. by: columns, of whole numbers or text, within which crops are compared, such as the job.
 
-    Only blocks of crops whose balls are near enough meet (see metric).
+    Crops meet by sides of a few thousand, and of these only blocks whose balls are near enough are compared (see metric).
     """
-    scratch = Scratch(crops.sparkSession, "eps")
-    blocks = metric.balls(crops, scratch, by)
-    pairs = metric.block_pairs(blocks, eps, by).where("not skipped")
+    blocks = metric.balls(crops, Scratch(crops.sparkSession, "eps"), by)
 
     def kernel(a, b, same):
-        hit, d = metric.near(a, b, same, eps)
-        if same:
-            hit &= a["ids"][:, None] < b["ids"]
-        p, q = np.nonzero(hit)
-        i, j = a["ids"][p], b["ids"][q]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d[p, q])], names=["i", "j", "distance"])
-
-    found = metric.between(pairs, blocks, kernel, "i long, j long, distance double", keys=by)
-    if metric.few(crops):
-        return found
-    with small_batches(crops.sparkSession, 16):  # a row has two blocks of vectors
-        return scratch.cut(found, "pairs")
+        for rows, cols, hit, d in metric.hits(a, b, eps):
+            if same:
+                hit &= a.ids[rows][:, None] < b.ids[cols]
+            p, q = np.nonzero(hit)
+            i, j = a.ids[rows][p], b.ids[cols][q]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d[p, q])], names=["i", "j", "distance"])
+
+    return metric.squares(blocks, kernel, "i long, j long, distance double", by)
 
 
 def _reached(hit: np.ndarray) -> np.ndarray:

@@ -262,6 +262,30 @@ def rectangles(left: DataFrame, right: DataFrame, kernel: Callable[[Vectors, Vec
     return a.groupBy(*keys, "a", "b").cogroup(b.groupBy(*keys, "a", "b")).applyInArrow(run, kinds)
 
 
+#: Vectors of a side where pairs themselves are listed, which bounds a group's list.
+LISTED = 4096
+
+
+def squares(blocks: DataFrame, kernel: Callable[[Vectors, Vectors, bool], Iterator[pa.RecordBatch]], schema: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """What kernel(a, b, same) yields for each two sides of about LISTED vectors of the same keys, after the keys; two different sides meet once, and each side meets itself (same)."""
+    keys = list(by)
+
+    def sent(own, other, low, high):
+        rows = _beside(blocks, _count(blocks, keys, "q", LISTED, 16), keys).withColumn(own, F.pmod(F.xxhash64("block"), F.col("q")))
+        rows = rows.withColumn(other, F.explode(F.sequence(low, high)))
+        return rows.select(*[F.col(c).alias(c) for c in (*blocks.columns, "a", "b")])
+
+    a, b = sent("a", "b", F.col("a"), F.col("q") - 1), sent("b", "a", F.lit(0).cast("long"), F.col("b"))
+    kinds = f"{_named(blocks, keys)}{schema}"
+    arrow = _arrow(blocks.sparkSession, kinds)
+
+    def run(key, x, y):
+        same = key[-2].as_py() == key[-1].as_py()
+        return _grouped(kernel(Vectors(x), Vectors(y), same) if x.num_rows and y.num_rows else iter(()), key[:-2], keys, arrow)
+
+    return a.groupBy(*keys, "a", "b").cogroup(b.groupBy(*keys, "a", "b")).applyInArrow(run, kinds)
+
+
 def part(blocks: DataFrame, marks: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
     """The blocks' vectors that have a mark (block, det_id, mark), with their marks, written. Balls stay as they are."""
     keys = list(by)

@@ -69,6 +69,19 @@ def test_clusters_across_tiles(spark, monkeypatch):
     assert not sent  # no pair of blocks is sent
 
 
+def test_pairs_across_sides(spark, monkeypatch):
+    """All pairs of a radius, each once, within jobs or over all, and no pair of blocks is sent."""
+    for name, n in (("BLOCK", 20), ("FEW", 0), ("LISTED", 80)):
+        monkeypatch.setattr(metric, name, n)
+    monkeypatch.setattr(metric, "between", None)
+    x = crowd(300)
+    crops = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(x)], "det_id long, job int, v array<double>")
+    i, j = np.nonzero(np.triu(1 - x @ x.T <= 0.03, 1))
+    want = sorted(zip(i.tolist(), j.tolist(), strict=True))
+    assert sorted((r.i, r.j) for r in clustering.eps_pairs(crops, 0.03).collect()) == want
+    assert sorted((r.i, r.j) for r in clustering.eps_pairs(crops, 0.03, ("job",)).collect()) == [(a, b) for a, b in want if a % 2 == b % 2]
+
+
 def test_extremes_of_within_pairs(spark, monkeypatch):
     """They are those of all pairs, whatever blocks and sides the vectors are dealt to; nulls and single vectors make no pair."""
     monkeypatch.setattr(metric, "BLOCK", 20)
