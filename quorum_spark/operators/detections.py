@@ -29,6 +29,39 @@ def _kept(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, limit:
     return keep
 
 
+#: Frames of up to so many boxes are decided side by side, so many boxes at once.
+SHORT, HELD = 256, 1 << 17
+
+
+def _kept_of_frames(at: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, limit: float) -> np.ndarray:
+    """_kept of many frames; frame i has boxes at[i] to at[i + 1]. The k-th boxes of all frames of about one length are decided together."""
+    keep, lens = np.zeros(len(x1), bool), np.diff(at)
+    order = np.argsort(lens, kind="stable")
+    begin = int(np.searchsorted(lens[order], 1))
+    short = int(np.searchsorted(lens[order], SHORT, "right"))
+    for f in order[short:]:
+        own = slice(at[f], at[f + 1])
+        keep[own] = _kept(x1[own], y1[own], x2[own], y2[own], limit)
+    while begin < short:
+        size = lens[order[begin:short]]
+        n = max(1, int(np.searchsorted(size * np.arange(1, len(size) + 1), HELD, "right")))
+        size, frames = size[:n], order[begin : begin + n]
+        begin += n
+        place = np.arange(size[-1])[:, None]
+        own = place < size
+        index = np.where(own, at[frames] + place, 0)
+        a1, b1, a2, b2 = (c[index] for c in (x1, y1, x2, y2))
+        area, gone = (a2 - a1) * (b2 - b1), ~own
+        for i in range(len(index) - 1):
+            w = np.minimum(a2[i], a2[i + 1 :]) - np.maximum(a1[i], a1[i + 1 :])
+            h = np.minimum(b2[i], b2[i + 1 :]) - np.maximum(b1[i], b1[i + 1 :])
+            both = np.maximum(w, 0) * np.maximum(h, 0)
+            union = area[i] + area[i + 1 :] - both
+            gone[i + 1 :] |= (np.where(union > 0, both / np.where(union > 0, union, 1), 0) >= limit) & ~gone[i]
+        keep[index[own]] = ~gone[own]
+    return keep
+
+
 def suppress(boxes: DataFrame, key: str, limit: float) -> DataFrame:
     """(key, kept boxes): from the best score down, boxes that overlap a kept one by limit or more go. boxes: key, ordinal, x1..y2, score; equal scores in order of ordinal. A frame's boxes are gathered, since each decision needs the earlier ones."""
     box = F.struct((-F.col("score")).alias("minus"), "ordinal", "x1", "y1", "x2", "y2", "score")
@@ -39,9 +72,7 @@ def suppress(boxes: DataFrame, key: str, limit: float) -> DataFrame:
             lists = batch.column("kept")
             offsets, values = lists.offsets.to_numpy(), lists.values
             x1, y1, x2, y2 = (values.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
-            keep = np.zeros(len(values), bool)
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                keep[a:b] = _kept(x1[a:b], y1[a:b], x2[a:b], y2[a:b], limit)
+            keep = _kept_of_frames(offsets.astype(np.int64), x1, y1, x2, y2, limit)
             at = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
             kept = pa.ListArray.from_arrays(pa.array(at), values.filter(pa.array(keep)))
             yield pa.RecordBatch.from_arrays([batch.column(key), kept], names=[key, "kept"])

@@ -195,3 +195,17 @@ def test_contract():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
     assert len(queries) >= 58
+
+
+def test_frames_side_by_side_keep_what_each_keeps_alone():
+    from quorum_spark.operators.detections import SHORT, _kept, _kept_of_frames
+
+    rng = np.random.default_rng(5)
+    lens = np.array([0, 1, 7, SHORT + 30, 0, 33, 2, 7, 40])
+    at = np.concatenate([[0], np.cumsum(lens)])
+    x1, y1 = rng.integers(0, 60, (2, at[-1])).astype(float)
+    x2, y2 = x1 + rng.integers(0, 40, at[-1]), y1 + rng.integers(0, 40, at[-1])
+    got = _kept_of_frames(at, x1, y1, x2, y2, 0.4)
+    for a, b in zip(at[:-1], at[1:]):
+        assert got[a:b].tolist() == _kept(x1[a:b], y1[a:b], x2[a:b], y2[a:b], 0.4).tolist()
+    assert not got.all()
