@@ -25,17 +25,20 @@ def chain_depths(records: DataFrame) -> DataFrame:
     """(id, depth): how many records each current record supersedes, directly or through others. records: id, supersedes_id.
 
     Every round joins what each record reaches with what that reaches, so rounds follow the logarithm of the longest chain.
+    Records that have reached their end leave the rounds: with nothing to look up, they would all meet in one task.
     """
     scratch = Scratch(records.sparkSession, "chains")
     state = scratch.cut(records.select("id", F.col("supersedes_id").alias("up"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).cast("long").alias("depth")), "state")
-    left, before = state.where("up is not null").count(), None
+    ended, rest = state.where("up is null"), state.where("up is not null")
+    left, before = rest.count(), None
     while left:
         if left == before:  # in chains, some reach their end in every round
             raise ValueError("records supersede each other in a circle")
-        further = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        new = scratch.cut(state.join(further, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "state")
-        scratch.drop(state)
-        state, before, left = new, left, new.where("up is not null").count()
+        further = ended.union(rest).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        new = scratch.cut(rest.join(further, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "state")
+        ended, rest = ended.union(new.where("up is null")), new.where("up is not null")
+        before, left = left, rest.count()
+    state = ended
     return current(records).select("id").join(state.select("id", "depth"), "id")
 
 

@@ -209,3 +209,19 @@ def test_frames_side_by_side_keep_what_each_keeps_alone():
     for a, b in zip(at[:-1], at[1:]):
         assert got[a:b].tolist() == _kept(x1[a:b], y1[a:b], x2[a:b], y2[a:b], 0.4).tolist()
     assert not got.all()
+
+
+def test_records_at_their_end_leave_the_rounds(spark, monkeypatch):
+    """Of many short chains and one long one, only what is still open is joined and written again."""
+    written, cut = [], L.Scratch.cut
+
+    def count(self, df, *a, **k):
+        out = cut(self, df, *a, **k)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(L.Scratch, "cut", count)
+    rows = [(i, None) for i in range(500)] + [(1000 + i, 999 + i if i else 0) for i in range(9)]
+    got = {r.id: r.depth for r in L.chain_depths(spark.createDataFrame(rows, "id long, supersedes_id long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 500)}, 1008: 9}
+    assert written[0] == 509 and max(written[1:]) <= 9
