@@ -110,3 +110,24 @@ def test_commonest_values_are_counted(spark):
     rows = spark.createDataFrame([(v,) for v in ["a"] * 3 + ["b"] * 5 + ["c", None, "d"]], "lang string")
     assert learning.counts_of(rows, "lang") == {"a": 3, "b": 5, "c": 1, "d": 1}
     assert learning.counts_of(rows, "lang", 3) == {"a": 3, "b": 5, "c": 1}
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """All rows are in blocks, repeated ones once, and scores don't depend on the partitioning."""
+    from quorum_spark.operators.scratch import Scratch
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("kala mora tiko sela".split(), k=6)) + (" vile" if i % 2 else ""), "aa") for i in range(9000)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9000)], "doc_id long, toxic int")
+    known = labels.where(learning.remainder("doc_id", 4) != 2)
+    table = toxicity.blocks(docs, known.union(known), known.count(), Scratch(spark, "test"))
+    b = table.selectExpr("count(*) as n", "sum(all0 + all1) as rows", "sum(all1) as ones").first()
+    zeros = known.where("toxic = 0").count()
+    assert b.n == 2 and b.ones == known.count() - zeros
+    assert zeros // 5 <= b.rows - known.count() <= zeros // 5 + b.n
+    monkeypatch.setattr(toxicity, "ROWS", 100)
+    few, some = docs.where("doc_id < 400"), labels.where("doc_id < 400")
+    one, many = ({r.doc_id: r.score for r in toxicity.toxicity_scores(few.repartition(k), some.repartition(k)).collect()} for k in (1, 5))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 for i in one)  # sums of a batch differ in the last bits
+    assert all((score >= toxicity.THRESHOLD) == bool(i % 2) for i, score in one.items())
