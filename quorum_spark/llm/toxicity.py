@@ -293,11 +293,18 @@ def _binned(shared):
     return run
 
 
-def _summed(rows: DataFrame, run, keys: list[str], values: list[str], scratch: Scratch) -> pa.Table:
-    """What tasks make of blocks, summed by keys. Keys are few, as many as the model has rows or bins."""
-    out = rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*keys, *values)))
+def _summed(rows: DataFrame, run, keys: list[str], values: list[str], scratch: Scratch, means: bool = False) -> pa.Table:
+    """What tasks make of blocks, summed by keys. Keys are few, as many as the model has rows or bins. means: the values after n as what one unit of n has, of single precision.
+
+    Each task sends as much as the model has, so there are no more tasks than run at once, however many blocks there are.
+    """
+    few = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    out = few.mapInArrow(run, ", ".join(f"{c} long" for c in (*keys, *values)))
     with small_batches(rows.sparkSession, 1):  # rows have megabytes, those of the result don't
-        found = scratch.cut(out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values]), "sums")
+        found = out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
+        if means:
+            found = found.select(*keys, *[(F.col(c) / F.col("n") / UNIT).cast("float").alias(c) for c in values[1:]])
+        found = scratch.cut(found, "sums")
     table = found.toArrow()
     scratch.drop(found)
     return table
@@ -334,11 +341,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     weight = np.array([0.5 / (1 - mean), 0.5 / mean], np.float32)
     for epoch in range(EPOCHS):
         shared = spark.sparkContext.broadcast(model)
-        t = _summed(rows, _epoch(shared, epoch, weight), ["at"], ["n", *_CHANGES], scratch)
+        t = _summed(rows, _epoch(shared, epoch, weight), ["at"], ["n", *_CHANGES], scratch, means=True)
         shared.destroy()
         flat = model.flat()
-        flat.reshape(-1, len(_CHANGES))[t["at"].to_numpy()] += np.stack([t[c].to_numpy() for c in _CHANGES], 1) / t["n"].to_numpy()[:, None] / UNIT
+        at, parts = t["at"].to_numpy(), flat.reshape(-1, len(_CHANGES))
+        for k, c in enumerate(_CHANGES):
+            parts[at, k] += t[c].to_numpy()
         model.put(flat)
+        del t, flat, at, parts
+        give_back()
     shared = spark.sparkContext.broadcast(model)
     t = _summed(rows, _binned(shared), ["guess", "bin", "y", "tune"], ["n"], scratch).sort_by([(c, "ascending") for c in ("guess", "bin", "y", "tune")])
     shared.destroy()

@@ -131,3 +131,19 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     one, many = ({r.doc_id: r.score for r in toxicity.toxicity_scores(few.repartition(k), some.repartition(k)).collect()} for k in (1, 5))
     assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 for i in one)  # sums of a batch differ in the last bits
     assert all((score >= toxicity.THRESHOLD) == bool(i % 2) for i, score in one.items())
+
+
+def test_sums_of_blocks_take_as_many_tasks_as_run_at_once(spark):
+    """What tasks send for an epoch doesn't grow with the number of blocks, and means come as single numbers."""
+    from quorum_spark.operators.scratch import Scratch
+
+    def run(batches):
+        held = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (0, 1, held * int(toxicity.UNIT))], names=["at", "n", "c"])
+
+    rows, scratch = spark.range(0, 640, 1, 64), Scratch(spark, "test")
+    tasks = spark.sparkContext.defaultParallelism
+    sums = toxicity._summed(rows, run, ["at"], ["n", "c"], scratch)
+    assert sums["n"].to_pylist() == [tasks] and sums["c"].to_pylist() == [640 * int(toxicity.UNIT)]
+    means = toxicity._summed(rows, run, ["at"], ["n", "c"], scratch, means=True)
+    assert means.column_names == ["at", "c"] and means["c"].to_pylist() == [640 / tasks]
