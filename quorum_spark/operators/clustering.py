@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,7 +53,7 @@ NONE = np.iinfo(np.int64).max
 
 
 def _tile(eps: float, min_samples: int):
-    """Neighbours in the tile and whether these make a crop core; the smallest core that such cores of the tile lead to, or of a crop that isn't core the smallest one of its neighbours, which is final if there is no other tile."""
+    """The tile's blocks with, for each crop, whether its neighbours in the tile make it core and the smallest core that such cores of the tile lead to, or of a crop that isn't core the smallest one of its neighbours, which is final if there is no other tile; NONE if there is none. Vectors that no other tile needs aren't repeated."""
 
     def kernel(x, tile, alone):
         order = np.argsort(x.ids, kind="stable")
@@ -69,97 +69,136 @@ def _tile(eps: float, min_samples: int):
         root[at] = ids[at][_reached(near[np.ix_(at, at)])]
         for k in np.flatnonzero(~core & (n > 0)) if alone else ():
             root[k] = root[near[k] & core].min(initial=NONE)
+        parts = lambda c, kind: pa.array([c[i:j] for i, j in zip(x.at, x.at[1:])], pa.list_(kind))
+        vectors = pa.nulls(len(x.radius), pa.list_(pa.float64())) if alone else pa.array([x.v[i:j].ravel() for i, j in zip(x.at, x.at[1:])], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(x.block[order]), pa.array(np.full(len(ids), tile)), pa.array(root, mask=root == NONE), pa.array(core), pa.array(np.full(len(ids), alone))],
-            names=["det_id", "block", "tile", "root", "core", "final"],
+            [pa.array(x.name), pa.array(np.full(len(x.name), tile)), pa.array(np.full(len(x.name), alone)), parts(x.ids, pa.int64()), vectors, pa.array(list(x.centre), pa.list_(pa.float64())), pa.array(x.radius), parts(root[place], pa.int64()), parts(core[place], pa.bool_())],
+            names=["block", "tile", "final", "ids", "v", "centre", "radius", "root", "core"],
         )
 
     return kernel
 
 
-def _counted(eps: float):
-    """How many neighbours each of a's crops has among b's."""
+def _met(hit: np.ndarray, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different marks of rows and columns that hits tie, each pair once. Where hits are many, as among near copies, they aren't listed."""
+    (us, a), (vs, b) = (np.unique(m, return_inverse=True) for m in (mine, other))
+    if np.count_nonzero(hit) * 16 > hit.size:
+        i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        hit = np.logical_or.reduceat(hit[i], np.searchsorted(a[i], np.arange(len(us))), axis=0)
+        hit = np.logical_or.reduceat(hit[:, j], np.searchsorted(b[j], np.arange(len(vs))), axis=1)
+        p, q = np.nonzero(hit)
+    else:
+        p, q = np.nonzero(hit)
+        code = np.unique(a[p] * len(vs) + b[q])
+        p, q = np.divmod(code, max(len(vs), 1))
+    use = us[p] != vs[q]
+    return us[p][use], vs[q][use]
 
-    def kernel(a, b):
-        n = np.zeros(len(a.ids), np.int64)
-        for rows, _, hit, _ in metric.hits(a, b, eps):
-            n[rows] += hit.sum(1)
-        some = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(a.ids[some]), pa.array(n[some])], names=["det_id", "n"])
 
-    return kernel
+class _Links:
+    """Links between marks, contracted into stars as they are found."""
 
+    def __init__(self):
+        self.u, self.v, self.held = [], [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        if len(u):
+            self.u.append(u)
+            self.v.append(v)
+            self.held += len(u)
+        if self.held > HELD:
+            u, v = self.stars()
+            self.u, self.v, self.held = [u], [v], 0
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        none = [np.zeros(0, np.int64)]
+        return contracted(np.concatenate(self.u or none), np.concatenate(self.v or none))
+
+
+#: What a row of the first look tells: a link u, v between roots; n neighbours of an open crop u; a neighbour v of an open crop u that has few.
+LINK, COUNT, BESIDE = 0, 1, 2
 
-def _linked(eps: float):
-    """Links between the marks of near crops, contracted into stars as they are found."""
+
+def _looked(eps: float, min_samples: int):
+    """All that a's crops tell of b's: links of a's cores, how many neighbours each other crop of a has, and which, where they are too few to make it core."""
 
     def kernel(a, b):
-        u, v, held = [], [], 0
+        n, links = np.zeros(len(a.ids), np.int64), _Links()
+        at, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for rows, cols, hit, _ in metric.hits(a, b, eps):
-            p, q = np.nonzero(hit & (a.mark[rows][:, None] != b.mark[cols]))
-            pairs = np.unique(np.stack([a.mark[rows][p], b.mark[cols][q]]), axis=1) if len(p) else np.zeros((2, 0), np.int64)
-            u.append(pairs[0])
-            v.append(pairs[1])
-            held += len(pairs[0])
-            if held > HELD:
-                stars = contracted(np.concatenate(u), np.concatenate(v))
-                u, v, held = [stars[0]], [stars[1]], 0
-        if u and sum(map(len, u)):
-            u, v = contracted(np.concatenate(u), np.concatenate(v))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            own = a.core[rows]
+            if own.any():
+                use = b.core[cols]
+                links.add(*_met(hit[own][:, use], a.root[rows][own], b.root[cols][use]))
+            rest = rows.start + np.flatnonzero(~own)
+            if len(rest):
+                hit = hit[~own]
+                count = hit.sum(1)
+                n[rest] += count
+                few = (count > 0) & (count + 1 < min_samples)
+                p, q = np.nonzero(hit[few])
+                at.append(rest[few][p])
+                near.append(b.ids[cols][q])
+        at, near, some = np.concatenate(at), np.concatenate(near), n > 0
+        few = n[at] + 1 < min_samples
+        u, v = links.stars()
+        for kind, x, y, z in ((LINK, u, v, 0), (COUNT, a.ids[some], 0, n[some]), (BESIDE, a.ids[at[few]], near[few], 0)):
+            full = lambda c: pa.array(np.broadcast_to(np.asarray(c, np.int64), len(x)).copy())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([full(kind), full(x), full(y), full(z)], names=["kind", "u", "v", "n"])
 
     return kernel
 
 
-def _beside(eps: float):
-    """The smallest mark of b's crops that each of a's is near."""
+def _linked(eps: float):
+    """Links between the marks of a's crops and the roots of b's cores that they are near, contracted into stars."""
 
     def kernel(a, b):
-        best = np.full(len(a.ids), NONE)
-        order = np.argsort(b.mark, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        links = _Links()
         for rows, cols, hit, _ in metric.hits(a, b, eps):
-            cols = cols[by := np.argsort(rank[cols])]
-            hit = hit[:, by]
-            first = hit.argmax(1)
-            found = np.where(hit[np.arange(len(hit)), first], b.mark[cols][first], NONE)
-            best[rows] = np.minimum(best[rows], found)
-        some = best < NONE
-        yield pa.RecordBatch.from_arrays([pa.array(a.ids[some]), pa.array(best[some])], names=["det_id", "root"])
+            use = b.core[cols]
+            links.add(*_met(hit[:, use], a.mark[rows], b.root[cols][use]))
+        u, v = links.stars()
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return kernel
 
 
-def _joined(cores: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """cores with the smallest root that links between roots lead to."""
-    comp = components(links.select("u", "v"), scratch, at_once=True).withColumnRenamed("node", "root")
-    return scratch.cut(cores.join(comp, "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component"), "cores")
-
-
-def _across(blocks: DataFrame, first: DataFrame, eps: float, min_samples: int, scratch: Scratch, by: tuple[str, ...]) -> DataFrame:
-    """(by, det_id, root, core) of crops whose keys have several tiles, from what their tiles tell."""
-    keys, own = list(by), ["block", "det_id"]
-    open_ = first.where("not core")
-    some = metric.part(blocks, open_.select(*own, F.lit(0).cast("long").alias("mark")), scratch, by)
-    n = metric.rectangles(some, blocks, _counted(eps), "det_id long, n long", by).groupBy("det_id").agg(F.sum("n").alias("n"))
-    more = scratch.cut(open_.select(*keys, *own).join(n.where(F.col("n") + 1 >= min_samples), "det_id").select(*keys, *own, F.col("det_id").alias("root"), F.lit(-1).cast("long").alias("tile")), "more")
-    cores = scratch.cut(first.where("core").select(*keys, *own, "root", "tile").unionByName(more), "cores")
-    for turn in ("hubs", "rest"):
-        marked = metric.part(blocks, cores.select(*own, F.col("root").alias("mark")), scratch, by)
-        if turn == "hubs":  # one tile's cores tie most of the others together
-            chosen = cores.where("tile = 0")
-        else:  # a link that is still missing has an end outside the largest component
-            size = cores.groupBy(*keys, "root").agg(F.count("*").alias("n"))
-            large = size.groupBy(*keys).agg(F.max_by("root", F.struct("n", "root")).alias("root"))
-            chosen = cores.join(large, [*keys, "root"], "left_anti")
-        chosen = metric.part(blocks, chosen.select(*own, F.col("root").alias("mark")), scratch, by)
-        links = scratch.cut(metric.rectangles(chosen, marked, _linked(eps), "u long, v long", by), "links")
-        cores = _joined(cores, links, scratch)
-    marked = metric.part(blocks, cores.select(*own, F.col("root").alias("mark")), scratch, by)
-    others = open_.select(*keys, *own).join(more.select("det_id"), "det_id", "left_anti")
-    others = metric.part(blocks, others.select(*own, F.lit(0).cast("long").alias("mark")), scratch, by)
-    border = metric.rectangles(others, marked, _beside(eps), "det_id long, root long", by).groupBy(*keys, "det_id").agg(F.min("root").alias("root"))
+def _crops(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, final, det_id, root, core): what tiles tell of each crop, without vectors."""
+    each = tiles.select(*keys, "block", "final", F.explode(F.arrays_zip("ids", "root", "core")).alias("c"))
+    return each.select(*keys, "block", "final", F.col("c.ids").alias("det_id"), F.col("c.root").alias("root"), F.col("c.core").alias("core"))
+
+
+def _across(tiles: DataFrame, eps: float, min_samples: int, scratch: Scratch, by: tuple[str, ...]) -> DataFrame:
+    """(by, det_id, root, core) of crops whose keys have several tiles, from what their tiles tell.
+
+    The vectors meet twice: first crops that aren't core in their tile, and one tile's cores, meet all; then cores outside the largest cluster do.
+    """
+    keys = list(by)
+    crops = _crops(tiles, keys)
+    every = tiles.select(*keys, "block", "ids", "v", "centre", "radius", "root", "core")
+    # One tile's cores tie most of the others together. Few neighbours are listed, so no crop has to be compared again for its border.
+    first = metric.picked(tiles, lambda core, tile: ~core if tile else np.ones(len(core), bool), scratch, by)
+    told = scratch.cut(metric.rectangles(first, every, _looked(eps, min_samples), "kind long, u long, v long, n long", by), "told")
+    n = told.where(F.col("kind") == COUNT).groupBy(F.col("u").alias("det_id")).agg(F.sum("n").alias("n"))
+    more = scratch.cut(crops.where("not core").select(*keys, "block", "det_id").join(n.where(F.col("n") + 1 >= min_samples), "det_id").select(*keys, "block", "det_id", F.col("det_id").alias("root")), "more")
+    links = told.where(F.col("kind") == LINK).select("u", "v")
+    ends = components(links, scratch, at_once=True).withColumnRenamed("node", "root")
+    sizes = crops.where("core").groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    sizes = scratch.cut(sizes.join(ends, "root", "left").withColumn("component", F.coalesce("component", "root")), "sizes")
+    large = sizes.groupBy(*keys, "component").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.max_by("component", F.struct("n", "component")).alias("component"))
+    outside = sizes.join(large, [*keys, "component"], "left_anti").select("root")
+    # A link that is still missing has an end outside the largest component.
+    mark = F.col("root").alias("mark")
+    chosen = scratch.cut(crops.where("core").join(outside, "root", "left_semi").select("block", "det_id", mark).union(more.select("block", "det_id", mark)), "chosen")
+    if not chosen.isEmpty():
+        added = metric.part(tiles, more.select("block", "det_id", mark), scratch, by).withColumnRenamed("mark", "root").withColumn("core", F.transform("root", lambda _: F.lit(True)))
+        found = metric.rectangles(metric.part(tiles, chosen, scratch, by), every.unionByName(added), _linked(eps), "u long, v long", by)
+        ends = components(links.union(scratch.cut(found, "links").select("u", "v")), scratch, at_once=True).withColumnRenamed("node", "root")
+    cores = crops.where("core").select(*keys, "det_id", "root").union(more.select(*keys, "det_id", "root"))
+    cores = scratch.cut(cores.join(ends, "root", "left").select(*keys, "det_id", F.coalesce("component", "root").alias("root")), "cores")
+    beside = told.where(F.col("kind") == BESIDE).select(F.col("u").alias("at"), F.col("v").alias("det_id")).join(more.select(F.col("det_id").alias("at")), "at", "left_anti")
+    border = beside.join(cores, "det_id").groupBy(*keys, F.col("at").alias("det_id")).agg(F.min("root").alias("root"))
     return scratch.cut(cores.select(*keys, "det_id", "root", F.lit(True).alias("core")).union(border.select(*keys, "det_id", "root", F.lit(False))), "across")
 
 
@@ -168,17 +207,20 @@ def dbscan(crops: DataFrame, eps: float, min_samples: int, by: tuple[str, ...] =
 
     by: columns, such as the job, each of whose values is clustered and numbered by itself; det_id is unique all the same.
     Tiles of a few thousand crops are clustered by themselves. Crops that are core in their tile are so for good, so only the others are
-    compared with all; tiles' clusters are tied by the cores of one tile, and then only cores outside the largest cluster are
-    compared with all cores; crops that aren't core are compared with all cores. No pair whose outcome is open is left out, and pairs are never listed.
+    compared with all, together with the cores of one tile, which tie the tiles' clusters; then only cores outside the largest cluster are
+    compared with all cores. No pair whose outcome is open is left out. Pairs are listed for crops that aren't core alone, which have fewer than min_samples.
     """
     spark, keys = crops.sparkSession, list(by)
     scratch = Scratch(spark, "dbscan")
     blocks = metric.balls(crops, scratch, by)
-    first = scratch.cut(metric.in_tiles(blocks, _tile(eps, min_samples), "det_id long, block long, tile long, root long, core boolean, final boolean", by), "tiles")
-    told = first.where("final and root is not null").select(*keys, "det_id", "root", "core")
-    rest = first.where("not final")
-    if not rest.isEmpty():
-        told = told.union(_across(blocks, rest, eps, min_samples, scratch, by))
+    kinds = "block long, tile long, final boolean, ids array<long>, v array<double>, centre array<double>, radius double, root array<long>, core array<boolean>"
+    with metric.small_batches(spark, 16):
+        tiles = scratch.cut(metric.in_tiles(blocks, _tile(eps, min_samples), kinds, by), "tiles", large_rows=True)
+    scratch.drop(blocks)
+    told = _crops(tiles, keys).where(F.col("final") & (F.col("root") < NONE)).select(*keys, "det_id", "root", "core")
+    rest = tiles.where("not final")
+    if not rest.select("block").isEmpty():
+        told = told.union(_across(rest, eps, min_samples, scratch, by))
     roots = told.where("core").select(*keys, "root").distinct()
     if keys:
         number = roots.select(*keys, "root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).alias("cluster_id"))
@@ -203,12 +245,17 @@ def mean_vectors(rows: DataFrame, key: str | list[str], weight: str | None = Non
     return whole.select(*keys, normalize(F.transform("m", lambda s: s.x)).alias("mean"))
 
 
+def _tightness() -> Column:
+    """From the sums' squares s, the squares' sum q and the members m."""
+    return F.when(F.col("m") <= 1, 1.0).otherwise((F.col("s") - F.col("q")) / (F.col("m") * F.greatest(F.col("m") - 1, F.lit(1))))
+
+
 def tightness(rows: DataFrame, key: str | list[str]) -> DataFrame:
     """(key, tightness): the mean cosine of a group's pairs, by its sums alone; 1 for a single member."""
     keys = _keys(key)
     flat = rows.select(*keys, F.posexplode("v").alias("k", "x")).groupBy(*keys, "k").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("m"))
     total = flat.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"))
-    return total.select(*keys, F.when(F.col("m") <= 1, 1.0).otherwise((F.col("s") - F.col("q")) / (F.col("m") * F.greatest(F.col("m") - 1, F.lit(1)))).alias("tightness"))
+    return total.select(*keys, _tightness().alias("tightness"))
 
 
 def summarize(crops: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -222,8 +269,12 @@ def summarize(crops: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) ->
         F.max("frame_index").alias("last_frame"),
         F.max_by("det_id", F.struct("quality_score", -F.col("det_id"))).alias("best_det"),
     )
-    means = mean_vectors(rows, keys, "quality_score").withColumnRenamed("mean", "representative")
-    return basic.join(tightness(rows, keys), keys).join(means, keys)
+    # Vectors are sent once for both their mean (as in mean_vectors) and their tightness.
+    w, x = F.greatest("quality_score", F.lit(1e-6)), F.col("x")
+    flat = rows.select(*keys, w.alias("w"), F.posexplode("v").alias("k", "x")).groupBy(*keys, "k").agg((F.sum(x * F.col("w")) / F.sum("w")).alias("x"), F.sum("x").alias("s"), F.sum(x * x).alias("q"), F.count("*").alias("m"))
+    total = flat.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("k", "x"))).alias("mean"))
+    vectors = total.select(*keys, _tightness().alias("tightness"), normalize(F.transform("mean", lambda c: c.x)).alias("representative"))
+    return basic.join(vectors, keys)
 
 
 def distances(crops: DataFrame, labels: DataFrame, summary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -298,9 +349,10 @@ def split(crops: DataFrame, labels: DataFrame, candidates: DataFrame, eps: float
 def coherent(crops: DataFrame, labels: DataFrame, p, by: tuple[str, ...] = ()) -> DataFrame:
     """Labels after both passes by time: clusters that are near and seen together merge, and loose ones that last for most of the frames are split. p: PipelineParams."""
     scratch = Scratch(crops.sparkSession, "coherent")
-    one = scratch.cut(merged(labels, merge_edges(summarize(crops, labels, by), p.eps * p.merge_factor, p.merge_overlap, by), by), "merged")
+    summary = scratch.cut(summarize(crops, labels, by), "summary")  # read twice
+    one = scratch.cut(merged(labels, merge_edges(summary, p.eps * p.merge_factor, p.merge_overlap, by), by), "merged")
     frames = crops.groupBy(*by).agg((F.max("frame_index") + 1).alias("total"))
-    loose = split_candidates(summarize(crops, one, by), frames, p.split_span, p.split_tightness, by)
+    loose = scratch.cut(split_candidates(summarize(crops, one, by), frames, p.split_span, p.split_tightness, by), "loose")
     return split(crops, one, loose, p.split_factor * p.eps, p.min_samples, by)
 
 

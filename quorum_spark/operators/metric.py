@@ -33,10 +33,17 @@ def array_of(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else np.zeros(0)
 
 
+def _beside(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their keys' sizes. These are written first: where they are known to be few, vectors aren't sent by their keys, which would leave a job to one task."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(sizes))  # one row
+    return rows.join(Scratch(rows.sparkSession, "sizes").cut(sizes, "sizes"), keys)
+
+
 def packs(rows: DataFrame, key: str, v: str, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, b, n, ids, v): about `block` vectors to a pack, dealt by a hash of key; n: rows of these keys."""
     sized = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = rows.join(sized, keys) if keys else rows.crossJoin(F.broadcast(sized))  # one row without keys
+    rows = _beside(rows, sized, keys)
     b = F.pmod(F.xxhash64(key), F.floor(F.col("n") / block) + 1)
     return rows.groupBy(*keys, b.alias("b")).agg(F.any_value("n").alias("n"), F.collect_list(key).alias("ids"), F.flatten(F.collect_list(v)).alias("v"))
 
@@ -111,12 +118,16 @@ def balls(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFr
         dim = (F.size("v") / F.size("ids")).cast("int")
         chosen = first.where(wanted > 0).select(*keys, F.flatten(F.transform(some, lambda s: F.slice("v", s.k * dim + 1, dim))).alias("p"))
         pivots = chosen.groupBy(*keys).agg(F.flatten(F.collect_list("p")).alias("pivots"))
-        told = first.join(pivots, keys, "left") if keys else first.crossJoin(F.broadcast(pivots))  # PIVOTS or so
+        if keys:  # salted, so that packs of one job are spread over tasks
+            salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+            told = first.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(pivots.select(*keys, "pivots", salt), [*keys, "salt"], "left")
+        else:
+            told = first.crossJoin(F.broadcast(pivots))  # PIVOTS or so
         pieces = told.select(*keys, "b", "ids", "v", "pivots").mapInArrow(_cells(keys), f"{kinds}cell int, b long, ids array<long>, v array<double>")
         pieces = scratch.cut(pieces, "pieces", large_rows=True)
         sizes = pieces.groupBy(*keys, "cell").agg(F.sum(F.size("ids")).alias("size"))
         chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK))
-        met = pieces.join(sizes, [*keys, "cell"]).groupBy(*keys, "cell", chunk.alias("chunk")).agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
+        met = _beside(pieces, sizes, [*keys, "cell"]).groupBy(*keys, "cell", chunk.alias("chunk")).agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
         out = met.select(*keys, "ids", "v").mapInArrow(_balls(keys), _ball_schema(kinds))
         blocks = scratch.cut(out.withColumn("block", F.monotonically_increasing_id()), "blocks", large_rows=True)
     scratch.drop(first, pieces)
@@ -163,16 +174,16 @@ def near(a: dict, b: dict, same: bool, eps: float) -> tuple[np.ndarray, np.ndarr
 
 
 class Vectors:
-    """Blocks of a table, one after the other: ids, v (a row each), mark (if there is one), at (where blocks begin), and their balls."""
+    """Blocks of a table, one after the other: ids, v (a row each), mark, root and core (where there are such), at (where blocks begin), and the blocks' names and balls."""
 
     def __init__(self, table: pa.Table):
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         self.ids = flat("ids")
         self.v = flat("v").reshape(len(self.ids), -1)
-        self.mark = flat("mark") if "mark" in table.column_names else self.ids
+        self.mark, self.root, self.core = (flat(c) if c in table.column_names else None for c in ("mark", "root", "core"))
         size = np.array([len(x) for x in table.column("ids")], np.int64)
         self.at = np.concatenate([[0], np.cumsum(size)])
-        self.block = np.repeat(table.column("block").to_numpy(), size)
+        self.name = table.column("block").to_numpy()
         self.centre = flat("centre").reshape(len(size), -1)
         self.radius = table.column("radius").to_numpy()
 
@@ -220,8 +231,6 @@ def _count(blocks: DataFrame, keys: list[str], name: str, per: int, least: int)
     return blocks.groupBy(*keys).agg(parts.cast("long").alias(name))
 
 
-def _beside(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))  # one row without keys
 
 
 def in_tiles(blocks: DataFrame, kernel: Callable[[Vectors, int, bool], Iterator[pa.RecordBatch]], schema: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -241,15 +250,24 @@ def rectangles(left: DataFrame, right: DataFrame, kernel: Callable[[Vectors, Vec
     """What kernel(a, b) yields for all of left and right of the same keys, after the keys.
 
     Both are dealt to sides of about SIDE vectors, and each two sides meet in one group. A vector is sent once for every side of
-    the other, so what is sent is the vectors times the other's sides, not a pair of blocks for every product.
+    the other, so what is sent is the vectors times the other's sides, not a pair of blocks for every product. Right has more and
+    smaller sides, for more tasks, only as far as the copies of left stay fewer than twice right.
     """
     keys = list(by)
+
+    def sized() -> DataFrame:
+        n, m = (t.groupBy(*keys).agg(F.sum(F.size("ids")).alias(c)) for t, c in ((left, "n"), (right, "m")))
+        both = n.join(m, keys) if keys else n.crossJoin(m)
+        more = F.least(F.lit(16), F.ceil(F.col("m") / 1024), F.floor(2 * F.col("m") / F.greatest("n", F.lit(1))))
+        sides = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / SIDE))
+        return both.select(*keys, sides("n").cast("long").alias("p"), F.greatest(sides("m"), more).cast("long").alias("q"))
+
+    sizes = Scratch(left.sparkSession, "sides").cut(sized(), "sides")
+
     def sent(rows, own, other, mine, theirs):
         """rows with the number of their side, once for every side of the other table."""
-        p, q = _count(left, keys, "p", SIDE, 8), _count(right, keys, "q", SIDE, 16)
-        sizes = p.join(q, keys) if keys else p.crossJoin(q)
         cols = rows.columns
-        rows = _beside(rows, sizes, keys).withColumn(own, F.pmod(F.xxhash64("block"), F.col(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)))
+        rows = (rows.join(sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))).withColumn(own, F.pmod(F.xxhash64("block"), F.col(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)))
         return rows.select(*[F.col(c).alias(c) for c in (*cols, "a", "b")])
 
     a, b = sent(left, "a", "b", "p", "q"), sent(right, "b", "a", "q", "p")
@@ -286,10 +304,31 @@ def squares(blocks: DataFrame, kernel: Callable[[Vectors, Vectors, bool], Iterat
     return a.groupBy(*keys, "a", "b").cogroup(b.groupBy(*keys, "a", "b")).applyInArrow(run, kinds)
 
 
+def picked(tiles: DataFrame, choose: Callable[[np.ndarray, int], np.ndarray], scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
+    """The vectors of (by, block, tile, ids, v, centre, radius, root, core) that choose(core, tile) names, without the tile, written. Balls stay as they are."""
+    keys = list(by)
+    kinds = f"{_named(tiles, keys)}block long, ids array<long>, v array<double>, centre array<double>, radius double, root array<long>, core array<boolean>"
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, v, centre, root, core = (array_of(batch, c, r) for c in ("ids", "v", "centre", "root", "core"))
+                use = choose(core.astype(bool), batch.column(batch.schema.get_field_index("tile"))[r].as_py())
+                if use.any():
+                    column = lambda x, kind: pa.array([x], pa.list_(kind))
+                    yield pa.RecordBatch.from_arrays(
+                        [*_own(batch, [*keys, "block"], r), column(ids[use], pa.int64()), column(v.reshape(len(ids), -1)[use].ravel(), pa.float64()), column(centre, pa.float64()), *_own(batch, ["radius"], r), column(root[use], pa.int64()), column(core[use].astype(bool), pa.bool_())],
+                        names=[*keys, "block", "ids", "v", "centre", "radius", "root", "core"],
+                    )
+
+    with small_batches(tiles.sparkSession, 16):
+        return scratch.cut(tiles.select(*keys, "block", "tile", "ids", "v", "centre", "radius", "root", "core").mapInArrow(run, kinds), "picked", large_rows=True)
+
+
 def part(blocks: DataFrame, marks: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
     """The blocks' vectors that have a mark (block, det_id, mark), with their marks, written. Balls stay as they are."""
     keys = list(by)
-    told = marks.groupBy("block").agg(F.collect_list("det_id").alias("named"), F.collect_list("mark").alias("marks"))
+    told = scratch.cut(marks.groupBy("block").agg(F.collect_list("det_id").alias("named"), F.collect_list("mark").alias("marks")), "marks")  # a small one is known to be so
     rows = blocks.join(told, "block").select(*keys, "block", "ids", "v", "centre", "radius", "named", "marks")
     kinds = f"{_named(blocks, keys)}block long, ids array<long>, v array<double>, centre array<double>, radius double, mark array<long>"
 

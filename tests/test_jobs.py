@@ -5,7 +5,9 @@ import json
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -69,6 +71,47 @@ def test_clusters_across_tiles(spark, monkeypatch):
     assert not sent  # no pair of blocks is sent
 
 
+def test_vectors_are_sent_once_and_a_job_is_spread(spark, monkeypatch):
+    """Where one table fits a side, the other is sent once, whatever the tasks; tiles and packs of one job aren't left to one task."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(rng.standard_normal((3000, 16)))], "det_id long, job int, v array<double>")
+    scratch = Scratch(spark, "test")
+    try:
+        for n, x in zip(names, ("40k", "false"), strict=True):
+            spark.conf.set(n, x)
+        monkeypatch.setattr(metric, "BLOCK", 50)
+        monkeypatch.setattr(metric, "TILE", 100)
+        blocks = metric.dealt(rows, scratch, ("job",))
+
+        def seen(a, b):
+            yield pa.RecordBatch.from_arrays([pa.array([len(a.ids)]), pa.array([len(b.ids)])], names=["a", "b"])
+
+        def where(x, tile, alone):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([len(x.ids)])], names=["task", "n"])
+
+        sent = metric.rectangles(blocks, blocks, seen, "a long, b long", ("job",)).collect()
+        assert sum(r.b for r in sent) == 3000
+        tiles = metric.in_tiles(blocks, where, "task long, n long", ("job",)).collect()
+        assert sum(r.n for r in tiles) == 3000 and len({r.task for r in tiles}) > 1
+    finally:
+        for n, x in zip(names, before, strict=True):
+            spark.conf.set(n, x)
+
+
+def test_links_of_many_hits():
+    """Marks that hits tie are each told once, also where nearly all crops are near each other, and not with themselves."""
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.01, 0.9, 1.0):
+        for marks in (1, 4, 60):
+            hit, mine, other = rng.random((50, 70)) < share, rng.integers(0, marks, 50), rng.integers(0, marks, 70)
+            got = list(zip(*(x.tolist() for x in clustering._met(hit, mine, other)), strict=True))
+            assert sorted(got) == sorted({(int(mine[p]), int(other[q])) for p, q in zip(*np.nonzero(hit), strict=True)} - {(k, k) for k in range(marks)})
+    assert all(len(x) == 0 for x in clustering._met(np.zeros((0, 5), bool), np.zeros(0, int), np.zeros(5, int)))
+    assert all(len(x) == 0 for x in clustering._met(np.zeros((5, 0), bool), np.zeros(5, int), np.zeros(0, int)))
+
+
 def test_pairs_across_sides(spark, monkeypatch):
     """All pairs of a radius, each once, within jobs or over all, and no pair of blocks is sent."""
     for name, n in (("BLOCK", 20), ("FEW", 0), ("LISTED", 80)):
