@@ -88,19 +88,20 @@ def within_extremes(vectors: DataFrame, key: str, ordinal: str) -> DataFrame:
     """(key, similarity): the smallest and largest of all pairs of one key's vectors, a few rows for each key. Pairs are products of matrices in place, so people may have any number of vectors."""
     rows = vectors.where(F.col(key).isNotNull() & F.col("v").isNotNull()).select(key, F.col(ordinal).cast("long").alias("det_id"), "v")
     blocks = metric.dealt(rows, Scratch(vectors.sparkSession, "within"), (key,))
+    return metric.rectangles(blocks, blocks, _extremes, "similarity double", (key,))
 
-    def kernel(a, b):
-        size, low, high = np.linalg.norm(b.v, axis=1), np.inf, -np.inf
-        for start in range(0, len(a.ids), ROWS):
-            x, ids = a.v[start : start + ROWS], a.ids[start : start + ROWS]
-            s = x @ b.v.T
-            s /= np.linalg.norm(x, axis=1)[:, None] * size + 1e-12
-            other = ids[:, None] != b.ids
-            low, high = min(low, s.min(initial=np.inf, where=other)), max(high, s.max(initial=-np.inf, where=other))
-        if low <= high:
-            yield pa.RecordBatch.from_arrays([pa.array([low, high])], names=["similarity"])
 
-    return metric.rectangles(blocks, blocks, kernel, "similarity double", (key,))
+def _extremes(a: metric.Vectors, b: metric.Vectors):
+    """The smallest and largest cosine of two sides' pairs, nothing where there is none. NaN counts as the largest, as in Spark, and hides no other value."""
+    size, low, high = np.linalg.norm(b.v, axis=1), np.inf, -np.inf
+    for start in range(0, len(a.ids), ROWS):
+        x, ids = a.v[start : start + ROWS], a.ids[start : start + ROWS]
+        s = x @ b.v.T
+        s /= np.linalg.norm(x, axis=1)[:, None] * size + 1e-12
+        other = ids[:, None] != b.ids
+        low, high = np.fmin(low, np.fmin.reduce(s, axis=None, initial=np.inf, where=other)), np.maximum(high, s.max(initial=-np.inf, where=other))
+    if high != -np.inf:
+        yield pa.RecordBatch.from_arrays([pa.array([low if low < np.inf else high, high])], names=["similarity"])
 
 
 def permuted(x: Column, bits: int, seed: int) -> Column:
@@ -133,19 +134,30 @@ def unranked(t: Column) -> tuple[Column, Column]:
     return (t - below(j)).alias("i"), j.alias("j")
 
 
-def between_pairs(vectors: DataFrame, key: str, sampled: int, seed: int = 0) -> DataFrame:
-    """(i, j, similarity) with i < j of the plain means of keys, whole numbers: `sampled` different pairs of all there are, drawn at random, or all if there are no more.
+def key_means(vectors: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(id, v), written: the plain means of keys, whole numbers, scaled to length 1."""
+    flat = vectors.where(F.col(key).isNotNull()).select(key, F.posexplode("v").alias("k", "x")).groupBy(key, "k").agg(F.avg("x").alias("x"))
+    means = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m"))
+    return scratch.cut(means.select(F.col(key).cast("long").alias("id"), normalize(F.transform("m", lambda s: s.x)).alias("v")), "means")
+
+
+def between_extremes(vectors: DataFrame, key: str) -> DataFrame:
+    """(similarity): the smallest and largest of all pairs of the plain means of keys, whole numbers, a few rows for each two sides. Pairs are products of matrices in place, none is left out and none is listed."""
+    scratch = Scratch(vectors.sparkSession, "between")
+    blocks = metric.dealt(key_means(vectors, key, scratch).withColumnRenamed("id", "det_id"), scratch)
+    return metric.rectangles(blocks, blocks, _extremes, "similarity double")
+
+
+def between_pairs(vectors: DataFrame, key: str, sampled: int | None = None, seed: int = 0) -> DataFrame:
+    """(i, j, similarity) with i < j of the plain means of keys, whole numbers: all pairs, or, for who asks for a sample, `sampled` different ones drawn at random if there are more.
 
     All pairs come from block products; a sample's are numbers of pairs, so nothing grows with the square of the keys.
     """
     spark, kind = vectors.sparkSession, vectors.schema[key].dataType
     scratch = Scratch(spark, "between")
-    flat = vectors.where(F.col(key).isNotNull()).select(key, F.posexplode("v").alias("k", "x")).groupBy(key, "k").agg(F.avg("x").alias("x"))
-    means = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("m"))
-    means = means.select(F.col(key).cast("long").alias("id"), normalize(F.transform("m", lambda s: s.x)).alias("v"))
-    means = scratch.cut(means, "means")
+    means = key_means(vectors, key, scratch)
     n = means.count()
-    if sampled >= n * (n - 1) // 2:
+    if sampled is None or sampled >= n * (n - 1) // 2:
         pairs = products(means, means, _above, "i long, j long, similarity double")
     else:
         place = scratch.cut(numbered(means.select("id"), ["id"], "at", scratch), "places").join(means, "id")

@@ -104,19 +104,15 @@ flat AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM crops
 between_ AS (SELECT a.label AS i, b.label AS j, list_cosine_similarity(a.m, b.m) AS s FROM mean a JOIN mean b ON a.label < b.label)"""
 
 
-def _between(spark, d):
-    return C.between_pairs(S.crops(spark, d), "label", 2000)
-
-
 @query(f"WITH {_SIMS} SELECT i, j, round(s, 6) AS similarity FROM between_")
 def between_similarity(spark, d):
-    return _between(spark, d).withColumn("similarity", F.round("similarity", 6))
+    return C.between_pairs(S.crops(spark, d), "label").withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {_SIMS}, r AS (SELECT greatest((SELECT min(s) FROM within), (SELECT min(s) FROM between_)) AS low, least((SELECT max(s) FROM within), (SELECT max(s) FROM between_)) AS high) SELECT CASE WHEN high > low THEN round(low, 6) END AS low, CASE WHEN high > low THEN round(high, 6) END AS high FROM r")
 def similarity_overlap(spark, d):
-    within = C.within_extremes(S.crops(spark, d), "label", "det_id")
-    return C.overlap(within, _between(spark, d)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    crops = S.crops(spark, d)
+    return C.overlap(C.within_extremes(crops, "label", "det_id"), C.between_extremes(crops, "label")).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT bin::BIGINT AS bin, round(lo + bin * (hi - lo) / 10, 6) AS low, count(*) AS n FROM (SELECT least(floor((value - lo) / ((hi - lo) / 10)), 9) AS bin, lo, hi FROM events, r WHERE value IS NOT NULL) GROUP BY ALL")

@@ -262,6 +262,28 @@ def test_pairs_of_many_keys(spark):
     assert scoring.between_pairs(people.limit(1), "student", 5).count() == 0
 
 
+def test_extremes_between_keys(spark, monkeypatch):
+    """They are those of all pairs of means, whatever blocks and sides these are dealt to; a vector of NaN hides no other pair, here or within keys."""
+    monkeypatch.setattr(metric, "BLOCK", 20)
+    monkeypatch.setattr(metric, "SIDE", 50)
+    x = crowd(300, noise=0.5, seed=8)
+    data = [(k % 150, k, (3 * v).tolist()) for k, v in enumerate(x)] + [(None, 900, [1.0] * 6), (200, 901, None)]
+    people = spark.createDataFrame(data, "student int, det_id long, v array<double>")
+    s = unit(x[:150] + x[150:])
+    s = (s @ s.T)[np.triu_indices(150, 1)]
+    low_high = lambda df: tuple(df.agg(F.min("similarity"), F.max("similarity")).first())
+    assert low_high(scoring.between_extremes(people, "student")) == pytest.approx((s.min(), s.max()))
+    assert low_high(scoring.between_pairs(people, "student")) == pytest.approx((s.min(), s.max()))
+    assert scoring.between_pairs(people, "student").count() == 150 * 149 // 2
+    for few in (people.limit(0), people.where("student = 1")):
+        assert scoring.between_extremes(few, "student").count() == 0
+    odd = people.union(spark.createDataFrame([(300, 902, [float("nan")] * 6), (0, 903, [float("nan")] * 6)], people.schema))
+    low, high = low_high(scoring.between_extremes(odd.where("student <> 0"), "student"))
+    assert low == pytest.approx(s[149:].min()) and np.isnan(high)  # all but the first mean's
+    low, high = low_high(scoring.within_extremes(odd.where("student = 0"), "student", "det_id"))
+    assert low == pytest.approx(unit(x[:1])[0] @ unit(x[150:151])[0]) and np.isnan(high)
+
+
 def test_numbers_of_pairs(spark):
     t = spark.range(5000).select("id", *scoring.unranked(F.col("id"))).collect()
     assert [(r.i, r.j) for r in t] == [(i, j) for j in range(101) for i in range(j)][:5000]

@@ -14,7 +14,7 @@ from quorum_spark.operators import evaluation as E
 from quorum_spark.operators import ledger as L
 from quorum_spark.operators import matching as M
 from quorum_spark.params import PipelineParams, stage_hashes
-from quorum_spark.plans import registry
+from quorum_spark.plans import registry, scores
 from quorum_spark.sources import truth
 
 
@@ -191,6 +191,22 @@ def test_all_courses_are_committed(spark, tmp_path):
     assert get(registry.absent_list) == {(7, 2), (8, 4)}
 
 
+def test_similarities_of_all_pairs_of_labels(spark, tmp_path):
+    """100 labels have 4,950 pairs, and the overlap is that of all, as in the queries' SQL. Label 0 has a vector twice and its opposite, so within labels similarity goes from -1 to 1."""
+    x = np.random.default_rng(9).standard_normal((100, 16))
+    vectors = [*x, x[0], -x[0]]
+    labels = [*range(100), 0, 0]
+    data = [(k, v.tolist(), label) for k, (v, label) in enumerate(zip(vectors, labels, strict=True))]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    i, j = np.triu_indices(100, 1)
+    s = (x @ x.T)[i, j]
+    (r,) = scores.similarity_overlap(spark, str(tmp_path)).collect()
+    assert (r.low, r.high) == pytest.approx((s.min(), s.max()), abs=1e-6)
+    got = {(r.i, r.j): r.similarity for r in scores.between_similarity(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(dict(zip(zip(i.tolist(), j.tolist(), strict=True), s, strict=True)), abs=1e-6)
+
+
 def test_contract():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
